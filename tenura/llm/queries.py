@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tenura.llm import exact_dedup, language, packing, tokens
+from tenura.llm import exact_dedup, jaccard_join, language, packing, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_packing": packing.op3_packing,
+        "op4_jaccard_join": jaccard_join.op4_jaccard_join,
         "op5_token_counts": tokens.op5_token_counts,
         "op6_language": language.op6_language,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
