@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tenura.llm import decontaminate, exact_dedup, html_text, jaccard_join, language, packing, tokens
+from tenura.llm import decontaminate, exact_dedup, html_text, jaccard_join, language, line_dedup, packing, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": line_dedup.op1_line_dedup,
         "op2_html_text": html_text.op2_html_text,
         "op3_packing": packing.op3_packing,
         "op4_jaccard_join": jaccard_join.op4_jaccard_join,
