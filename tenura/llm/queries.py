@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tenura.llm import decontaminate, exact_dedup, html_text, jaccard_join, language, line_dedup, packing, tokens
+from tenura.llm import decontaminate, exact_dedup, html_text, jaccard_join, language, line_dedup, packing, quality, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_jaccard_join": jaccard_join.op4_jaccard_join,
         "op5_token_counts": tokens.op5_token_counts,
         "op6_language": language.op6_language,
+        "op7_quality": quality.op7_quality,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
