@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tenura.llm import decontaminate, exact_dedup, html_text, jaccard_join, language, line_dedup, packing, quality, tokens
+from tenura.llm import decontaminate, exact_dedup, html_text, jaccard_join, language, line_dedup, packing, pii, quality, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_language": language.op6_language,
         "op7_quality": quality.op7_quality,
         "op8_decontaminate": decontaminate.op8_decontaminate,
+        "op9_pii": pii.op9_pii,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 
