@@ -22,6 +22,7 @@ labelled row gives `und` for all; further columns are left alone.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -244,7 +245,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-_scorers: dict[int, Scorer] = {}
+_scorers: dict[str, Scorer] = {}
 
 
 def identify(docs: DataFrame, models: Models | None) -> DataFrame:
@@ -254,7 +255,7 @@ def identify(docs: DataFrame, models: Models | None) -> DataFrame:
     if models is None:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "cross_entropy": F.lit(None).cast("double"), "rejected": F.lit(True)})
     known = docs.sparkSession.sparkContext.broadcast(models)
-    key = id(known)
+    key = uuid.uuid4().hex  # tells these models from others of a reused worker
     schema = T.StructType([f for f in docs.schema])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -16,6 +16,7 @@ each give their row; further columns are left alone.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 
 import numpy as np
@@ -195,11 +196,12 @@ def graded(docs: DataFrame, keep: float = KEEP) -> DataFrame:
     voted = stored(with_votes(docs))
     posterior, weights = fit(docs, voted)
     shared = spark.sparkContext.broadcast((posterior, weights))
+    mark = uuid.uuid4().hex  # tells this fit from others of a reused worker
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if _graders.get("key") is not shared.value[1]:
+        if _graders.get("key") != mark:
             _graders.clear()
-            _graders.update(key=shared.value[1], grader=Grader(shared.value[1]))
+            _graders.update(key=mark, grader=Grader(shared.value[1]))
         texts = [t.as_py() or "" for t in batch.column("text")]
         scores = np.fromiter(map(_graders["grader"].score, texts), np.float64, len(texts))
         codes = [sum(v * 3**k for k, v in enumerate(votes(t))) for t in texts]
