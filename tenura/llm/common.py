@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import zipfile
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,22 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application, where it isn't in an archive of the job already."""
+    context = spark.sparkContext
+    root = Path(__file__).resolve().parents[1]
+    if context.applicationId not in _shipped and root.is_dir():
+        archive = Path(tempfile.mkdtemp(prefix="tenura-")) / "tenura.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for source in sorted(root.rglob("*.py")):
+                out.write(source, source.relative_to(root.parent))
+        context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch | None], schema: str) -> DataFrame:
     """fn applied to each Arrow batch of df."""
 
@@ -50,6 +68,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.Record
                 elif out is not None:
                     yield from out
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
