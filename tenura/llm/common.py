@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A worker's memo tables stop growing here; later words are computed each time.
-MEMO_LIMIT = 1_200_000
+MEMO_LIMIT = 400_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,18 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.Record
     return df.mapInArrow(run, schema)
 
 
+_held: dict[str, object] = {}
+
+
+def held(key: tuple, make: Callable[[], object]):
+    """What make returned for this key, until another key comes: a worker keeps one operator's tables at a time."""
+    if _held.get("key") != key:
+        _held.clear()
+        pa.default_memory_pool().release_unused()
+        _held.update(key=key, value=make())
+    return _held["value"]
+
+
 def whole_text(column: str = "text"):
     """The text, empty where null."""
     return F.coalesce(F.col(column), F.lit(""))

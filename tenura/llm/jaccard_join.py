@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenura.llm.common import Memo, hash64, map_batches, mix, stored, table, whole_text, words_of
+from tenura.llm.common import Memo, hash64, held, map_batches, mix, stored, table, whole_text, words_of
 from tenura.llm.graph import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -48,12 +48,12 @@ BROADCAST_ROWS = 1_000_000
 _SEEDS = mix(np.arange(1, 2 * VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _TIMES, _PLUS = _SEEDS[:VALUES] | np.uint64(1), _SEEDS[VALUES:]
 _PLACES = mix(np.arange(101, 101 + 64, dtype=np.uint64)) | np.uint64(1)
-_memo = Memo(hash64)
 
 
 def shingles(text: str, n: int = WORDS) -> np.ndarray:
     """The sorted distinct hashes of a text's runs of n words."""
-    w = np.fromiter(map(_memo.__getitem__, words_of(text)), np.int64).view(np.uint64)
+    memo = held(("jaccard_join",), lambda: Memo(hash64))
+    w = np.fromiter(map(memo.__getitem__, words_of(text)), np.int64).view(np.uint64)
     if not len(w):
         return w
     n = min(n, len(w))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tenura.llm.common import map_batches, mix, table
+from tenura.llm.common import held, map_batches, mix, table
 
 ORDER = 5
 #: About so many labelled documents of each language are learned from (the bound of the fit's sample).
@@ -39,8 +39,8 @@ SAMPLE_DOCS = 500
 #: Nats per character above the worst calibration document, and further slack that fades with length.
 SLACK, SHORT_SLACK = 0.5, 12.0
 UNKNOWN = "und"
-#: Words that a worker remembers; longer ones are cut.
-WORDS, LONGEST = 600_000, 64
+#: Words that a worker remembers, that it scores at once, and the length at which longer ones are cut.
+WORDS, AT_ONCE, LONGEST = 300_000, 4096, 64
 
 _START = np.uint64(0x5851F42D4C957F2D)
 _STEP = np.uint64(0x2545F4914F6CDD1D)
@@ -163,9 +163,9 @@ class Scorer:
             self.__init__(self.models)
         new = list({w for x in split for w in x}.difference(self.memo))
         if new:
-            sums, n = self.models.log_probabilities([cleaned(w) for w in new])
+            scored = [self.models.log_probabilities([cleaned(w) for w in new[i : i + AT_ONCE]]) for i in range(0, len(new), AT_ONCE)]
             self.memo.update(zip(new, range(len(self.n), len(self.n) + len(new)), strict=True))
-            self.sums, self.n = np.concatenate([self.sums, sums]), np.concatenate([self.n, n])
+            self.sums, self.n = np.concatenate([self.sums, *(s for s, _ in scored)]), np.concatenate([self.n, *(n for _, n in scored)])
         total, n = np.zeros((len(texts), len(self.models.langs))), np.zeros(len(texts), dtype=np.int64)
         for k, x in enumerate(split):
             at = np.fromiter(map(self.memo.__getitem__, x), np.int64, len(x))
@@ -245,9 +245,6 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def identify(docs: DataFrame, models: Models | None) -> DataFrame:
     """docs with lang_pred, score, cross_entropy and rejected added (those of the same names are replaced)."""
     names = ("lang_pred", "score", "cross_entropy", "rejected")
@@ -259,11 +256,9 @@ def identify(docs: DataFrame, models: Models | None) -> DataFrame:
     schema = T.StructType([f for f in docs.schema])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(known.value)
+        scorer = held(("language", key), lambda: Scorer(known.value))
         m, texts = known.value, [x or "" for x in batch.column("text").to_pylist()]
-        parts = [_scorers[key].cross_entropies(texts[i : i + 512]) for i in range(0, len(texts), 512)]
+        parts = [scorer.cross_entropies(texts[i : i + 512]) for i in range(0, len(texts), 512)]
         x, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         best, has = x.argmin(axis=1), n > 0
         score = np.where(has, softmax(-x / m.temperature).max(axis=1), 0.0)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenura.llm.common import map_batches, stored, table
+from tenura.llm.common import held, map_batches, stored, table
 from tenura.llm.tokens import tokenizer, vocabulary
 
 WINDOW = 1024
@@ -42,8 +42,6 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Latin, Greek, Cyrillic, Hebrew, Arabic, general punctuation, kana, CJK and Hangul: characters on whose class all Unicode versions agree.
 _OTHER = re.compile("[^\x00-ɏΑ-ΡΣ-ώА-яא-תء-ي‐-‧‰-⁞ぁ-ゖァ-ヺ一-龥가-힣]|<\\|")
 
-_fast: dict[str, object] = {}
-
 
 def ranks_of(path: str) -> dict[bytes, int]:
     """Bytes to id, from a byte-level tokenizers file, without its special tokens."""
@@ -56,12 +54,10 @@ def ranks_of(path: str) -> dict[bytes, int]:
 
 
 def fast_encoding(path: str):
-    """A tiktoken encoding with the file's ids, built once in each process."""
-    if path not in _fast:
-        import tiktoken
+    """A tiktoken encoding with the file's ids."""
+    import tiktoken
 
-        _fast[path] = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks_of(path), special_tokens={})
-    return _fast[path]
+    return held(("packing", path), lambda: tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks_of(path), special_tokens={}))
 
 
 def token_ids(path: str, text: str) -> np.ndarray:

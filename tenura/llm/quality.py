@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenura.llm.common import Memo, map_batches, stored, table
+from tenura.llm.common import Memo, held, map_batches, stored, table
 
 #: The scorer is fitted on about so many documents (the bound of its sample), in so many hashed features.
 SAMPLE_DOCS, FEATURES = 8_000, 1 << 15
@@ -187,9 +187,6 @@ class Grader:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-_graders: dict[object, Grader] = {}
-
-
 def graded(docs: DataFrame, keep: float = KEEP) -> DataFrame:
     """doc_id, votes, weak_label (the label model's posterior), score and kept of every document."""
     spark = docs.sparkSession
@@ -199,11 +196,9 @@ def graded(docs: DataFrame, keep: float = KEEP) -> DataFrame:
     mark = uuid.uuid4().hex  # tells this fit from others of a reused worker
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if _graders.get("key") != mark:
-            _graders.clear()
-            _graders.update(key=mark, grader=Grader(shared.value[1]))
+        grader = held(("quality", mark), lambda: Grader(shared.value[1]))
         texts = [t.as_py() or "" for t in batch.column("text")]
-        scores = np.fromiter(map(_graders["grader"].score, texts), np.float64, len(texts))
+        scores = np.fromiter(map(grader.score, texts), np.float64, len(texts))
         codes = [sum(v * 3**k for k, v in enumerate(votes(t))) for t in texts]
         weak = pa.array([shared.value[0].get(c, 0.5) for c in codes], pa.float64())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(codes, pa.int64()), weak, pa.array(scores), pa.array(scores >= keep)], ["doc_id", "votes", "weak_label", "score", "kept"])

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tenura.llm.common import MEMO_LIMIT, map_batches, table
+from tenura.llm.common import MEMO_LIMIT, held, map_batches, table
 
 #: Longer texts are encoded in chunks.
 HUGE_BYTES = 65_536
@@ -32,7 +32,6 @@ LIMIT_TOKENS = 2048
 PIECE_BYTES = 64
 
 _loaded: dict[str, object] = {}
-_memo: dict[str, dict[bytes, int]] = {}
 
 
 def tokenizer(path: str):
@@ -111,7 +110,7 @@ def count_huge(tok, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> in
 
 def count_batch(path: str, texts: list[bytes]) -> np.ndarray:
     """Token counts of UTF-8 texts."""
-    tok, memo = tokenizer(path), _memo.setdefault(path, {})
+    tok, memo = tokenizer(path), held(("tokens", path), dict)
     if len(memo) > MEMO_LIMIT:
         memo.clear()
     pieces = [x.split() if len(x) <= HUGE_BYTES else () for x in texts]
