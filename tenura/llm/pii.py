@@ -65,8 +65,11 @@ _PHONE = r"(?<![\w.+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?)\d{2,4}(?:[ .\-
 _NAME = rf"\b(?:{HONORIFIC})\b\.?\s+(?P<titled>{_CAP}(?:[ ]{_CAP})?)|\b(?P<full>(?:{'|'.join(n for v in GIVEN.values() for n in v)})[ ]{_CAP})(?!\w)"
 
 _ALL = re.compile("|".join(f"(?P<{n}>{p})" for n, p in (("mail", _MAIL), ("ip4", _V4), ("ip6", _V6), ("mac", _MAC), ("secret", _SECRET), ("key", _KEYS), ("iban", _IBAN), ("ssn", _SSN), ("card", _CARD), ("phone", _PHONE), ("hex", _HEX), ("name", _NAME))))
-#: A text without any of these holds no entity.
-_HINT = re.compile(rf"[@\d]|\b(?:{HONORIFIC})\b|(?i:token|secret|passw|pwd|key|auth)|[А-ЯΑ-Ω]|\b(?:{'|'.join(n for v in GIVEN.values() for n in v)})\b")
+#: A text holds no entity without one of these: a digit or @; a secret's name and a sign behind names; a name or honorific that a space or dot follows.
+_HINT = re.compile(r"[@\d]")
+_SECRET_HINTS = ("token", "secret", "passw", "pwd", "key", "auth")
+_CAPITAL_WORD = re.compile(r"[A-ZΆ-ΫА-ЯЁ]\w*(?=[.\s])")
+_NAME_HINTS = frozenset("Mr Mrs Ms Miss Dr Prof Herr Herrn Frau Monsieur Madame Mme Mlle Señor Señora Señorita Sr Sra Srta Don Doña".split()).union(*GIVEN.values())
 
 ALPHABETS = ("0123456789", "abcdef", "bcdfghjklmnpqrstvwxz", "aeiouy", "BCDFGHJKLMNPQRSTVWXZ", "AEIOUY", "бвгджзклмнпрстфхцчшщ", "аеёиоуыэюя", "βγδζθκλμνξπρστφχψ", "αεηιουω")
 
@@ -178,9 +181,20 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
     return placed(entity, key, tweak)
 
 
+def may_hold(text: str) -> bool:
+    """False only for texts without an entity, by cheap tests."""
+    if _HINT.search(text):
+        return True
+    if ":" in text or "=" in text:
+        low = text.lower()
+        if any(x in low for x in _SECRET_HINTS):
+            return True
+    return not _NAME_HINTS.isdisjoint(_CAPITAL_WORD.findall(text))
+
+
 def mentions(text: str) -> list[tuple[int, int, str, str]]:
     """(begin, end, kind, canonical entity) of every entity of a text, in order."""
-    if not _HINT.search(text):
+    if not may_hold(text):
         return []
     out = []
     for m in _ALL.finditer(text):
