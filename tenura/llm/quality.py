@@ -73,13 +73,17 @@ LABELLERS = ("symbols", "capitals", "vocabulary", "repeated_tokens", "repeated_l
 
 
 def with_votes(docs: DataFrame) -> DataFrame:
-    """doc_id, text and votes (an integer of base 3) of every document."""
+    """doc_id, text_hash and votes (an integer of base 3) of every document."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         codes = [sum(v * 3**k for k, v in enumerate(votes(t.as_py() or ""))) for t in batch.column("text")]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(codes, pa.int64())], ["doc_id", "votes"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(codes, pa.int64())], ["doc_id", "text_hash", "votes"])
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, votes long")
+    return map_batches(hashed(docs), run, "doc_id long, text_hash long, votes long")
+
+
+def hashed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
 
 
 def label_model(patterns: dict[int, int], rounds: int = ROUNDS) -> dict[int, float]:
@@ -192,18 +196,21 @@ def graded(docs: DataFrame, keep: float = KEEP) -> DataFrame:
     spark = docs.sparkSession
     voted = stored(with_votes(docs))
     posterior, weights = fit(docs, voted)
-    shared = spark.sparkContext.broadcast((posterior, weights))
+    shared = spark.sparkContext.broadcast(weights)
     mark = uuid.uuid4().hex  # tells this fit from others of a reused worker
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        grader = held(("quality", mark), lambda: Grader(shared.value[1]))
+        grader = held(("quality", mark), lambda: Grader(shared.value))
         texts = [t.as_py() or "" for t in batch.column("text")]
         scores = np.fromiter(map(grader.score, texts), np.float64, len(texts))
-        codes = [sum(v * 3**k for k, v in enumerate(votes(t))) for t in texts]
-        weak = pa.array([shared.value[0].get(c, 0.5) for c in codes], pa.float64())
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(codes, pa.int64()), weak, pa.array(scores), pa.array(scores >= keep)], ["doc_id", "votes", "weak_label", "score", "kept"])
-
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, votes long, weak_label double, score double, kept boolean")
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(scores), pa.array(scores >= keep)], ["doc_id", "text_hash", "score", "kept"])
+
+    scored = map_batches(hashed(docs), run, "doc_id long, text_hash long, score double, kept boolean")
+    # a document's votes aren't cast again: equal rows have equal ones
+    once = voted.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.max("votes").alias("votes"))
+    weak = F.broadcast(spark.createDataFrame(list(posterior.items()), "votes long, weak_label double"))  # at most 3 ** labellers rows
+    out = scored.join(once, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).join(weak, "votes")
+    return out.select("doc_id", "votes", "weak_label", "score", "kept")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
