@@ -10,8 +10,10 @@ script, case, valid check digits and a given name's gender stay.
 
 Spark then checks the distinct entities of the whole corpus: a surrogate that is
 itself an entity of the corpus, or that two entities share, is drawn again in the
-next attempt, until none is left. The few entities with a later attempt are joined
-to the documents that hold them.
+next attempt, ROUNDS times at most. What is left then are formats too full of
+entities for draws: there the entities left take each other's places in a ring, so
+that no two share a surrogate and none keeps its own. The few entities with a later
+attempt or a place are joined to the documents that hold them.
 
 Defined results: null texts stay null; texts without an entity stay as they are;
 repeated rows get the same text; an empty table gives no rows; further columns
@@ -27,7 +29,7 @@ import ipaddress
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -181,6 +183,37 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
     return placed(entity, key, tweak)
 
 
+def form(kind: str, entity: str) -> str:
+    """The format of a canonical entity, within which entities may take each other's places."""
+
+    def shape(chars: str, alphabets: tuple[str, ...] = ALPHABETS) -> str:
+        return "".join(next((f"<{k}>" for k, a in enumerate(alphabets) if c in a), c) for c in chars)
+
+    if kind == "mail":
+        rest, _, top = entity.rpartition(".")
+        return f"{shape(rest, _PLAIN[:2])}.{top}"
+    if kind == "ip4":
+        first = int(entity.split(".")[0])
+        return str(sum(first >= x for x in (1, 127, 128, 224))) if max(map(int, entity.split("."))) <= 255 else shape(entity)
+    if kind == "card":
+        return f"{shape(entity)}{luhn(entity[:-1]) == int(entity[-1])}"
+    if kind == "iban":
+        return entity[:2] + shape(entity[4:], _PLAIN)
+    if kind == "phone":
+        head = (2 if entity.startswith(("+1", "+7")) else 3) if entity.startswith("+") else 0
+        lead = head + (entity[head : head + 1] == "0")
+        return entity[:lead] + shape(entity[lead:], ALPHABETS[:1])
+    if kind in ("ip6", "mac"):
+        return shape(entity, _HEXES[:1])
+    if kind in ("secret", "key", "hex"):
+        for hexes in _HEXES:
+            if not set(entity) - set(hexes):
+                return shape(entity, (hexes,))
+        head = re.match(r"AKIA|gh[pousr]_|sk-|xox[abpr]-|", entity)[0]
+        return head + shape(entity[len(head) :], _PLAIN)
+    return _GIVEN_LIST[entity.lower()] if kind == "given" else shape(entity)
+
+
 def may_hold(text: str) -> bool:
     """False only for texts without an entity, by cheap tests."""
     if _HINT.search(text):
@@ -256,8 +289,48 @@ def drawn(distinct: DataFrame, key: bytes) -> DataFrame:
     return map_batches(distinct.select("kind", "entity", "attempt"), run, "kind string, entity string, attempt int, surrogate string")
 
 
+def collided(now: DataFrame, names: DataFrame) -> DataFrame:
+    """(kind, entity) of the rows whose surrogate is a name of the corpus or another row's, all but one of those that share it."""
+    taken = now.join(names, ["kind", "surrogate"], "left_semi")
+    shared = now.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min(F.struct(-F.col("attempt"), "entity")).alias("first")).filter("n > 1")
+    later = now.join(shared, ["kind", "surrogate"]).filter(F.col("entity") != F.col("first.entity")).select(now.columns)
+    return stored(taken.unionByName(later).select("kind", "entity").distinct())
+
+
+def ringed(left: DataFrame, names: DataFrame, key: bytes) -> DataFrame:
+    """(kind, entity, place) of entities left over by the draws: the next one left of the same format.
+
+    The surrogates of all others are no entities of the corpus, so places never
+    meet them. One left alone takes the first other entity of its format; where the
+    corpus has no other, it is drawn until it isn't itself, and only an entity
+    without a character to replace stays.
+    """
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        forms = [form(k, e) for k, e in zip(batch.column("kind").to_pylist(), batch.column("entity").to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(forms, pa.string())], ["kind", "entity", "form"])
+
+    def alone(batch: pa.RecordBatch) -> pa.RecordBatch:
+        places = []
+        for kind, entity, place in zip(*(batch.column(c).to_pylist() for c in ("kind", "entity", "place")), strict=True):
+            drawn_again = (new for k in range(ROUNDS, 1000) if (new := surrogate(kind, entity, key, k)) != entity)
+            places.append(place or next(drawn_again, entity))
+        return pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("entity"), pa.array(places, pa.string())], ["kind", "entity", "place"])
+
+    schema = "kind string, entity string, form string"
+    own = stored(map_batches(left.select("kind", "entity"), run, schema))
+    every = map_batches(names.select("kind", F.col("surrogate").alias("entity")), run, schema)
+    group = Window.partitionBy("kind", "form").orderBy("entity")
+    following = F.coalesce(F.lead("entity").over(group), F.first("entity").over(group.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ring = own.withColumn("place", following)
+    lone = ring.filter("place = entity").select("kind", "form", F.col("entity").alias("only"))
+    other = every.join(lone, ["kind", "form"]).filter("entity != only").groupBy("kind", "form").agg(F.min("entity").alias("other"))
+    found = ring.join(other, ["kind", "form"], "left").select("kind", "entity", F.when(F.col("place") != F.col("entity"), F.col("place")).otherwise(F.col("other")).alias("place"))
+    return map_batches(found, alone, "kind string, entity string, place string")
+
+
 def redrawn(found: DataFrame, key: bytes, rounds: int = ROUNDS) -> DataFrame:
-    """(kind, entity, attempt) of the entities whose first surrogate collides.
+    """(kind, entity, attempt, place) of the entities whose first surrogate collides; place is the surrogate where draws didn't end.
 
     Given names are drawn from short public lists, where the surrogate of one is
     always another's name; they are only held apart from each other.
@@ -266,26 +339,27 @@ def redrawn(found: DataFrame, key: bytes, rounds: int = ROUNDS) -> DataFrame:
     now = stored(drawn(distinct.withColumn("attempt", F.lit(0)), key))
     names = distinct.filter("kind != 'given'").select("kind", F.col("entity").alias("surrogate"))
     for _ in range(rounds):
-        taken = now.join(names, ["kind", "surrogate"], "left_semi")
-        shared = now.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min(F.struct(-F.col("attempt"), "entity")).alias("first")).filter("n > 1")
-        later = now.join(shared, ["kind", "surrogate"]).filter(F.col("entity") != F.col("first.entity")).select(now.columns)
-        again = stored(taken.unionByName(later).select("kind", "entity").distinct())
+        again = collided(now, names)
         if again.isEmpty():
             break
         redo = drawn(now.join(again, ["kind", "entity"], "left_semi").withColumn("attempt", F.col("attempt") + 1), key)
         now = stored(now.join(again, ["kind", "entity"], "left_anti").unionByName(redo))
-    return now.filter("attempt > 0").select("kind", "entity", "attempt")
+    else:
+        again = collided(now, names)
+        if not again.isEmpty():
+            return now.join(stored(ringed(again, names, key)), ["kind", "entity"], "left").filter("attempt > 0").select("kind", "entity", "attempt", "place")
+    return now.filter("attempt > 0").select("kind", "entity", "attempt", F.lit(None).cast("string").alias("place"))
 
 
-def replaced(text: str, key: bytes, attempts: dict[tuple[str, str], int], memo: dict) -> tuple[str, int]:
-    """A text with its entities replaced, and their number."""
+def replaced(text: str, key: bytes, attempts: dict[tuple[str, str], int | str], memo: dict) -> tuple[str, int]:
+    """A text with its entities replaced, and their number; attempts has an entity's attempt, or its surrogate itself."""
     found = mentions(text)
     out, at = [], 0
     for begin, end, kind, entity in found:
         which = (kind, entity, attempts.get((kind, entity), 0))
         new = memo.get(which)
         if new is None:
-            new = surrogate(*which[:2], key, which[2])
+            new = which[2] if isinstance(which[2], str) else surrogate(*which[:2], key, which[2])
             if len(memo) < 100_000:
                 memo[which] = new
         out += [text[at:begin], dressed(kind, text[begin:end], new)]
@@ -300,9 +374,9 @@ def with_surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     docs = docs.drop("n_entities", "redrawn", "text_hash_of")
     names = docs.columns
     if again.isEmpty():
-        held = docs.withColumn("redrawn", F.lit(None).cast("array<struct<kind:string,entity:string,attempt:int>>"))
+        held = docs.withColumn("redrawn", F.lit(None).cast("array<struct<kind:string,entity:string,attempt:int,place:string>>"))
     else:
-        of = found.join(again, ["kind", "entity"]).distinct().groupBy("text_hash").agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias("redrawn"))
+        of = found.join(again, ["kind", "entity"]).distinct().groupBy("text_hash").agg(F.collect_list(F.struct("kind", "entity", "attempt", "place")).alias("redrawn"))
         of = stored(of.withColumnRenamed("text_hash", "text_hash_of"))
         small = of.count() <= BROADCAST_ROWS
         held = docs.withColumn("text_hash_of", F.xxhash64(whole_text())).join(F.broadcast(of) if small else of, "text_hash_of", "left").select(*names, "redrawn")
@@ -311,7 +385,7 @@ def with_surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
         memo: dict = {}
         texts, counts = [], []
         for text, redo in zip(batch.column("text"), batch.column("redrawn").to_pylist(), strict=True):
-            new, n = replaced(text.as_py() or "", key, {(r["kind"], r["entity"]): r["attempt"] for r in redo or ()}, memo)
+            new, n = replaced(text.as_py() or "", key, {(r["kind"], r["entity"]): r["place"] or r["attempt"] for r in redo or ()}, memo)
             texts.append(new if text.is_valid else None)
             counts.append(n)
         columns = {name: batch.column(name) for name in names} | {"text": pa.array(texts, pa.string()), "n_entities": pa.array(counts, pa.int64())}
