@@ -1,12 +1,16 @@
 """Main text of web pages by removal of site templates (operator 2).
 
-A page is parsed to its element tree. Elements that by tag, role or class are
-menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or
-reader comments go. Then each remaining block's subtree is hashed, the hashes are
-counted by host in Spark over pages of different content, and subtrees that
-recur on at least MIN_PAGES such pages and MIN_SHARE of the host's pages go too.
-Within a marked article only short or link-laden containers may go that way,
-since an article's own paragraphs can rightly recur.
+1. A page is parsed to its element tree, and the subtree of every block that may be
+   a template is hashed by its tags and words: menus, footers, notices and the like,
+   wherever they stand; outside a marked article any block, within one only
+   containers, since an article's own paragraphs can rightly recur.
+2. Spark counts the hashes by host over pages of different content. What recurs on
+   MIN_PAGES such pages is a template of the host; a container of more than
+   BOILER_WORDS words within an article, mostly not links, on LONG_PAGES.
+3. Templates are deleted. Then rules for what recurs too little to be told by its
+   count delete elements that by tag, role or class are menus, headers, footers,
+   sidebars, notices, adverts, forms, scripts, styles or reader comments. Within an
+   article a class name counts only if all its words say so.
 
 The text of what is left has character references decoded, white space within a
 block turned into one space, and blocks joined in page order by a line feed.
@@ -22,15 +26,17 @@ import hashlib
 import html
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenura.llm.common import map_batches, stored, table
+from tenura.llm.common import hash64, map_batches, mix_int, stored, table
 
-MIN_PAGES, MIN_SHARE = 5, 0.02
-#: In an article a recurring container may hold so many words, or more if they are mostly links.
-BOILER_WORDS, LINK_SHARE = 40, 0.5
+#: Pages of different content on which a template recurs; for containers of an article with more than BOILER_WORDS words, less than LINK_SHARE of them linked, LONG_PAGES.
+MIN_PAGES, LONG_PAGES, BOILER_WORDS, LINK_SHARE = 5, 20, 40, 0.5
+#: Templates, of 8 bytes each, that are broadcast; more are joined to their pages by a shuffle.
+BROADCAST_ROWS = 2_000_000
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style title textarea noscript iframe xmp noembed noframes template".split())
@@ -42,13 +48,20 @@ CHROME_WORDS = set(
     "promo promotion promoted cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup share sharing social comment comments reply replies "
     "disqus respond related recommended recommendations widget widgets toolbar pagination pager login search skip copyright toast".split()
 )
+#: Further words of class names that say nothing of what an element holds.
+PLAIN_WORDS = set("user site page main box block list item area section wrapper wrap container inner outer content left right top bottom inline link links button buttons bar global local primary secondary the my js col row".split())
+#: What may be a template within an article.
+CONTAINERS = set("aside dd details dialog div dl fieldset figure footer form header menu nav ol section table ul".split())
 #: A start tag on the left ends open elements of these tags.
 CLOSES = {t: {"p"} for t in BLOCK - {"body", "html", "option", "optgroup", "tbody", "tfoot", "thead", "tr", "caption"}}
 CLOSES |= {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody", "p"}, "body": {"head"}}
 #: An open element of these tags keeps what is outside it open.
 FENCE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "option": {"select"}}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
+#: A quoted value ends before white space, / or >; a tag with another quote, which isn't closed, ends at the next >.
+_TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)"
+    r"(?P<rest>(?:\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>])|[^>\"'])*(?=>)|[^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -59,6 +72,7 @@ class Page:
 
     def __init__(self, source: str):
         self.tags, self.parents, self.chrome, self.main = [""], [-1], [False], [False]
+        self.named: dict[int, bool] = {}  # elements with a word of CHROME_WORDS in a class or id, and whether all its words say so
         self.events: list[tuple[int, object]] = []  # (node, text), (node, None) opens, (-node - 1, None) closes
         self._parse(source)
         self._measure()
@@ -73,24 +87,24 @@ class Page:
             if not found:
                 break
             at = found.end()
-            tag = found[2]
+            tag = found["tag"]
             if not tag:
                 if found[0].startswith("<![CDATA["):
                     self.events.append((stack[-1], html.escape(found[0][9:].removesuffix("]]>"))))
                 continue
             tag = tag.lower()
-            if found[1]:
+            if found["end"]:
                 self._close(stack, tag)
                 continue
             self._make_room(stack, tag)
             node = len(self.tags)
             self.tags.append(tag)
             self.parents.append(stack[-1])
-            chrome, main = self._kind(tag, found[3])
+            chrome, self.named[node], main = self._kind(tag, found["rest"])
             self.chrome.append(chrome)
             self.main.append(main)
             self.events.append((node, None))
-            if tag in VOID or found[3].endswith("/") and tag in ("svg", "path"):
+            if tag in VOID or found["rest"].endswith("/") and tag in ("svg", "path"):
                 self.events.append((-node - 1, None))
             elif tag in RAW:
                 stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at)
@@ -127,8 +141,9 @@ class Page:
                 return
 
     @staticmethod
-    def _kind(tag: str, attributes: str) -> tuple[bool, bool]:
-        chrome, main = tag in CHROME_TAGS, tag in ("article", "main")
+    def _kind(tag: str, attributes: str) -> tuple[bool, bool | None, bool]:
+        """Whether an element goes by tag or role, and by its names (by a part of one: False), and whether it is the main one."""
+        chrome, named, main = tag in CHROME_TAGS, None, tag in ("article", "main")
         if attributes and not attributes.isspace():
             for name, value in _ATTRIBUTE.findall(attributes):
                 name, value = name.lower(), value.strip("\"'")
@@ -142,8 +157,11 @@ class Page:
                 elif name == "style":
                     chrome |= bool(_HIDDEN.search(value))
                 elif name in ("class", "id") and tag not in ("html", "body"):
-                    chrome |= any(w.lower() in CHROME_WORDS for w in _WORD.findall(value))
-        return chrome, main
+                    for name in value.split():
+                        words = {w.lower() for w in _WORD.findall(name)}
+                        if words & CHROME_WORDS:
+                            named = named or words <= CHROME_WORDS | PLAIN_WORDS
+        return chrome, named, main
 
     def _measure(self) -> None:
         """Text, words, linked words and hash of every subtree, and what of it by its kind goes."""
@@ -175,48 +193,52 @@ class Page:
             linked[up] += linked[node]
             holds_main[up] = holds_main[up] or holds_main[node] or self.main[node]
         self.linked = linked
-        # a wrapper named for what it has beside the article stays
-        whole = self.words[0]
+        self.holds_main = holds_main
+        marked = any(self.main)
+        within = [False] * n
         for node in range(1, n):
-            if self.chrome[node] and self.tags[node] not in CHROME_TAGS and (holds_main[node] or self.main[node] or not any(self.main) and self.words[node] > 0.6 * whole):
-                self.chrome[node] = False
-        inside = [False] * n
+            up = self.parents[node]
+            within[node] = self.main[node] or within[up]
+            if self.named.get(node) is not None and self.tags[node] not in CHROME_TAGS:
+                # outside an article a part of a name is enough, but a wrapper of the article or of most of the page stays
+                wrapper = holds_main[node] or self.main[node] or not marked and self.words[node] > 0.6 * self.words[0]
+                self.chrome[node] |= not wrapper and (self.named[node] or not within[node] or 2 * linked[node] > self.words[node] > 0)
         gone = [False] * n
         for node in range(1, n):
             up = self.parents[node]
-            header = self.tags[node] == "header" and not inside[up] and not holds_main[node]
+            header = self.tags[node] == "header" and not within[up] and not holds_main[node]
             gone[node] = gone[up] or self.chrome[node] or header
-            inside[node] = inside[up] or self.main[node] and not gone[node]
-        self.inside, self.gone = inside, gone
-        self.has_main = any(inside)
-        content = [self.hashes[k] for k in range(1, n) if self.main[k] and not gone[k]] or self.hashes[1:2] or [0]
-        self.content = content[0]
-
-    def candidates(self) -> set[int]:
-        """Hashes of the subtrees that recurrence may remove."""
-        out = set()
-        for node in range(1, len(self.tags)):
-            tag = self.tags[node]
-            if self.gone[node] or not self.words[node] or tag not in BLOCK or tag in ("html", "body", "article", "main"):
-                continue
-            if self.has_main:
-                small = self.words[node] <= BOILER_WORDS or self.linked[node] > LINK_SHARE * self.words[node]
-                if not self.inside[node] or self.main[node] or tag not in ("div", "section", "ul", "ol", "dl", "table", "details", "figure") or not small:
-                    continue
-            out.add(self.hashes[node])
-        return out
-
-    def text(self, templates: set[int] = frozenset()) -> str:
-        """The main text without these subtrees."""
+        self.within, self.gone = within, gone
+        content = [self.hashes[k] for k in range(1, n) if self.main[k] and not gone[k]]
+        self.has_main = bool(content)
+        self.content = content[0] if content else hash64("".join(self.texts.values()))
+
+    def may_be_template(self, node: int) -> bool:
+        """Whether this block may be deleted as a template."""
+        tag = self.tags[node]
+        if not self.words[node] or tag not in BLOCK or tag in ("html", "body", "article", "main") or self.main[node] or self.holds_main[node]:
+            return False
+        return not self.within[node] or tag in CONTAINERS
+
+    def subtrees(self) -> set[int]:
+        """Hashes of the subtrees that may be templates, told apart by what they need to be one."""
+        return {self.key(node) for node in range(1, len(self.tags)) if self.may_be_template(node)}
+
+    def key(self, node: int) -> int:
+        """The hash of a subtree; its last bit is set where LONG_PAGES pages make it a template."""
+        long = self.within[node] and self.words[node] > BOILER_WORDS and self.linked[node] <= LINK_SHARE * self.words[node]
+        return self.hashes[node] & -2 | long
+
+    def text(self, templates=frozenset()) -> str:
+        """The main text without these subtrees, and without what goes by the rules."""
         gone = list(self.gone)
         if templates:
-            allowed = self.candidates()
             for node in range(1, len(self.tags)):
-                gone[node] = gone[node] or gone[self.parents[node]] or self.hashes[node] in templates and self.hashes[node] in allowed
+                gone[node] = gone[node] or gone[self.parents[node]] or self.may_be_template(node) and self.key(node) in templates
         blocks, block = [], []
         for k, (node, text) in enumerate(self.events):
             if isinstance(text, str):
-                if not gone[node] and (self.inside[node] or not self.has_main):
+                if not gone[node] and (self.within[node] or not self.has_main):
                     block.append(self.texts[k])
                 continue
             tag = self.tags[node if node >= 0 else -node - 1]
@@ -230,50 +252,83 @@ class Page:
         return "\n".join(b for b in joined if b)
 
 
+class Templates:
+    """Membership of (host, subtree) in a sorted array of their joint hashes."""
+
+    def __init__(self, keys: np.ndarray, host: int):
+        self.keys, self.host = keys, host
+
+    def __contains__(self, subtree: int) -> bool:
+        key = joint(self.host, subtree)
+        at = int(np.searchsorted(self.keys, key))
+        return at < len(self.keys) and int(self.keys[at]) == key
+
+
+def joint(host: int, subtree: int) -> int:
+    """A signed 64-bit hash of a host's hash and a subtree's, the last bit of which stays."""
+    return mix_int(host ^ mix_int(subtree)) & -2 | subtree & 1
+
+
 def with_host(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, host and page_hash."""
+    """page_id, url, html and the hash of the url's host."""
     url = F.coalesce(F.col("url"), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1))
-    source = F.coalesce(F.col("html"), F.lit(""))
-    return pages.select("page_id", "url", source.alias("html"), host.alias("host"), F.xxhash64(host, source).alias("page_hash"))
+    return pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"), F.xxhash64(host).alias("host"))
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(page_hash, templates) of the pages that hold recurring subtrees."""
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, long_pages: int = LONG_PAGES) -> DataFrame:
+    """(subtree, pages): the joint hashes of hosts and their templates, with the number of different pages that hold each."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hosts, keys, contents, hashes = [], [], [], []
-        for host, key, source in zip(batch.column("host").to_pylist(), batch.column("page_hash").to_pylist(), batch.column("html").to_pylist(), strict=True):
+        contents, subtrees = [], []
+        for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             page = Page(source)
-            found = page.candidates() | {0}  # 0 counts the pages of a host
-            hosts += [host] * len(found)
-            keys += [key] * len(found)
+            found = page.subtrees()
             contents += [page.content] * len(found)
-            hashes += found
-        return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(x, pa.int64()) for x in (keys, contents, hashes))], ["host", "page_hash", "content", "subtree"])
+            subtrees += [joint(host, x) for x in found]
+        return pa.RecordBatch.from_arrays([pa.array(subtrees, pa.int64()), pa.array(contents, pa.int64())], ["subtree", "content"])
 
-    rows = stored(map_batches(pages.select("host", "page_hash", "html"), run, "host string, page_hash long, content long, subtree long"))
-    counted = rows.groupBy("host", "subtree", "content").agg(F.lit(1).alias("one")).groupBy("host", "subtree").agg(F.count("*").alias("n"))
-    counted = stored(counted.filter(F.col("n") >= min_pages))
-    many = counted.filter("subtree != 0").join(counted.filter("subtree = 0").select("host", F.col("n").alias("pages")), "host").filter(F.col("n") >= F.col("pages") * min_share)
-    hits = rows.filter("subtree != 0").join(many.select("host", "subtree"), ["host", "subtree"], "left_semi").select("page_hash", "subtree").distinct()
-    return stored(hits.groupBy("page_hash").agg(F.collect_set("subtree").alias("templates")))
+    rows = map_batches(pages.select("host", "html"), run, "subtree long, content long")
+    counted = rows.distinct().groupBy("subtree").agg(F.count("*").alias("pages"))
+    return stored(counted.filter(F.col("pages") >= F.when(F.col("subtree").bitwiseAND(1) == 1, long_pages).otherwise(min_pages)))
 
 
-def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, long_pages: int = LONG_PAGES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     own = with_host(pages)
-    recurring = templates(own, min_pages, min_share)
-    if recurring.isEmpty():
+    found = templates(own, min_pages, long_pages).select("subtree")
+    keys = None
+    if found.count() <= broadcast_rows:
+        keys = pages.sparkSession.sparkContext.broadcast(np.sort(found.toPandas()["subtree"].to_numpy(np.int64)))
         own = own.withColumn("templates", F.lit(None).cast("array<long>"))
     else:
-        own = own.join(recurring, "page_hash", "left")
+        own = with_templates(own, found)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [Page(source).text(set(gone or ())) for source, gone in zip(batch.column("html").to_pylist(), batch.column("templates").to_pylist(), strict=True)]
+        texts = []
+        for source, host, gone in zip(*(batch.column(c).to_pylist() for c in ("html", "host", "templates")), strict=True):
+            texts.append(Page(source).text(Templates(keys.value if keys else np.sort(np.array(gone or [], np.int64)), host)))
         return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return map_batches(own.select("page_id", "url", "html", "templates"), run, "page_id long, url string, text string, n_chars long")
+    return map_batches(own.select("page_id", "url", "html", "host", "templates"), run, "page_id long, url string, text string, n_chars long")
+
+
+def with_templates(own: DataFrame, found: DataFrame) -> DataFrame:
+    """own with the array of the templates that each page holds, by joins on hashes: for more templates than a broadcast may hold."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys, subtrees = [], []
+        for key, host, source in zip(*(batch.column(c).to_pylist() for c in ("page_hash", "host", "html")), strict=True):
+            own_subtrees = [joint(host, x) for x in Page(source).subtrees()]
+            keys += [key] * len(own_subtrees)
+            subtrees += own_subtrees
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(subtrees, pa.int64())], ["page_hash", "subtree"])
+
+    own = own.withColumn("page_hash", F.xxhash64("host", "html"))
+    # copies of a page hold the same templates
+    rows = map_batches(own.select("page_hash", "host", "html"), run, "page_hash long, subtree long").distinct()
+    lists = rows.join(found, "subtree", "left_semi").groupBy("page_hash").agg(F.collect_list("subtree").alias("templates"))
+    return own.join(stored(lists), "page_hash", "left")
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 import re
+from collections import defaultdict
 from html import unescape
 
+from tenura.llm import html_text
 from tenura.llm.html_text import Page, main_text, op2_html_text
 
 SCHEMA = "page_id long, url string, html string, text string"
@@ -24,6 +26,78 @@ def test_plain_cases():
     assert text("<div>" * 30000 + "deep") == "deep"
 
 
+def test_names_and_quotes():
+    text = lambda h: Page(h).text()
+    kept = "<p class='share-price'>a</p><div class='related-work'>b</div><section id=notice-period>c</section><div class='ad-hoc'>d</div>"
+    assert text(f"<article>{kept}</article>") == "a\nb\nc\nd"
+    assert text("<article><p>a</p><div class=cookie-notice>n</div><div class='box ads'>x</div><div class='share-it'><a href=x>s</a></div></article>") == "a"
+    assert text('a <a title="x>link b') == "a link b" and text("<p title='x>a</p><p>b</p>") == "a\nb"
+    assert text('<a title="q>r</a> <a href="/y">z</a>') == "r z" and text('<a href="/x>y" b>k</a>') == "k"
+
+
+def wild_pages():
+    """Two hosts with menus, notices and in-article boxes that recur, and paragraphs that do too."""
+    menu = "<div><ul><li><a href=/1>one</a></li><li><a href=/2>two</a></li></ul></div>"
+    long_box = f"<div><p>{'about the writer ' * 20}</p></div>"
+    rows = []
+    for k in range(30):
+        box = "<section><p>Read our terms</p></section>" if k % 3 == 0 else ""
+        rows.append((f"http://a.example/{k}", f"<body>{menu}<article><h1>T{k}</h1><p>Same words here.</p>{box}<p>Text {k}</p>{long_box}</article><div>House of A</div></body>"))
+        rows.append((f"http://b.example/{k}", f"<body>{menu}<div>Body {k} of the page</div><p>Same end</p>{long_box if k < 9 else ''}</body>"))
+    return rows
+
+
+def test_counts_by_host_against_brute_force(spark):
+    rows = wild_pages()
+    frame = html_text.with_host(pages(spark, rows))
+    hosts = dict(frame.select("url", "host").distinct().collect())
+    seen: dict = defaultdict(set)
+    for url, source in rows:
+        page = Page(source)
+        for node in range(1, len(page.tags)):
+            if page.may_be_template(node):
+                seen[html_text.joint(hosts[url], page.key(node))].add(page.content)
+    want = {k: len(v) for k, v in seen.items() if len(v) >= (html_text.LONG_PAGES if k & 1 else html_text.MIN_PAGES)}
+    assert len(want) > 5 and want == dict(html_text.templates(frame).collect())
+
+
+def test_templates_go_without_any_word_list(spark, monkeypatch):
+    for name in ("CHROME_TAGS", "CHROME_ROLES", "CHROME_WORDS"):
+        monkeypatch.setattr(html_text, name, set())
+    rows = wild_pages()
+    got = {r["url"]: Page(r["html"]).text(html_text.Templates(keys_of(spark, rows), r["host"])) for r in html_text.with_host(pages(spark, rows)).collect()}
+    for k in range(30):
+        # the long box recurs on 30 pages of a, on 9 of b
+        assert got[f"http://a.example/{k}"] == f"T{k}\nSame words here.\nText {k}"
+        assert got[f"http://b.example/{k}"] == f"Body {k} of the page"
+
+
+def keys_of(spark, rows):
+    import numpy as np
+
+    return np.sort(np.array([r["subtree"] for r in html_text.templates(html_text.with_host(pages(spark, rows))).collect()], np.int64))
+
+
+def test_many_templates_are_joined_to_the_same_result(spark):
+    rows = [*wild_pages(), *wild_pages()[:4], (None, None)]
+    few, many = (sorted(map(str, main_text(pages(spark, rows), broadcast_rows=n).collect())) for n in (1000, 0))
+    assert few == many
+
+
+def test_recurring_menus_of_the_table_are_found(spark):
+    """Each nav and footer on MIN_PAGES or more articles of its host is a template."""
+    sf = "/root/testdata/sf0.1"
+    frame = html_text.with_host(spark.read.parquet(f"{sf}/pages.parquet"))
+    found, seen = {r["subtree"] for r in html_text.templates(frame).collect()}, defaultdict(set)
+    for r in frame.collect():
+        page = Page(r["html"])
+        for node in range(1, len(page.tags)):
+            if page.tags[node] in ("nav", "footer"):
+                seen[html_text.joint(r["host"], page.key(node))].add(page.content)
+    recurring = {k for k, v in seen.items() if len(v) >= html_text.MIN_PAGES}
+    assert len(recurring) > 50 and recurring <= found
+
+
 def test_templates_by_host(spark):
     def page(n, body="div"):
         return f"<html><body><div><span>Our shop ships worldwide and tells you more</span></div><{body}><p>Text {n} alpha beta.</p></{body}><div><p>All rights of this house</p></div></body></html>"
