@@ -51,8 +51,8 @@ def ctes(s: Settings = DEFAULT) -> dict[str, str]:
             {EVENT}, string_agg(DISTINCT source_version, '+' ORDER BY source_version) AS source_versions FROM rawtx GROUP BY ALL""",
         "day": f"""SELECT {token('user_id')} AS subscriber_token, activity_date, {', '.join(KINDS.values())}, num_unq, greatest(secs, 0) AS total_secs, secs < 0 AS total_secs_was_negative,
             CASE WHEN activity_date < DATE '{SECOND_DELIVERY}' THEN 'v1' ELSE 'v2' END AS source_version, year(activity_date) * 100 + month(activity_date) AS activity_month
-            FROM (SELECT user_id, CAST(ts AS DATE) - {s.activity_shift_days} AS activity_date, {counts}, count(DISTINCT props) AS num_unq, sum(CAST(value - 10 AS DECIMAL(18,2))) AS secs
-            FROM events WHERE event_id % (1 + user_id % 12) = 0 GROUP BY ALL)""",
+            FROM (SELECT user_id, shifted - CAST(date_diff('day', DATE '1970-01-01', shifted) % (1 + user_id % 12) AS INTEGER) AS activity_date, {counts}, count(DISTINCT props) AS num_unq, sum(CAST(value - 10 AS DECIMAL(18,2))) AS secs
+            FROM (SELECT *, CAST(ts AS DATE) - {s.activity_shift_days} AS shifted FROM events) GROUP BY ALL)""",
         "seq": """SELECT *, row_number() OVER (PARTITION BY subscriber_token, transaction_date ORDER BY plan_list_price DESC NULLS LAST, actual_amount_paid DESC NULLS LAST, payment_plan_days DESC NULLS LAST,
             payment_method_id DESC NULLS LAST, is_auto_renew DESC NULLS LAST, CASE is_cancel WHEN 0 THEN membership_expire_date END ASC NULLS LAST,
             CASE is_cancel WHEN 1 THEN membership_expire_date END DESC NULLS LAST, is_cancel NULLS LAST, event_key NULLS LAST) AS same_day_sequence FROM tx""",

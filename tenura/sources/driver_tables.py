@@ -67,13 +67,13 @@ def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_listening(spark: SparkSession, sf_dir: str, settings: Settings = DEFAULT) -> DataFrame:
-    """fact_listening_day: a row per subscriber and day."""
+    """fact_listening_day: a row per subscriber and day, from all events; a subscriber's days are those of their rhythm, every 1 to 12 days, so that all segments occur."""
     user = F.col("user_id")
-    thinned = read(spark, sf_dir, "events").filter(F.col("event_id") % (1 + user % 12) == 0)
-    day = F.date_sub(F.to_date("ts"), settings.activity_shift_days)
+    shifted = F.date_sub(F.to_date("ts"), settings.activity_shift_days)
+    day = F.date_sub(shifted, (F.unix_date(shifted) % (1 + user % 12)).cast("int"))
     seconds = F.sum((F.col("value") - 10).cast("decimal(18,2)"))
     counts = [F.count_if(F.col("event_type") == kind).cast("int").alias(name) for kind, name in KINDS.items()]
-    daily = thinned.groupBy(user.alias("user_id"), day.alias("activity_date")).agg(*counts, F.count_distinct("props").cast("int").alias("num_unq"), seconds.alias("seconds"))
+    daily = read(spark, sf_dir, "events").groupBy(user.alias("user_id"), day.alias("activity_date")).agg(*counts, F.count_distinct("props").cast("int").alias("num_unq"), seconds.alias("seconds"))
     return daily.select(
         subscriber_token(F.col("user_id")).alias("subscriber_token"),
         "activity_date",
