@@ -25,17 +25,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share (spark.checkpoint.dir); in local mode, as in tests, a temporary one where that is unset."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tenura-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def scratch(spark: SparkSession) -> str:
+    """Where this application's scratch tables are."""
+    return f"{shared_dir(spark)}/tenura/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's scratch tables, once results that were read from them are written."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written once as Parquet in the shared folder and reread: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/tenura/{uuid.uuid4().hex}"
+    path = f"{scratch(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -2,8 +2,14 @@
 
 Texts are equal when they are identical after lower-casing A-Z; null counts as
 empty. A digest index is a table bucketed and sorted by digest, one row per
-digest ever seen. A new batch is grouped by digest, its known digests are found
-by a sort-merge anti-join against the index, and the new ones are appended.
+digest ever seen. A batch comes in RUNS runs by descending doc_id: of each, the
+digests that the index lacks are found by a sort-merge anti-join and appended with
+their largest doc_id, so that what an earlier run or batch appended decides on later
+ones. Each document's verdict is then read from the index.
+
+A batch may be ingested again under its name, after a crash too: digests that its
+first attempt appended stay its own, nothing is appended twice, and the verdicts are
+the same.
 
 Defined results: of equal texts the largest doc_id stays (null ids sort lowest);
 of repeated rows with that same id exactly one stays; a digest that the index
@@ -18,11 +24,14 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tenura.llm.common import stored, table, whole_text
 
 #: A digest with more than this share of a batch is joined by broadcast: there are at most 200 of those.
 HOT_SHARE = 1 / 200
+#: Runs of a batch, by ranges of doc_id.
+RUNS = 3
 #: Index rows meant for one bucket.
 BUCKET_ROWS = 2_000_000
 
@@ -67,30 +76,50 @@ class DigestIndex:
         (groups.select("digest", "keep_id", F.lit(batch).alias("first_batch")).repartition(n, "digest")
          .write.bucketBy(n, "digest").sortBy("digest").format("parquet").mode("append").saveAsTable(self.name))
 
-    def ingest(self, docs: DataFrame, batch: str | None = None) -> tuple[DataFrame, DataFrame]:
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name} PURGE")
+
+    def ingest(self, docs: DataFrame, batch: str | None = None, runs: int = RUNS) -> tuple[DataFrame, DataFrame]:
         """Decide on a batch and append what is new.
 
-        Returns (rows, groups): one row per document with doc_id, keep_id,
+        Returns (rows, verdict): one row per document with doc_id, keep_id,
         group_size, kept and text_sha256; and one row per digest of the batch with
-        digest, keep_id, keep_row, n, ties and known (it was in the index before).
-        group_size counts the batch's copies, and one more where the index had the text.
+        digest, keep_id, keep_row, n, ties and known (another batch had it before).
+        group_size counts the batch's copies, and one more where another batch had the text.
         """
         batch = batch or uuid.uuid4().hex
         rows = stored(docs.select(F.col("doc_id"), digest_of().alias("digest")).withColumn("row", F.monotonically_increasing_id()))
         total = rows.count()
         self.create(total)
+        for run in self._runs(rows, runs):
+            last = run.groupBy("digest").agg(F.max("doc_id").alias("keep_id"))
+            self.append(stored(self.unseen(last)), batch)
         by_id = rows.groupBy("digest", "doc_id").agg(F.count("*").alias("ties"), F.max("row").alias("row"))
-        last = F.max(F.struct("doc_id", "row", "ties"))
-        groups = by_id.groupBy("digest").agg(last.alias("last"), F.sum("ties").alias("n"))
-        groups = groups.select("digest", F.col("last.doc_id").alias("keep_id"), F.col("last.row").alias("keep_row"), "n", F.col("last.ties").alias("ties"))
-        groups = stored(groups)
-        new = stored(self.unseen(groups))
-        seen = groups.join(new, "digest", "left_anti").drop("keep_id", "keep_row").join(self.read().select("digest", "keep_id"), "digest")
-        seen = seen.select("digest", "keep_id", F.lit(None).cast("long").alias("keep_row"), (F.col("n") + 1).alias("n"), "ties", F.lit(True).alias("known"))
-        verdict = stored(new.withColumn("known", F.lit(False)).select("digest", "keep_id", "keep_row", "n", "ties", "known").unionByName(seen))
-        self.append(new, batch)
+        by_id = stored(by_id)
+        index = self.read().select("digest", "keep_id", (F.col("first_batch") != batch).alias("known"))
+        sizes = by_id.groupBy("digest").agg(F.sum("ties").alias("n"))
+        # by doc_id too, which spreads the copies of one text
+        same = F.col("digest") == F.col("new_digest")
+        new = index.filter("NOT known").select(F.col("digest").alias("new_digest"), F.col("keep_id").alias("new_id"))
+        kept = by_id.join(new, same & F.col("doc_id").eqNullSafe(F.col("new_id"))).select("digest", F.col("row").alias("keep_row"), "ties")
+        verdict = sizes.join(index, "digest").join(kept, "digest", "left")
+        verdict = stored(verdict.select("digest", "keep_id", "keep_row", (F.col("n") + F.col("known").cast("int")).alias("n"), "ties", "known"))
         return self._rows(rows, verdict, total), verdict
 
+    @staticmethod
+    def _runs(rows: DataFrame, runs: int) -> list[DataFrame]:
+        """The rows by ranges of doc_id, the largest first; all rows of one id are in one range, null ids in the last."""
+        if runs < 2 or not isinstance(rows.schema["doc_id"].dataType, T.NumericType):
+            return [rows]
+        shares = [k / runs for k in range(1, runs)]
+        cuts = rows.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, shares)), 1000).alias("cuts")).first()["cuts"]
+        out, above = [], None
+        for cut in sorted(set(cuts or ()), reverse=True):
+            part = F.col("doc_id") > cut
+            out.append(rows.filter(part if above is None else part & (F.col("doc_id") <= above)))
+            above = cut
+        return [*out, rows if above is None else rows.filter(F.col("doc_id").isNull() | (F.col("doc_id") <= above))]
+
     def _rows(self, rows: DataFrame, verdict: DataFrame, total: int) -> DataFrame:
         """Each row with its group; the few digests with a large share of the rows don't meet in one task."""
         most = max(1, int(total * HOT_SHARE))
@@ -102,19 +131,29 @@ class DigestIndex:
         return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def exact_dedup(docs: DataFrame, index: str | None = None) -> DataFrame:
+def ingested(docs: DataFrame, index: str | None, batch: str | None) -> tuple[DataFrame, DataFrame]:
+    """Rows and verdict of a batch against the named index, or against one of its own that is dropped again."""
+    found = DigestIndex(docs.sparkSession, index or f"digest_index_{uuid.uuid4().hex}")
+    try:
+        return found.ingest(docs, batch)
+    finally:
+        if index is None:
+            found.drop()
+
+
+def exact_dedup(docs: DataFrame, index: str | None = None, batch: str | None = None) -> DataFrame:
     """One row per document against the named index, or against a new one."""
-    return DigestIndex(docs.sparkSession, index or f"digest_index_{uuid.uuid4().hex}").ingest(docs)[0]
+    return ingested(docs, index, batch)[0]
 
 
-def keep_last(docs: DataFrame, index: str | None = None) -> DataFrame:
+def keep_last(docs: DataFrame, index: str | None = None, batch: str | None = None) -> DataFrame:
     """The documents that stay, with their own columns.
 
     They are joined by (digest, doc_id), which spreads the copies of one text;
     repeated rows of one id are then reduced to one where there are any.
     """
     mark = f"digest_{uuid.uuid4().hex}"
-    verdict = DigestIndex(docs.sparkSession, index or f"digest_index_{uuid.uuid4().hex}").ingest(docs)[1].filter(~F.col("known"))
+    verdict = ingested(docs, index, batch)[1].filter(~F.col("known"))
     left = docs.withColumn(mark, digest_of())
     right = verdict.select(F.col("digest").alias(f"{mark}_d"), F.col("keep_id").alias(f"{mark}_k"))
     out = left.join(right, (F.col(mark) == F.col(f"{mark}_d")) & F.col("doc_id").eqNullSafe(F.col(f"{mark}_k")), "left_semi")

@@ -42,6 +42,45 @@ def test_digest_index_appends(spark):
     assert exact_dedup.exact_dedup(frame(spark, [])).count() == 0
 
 
+def test_a_batch_may_come_again_after_a_failure(spark, monkeypatch):
+    first, second = frame(spark, ["old", "two"], [1, 2]), frame(spark, ["OLD", "new", "New", None, "x", "x"], [3, 4, 5, None, 7, 7])
+    want = exact_dedup.DigestIndex(spark, "digests_whole")
+    want.ingest(first, "a")
+    want_rows = sorted(want.ingest(second, "b")[0].collect(), key=str)
+    index = exact_dedup.DigestIndex(spark, "digests_broken")
+    index.ingest(first, "a")
+    append, calls = exact_dedup.DigestIndex.append, []
+
+    def fails_behind_the_second(self, groups, batch):
+        append(self, groups, batch)
+        calls.append(batch)
+        if len(calls) == 2:
+            raise RuntimeError("executor lost")
+
+    monkeypatch.setattr(exact_dedup.DigestIndex, "append", fails_behind_the_second)
+    with pytest.raises(RuntimeError):
+        index.ingest(second, "b")
+    for _ in range(2):  # once more after it went well, too
+        assert sorted(index.ingest(second, "b")[0].collect(), key=str) == want_rows
+    assert sorted(index.read().select("digest", "keep_id").collect()) == sorted(want.read().select("digest", "keep_id").collect())
+    # under another name all of its texts are known
+    assert index.ingest(second, "c")[0].filter("kept").count() == 0
+
+
+def test_earlier_runs_decide_by_the_index(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    docs = frame(spark, [f"text {x}" for x in rng.integers(0, 60, 300)], rng.permutation(300).tolist())
+    seen, unseen = [], exact_dedup.DigestIndex.unseen
+    monkeypatch.setattr(exact_dedup.DigestIndex, "unseen", lambda self, groups: seen.append((groups.count(), unseen(self, groups).count())) or unseen(self, groups))
+    got = {r["doc_id"]: r["keep_id"] for r in exact_dedup.exact_dedup(docs).collect()}
+    want = {}
+    for r in docs.collect():
+        want.setdefault(r["text"], []).append(r["doc_id"])
+    assert got == {i: max(ids) for ids in want.values() for i in ids}
+    assert len(seen) == exact_dedup.RUNS and any(new < groups for groups, new in seen[1:])
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("digest_index_")]
+
+
 def test_token_counts(spark):
     path = tokens.vocabulary("word_bpe_49k.json")
     tok = tokens.tokenizer(path)
