@@ -8,16 +8,27 @@ from pyspark.sql import functions as F
 from tenura.llm.common import stored
 
 
-def _large(edges: DataFrame) -> DataFrame:
+#: A node with more than this share of the links is a hub: there are at most 2 / HUB_SHARE of those.
+HUB_SHARE = 1 / 100
+
+
+def _with_least(links: DataFrame, low: DataFrame, most: int) -> DataFrame:
+    """links with their node's least neighbour m; the links of hubs stay where they are."""
+    hubs = F.broadcast(low.filter(F.col("n") > most).select("u", "m"))
+    rest = links.join(hubs.select("u"), "u", "left_anti").join(low.filter(F.col("n") <= most).select("u", "m"), "u")
+    return links.join(hubs, "u").select("u", "v", "m").unionByName(rest.select("u", "v", "m"))
+
+
+def _large(edges: DataFrame, most: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+    low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return _with_least(both.filter("v > u"), low, most).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, most: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = _with_least(down, low, most).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
 
 
@@ -34,6 +45,7 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == before:
             break
         before = mark
-        now = stored(_small(_large(now)))
+        most = max(1, int(mark[0] * HUB_SHARE))
+        now = stored(_small(stored(_large(now, most)), most))
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

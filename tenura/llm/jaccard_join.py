@@ -42,8 +42,8 @@ VALUES, BAND = 128, 4
 STEP, TOLERANCE = 16, 1e-6
 #: Larger buckets are compared in blocks of about BLOCK texts.
 SMALL, BLOCK = 24, 256
-#: Rows of ids that may be broadcast (under 100 MB); more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Rows of two or three numbers that may be broadcast (some 50 MB as hash tables); more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 _SEEDS = mix(np.arange(1, 2 * VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _TIMES, _PLUS = _SEEDS[:VALUES] | np.uint64(1), _SEEDS[VALUES:]

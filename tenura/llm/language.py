@@ -37,9 +37,9 @@ ORDER = 5
 #: About so many labelled documents of each language are learned from (the bound of the fit's sample).
 SAMPLE_DOCS = 500
 #: Nats per character above the worst calibration document, and further slack that fades with length.
-SLACK, SHORT_SLACK = 0.5, 12.0
+SLACK, SHORT_SLACK = 1.0, 12.0
 UNKNOWN = "und"
-#: Words that a worker remembers, that it scores at once, and the length at which longer ones are cut.
+#: Words that a worker remembers, and that it scores at once; longer ones aren't remembered, and scored in parts that carry their context.
 WORDS, AT_ONCE, LONGEST = 300_000, 4096, 64
 
 _START = np.uint64(0x5851F42D4C957F2D)
@@ -88,15 +88,15 @@ class Models:
         hit = sorted_hashes[at] == wanted
         return np.where(hit[:, None], values[at], missing)
 
-    def log_probabilities(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Each cleaned word's summed log probability by language, and its number of predicted characters."""
+    def log_probabilities(self, words: list[str], first: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """Each cleaned word's summed log probability by language, and its number of predicted characters: those from first on."""
         sums, n = np.zeros((len(words), len(self.langs)), dtype=np.float32), np.zeros(len(words), dtype=np.int32)
         if not any(words):
             return sums, n
         hashes, owner, depth = gram_hashes(words, len(self.grams))
         p = np.full((len(owner), len(self.langs)), self.base)
         for order in range(1, len(self.grams) + 1):
-            use = np.flatnonzero(depth >= order)
+            use = np.flatnonzero(depth >= max(1, order - 1))
             if order == 1:
                 context = np.full(len(use), _START)
             else:
@@ -104,7 +104,7 @@ class Models:
             alpha = self.find(*self.grams[order - 1], hashes[order][use], 0.0)
             gamma = self.find(*self.contexts[order - 1], context, 1.0)
             p[use] = alpha + gamma * p[use]
-        told = depth >= 1
+        told = depth >= first
         logs = np.log(p[told])
         for k in range(len(self.langs)):
             sums[:, k] = np.bincount(owner[told], weights=logs[:, k], minlength=len(words))
@@ -148,6 +148,11 @@ def kneser_ney(counts: dict[str, dict[str, int]], order: int = ORDER) -> Models:
     return Models(langs, 1.0 / (len(letters) + 1), [arrays(rows[n], n + 1) for n in range(order)], [arrays(backs[n], n) for n in range(order)])
 
 
+def parts(word: str, order: int, longest: int = LONGEST) -> tuple[str, list[str]]:
+    """A cleaned word's beginning, and the parts that follow, each behind the order - 1 characters before it."""
+    return word[:longest], [word[max(0, at - order + 1) : at + longest] for at in range(longest, len(word), longest)]
+
+
 class Scorer:
     """Sums word scores of whole texts; remembers the words it has seen."""
 
@@ -158,7 +163,9 @@ class Scorer:
     def cross_entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Nats per character by language, and the number of characters (0 without letters)."""
         split = [x.split() for x in texts]
-        split = [x if max(map(len, x), default=0) <= LONGEST else [w[i : i + LONGEST] for w in x for i in range(0, len(w), LONGEST)] for x in split]
+        long = {k: [w for w in x if len(w) > LONGEST] for k, x in enumerate(split) if max(map(len, x), default=0) > LONGEST}
+        for k in long:
+            split[k] = [w for w in split[k] if len(w) <= LONGEST]
         if len(self.memo) > WORDS:
             self.__init__(self.models)
         new = list({w for x in split for w in x}.difference(self.memo))
@@ -170,8 +177,23 @@ class Scorer:
         for k, x in enumerate(split):
             at = np.fromiter(map(self.memo.__getitem__, x), np.int64, len(x))
             total[k], n[k] = self.sums[at].sum(axis=0, dtype=np.float64), self.n[at].sum()
+        for k, words in long.items():
+            for sums, count in map(self.scored_whole, words):
+                total[k] += sums
+                n[k] += count
         return -total / np.maximum(n, 1)[:, None], n
 
+    def scored_whole(self, word: str) -> tuple[np.ndarray, int]:
+        """The summed log probabilities and characters of a long word, by parts."""
+        order = len(self.models.grams)
+        head, tail = parts(cleaned(word), order)
+        total, n = np.zeros(len(self.models.langs)), 0
+        for words, first in ([head], 1), (tail, order - 1):
+            for i in range(0, len(words), AT_ONCE):
+                sums, counts = self.models.log_probabilities(words[i : i + AT_ONCE], first)
+                total, n = total + sums.sum(axis=0, dtype=np.float64), n + int(counts.sum())
+        return total, n
+
 
 def count_grams(labelled: DataFrame, order: int = ORDER) -> dict[str, dict[str, int]]:
     """Counts of character n-grams by language; small, since the sample is bounded."""

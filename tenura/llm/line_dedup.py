@@ -12,24 +12,32 @@ gaps by their window hashes.
 
 Defined results: null texts have one empty line and lose nothing; of repeated rows
 the later loses its blocks; rows with a null doc_id come first; lines are split at
-line feeds only and the rest of a text is kept as it is; further columns stay.
+line feeds only and the rest of a text is kept as it is; further columns stay,
+whatever their names, but n_lines and removed_lines are replaced. Of scripts written
+without spaces two characters count as a word.
 """
 
 from __future__ import annotations
 
+import uuid
 from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tenura.llm.common import lists_of, map_batches, mix, stored, table, whole_text
 
 MIN_WORDS, RARE = 20, 16
-#: Rows of removed lines that may be broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Rows and lines of the removed that may be broadcast (under 20 MB); more are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_LINES = 200_000, 2_000_000
+#: What occurs in more than this share of rows is joined apart: there are at most 200 of those.
+HOT_SHARE = 1 / 200
+
+#: Characters of Thai to Burmese, kana, Han and their like.
+DENSE = "[\u0e00-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]"
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -110,7 +118,10 @@ def common_lines(early: tuple[np.ndarray, np.ndarray], late: tuple[np.ndarray, n
     gone = np.zeros(len(hb), dtype=bool)
     run: list[int] = []
     last = (-2, -2)
-    for p, q in [*patience(ha.tolist(), hb.tolist()), (-9, -9)]:
+    # only lines of both sides can match
+    at_a, at_b = np.flatnonzero(np.isin(ha, hb)).tolist(), np.flatnonzero(np.isin(hb, ha)).tolist()
+    matched = [(at_a[p], at_b[q]) for p, q in patience(ha[at_a].tolist(), hb[at_b].tolist())]
+    for p, q in [*matched, (-9, -9)]:
         if (p - 1, q - 1) != last:
             if run and wb[run].sum() >= least:
                 gone[run] = True
@@ -123,19 +134,21 @@ def common_lines(early: tuple[np.ndarray, np.ndarray], late: tuple[np.ndarray, n
     return np.flatnonzero(gone)
 
 
-def lined(docs: DataFrame) -> DataFrame:
-    """docs with a row number, written once, and each row's line hashes and words."""
-    return stored(docs.withColumn("line_row", F.monotonically_increasing_id()))
-
-
 def sequences(numbered: DataFrame) -> DataFrame:
     """line_row, doc_id, hashes and words (of each line)."""
     lines = F.transform(F.split(whole_text(), "\n", -1), lambda x: F.trim(x, F.lit(" \t\r")))
-    words = F.transform("lines", lambda x: F.when(x == "", 0).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1))
+    words = F.transform("lines", lambda x: F.when(x == "", 0).otherwise(line_words(x)))
     rows = numbered.select("line_row", "doc_id", lines.alias("lines"))
     return rows.select("line_row", "doc_id", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), words.alias("words"))
 
 
+def line_words(line: Column) -> Column:
+    """Spaces and tabs + 1, and half of the characters of scripts that are written without them."""
+    spaces = lambda x: F.length(x) - F.length(F.translate(x, " \t\u3000", "")) + 1
+    dense = F.regexp_count(line, F.lit(DENSE))
+    return F.when(F.octet_length(line) == F.length(line), spaces(line)).otherwise(spaces(line) + F.floor(dense / 2).cast("int"))
+
+
 def keys_of(rows: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """(key, window, doc_id, line_row): the distinct lines and windows of each document."""
 
@@ -160,8 +173,13 @@ def pairs_of(keys: DataFrame, rare: int = RARE) -> DataFrame:
     order = F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "line_row")
     seen = keys.withColumn("place", order)
     shared = seen.groupBy("key", "window").agg(F.count("*").alias("n"), F.min("place").alias("first")).filter("n > 1")
-    shared = shared.filter(F.col("window") | (F.col("n") <= rare))
-    held = stored(seen.join(shared, ["key", "window"]).select("key", "window", "n", "place", F.col("first.line_row").alias("first"), "line_row"))
+    shared = stored(shared.filter(F.col("window") | (F.col("n") <= rare)))
+    # keys with a large share of the rows don't meet in one task
+    most = max(1, int((shared.agg(F.sum("n")).first()[0] or 0) * HOT_SHARE))
+    hot = F.broadcast(shared.filter(F.col("n") > most))
+    rest = seen.join(hot.select("key", "window"), ["key", "window"], "left_anti").join(shared.filter(F.col("n") <= most), ["key", "window"])
+    names = ["key", "window", "n", "place", F.col("first.line_row").alias("first"), "line_row"]
+    held = stored(seen.join(hot, ["key", "window"]).select(*names).unionByName(rest.select(*names)))
     to_first = held.select(F.col("first").alias("early"), F.col("line_row").alias("late"))
     few = held.filter(~F.col("window")).groupBy("key").agg(F.array_sort(F.collect_list("place")).alias("places"))  # at most rare places
     chain = few.select(F.explode(F.expr("transform(sequence(1, size(places) - 1), k -> struct(places[k - 1].line_row AS early, places[k].line_row AS late))")).alias("x")).select("x.*")
@@ -179,24 +197,35 @@ def removed_lines(rows: DataFrame, pairs: DataFrame, least: int = MIN_WORDS) ->
         return pa.RecordBatch.from_arrays([batch.column("late"), lists_of(flat, counts, pa.int32())], ["line_row", "lines"])
 
     side = lambda name, tail: rows.select(F.col("line_row").alias(name), F.col("hashes").alias("h" + tail), F.col("words").alias("w" + tail))
-    both = pairs.join(side("early", "a"), "early").join(side("late", "b"), "late").select("late", "ha", "wa", "hb", "wb")
+    pairs = stored(pairs)
+    # the pairs of an early document with many are dealt to several tasks, each with a copy of it
+    each = pairs.groupBy("early").agg(F.count("*").alias("n"))
+    most = max(1, int(pairs.count() * HOT_SHARE))
+    hot = F.broadcast(stored(each.filter(F.col("n") > most).select("early", F.ceil(F.col("n") / most).cast("long").alias("parts"))))
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    dealt = pairs.join(hot, "early", "left").withColumn("part", F.pmod(F.xxhash64("late"), parts)).drop("parts")
+    copies = side("early", "a").join(hot, "early", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+    both = dealt.join(copies, ["early", "part"]).join(side("late", "b"), "late").select("late", "ha", "wa", "hb", "wb")
     gone = map_batches(both, run, "line_row long, lines array<int>").select("line_row", F.explode("lines").alias("line"))
     return stored(gone.groupBy("line_row").agg(F.array_sort(F.collect_set("line")).alias("removed")))
 
 
 def dedup_lines(docs: DataFrame, least: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
     """docs with text replaced by what is left, and n_lines and removed_lines (their positions) added."""
-    docs = docs.drop("n_lines", "removed_lines", "line_row", "removed")
-    numbered = lined(docs)
-    rows = stored(sequences(numbered))
+    docs = docs.drop("n_lines", "removed_lines")
+    row, gone = (f"{name}_{uuid.uuid4().hex}" for name in ("row", "removed"))
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+    rows = stored(sequences(numbered.select(F.col(row).alias("line_row"), "doc_id", "text")))
     removed = removed_lines(rows, pairs_of(keys_of(rows, least), rare), least)
-    small = removed.count() <= BROADCAST_ROWS
-    out = numbered.join(F.broadcast(removed) if small else removed, "line_row", "left")
+    size = removed.agg(F.count("*").alias("rows"), F.sum(F.size("removed")).alias("lines")).first()
+    small = size["rows"] <= BROADCAST_ROWS and (size["lines"] or 0) <= BROADCAST_LINES
+    removed = removed.select(F.col("line_row").alias(row), F.col("removed").alias(gone))
+    out = numbered.join(F.broadcast(removed) if small else removed, row, "left")
     lines = F.split(whole_text(), "\n", -1)
-    left = F.array_join(F.filter(lines, lambda x, k: ~F.array_contains(F.col("removed"), k)), "\n")
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(left)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda k: F.get(lines, k)), "\n"))
     none = F.array().cast(T.ArrayType(T.IntegerType()))
-    added = {"text": text, "n_lines": F.size(lines), "removed_lines": F.coalesce("removed", none)}
+    added = {"text": text, "n_lines": F.size(lines), "removed_lines": F.coalesce(gone, none)}
     return out.withColumns(added).select(*docs.columns, "n_lines", "removed_lines")
 
 

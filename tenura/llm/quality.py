@@ -158,7 +158,7 @@ def fit(docs: DataFrame, voted: DataFrame, sample: int = SAMPLE_DOCS) -> tuple[d
     posterior = label_model(counts)
     total = sum(counts.values())
     share = min(1.0, sample / max(1, total))
-    some = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_003)) < F.lit(int(1_000_003 * share) + 1))
+    some = docs.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1_000_003)) < F.lit(int(1_000_003 * share) + 1))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         memo, out = Memo(features, 100_000), []

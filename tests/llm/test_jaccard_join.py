@@ -73,3 +73,22 @@ def test_keep_one(spark):
 def test_pruning_keeps_what_reaches_the_threshold():
     least = jj.least_matches()
     assert least[16] >= 3 and least[128] >= 70 and all(a <= b for a, b in zip(least, least[1:], strict=False))
+
+
+def test_components_with_hubs(spark):
+    from tenura.llm.graph import components
+
+    rng = random.Random(8)
+    edges = [(0, k) for k in range(1, 900)] + [(k, k + 1) for k in range(2000, 2040)] + [(rng.randrange(3000, 3400), rng.randrange(3000, 3400)) for _ in range(300)] + [(5000, 5000), (899, 2000)]
+    parent = {x: x for e in edges for x in e}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = top(a), top(b)
+        parent[max(a, b)] = min(a, b)
+    got = dict(components(spark.createDataFrame(edges, "u long, v long")).collect())
+    assert got == {x: top(x) for e in edges if e[0] != e[1] for x in e}

@@ -74,3 +74,22 @@ def test_edges_and_table(spark, small):
     table = spark.read.parquet(f"{small}/documents.parquet")
     want = brute([(r["doc_id"], r["text"]) for r in table.collect()])
     assert {r["doc_id"]: r["removed_lines"] for r in ld.op1_line_dedup(spark, small).collect()} == want
+
+
+def test_own_columns_and_spaceless_scripts(spark):
+    docs = frame(spark, ["a", "b"]).withColumnRenamed("source", "line_row").withColumnRenamed("digest", "removed")
+    out = ld.dedup_lines(docs)
+    assert out.columns == [*docs.columns, "n_lines", "removed_lines"]
+    assert {(r["line_row"], r["removed"]) for r in out.collect()} == {("s", "clash")}
+    passage = "これは二つの文書にある長い段落です。同じ文がもう一度出てくるので、後の文書から消えます。短くはありません。"
+    got = {r["doc_id"]: r["removed_lines"] for r in ld.dedup_lines(frame(spark, [f"一\n{passage}", f"二\n{passage}\n三", "短い行\n二"])).collect()}
+    assert got == {0: [], 1: [1], 2: []}
+
+
+def test_a_document_of_very_many_lines_and_a_window_that_all_hold(spark):
+    passage = " ".join(f"word{k}" for k in range(25))
+    long = "\n".join([f"line {k} of a long document" for k in range(8_000)])
+    texts = [f"{passage}\n{long}", *(f"own {k}\n{passage}" for k in range(400)), f"x\n{long}"]
+    got = {r["doc_id"]: r["removed_lines"] for r in ld.dedup_lines(frame(spark, texts)).collect()}
+    assert got[0] == [] and all(got[k] == [1] for k in range(1, 401))
+    assert got[401] == list(range(1, 8_001))

@@ -185,19 +185,68 @@ def test_language_edges(spark):
     assert language.identify(docs, None).filter("lang_pred = 'und'").count() == docs.count()
 
 
-def test_kneser_ney_sums_to_one():
-    counts = {"en": {}}
-    words = [" abra ", " cadabra ", " ab ", " bad "]
+def plain_kneser_ney(counts, order):
+    """p(character | up to order - 1 characters before it) by the textbook recursion, in dictionaries."""
+    letters = {g for g in counts if len(g) == 1}
+
+    def count(g):
+        if len(g) == order or g[0] == " " and len(g) > 1:
+            return counts.get(g, 0)
+        return sum(1 for x in counts if len(x) == len(g) + 1 and x[1:] == g)
+
+    table = {g: count(g) for g in counts}
+    discounts = {}
+    for n in range(1, order + 1):
+        of = [v for g, v in table.items() if len(g) == n]
+        once, twice = of.count(1), of.count(2)
+        discounts[n] = once / (once + 2 * twice) if once else 0.5
+
+    def p(c, h, n):
+        if n == 0:
+            return 1 / (len(letters) + 1)
+        context = h[len(h) - n + 1 :]
+        after = {g: v for g, v in table.items() if len(g) == n and g[:-1] == context and v}
+        lower = p(c, h, n - 1)
+        if not after:
+            return lower
+        total, d = sum(after.values()), discounts[n]
+        return max(after.get(context + c, 0) - d, 0) / total + d * len(after) / total * lower
+
+    return lambda word, i: p(word[i], word[:i], min(order, i + 1)), letters
+
+
+def grams_of(words, order):
+    counts: dict = {}
     for w in words:
         for i in range(1, len(w)):
-            for n in range(1, min(5, i + 1) + 1):
-                g = w[i - n + 1 : i + 1]
-                counts["en"][g] = counts["en"].get(g, 0) + 1
-    m = language.kneser_ney(counts)
-    for prefix in (" ", " a", " ab", " cad", " zz"):
-        total = 0.0
-        for c in "abcdr ":
-            sums, _ = m.log_probabilities([prefix + c])
-            before, _ = m.log_probabilities([prefix])
-            total += float(np.exp(sums[0, 0] - before[0, 0]))
-        assert 0.8 < total <= 1.0001
+            for n in range(1, min(order, i + 1) + 1):
+                counts[w[i - n + 1 : i + 1]] = counts.get(w[i - n + 1 : i + 1], 0) + 1
+    return counts
+
+
+@pytest.mark.parametrize("order", [2, 3, 5])
+def test_kneser_ney_against_the_textbook(order):
+    rng = np.random.default_rng(3)
+    words = [" abra ", " cadabra ", " ab ", " bad ", *(f" {''.join(rng.choice(list('abcdr'), rng.integers(1, 9)))} " for _ in range(40))]
+    counts = grams_of(words, order)
+    plain, letters = plain_kneser_ney(counts, order)
+    own = language.kneser_ney({"en": counts}, order)
+    for w in [*words, " zebra ", " aabbccdd "]:
+        sums, n = own.log_probabilities([w])
+        assert n[0] == len(w) - 1
+        assert abs(sums[0, 0] - sum(np.log(plain(w, i)) for i in range(1, len(w)))) < 1e-3
+    for prefix in (" ", " a", " ab", " cad", " zz", " abracad"):
+        known = sum(plain(prefix + c, len(prefix)) for c in [*letters, "~"])
+        mine = [np.exp(own.log_probabilities([prefix + c])[0][0, 0] - own.log_probabilities([prefix])[0][0, 0]) for c in [*letters, "~"]]
+        assert abs(known - 1) < 1e-6 and abs(sum(mine) - 1) < 1e-4
+
+
+def test_long_words_are_scored_as_whole_ones():
+    rng = np.random.default_rng(4)
+    text = "".join(rng.choice(list("abcdr"), 3000))
+    models = language.kneser_ney({"en": grams_of([f" {text[:800]} "], 5), "de": grams_of([f" {text[900:1500]} "], 5)})
+    sums, n = models.log_probabilities([language.cleaned(text)])
+    got, k = language.Scorer(models).scored_whole(text)
+    assert k == n[0] and np.allclose(got, sums[0], rtol=1e-5)
+    x, counted = language.Scorer(models).cross_entropies([f"ab {text} cd", "ab", ""])
+    assert counted.tolist() == [len(text) + 1 + 6, 3, 0]
