@@ -1,23 +1,30 @@
 """Surrogates for personal data (operator 9).
 
 Entities (mail addresses, phone numbers, card and account numbers, IP addresses,
-identity numbers, secrets, and personal names behind an honorific or made of a
-known given name and a surname) are replaced by keyed surrogates of the same type
-and format. A surrogate comes from a keyed permutation (a Feistel network over the
-places of the entity's characters) of all entities of that format, so different
-entities get different surrogates and one entity the same everywhere; formatting,
-script, case, valid check digits and a given name's gender stay.
+identity numbers, secrets, and personal names) are replaced by keyed surrogates of the
+same type and format. Names are those behind an honorific, those with a known given
+name, and pairs of capitalised words where the words around name a person: an
+introduction or signature, a verb of speech, an address or number next to them. What
+was found so is replaced wherever the text has it. A surrogate comes from a keyed
+permutation (a Feistel network over the places of the entity's characters) of all
+entities of that format, so different entities get different surrogates and one entity
+the same everywhere; formatting, script, case, valid check digits and a given name's
+gender stay.
 
 Spark then checks the distinct entities of the whole corpus: a surrogate that is
 itself an entity of the corpus, or that two entities share, is drawn again in the
-next attempt, ROUNDS times at most. What is left then are formats too full of
-entities for draws: there the entities left take each other's places in a ring, so
-that no two share a surrogate and none keeps its own. The few entities with a later
+next attempt. After ROUNDS attempts its format is too full of entities, and names,
+addresses and secrets get one character more with each further attempt. Numbers can't
+grow: after WIDER of those attempts the ones left take each other's places in a ring,
+so that no two share a surrogate and none keeps its own. The few entities with a later
 attempt or a place are joined to the documents that hold them.
 
+The key is the caller's. The query takes it from the setting KEY_SETTING (hexadecimal),
+and draws one for the run where that is unset: then surrogates can't be told by anyone.
+
 Defined results: null texts stay null; texts without an entity stay as they are;
 repeated rows get the same text; an empty table gives no rows; further columns
-stay. Given names and surnames are replaced word by word, so a surname alone
+stay, whatever their names, but n_entities is replaced. Given names and surnames are replaced word by word, so a surname alone
 behind an honorific keeps its link to the full name.
 """
 
@@ -27,6 +34,10 @@ import functools
 import hashlib
 import ipaddress
 import re
+import secrets
+import unicodedata
+import uuid
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -35,10 +46,10 @@ from pyspark.sql import types as T
 
 from tenura.llm.common import map_batches, stored, table, whole_text
 
-KEY = b"surrogates of the test corpus"
-#: Documents with redrawn entities that may be broadcast; more are joined by a shuffle.
+KEY_SETTING = "spark.tenura.surrogate.key"
+#: Documents with redrawn entities, and those entities, that may be broadcast (some 40 MB); more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
-ROUNDS = 8
+ROUNDS, WIDER = 8, 8
 
 #: Given names by gender and script: the surrogate of one is another of its list.
 GIVEN = {
@@ -51,11 +62,16 @@ GIVEN = {
 }
 _GIVEN_LIST = {name.lower(): kind for kind, names in GIVEN.items() for name in names}
 HONORIFIC = r"Mr|Mrs|Ms|Miss|Dr|Prof|Herrn?|Frau|Monsieur|Madame|Mme|Mlle|Señora?|Señorita|Sra?|Srta|Don|Doña"
+#: Words behind which two capitalised words are a name, and verbs before which they are.
+INTRODUCTIONS = r"(?i:my name is|(?:full |first and last )?name ?[:=]|contact ?:|attn\.?:?|signed,?|sincerely,|regards,|yours,|mein name ist|ich heiße|mit freundlichen grüßen,?|je m'appelle|cordialement,|me llamo|mi nombre es|atentamente,)"
+SPEECH = "said|says|wrote|writes|told|tells|asked|asks|called|calls|phoned|emailed|replied|replies|met"
 _CAP = r"[A-ZÀ-ÖØ-ÞΆ-ΏΑ-ΫА-ЯЁ][a-zß-öø-ÿά-ώа-яё'’-]+"
 
 _MAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9][A-Za-z0-9\-]*(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
 _V4 = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
-_V6 = r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])"
+_V6 = r"(?<![\w:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])"
+#: Before a number of four parts: it is a version or a section.
+_VERSION = re.compile(r"(?i:\b(?:v|version|ver|release|rev|revision|build|firmware|kernel|section|chapter|no)|§)[ .:]*$")
 _MAC = r"(?<![\w:])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![\w:])"
 _SECRET = r"(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth)\b[\"']?\s*[=:]\s*[\"']?)(?P<secret_value>[A-Za-z0-9+/_\-]{8,}=*)"
 _KEYS = r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_\-]{16,}|xox[abpr]-[A-Za-z0-9\-]{10,})\b"
@@ -63,8 +79,15 @@ _HEX = r"(?<!\w)(?=[0-9a-f]*[a-f])(?=[0-9a-f]*\d)[0-9a-f]{32,}(?!\w)"
 _IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b"
 _CARD = r"(?<![\w.])\d(?:[ -]?\d){12,18}(?![\w]|\.\d)"
 _SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
-_PHONE = r"(?<![\w.+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?)\d{2,4}(?:[ .\-]?\d{2,4}){1,3}(?!\w)|(?<![\w.+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?!\w)|(?<![\w.\-])\d{3}[ .\-]\d{3}[ .\-]\d{4}(?![\w\-])"
+_PHONE = r"(?<![\w.+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?)\d{2,4}(?:[ .\-]?\d{2,4}){1,3}(?!\w)|(?<![\w.+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?!\w)|(?<![\w.\-])\d{3}[ .\-]\d{3}[ .\-]\d{4}(?![\w\-])|(?<![\w.+\-/])0\d(?:[ .]\d{2}){4}(?![\w.\-/])|(?<![\w.+\-/])0\d{2,4}[ /]\d{6,8}(?![\w.\-/])"
 _NAME = rf"\b(?:{HONORIFIC})\b\.?\s+(?P<titled>{_CAP}(?:[ ]{_CAP})?)|\b(?P<full>(?:{'|'.join(n for v in GIVEN.values() for n in v)})[ ]{_CAP})(?!\w)"
+_PAIR = rf"{_CAP}[ ]{_CAP}(?!\w)"
+#: Names by the words around them; the hint is looked for first.
+_CONTEXT = re.compile(
+    rf"(?:{INTRODUCTIONS})\s*(?P<introduced>{_PAIR})|\b(?P<speaker>{_PAIR})(?=\s+(?:{SPEECH})\b)|\b(?:{SPEECH})\s+(?P<addressed>{_PAIR})"
+    rf"|\b(?P<listed>{_PAIR})(?=\s*[,;:(<]\s*(?:{_MAIL}|\+?\(?\d[\d ()./\-]{{7,}}\d))"
+)
+_CONTEXT_HINT = re.compile(rf"(?i:name|contact|attn|signed|sincerely|regards,|yours,|heiße|grüßen|appelle|cordialement|llamo|nombre|atentamente)|\b(?:{SPEECH})\b|[,;:(<]\s*[\w.+(%-]*[@\d]")
 
 _ALL = re.compile("|".join(f"(?P<{n}>{p})" for n, p in (("mail", _MAIL), ("ip4", _V4), ("ip6", _V6), ("mac", _MAC), ("secret", _SECRET), ("key", _KEYS), ("iban", _IBAN), ("ssn", _SSN), ("card", _CARD), ("phone", _PHONE), ("hex", _HEX), ("name", _NAME))))
 #: A text holds no entity without one of these: a digit or @; a secret's name and a sign behind names; a name or honorific that a space or dot follows.
@@ -73,7 +96,25 @@ _SECRET_HINTS = ("token", "secret", "passw", "pwd", "key", "auth")
 _CAPITAL_WORD = re.compile(r"[A-ZΆ-ΫА-ЯЁ]\w*(?=[.\s])")
 _NAME_HINTS = frozenset("Mr Mrs Ms Miss Dr Prof Herr Herrn Frau Monsieur Madame Mme Mlle Señor Señora Señorita Sr Sra Srta Don Doña".split()).union(*GIVEN.values())
 
-ALPHABETS = ("0123456789", "abcdef", "bcdfghjklmnpqrstvwxz", "aeiouy", "BCDFGHJKLMNPQRSTVWXZ", "AEIOUY", "бвгджзклмнпрстфхцчшщ", "аеёиоуыэюя", "βγδζθκλμνξπρστφχψ", "αεηιουω")
+#: Letters that take each other's places: consonants and vowels by script, with and without marks, in either case.
+ALPHABETS = (
+    "0123456789",
+    "bcdfghjklmnpqrstvwxz", "aeiouy", "çñßšžćčďđğłńňřśşťźżþð", "àáâãäåæèéêëìíîïòóôõöøùúûüýÿœ",
+    "BCDFGHJKLMNPQRSTVWXZ", "AEIOUY", "ÇÑŠŽĆČĎĐĞŁŃŇŘŚŞŤŹŻÞÐ", "ÀÁÂÃÄÅÆÈÉÊËÌÍÎÏÒÓÔÕÖØÙÚÛÜÝŸŒ",
+    "бвгджзйклмнпрстфхцчшщъь", "аеёиоуыэюяіїє", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩЪЬ", "АЕЁИОУЫЭЮЯІЇЄ",
+    "βγδζθκλμνξπρσςτφχψ", "αεηιουω", "άέήίόύώϊϋΐΰ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ", "ΑΕΗΙΟΥΩ", "ΆΈΉΊΌΎΏΪΫ",
+)
+
+
+@functools.cache
+def alphabet_of(char: str, alphabets: tuple[str, ...]) -> str:
+    """The characters that may stand for this one; of other scripts the letters of the same kind near by; none for what isn't replaced."""
+    own = next((a for a in alphabets if char in a), "")
+    if own or char.isascii() or not char.isalpha() or alphabets is not ALPHABETS:
+        return own
+    first, kind = ord(char) & ~63, unicodedata.category(char)
+    near = (chr(x) for x in range(first, first + 64) if unicodedata.category(chr(x)) == kind)
+    return "".join(x for x in near if not any(x in a for a in ALPHABETS))
 
 
 def luhn(digits: str) -> int:
@@ -107,11 +148,11 @@ def permuted(values: list[int], radices: list[int], key: bytes, tweak: bytes) ->
 
 def placed(chars: str, key: bytes, tweak: str, alphabets: tuple[str, ...] = ALPHABETS) -> str:
     """chars with each character replaced by one of its alphabet; others, and the format, stay."""
-    kinds = [next((a for a in alphabets if c in a), "") for c in chars]
+    kinds = [alphabet_of(c, alphabets) for c in chars]
     use = [k for k, a in enumerate(kinds) if a]
     if not use:
         return chars
-    form = "".join(str(alphabets.index(a)) if a else c for c, a in zip(chars, kinds, strict=True))
+    form = "".join(f"<{a[0]}>" if a else c for c, a in zip(chars, kinds, strict=True))
     new = permuted([kinds[k].index(chars[k]) for k in use], [len(kinds[k]) for k in use], key, f"{tweak}|{form}".encode())
     out = list(chars)
     for k, v in zip(use, new, strict=True):
@@ -124,7 +165,8 @@ _HEXES = ("0123456789abcdef", "0123456789ABCDEF")
 
 
 def script_of(word: str) -> str:
-    return "cyrillic" if "а" <= word[-1].lower() <= "ё" else "greek" if "ά" <= word[-1].lower() <= "ώ" else "latin"
+    last = word[-1]
+    return "cyrillic" if "\u0400" <= last <= "\u052f" else "greek" if "\u0370" <= last <= "\u03ff" or "\u1f00" <= last <= "\u1fff" else "latin"
 
 
 def canonical(kind: str, found: str) -> str:
@@ -138,9 +180,20 @@ def canonical(kind: str, found: str) -> str:
     return found
 
 
+def widened(kind: str, entity: str, more: int) -> str:
+    """The entity with so many more characters to replace, where its format may grow."""
+    if kind == "surname":
+        return entity + {"latin": "a", "cyrillic": "а", "greek": "α"}[script_of(entity)] * more
+    if kind == "mail":
+        return "a" * more + entity
+    return entity + "0" * more if kind in ("secret", "key", "hex") else entity
+
+
 def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
     """The surrogate of a canonical entity."""
     tweak = f"{kind}{attempt}"
+    if attempt >= ROUNDS:
+        entity = widened(kind, entity, attempt - ROUNDS + 1)
     if kind == "mail":
         local, _, domain = entity.partition("@")
         host, _, top = domain.rpartition(".")
@@ -187,7 +240,7 @@ def form(kind: str, entity: str) -> str:
     """The format of a canonical entity, within which entities may take each other's places."""
 
     def shape(chars: str, alphabets: tuple[str, ...] = ALPHABETS) -> str:
-        return "".join(next((f"<{k}>" for k, a in enumerate(alphabets) if c in a), c) for c in chars)
+        return "".join(f"<{a[0]}>" if (a := alphabet_of(c, alphabets)) else c for c in chars)
 
     if kind == "mail":
         rest, _, top = entity.rpartition(".")
@@ -222,7 +275,7 @@ def may_hold(text: str) -> bool:
         low = text.lower()
         if any(x in low for x in _SECRET_HINTS):
             return True
-    return not _NAME_HINTS.isdisjoint(_CAPITAL_WORD.findall(text))
+    return not _NAME_HINTS.isdisjoint(_CAPITAL_WORD.findall(text)) or bool(_CONTEXT_HINT.search(text))
 
 
 def mentions(text: str) -> list[tuple[int, int, str, str]]:
@@ -236,10 +289,9 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
             begin, end = m.span("secret_value")
             out.append((begin, end, kind, text[begin:end]))
         elif kind == "name":
-            begin, end = m.span("titled") if m["titled"] else m.span("full")
-            for w in re.finditer(r"\S+", text[begin:end]):
-                own = "given" if w[0].lower() in _GIVEN_LIST else "surname"
-                out.append((begin + w.start(), begin + w.end(), own, w[0]))
+            out += named(text, *(m.span("titled") if m["titled"] else m.span("full")))
+        elif kind == "ip4" and (_VERSION.search(text[max(0, m.start() - 16) : m.start()]) or max(map(int, m[0].split("."))) > 255 or len(m[0]) == 7):
+            continue
         elif kind == "ip6":
             try:
                 ipaddress.ip_address(m[0])
@@ -248,7 +300,28 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
             out.append((*m.span(), kind, canonical(kind, m[0])))
         else:
             out.append((*m.span(), kind, canonical(kind, m[0])))
-    return out
+    return with_context(text, out)
+
+
+def named(text: str, begin: int, end: int) -> list[tuple[int, int, str, str]]:
+    """The given names and surnames of a name."""
+    return [(begin + w.start(), begin + w.end(), "given" if w[0].lower() in _GIVEN_LIST else "surname", w[0]) for w in re.finditer(r"\S+", text[begin:end])]
+
+
+def with_context(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """The mentions and, where no other is, names by the words around them, in all their places."""
+    if not _CONTEXT_HINT.search(text):
+        return found
+    full = {m[m.lastgroup] for m in _CONTEXT.finditer(text)}
+    if not full:
+        return found
+    begins = [m[0] for m in found]
+    more = []
+    for m in re.finditer("|".join(rf"\b{re.escape(x)}(?!\w)" for x in sorted(full, key=len, reverse=True)), text):
+        at = bisect_left(begins, m.start())
+        free = (at == 0 or found[at - 1][1] <= m.start()) and (at == len(found) or begins[at] >= m.end())
+        more += named(text, *m.span()) if free else ()
+    return sorted([*found, *more])
 
 
 _KINDS = ("mail", "ip4", "ip6", "mac", "secret", "key", "iban", "ssn", "card", "phone", "hex", "name")
@@ -313,7 +386,7 @@ def ringed(left: DataFrame, names: DataFrame, key: bytes) -> DataFrame:
     def alone(batch: pa.RecordBatch) -> pa.RecordBatch:
         places = []
         for kind, entity, place in zip(*(batch.column(c).to_pylist() for c in ("kind", "entity", "place")), strict=True):
-            drawn_again = (new for k in range(ROUNDS, 1000) if (new := surrogate(kind, entity, key, k)) != entity)
+            drawn_again = (new for k in range(ROUNDS + WIDER, 1000) if (new := surrogate(kind, entity, key, k)) != entity)
             places.append(place or next(drawn_again, entity))
         return pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("entity"), pa.array(places, pa.string())], ["kind", "entity", "place"])
 
@@ -338,17 +411,14 @@ def redrawn(found: DataFrame, key: bytes, rounds: int = ROUNDS) -> DataFrame:
     distinct = stored(found.select("kind", "entity").distinct())
     now = stored(drawn(distinct.withColumn("attempt", F.lit(0)), key))
     names = distinct.filter("kind != 'given'").select("kind", F.col("entity").alias("surrogate"))
-    for _ in range(rounds):
-        again = collided(now, names)
+    again = collided(now, names)
+    for _ in range(rounds + WIDER):
         if again.isEmpty():
-            break
+            return now.filter("attempt > 0").select("kind", "entity", "attempt", F.lit(None).cast("string").alias("place"))
         redo = drawn(now.join(again, ["kind", "entity"], "left_semi").withColumn("attempt", F.col("attempt") + 1), key)
         now = stored(now.join(again, ["kind", "entity"], "left_anti").unionByName(redo))
-    else:
         again = collided(now, names)
-        if not again.isEmpty():
-            return now.join(stored(ringed(again, names, key)), ["kind", "entity"], "left").filter("attempt > 0").select("kind", "entity", "attempt", "place")
-    return now.filter("attempt > 0").select("kind", "entity", "attempt", F.lit(None).cast("string").alias("place"))
+    return now.join(stored(ringed(again, names, key)), ["kind", "entity"], "left").filter("attempt > 0").select("kind", "entity", "attempt", "place")
 
 
 def replaced(text: str, key: bytes, attempts: dict[tuple[str, str], int | str], memo: dict) -> tuple[str, int]:
@@ -367,25 +437,26 @@ def replaced(text: str, key: bytes, attempts: dict[tuple[str, str], int | str],
     return "".join([*out, text[at:]]), len(found)
 
 
-def with_surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """docs with text replaced, and n_entities added."""
+def with_surrogates(docs: DataFrame, key: bytes) -> DataFrame:
+    """docs with text replaced, and n_entities added; key is the caller's secret."""
     found = stored(entities(docs.select("text")))
     again = stored(redrawn(found, key))
-    docs = docs.drop("n_entities", "redrawn", "text_hash_of")
-    names = docs.columns
+    docs = docs.drop("n_entities")
+    names, redo, of_text = docs.columns, f"redrawn_{uuid.uuid4().hex}", f"text_{uuid.uuid4().hex}"
     if again.isEmpty():
-        held = docs.withColumn("redrawn", F.lit(None).cast("array<struct<kind:string,entity:string,attempt:int,place:string>>"))
+        held = docs.withColumn(redo, F.lit(None).cast("array<struct<kind:string,entity:string,attempt:int,place:string>>"))
     else:
-        of = found.join(again, ["kind", "entity"]).distinct().groupBy("text_hash").agg(F.collect_list(F.struct("kind", "entity", "attempt", "place")).alias("redrawn"))
-        of = stored(of.withColumnRenamed("text_hash", "text_hash_of"))
-        small = of.count() <= BROADCAST_ROWS
-        held = docs.withColumn("text_hash_of", F.xxhash64(whole_text())).join(F.broadcast(of) if small else of, "text_hash_of", "left").select(*names, "redrawn")
+        of = found.join(again, ["kind", "entity"]).distinct().groupBy("text_hash").agg(F.collect_list(F.struct("kind", "entity", "attempt", "place")).alias(redo))
+        of = stored(of.withColumnRenamed("text_hash", of_text))
+        size = of.agg(F.count("*").alias("rows"), F.sum(F.size(redo)).alias("entities")).first()
+        small = size["rows"] <= BROADCAST_ROWS and (size["entities"] or 0) <= BROADCAST_ROWS
+        held = docs.withColumn(of_text, F.xxhash64(whole_text())).join(F.broadcast(of) if small else of, of_text, "left").select(*names, redo)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         memo: dict = {}
         texts, counts = [], []
-        for text, redo in zip(batch.column("text"), batch.column("redrawn").to_pylist(), strict=True):
-            new, n = replaced(text.as_py() or "", key, {(r["kind"], r["entity"]): r["place"] or r["attempt"] for r in redo or ()}, memo)
+        for text, drawn_again in zip(batch.column("text"), batch.column(redo).to_pylist(), strict=True):
+            new, n = replaced(text.as_py() or "", key, {(r["kind"], r["entity"]): r["place"] or r["attempt"] for r in drawn_again or ()}, memo)
             texts.append(new if text.is_valid else None)
             counts.append(n)
         columns = {name: batch.column(name) for name in names} | {"text": pa.array(texts, pa.string()), "n_entities": pa.array(counts, pa.int64())}
@@ -394,5 +465,11 @@ def with_surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     return map_batches(held, run, T.StructType([*docs.schema, T.StructField("n_entities", T.LongType())]))
 
 
+def key_of(spark: SparkSession) -> bytes:
+    """The key of the setting, or one drawn for this run."""
+    given = spark.conf.get(KEY_SETTING, None)
+    return bytes.fromhex(given) if given else secrets.token_bytes(32)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), key_of(spark))
