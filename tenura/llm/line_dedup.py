@@ -143,10 +143,12 @@ def sequences(numbered: DataFrame) -> DataFrame:
 
 
 def line_words(line: Column) -> Column:
-    """Spaces and tabs + 1, and half of the characters of scripts that are written without them."""
-    spaces = lambda x: F.length(x) - F.length(F.translate(x, " \t\u3000", "")) + 1
-    dense = F.regexp_count(line, F.lit(DENSE))
-    return F.when(F.octet_length(line) == F.length(line), spaces(line)).otherwise(spaces(line) + F.floor(dense / 2).cast("int"))
+    """Spaces and tabs + 1, and in lines with many characters of three bytes half of those of scripts that are written without spaces."""
+    other = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\u3000"))
+    plain = F.when(other, F.translate(line, "\t\u3000", "  ")).otherwise(line)
+    spaces = F.length(line) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1
+    dense = F.floor(F.regexp_count(line, F.lit(DENSE)) / 2).cast("int")
+    return F.when(F.octet_length(line) < 1.5 * F.length(line), spaces).otherwise(spaces + dense)
 
 
 def keys_of(rows: DataFrame, least: int = MIN_WORDS) -> DataFrame:
@@ -174,12 +176,13 @@ def pairs_of(keys: DataFrame, rare: int = RARE) -> DataFrame:
     seen = keys.withColumn("place", order)
     shared = seen.groupBy("key", "window").agg(F.count("*").alias("n"), F.min("place").alias("first")).filter("n > 1")
     shared = stored(shared.filter(F.col("window") | (F.col("n") <= rare)))
-    # keys with a large share of the rows don't meet in one task
+    # the rows of a key with a large share of them are dealt to several tasks
     most = max(1, int((shared.agg(F.sum("n")).first()[0] or 0) * HOT_SHARE))
-    hot = F.broadcast(shared.filter(F.col("n") > most))
-    rest = seen.join(hot.select("key", "window"), ["key", "window"], "left_anti").join(shared.filter(F.col("n") <= most), ["key", "window"])
-    names = ["key", "window", "n", "place", F.col("first.line_row").alias("first"), "line_row"]
-    held = stored(seen.join(hot, ["key", "window"]).select(*names).unionByName(rest.select(*names)))
+    hot = F.broadcast(shared.filter(F.col("n") > most).select("key", "window", F.ceil(F.col("n") / most).cast("int").alias("parts")))
+    dealt = seen.join(hot, ["key", "window"], "left").withColumn("part", F.pmod(F.xxhash64("line_row"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    parts = F.when(F.col("n") > most, F.ceil(F.col("n") / most).cast("int")).otherwise(1)
+    copies = shared.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    held = stored(dealt.join(copies, ["key", "window", "part"]).select("key", "window", "n", "place", F.col("first.line_row").alias("first"), "line_row"))
     to_first = held.select(F.col("first").alias("early"), F.col("line_row").alias("late"))
     few = held.filter(~F.col("window")).groupBy("key").agg(F.array_sort(F.collect_list("place")).alias("places"))  # at most rare places
     chain = few.select(F.explode(F.expr("transform(sequence(1, size(places) - 1), k -> struct(places[k - 1].line_row AS early, places[k].line_row AS late))")).alias("x")).select("x.*")
