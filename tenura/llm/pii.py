@@ -62,9 +62,12 @@ GIVEN = {
 }
 _GIVEN_LIST = {name.lower(): kind for kind, names in GIVEN.items() for name in names}
 HONORIFIC = r"Mr|Mrs|Ms|Miss|Dr|Prof|Herrn?|Frau|Monsieur|Madame|Mme|Mlle|Señora?|Señorita|Sra?|Srta|Don|Doña"
-#: Words behind which two capitalised words are a name, and verbs before which they are.
-INTRODUCTIONS = r"(?i:my name is|(?:full |first and last )?name ?[:=]|contact ?:|attn\.?:?|signed,?|sincerely,|regards,|yours,|mein name ist|ich heiße|mit freundlichen grüßen,?|je m'appelle|cordialement,|me llamo|mi nombre es|atentamente,)"
-SPEECH = "said|says|wrote|writes|told|tells|asked|asks|called|calls|phoned|emailed|replied|replies|met"
+#: Words behind which two capitalised words are a name, and verbs before and behind which they are.
+INTRODUCTIONS = (
+    "my name is", "name:", "name :", "name=", "name =", "contact:", "attn:", "attn.", "signed,", "signed:", "sincerely,", "regards,", "yours,", "mein name ist", "ich heiße",
+    "mit freundlichen grüßen", "je m'appelle", "cordialement,", "me llamo", "mi nombre es", "atentamente,",
+)
+SPEECH = "said says wrote writes told tells asked asks called calls phoned emailed replied replies met".split()
 _CAP = r"[A-ZÀ-ÖØ-ÞΆ-ΏΑ-ΫА-ЯЁ][a-zß-öø-ÿά-ώа-яё'’-]+"
 
 _MAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9][A-Za-z0-9\-]*(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
@@ -82,12 +85,12 @@ _SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 _PHONE = r"(?<![\w.+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?)\d{2,4}(?:[ .\-]?\d{2,4}){1,3}(?!\w)|(?<![\w.+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?!\w)|(?<![\w.\-])\d{3}[ .\-]\d{3}[ .\-]\d{4}(?![\w\-])|(?<![\w.+\-/])0\d(?:[ .]\d{2}){4}(?![\w.\-/])|(?<![\w.+\-/])0\d{2,4}[ /]\d{6,8}(?![\w.\-/])"
 _NAME = rf"\b(?:{HONORIFIC})\b\.?\s+(?P<titled>{_CAP}(?:[ ]{_CAP})?)|\b(?P<full>(?:{'|'.join(n for v in GIVEN.values() for n in v)})[ ]{_CAP})(?!\w)"
 _PAIR = rf"{_CAP}[ ]{_CAP}(?!\w)"
-#: Names by the words around them; the hint is looked for first.
-_CONTEXT = re.compile(
-    rf"(?:{INTRODUCTIONS})\s*(?P<introduced>{_PAIR})|\b(?P<speaker>{_PAIR})(?=\s+(?:{SPEECH})\b)|\b(?:{SPEECH})\s+(?P<addressed>{_PAIR})"
-    rf"|\b(?P<listed>{_PAIR})(?=\s*[,;:(<]\s*(?:{_MAIL}|\+?\(?\d[\d ()./\-]{{7,}}\d))"
-)
-_CONTEXT_HINT = re.compile(rf"(?i:name|contact|attn|signed|sincerely|regards,|yours,|heiße|grüßen|appelle|cordialement|llamo|nombre|atentamente)|\b(?:{SPEECH})\b|[,;:(<]\s*[\w.+(%-]*[@\d]")
+_VERBS = "|".join(SPEECH)
+#: Names by the words around them, looked for where a text has one of those; and a name right before an address or number.
+_CONTEXT = re.compile(rf"(?:(?i:{'|'.join(map(re.escape, INTRODUCTIONS))}),?)\s*(?P<introduced>{_PAIR})|\b(?P<speaker>{_PAIR})(?=\s+(?:{_VERBS})\b)|\b(?:{_VERBS})\s+(?P<addressed>{_PAIR})")
+#: Each of these has a word of this set: a cheap test of a text.
+_CONTEXT_WORDS = frozenset("name name: name= contact: attn: attn. signed, signed: sincerely, regards, yours, heiße grüßen grüßen, m'appelle cordialement, llamo nombre atentamente,".split()).union(SPEECH)
+_BEFORE = re.compile(rf"\b({_PAIR})\s*[,;:(<]\s*$")
 
 _ALL = re.compile("|".join(f"(?P<{n}>{p})" for n, p in (("mail", _MAIL), ("ip4", _V4), ("ip6", _V6), ("mac", _MAC), ("secret", _SECRET), ("key", _KEYS), ("iban", _IBAN), ("ssn", _SSN), ("card", _CARD), ("phone", _PHONE), ("hex", _HEX), ("name", _NAME))))
 #: A text holds no entity without one of these: a digit or @; a secret's name and a sign behind names; a name or honorific that a space or dot follows.
@@ -275,7 +278,12 @@ def may_hold(text: str) -> bool:
         low = text.lower()
         if any(x in low for x in _SECRET_HINTS):
             return True
-    return not _NAME_HINTS.isdisjoint(_CAPITAL_WORD.findall(text)) or bool(_CONTEXT_HINT.search(text))
+    return not _NAME_HINTS.isdisjoint(_CAPITAL_WORD.findall(text)) or has_context(text)
+
+
+def has_context(text: str) -> bool:
+    """Whether a text has a word that may stand by a name."""
+    return not _CONTEXT_WORDS.isdisjoint(text.lower().split())
 
 
 def mentions(text: str) -> list[tuple[int, int, str, str]]:
@@ -310,9 +318,10 @@ def named(text: str, begin: int, end: int) -> list[tuple[int, int, str, str]]:
 
 def with_context(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
     """The mentions and, where no other is, names by the words around them, in all their places."""
-    if not _CONTEXT_HINT.search(text):
-        return found
-    full = {m[m.lastgroup] for m in _CONTEXT.finditer(text)}
+    full = {m[m.lastgroup] for m in _CONTEXT.finditer(text)} if has_context(text) else set()
+    for begin, _, kind, _ in found:
+        if kind in ("mail", "phone") and (m := _BEFORE.search(text[max(0, begin - 80) : begin])):
+            full.add(m[1])
     if not full:
         return found
     begins = [m[0] for m in found]
