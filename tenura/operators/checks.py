@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -105,3 +105,10 @@ def reconciled(overview: DataFrame, labels: DataFrame, transactions: DataFrame,
     long = lambda df, name: df.select("label_window", *(F.col(m).cast("double").alias(m) for m in RECONCILED)).unpivot("label_window", list(RECONCILED), "metric", name)
     both = long(expected, "expected").join(long(overview, "actual"), ["label_window", "metric"])
     return both.withColumn("error", relative_error(F.col("actual"), F.col("expected")))
+
+
+def leaks(spark: SparkSession, folder: str, names: frozenset[str], pattern: str = "(?i)(^|[^0-9a-f])[0-9a-f]{24}([^0-9a-f]|$)") -> DataFrame:
+    """(path, line) of a written bundle's lines that hold a private column's name or a subscriber's token."""
+    word = "|".join(sorted(names))
+    lines = spark.read.option("recursiveFileLookup", "true").text(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
+    return lines.filter(F.col("line").rlike(rf"\b({word})\b") | F.col("line").rlike(pattern))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -30,6 +31,15 @@ def prefix_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], ran
     return rows.select(*df.columns, *(c.alias(n) for n, c in own.items()))
 
 
+def places_within(df: DataFrame, by: list[str], order: list[Column], size: Column) -> DataFrame:
+    """df with above, the sum of size over the rows before it in its group, without one task that sees a whole group."""
+    run = prefix_sums(df, [*(F.col(c).asc() for c in by), *order], {"upto": size}, "rank")
+    before = F.col("upto") - size
+    starts = run.groupBy(*by).agg(F.min(before).alias("start"))
+    joined = run.join(starts, by) if by else run.join(F.broadcast(starts))
+    return joined.select(*df.columns, (before - F.col("start")).alias("above"))
+
+
 def score_curve(scored: DataFrame, group: int = 100) -> DataFrame:
     """Cumulative points at each group-th contact and at the last one, from (p, y, receipts, tie_breaker)."""
     money = F.greatest(F.col("receipts"), F.lit(0))
@@ -97,3 +107,61 @@ def outcomes(curve: DataFrame, request: Scenario) -> DataFrame:
         F.when(contacts > 0, F.col("expected_churners") / F.when(F.col("total_expected") != 0, F.col("total_expected"))).otherwise(0.0).alias("modeled_risk_capture"),
         (contacts / F.lit(float(request.capacity) if request.capacity else None).cast("double")).alias("capacity_utilization"), "eligible_subscribers",
     )
+
+
+#: Points that a cached curve may hold in memory (48 bytes each).
+MOST_POINTS = 2_000_000
+
+
+class CachedCurve:
+    """A written curve in the memory of one process, which answers requests without a job."""
+
+    def __init__(self, points: dict[str, np.ndarray]):
+        order = np.argsort(points["contacts"])
+        self.points = {name: values[order] for name, values in points.items()}
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str, most: int = MOST_POINTS) -> CachedCurve:
+        """The curve below a folder that write_curve filled; refused where it has more than so many points."""
+        rows = spark.read.schema(CURVE_SCHEMA).json(path)
+        if rows.count() > most:
+            raise ValueError(f"a cached curve has {most} points at most")
+        found = rows.toPandas()
+        return cls({name: found[name].to_numpy() for name in POINT})
+
+    def selected(self, request: Scenario) -> dict[str, float]:
+        """The last point before the first one that breaks capacity or score; zeros where the first one does."""
+        p = self.points
+        broken = (p["contacts"] > request.capacity) | (p["minimum_score"] < request.minimum_score)
+        stop = int(np.argmax(broken)) if broken.any() else len(broken)
+        if not stop:
+            return dict.fromkeys(POINT, 0) | {"minimum_score": float(request.minimum_score)}
+        return {name: values[stop - 1].item() for name, values in p.items()}
+
+    def outcomes(self, request: Scenario) -> list[dict]:
+        """What outcomes() gives for the request, as three records."""
+        at, whole = self.selected(request), {name: (values[-1].item() if len(values) else 0) for name, values in self.points.items()}
+        contacts, risk, expected = at["contacts"], at["risk_weighted_payment_proxy"], at["expected_churners"]
+        spend = contacts * request.contact_cost + contacts * request.offer_cost
+        over = lambda a, b: a / b if b else None
+        low, high = max(0.0, request.assumed_lift - request.lift_uncertainty), min(1.0, request.assumed_lift + request.lift_uncertainty)
+        even = over(spend, risk)
+        same = {
+            "contacts": contacts, "minimum_score": at["minimum_score"], "observed_churners": at["observed_churners"], "contact_spend": contacts * request.contact_cost, "offer_spend": contacts * request.offer_cost,
+            "total_spend": spend, "break_even_lift": even, "break_even_feasible": even is not None and even <= 1, "observed_churn_rate": at["observed_churners"] / contacts if contacts else 0.0,
+            "modeled_risk_capture": over(expected, whole["expected_churners"]) if contacts else 0.0, "capacity_utilization": over(float(contacts), float(request.capacity)), "eligible_subscribers": whole["contacts"],
+        }
+        out = []
+        for name, lift in (("low", low), ("expected", float(request.assumed_lift)), ("high", high)):
+            value = risk * lift
+            out.append({"case_name": name, "assumed_lift": lift, "simulated_retained_subscribers": expected * lift, "simulated_retained_gross_receipt_proxy": value, "simulated_net_value": value - spend, "simulated_roi": over(value - spend, spend), **same})
+        return out
+
+
+CURVE_SCHEMA = "contacts long, minimum_score double, expected_churners double, observed_churners long, risk_weighted_payment_proxy double, selected_payment_proxy double"
+
+
+def write_curve(points: DataFrame, path: str) -> None:
+    """The points as JSON, a line each, in files by ranges of contacts."""
+    typed = points.select(*(F.col(n).cast(t).alias(n) for n, t in (x.split() for x in CURVE_SCHEMA.split(", "))))
+    typed.repartitionByRange(F.col("contacts")).sortWithinPartitions("contacts").write.mode("errorifexists").json(path)

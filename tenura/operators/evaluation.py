@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass
 from functools import reduce
+from typing import TYPE_CHECKING
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tenura.functions.columns import token_bucket
+from tenura.operators.curve import places_within
+from tenura.operators.promote import write_report
+
+if TYPE_CHECKING:
+    from pyspark.ml import PipelineModel
 
 _LOGGED = {
     "subscription_events_lifetime": "subscription_event_count_lifetime", "subscription_events_30d": "subscription_event_count_30d", "subscription_events_90d": "subscription_event_count_90d",
@@ -85,27 +93,26 @@ def calibration_error(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 def top_decile(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Lift of the best-scored tenth, ties in order of tie_breaker, by group.
 
-    The tenth is found from counts by score and token prefix, never by ranking all
-    rows in one task: only the rows of the score at the border are ordered.
+    Rows are placed by range-partitioned running sums, never in one task: first the
+    counts by score, which tell the score at the border, then the rows of that score.
     """
+    keys, count = list(by), F.col("n")
     counts = scored.groupBy(*by, "p").agg(F.count("*").alias("n"), F.sum("y").alias("ys"))
-    run = W.partitionBy(*by).orderBy(F.col("p").desc()) if by else W.partitionBy(F.lit(0)).orderBy(F.col("p").desc())
-    whole = run.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    ranked = counts.select(*by, "p", "n", "ys", (F.sum("n").over(run) - F.col("n")).alias("above"), F.sum("n").over(whole).alias("rows"), F.sum("ys").over(whole).alias("churned"))
-    ranked = ranked.withColumn("selected", F.greatest(F.lit(1), F.ceil(F.col("rows") * 0.1).cast("long"))).withColumn("room", F.col("selected") - F.col("above")).filter("room > 0")
+    totals = counts.groupBy(*by).agg(F.sum("n").alias("rows"), F.sum("ys").alias("churned"))
+    totals = totals.withColumn("selected", F.greatest(F.lit(1), F.ceil(F.col("rows") * 0.1).cast("long")))
+    with_totals = lambda df: df.join(totals, keys) if keys else df.join(F.broadcast(totals))
+    ranked = with_totals(places_within(counts, keys, [F.col("p").desc()], count)).withColumn("room", F.col("selected") - F.col("above")).filter("room > 0")
     full = ranked.filter("n <= room").select(*by, "ys", "n")
     border = ranked.filter("n > room").select(*(F.col(c).alias(f"edge_{c}") for c in by), F.col("p").alias("edge"), "room")
     same = F.col("p") == F.col("edge")
     for c in by:
         same = same & (F.col(c) == F.col(f"edge_{c}"))
-    at = scored.select(*by, "p", "y", "tie_breaker").join(F.broadcast(border), same)  # a row of border per group
-    place = F.row_number().over(W.partitionBy(*by, "room").orderBy("tie_breaker"))
-    partial = at.withColumn("place", place).filter("place <= room").groupBy(*by).agg(F.coalesce(F.sum("y"), F.lit(0)).alias("ys"), F.count("*").alias("n"))
+    # a row of border per group
+    at = scored.select(*by, "p", "y", "tie_breaker").join(border if keys else F.broadcast(border), same).select(*by, "y", "tie_breaker", "room")
+    partial = places_within(at, keys, [F.col("tie_breaker").asc()], F.lit(1)).filter("above < room").groupBy(*by).agg(F.coalesce(F.sum("y"), F.lit(0)).alias("ys"), F.count("*").alias("n"))
     taken = full.unionByName(partial).groupBy(*by).agg(F.sum("ys").alias("hits"), F.sum("n").alias("top_decile_rows"))
-    base = counts.groupBy(*by).agg(F.sum("n").alias("rows"), F.sum("ys").alias("churned"))
-    both = taken.join(base, list(by)) if by else taken.join(F.broadcast(base))
     rate = F.col("hits") / F.col("top_decile_rows")
-    return both.select(*by, "top_decile_rows", rate.alias("top_decile_churn_rate"), (rate / (F.col("churned") / F.col("rows"))).alias("top_decile_lift"))
+    return with_totals(taken).select(*by, "top_decile_rows", rate.alias("top_decile_churn_rate"), (rate / (F.col("churned") / F.col("rows"))).alias("top_decile_lift"))
 
 
 def metric_set(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -124,39 +131,85 @@ def subgroups(scored: DataFrame, diagnostics: tuple[str, ...], minimum: int) ->
     return base.filter(F.col("rows") >= minimum).join(calibration_error(long, by), list(by))
 
 
-def fitted(train: DataFrame, calibrate: DataFrame, test: DataFrame, kind: str = "logistic") -> DataFrame:
-    """test scored as p by a model fitted on train and calibrated on calibrate (sigmoid of the raw margin)."""
+@dataclass(frozen=True)
+class ChurnModel:
+    """A fitted pipeline and the sigmoid of its margin that calibrates it."""
+
+    kind: str
+    pipeline: PipelineModel
+    slope: float
+    intercept: float
+
+    def score(self, rows: DataFrame) -> DataFrame:
+        """rows with their calibrated probability p."""
+        return margins(self.pipeline, rows).withColumn("p", 1 / (1 + F.exp(-(F.lit(self.slope) * F.col("margin") + F.lit(self.intercept))))).select(*rows.columns, "p")
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """The pipeline and its calibration below a new folder."""
+        self.pipeline.write().save(f"{path}/pipeline")
+        write_report(spark, {"kind": self.kind, "slope": self.slope, "intercept": self.intercept}, f"{path}/calibration.json")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> ChurnModel:
+        from pyspark.ml import PipelineModel
+
+        own = json.loads("".join(r[0] for r in spark.read.text(f"{path}/calibration.json").collect()))  # one small report
+        return cls(own["kind"], PipelineModel.load(f"{path}/pipeline"), own["slope"], own["intercept"])
+
+
+def typed(rows: DataFrame) -> DataFrame:
+    """rows with numeric and coded columns as the pipeline's stages take them."""
+    return rows.select(
+        "*", *(F.col(c).cast("double").alias(f"n_{c}") for c in NUMERIC), *(F.col(c).cast("string").alias(f"c_{c}") for c in CATEGORICAL),
+        F.col("is_churn").cast("double").alias("label"))
+
+
+def margins(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
+
+    return model.transform(typed(rows)).withColumn("margin", vector_to_array("rawPrediction")[1])
+
+
+def fit(train: DataFrame, calibrate: DataFrame, kind: str = "logistic", iterations: int = 80, least_rows: int = 100) -> ChurnModel:
+    """A model fitted on train and calibrated on calibrate: L2 logistic regression, or boosted trees of up to 16 leaves."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
 
-    cast = lambda df: df.select("*", *(F.col(c).cast("double").alias(f"n_{c}") for c in NUMERIC), *(F.col(c).cast("string").alias(f"c_{c}") for c in CATEGORICAL), F.col("is_churn").cast("double").alias("label"))
     numeric, coded = [f"n_{c}" for c in NUMERIC], [f"c_{c}" for c in CATEGORICAL]
-    stages = [Imputer(strategy="median", inputCols=numeric, outputCols=[f"{c}_i" for c in numeric]), StringIndexer(inputCols=coded, outputCols=[f"{c}_x" for c in coded], handleInvalid="keep")]
+    filled, indexed, hot = [f"{c}_i" for c in numeric], [f"{c}_x" for c in coded], [f"{c}_h" for c in coded]
+    stages = [Imputer(strategy="median", inputCols=numeric, outputCols=filled), StringIndexer(inputCols=coded, outputCols=indexed, handleInvalid="keep")]
     if kind == "logistic":
-        stages += [VectorAssembler(inputCols=[f"{c}_i" for c in numeric], outputCol="raw"), StandardScaler(withMean=True, inputCol="raw", outputCol="scaled"), OneHotEncoder(inputCols=[f"{c}_x" for c in coded], outputCols=[f"{c}_h" for c in coded], dropLast=True)]
-        stages += [VectorAssembler(inputCols=["scaled", *(f"{c}_h" for c in coded)], outputCol="features"), LogisticRegression(maxIter=250, regParam=1.0 / max(1, train.count()), elasticNetParam=0.0, standardization=False)]
+        stages += [
+            VectorAssembler(inputCols=filled, outputCol="raw"), StandardScaler(withMean=True, inputCol="raw", outputCol="scaled"), OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=True),
+            VectorAssembler(inputCols=["scaled", *hot], outputCol="features"),
+            LogisticRegression(maxIter=250, regParam=1.0 / max(1, train.count()), elasticNetParam=0.0, standardization=False),
+        ]
     else:
-        stages += [VectorAssembler(inputCols=[*(f"{c}_i" for c in numeric), *(f"{c}_x" for c in coded)], outputCol="features"), GBTClassifier(maxIter=20, stepSize=0.08, maxDepth=4, minInstancesPerNode=20, seed=7)]
-    model = Pipeline(stages=stages).fit(cast(train))
-    margin = lambda df: model.transform(cast(df)).withColumn("margin", vector_to_array("rawPrediction")[1])
-    held = margin(calibrate).select("margin", "label")
+        stages += [
+            VectorAssembler(inputCols=[*filled, *indexed], outputCol="features"),
+            GBTClassifier(maxIter=iterations, stepSize=0.08, maxDepth=4, maxBins=64, minInstancesPerNode=least_rows, checkpointInterval=-1, seed=7),
+        ]
+    model = Pipeline(stages=stages).fit(typed(train))
+    return ChurnModel(kind, model, *sigmoid(margins(model, calibrate).select("margin", "label")))
+
+
+def sigmoid(held: DataFrame) -> tuple[float, float]:
+    """Slope and intercept that calibrate (margin, label), with smoothed targets as two weighted rows."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
     n = held.agg(F.sum("label").alias("yes"), F.sum(1 - F.col("label")).alias("no")).first()
-    # smoothed targets as two weighted rows
     high, low = (n["yes"] + 1) / (n["yes"] + 2), 1 / (n["no"] + 2)
     target = F.when(F.col("label") == 1, high).otherwise(low)
     both = F.explode(F.array(F.struct(F.lit(1.0).alias("t"), target.alias("w")), F.struct(F.lit(0.0).alias("t"), (1 - target).alias("w"))))
     rows = held.select("margin", both.alias("x")).select("margin", F.col("x.t").alias("label"), F.col("x.w").alias("weight"))
-    platt = LogisticRegression(weightCol="weight", maxIter=100)
-    one = VectorAssembler(inputCols=["margin"], outputCol="features")
-    sigmoid = platt.fit(one.transform(rows))
-    a, b = float(sigmoid.coefficients[0]), float(sigmoid.intercept)
-    return margin(test).withColumn("p", 1 / (1 + F.exp(-(F.lit(a) * F.col("margin") + F.lit(b))))).select(*test.columns, "p")
+    found = LogisticRegression(weightCol="weight", maxIter=100).fit(VectorAssembler(inputCols=["margin"], outputCol="features").transform(rows))
+    return float(found.coefficients[0]), float(found.intercept)
 
 
 def bootstrap(scored: DataFrame, replicates: int = 100, seed: int = 11) -> DataFrame:
-    """95% intervals of log-loss improvement, loss, calibration error and lift of p over base, by Poisson replicates.
+    """95% intervals of log-loss improvement, loss, calibration error and top-decile lift of p over base, by Poisson replicates.
 
     Each row's weights come from a hash of its tie-breaker and the replicate, so a
     retried task draws the same; one aggregation serves all replicates.
@@ -174,7 +227,15 @@ def bootstrap(scored: DataFrame, replicates: int = 100, seed: int = 11) -> DataF
     each = bins.groupBy("replicate").agg(
         (F.sum("base") / F.sum("n")).alias("baseline_log_loss"), (F.sum("own") / F.sum("n")).alias("challenger_log_loss"),
         ((F.sum("base") - F.sum("own")) / F.sum("base")).alias("relative_log_loss_improvement"), (F.sum(F.abs(F.col("ys") - F.col("ps"))) / F.sum("n")).alias("challenger_ece"))
-    names = ["relative_log_loss_improvement", "baseline_log_loss", "challenger_log_loss", "challenger_ece"]
+    # the best tenth of each replicate, from counts by rounded score: 10,001 at most
+    counts = rows.groupBy("replicate", F.round("p", 4).alias("score")).agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("ys"))
+    order = W.partitionBy("replicate").orderBy(F.col("score").desc())
+    whole = W.partitionBy("replicate")
+    counts = counts.select("replicate", "n", "ys", (F.sum("n").over(order) - F.col("n")).alias("above"), (F.sum("n").over(whole) * 0.1).alias("room"))
+    share = F.least(F.greatest(F.col("room") - F.col("above"), F.lit(0.0)), F.col("n")) / F.col("n")
+    base_rate, own_rate = F.sum("ys") / F.sum("n"), F.sum(F.col("ys") * share) / F.max("room")
+    each = each.join(counts.groupBy("replicate").agg((own_rate / F.nullif(base_rate, F.lit(0.0))).alias("challenger_top_decile_lift")), "replicate")
+    names = ["relative_log_loss_improvement", "baseline_log_loss", "challenger_log_loss", "challenger_ece", "challenger_top_decile_lift"]
     long = each.unpivot("replicate", names, "measure", "value")
     return long.groupBy("measure").agg(F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.975).alias("high"))
 

@@ -8,16 +8,18 @@ import json
 import shutil
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def counted_write(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> int:
-    """Zstandard Parquet in a new folder; the rows written, observed in the same job."""
-    seen = Observation()
-    writer = df.observe(seen, F.count("*").alias("rows")).write.option("compression", "zstd").mode("errorifexists")
+    """Zstandard Parquet in a new folder; the rows that its footers tell.
+
+    An Observation would count in the same job, but leaves the session with a manager
+    that fitted models can't be serialized with.
+    """
+    writer = df.write.option("compression", "zstd").mode("errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return seen.get["rows"]
+    return df.sparkSession.read.schema(df.schema).parquet(path).count()
 
 
 def _fs(spark: SparkSession, path: str):
@@ -93,8 +95,8 @@ def write_report(spark: SparkSession, report: dict, path: str) -> None:
         out.close()
 
 
-def build(spark: SparkSession, output: str, tables: dict[str, DataFrame], fingerprint_: str, partitions: dict[str, tuple[str, ...]] | None = None, gate: Callable[[dict[str, int]], None] | None = None) -> dict:
-    """Write all tables below a stage, check their counts, and promote; a known fingerprint is a no-op."""
+def build(spark: SparkSession, output: str, tables: dict[str, DataFrame], fingerprint_: str, partitions: dict[str, tuple[str, ...]] | None = None, gate: Callable[[dict[str, int]], None] | None = None, further: Callable[[str], None] | None = None) -> dict:
+    """Write all tables below a stage, and what further writes there, check their counts, and promote; a known fingerprint is a no-op."""
     if replayed(spark, output, fingerprint_):
         return {"status": "unchanged", "fingerprint": fingerprint_}
     stage = f"{output}.stage-{fingerprint_[:12]}"
@@ -103,6 +105,8 @@ def build(spark: SparkSession, output: str, tables: dict[str, DataFrame], finger
         rows = {name: counted_write(df, f"{stage}/{name}", (partitions or {}).get(name, ())) for name, df in tables.items()}
         if gate:
             gate(rows)
+        if further:
+            further(stage)
         report = {"status": "built", "fingerprint": fingerprint_, "tables": rows}
         write_report(spark, report, f"{stage}/controls.json")
         promote(spark, stage, output)

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import os
-import re
 import secrets
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenura.functions.columns import age_band_start, month_of, public_key
@@ -20,19 +18,23 @@ COLUMNS = {
 }
 
 
-def read_salt(path: str) -> str:
-    """The publication salt of a file that only its owner reads, made where it is missing."""
-    if not os.path.exists(path):
-        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-        with os.fdopen(os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY, 0o600), "w") as f:
-            f.write(secrets.token_hex(32))
-    with open(path) as f:
-        salt = f.read().strip()
-    if not re.fullmatch("[0-9a-f]{64}", salt):
-        raise ValueError("a salt is 64 lower-case hexadecimal digits")
+#: The setting that holds the publication salt, so that it comes from the deployment's secrets and from no file of this package.
+SALT_SETTING = "spark.tenura.release.salt"
+
+
+def publication_salt(spark: SparkSession, default: str | None = None) -> str:
+    """The salt of the session's settings, or the default where none is set; refused unless it has 256 bits in hexadecimal."""
+    salt = spark.conf.get(SALT_SETTING, default) or ""
+    if len(salt) != 64 or set(salt) - set("0123456789abcdef"):
+        raise ValueError(f"{SALT_SETTING} has 64 lower-case hexadecimal digits, as new_salt() makes them")
     return salt
 
 
+def new_salt() -> str:
+    """A salt to keep among the deployment's secrets: whoever loses it can't publish under the same keys again."""
+    return secrets.token_hex(32)
+
+
 def released(table: str, fact: DataFrame, salt: str) -> DataFrame:
     """One of the release's tables from its fact."""
     keyed = fact.withColumn("subscriber_key", public_key(F.col("subscriber_token"), salt))
@@ -70,3 +72,25 @@ def write_release(tables: dict[str, DataFrame], path: str) -> None:
         else:
             writer = df.write
         writer.option("compression", "zstd").mode("errorifexists").parquet(f"{path}/{name}")
+
+
+def wrong_pseudonyms(table: str, released_rows: DataFrame, fact: DataFrame, salt: str) -> DataFrame:
+    """Keys that only one side has, when those of the fact are computed again: (subscriber_key, released_rows, fact_rows)."""
+    count = lambda df, name: df.groupBy("subscriber_key").agg(F.count("*").alias(name))
+    again = count(fact.select(public_key(F.col("subscriber_token"), salt).alias("subscriber_key")), "fact_rows")
+    both = count(released_rows.select("subscriber_key"), "released_rows").join(again, "subscriber_key", "full")
+    return both.filter(~F.col("released_rows").eqNullSafe(F.col("fact_rows"))).select("subscriber_key", "released_rows", "fact_rows")
+
+
+def verified_files(spark: SparkSession, path: str) -> DataFrame:
+    """(table_name, files, bytes, rows) of a written release; raises where a table's columns aren't the format's."""
+    out = None
+    for name, columns in COLUMNS.items():
+        rows = spark.read.parquet(f"{path}/{name}")
+        found = [c for c in rows.columns if c not in ("part", "window") and not (c == "activity_month" and name == "listening_day")]
+        if tuple(found) != columns:
+            raise ValueError(f"{name} has the columns {found}")
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{path}/{name}").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+        row = files.join(F.broadcast(rows.agg(F.count("*").alias("rows")))).select(F.lit(name).alias("table_name"), "files", "bytes", "rows")
+        out = row if out is None else out.unionByName(row)
+    return out

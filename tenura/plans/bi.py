@@ -89,3 +89,26 @@ def controls(tables: dict[str, DataFrame], windows: list[str]) -> DataFrame:
     measures = overview_measures(tables, ["label_window"]).filter(F.col("label_window").isin(windows))
     each = [measures.select(F.concat_ws(":", "label_window", F.lit(n)).alias("control_id"), F.lit(f"overview_{n}").alias("measure_id"), F.col(c).alias("actual_value")) for n, c in short.items()]
     return reduce(DataFrame.unionByName, each)
+
+
+#: The columns that tell the rows of each table apart.
+GRAIN = {
+    "dim_label_window": ("label_window",), "dim_registration_cohort": ("registration_cohort_key",), "dim_engagement_segment": ("engagement_segment",),
+    "dim_subscription_segment": ("subscription_segment_key",), "dim_metric_definition": ("metric_id",), "fct_retention_overview": ("label_window",),
+    "fct_renewal_cohort": ("label_window", "registration_cohort_key"), "fct_engagement_segment": ("label_window", "engagement_segment"),
+    "fct_subscription_segment": ("label_window", "subscription_segment_key"),
+}
+
+
+def contract(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, rows, repeated_grain, null_grain, unreconciled): what a model over the star relies on, a row each."""
+    out = None
+    for name, keys in GRAIN.items():
+        df, null = tables[name], reduce(lambda a, b: a | b, (F.col(k).isNull() for k in keys))
+        parts = F.col("observed_renewed_subscribers") + F.col("observed_churned_subscribers")
+        wrong = F.count_if(F.col("eligible_subscribers") != parts) if name.startswith("fct_") else F.lit(0).cast("long")
+        whole = df.agg(F.count("*").alias("rows"), F.count_if(null).alias("null_grain"), wrong.alias("unreconciled"))
+        repeated = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("repeated_grain"))
+        row = whole.join(F.broadcast(repeated)).select(F.lit(name).alias("table_name"), "rows", "repeated_grain", "null_grain", "unreconciled")
+        out = row if out is None else out.unionByName(row)
+    return out

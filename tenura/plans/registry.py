@@ -2,159 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
-from functools import cached_property
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tenura.contracts import DEFAULT, Settings, windows_frame
-from tenura.operators import checks, curve, evaluation, facts, features, movement, release
-from tenura.operators.scratch import written
-from tenura.plans import bi, marts, oracle, serve
-from tenura.sources import driver_tables
+from tenura.contracts import DEFAULT
+from tenura.operators import checks, curve, evaluation, facts, features, movement, promote, release
+from tenura.operators.scratch import scratch, written
+from tenura.plans import bi, oracle, serve, warehouse
+from tenura.plans.warehouse import Warehouse
 from tenura.streaming import event_windows
 
-
-@dataclass
-class Warehouse:
-    """All relations of one input folder, lazily."""
-
-    spark: SparkSession
-    sf_dir: str
-    settings: Settings = field(default=DEFAULT)
-
-    @cached_property
-    def windows(self) -> DataFrame:
-        return windows_frame(self.spark, self.settings)
-
-    @cached_property
-    def members(self) -> DataFrame:
-        return driver_tables.members(self.spark, self.sf_dir)
-
-    @cached_property
-    def raw_transactions(self) -> DataFrame:
-        return driver_tables.raw_transactions(self.spark, self.sf_dir)
-
-    @cached_property
-    def transactions(self) -> DataFrame:
-        return facts.dedup_transactions(self.raw_transactions)
-
-    @cached_property
-    def listening(self) -> DataFrame:
-        return driver_tables.raw_listening(self.spark, self.sf_dir, self.settings)
-
-    @cached_property
-    def gaps(self) -> DataFrame:
-        return features.renewal_gaps(self.transactions, self.windows, self.settings.renewal_gap_days)
-
-    @cached_property
-    def labels(self) -> DataFrame:
-        return self.gaps.select("subscriber_token", "label_window", "is_churn")
-
-    @cached_property
-    def cutoffs(self) -> DataFrame:
-        return features.subscriber_cutoffs(self.labels, self.windows)
-
-    @cached_property
-    def subscription(self) -> DataFrame:
-        return features.subscription_features(self.transactions, self.windows)
-
-    @cached_property
-    def activity(self) -> DataFrame:
-        cutoffs = sorted(w.history_cutoff for w in self.settings.windows)
-        return features.listening_features(self.listening, self.windows, (cutoffs[0], cutoffs[-1]))
-
-    @cached_property
-    def snapshot(self) -> DataFrame:
-        return features.snapshot(self.cutoffs, self.members, self.subscription, self.activity)
-
-    @cached_property
-    def stored_snapshot(self) -> DataFrame:
-        """The snapshot written once, for jobs that read it several times."""
-        return written(self.snapshot)
-
-    @cached_property
-    def overview(self) -> DataFrame:
-        return marts.retention_overview(self.snapshot)
-
-    @cached_property
-    def cohorts(self) -> DataFrame:
-        return marts.renewal_cohort(self.snapshot)
-
-    @cached_property
-    def engagement(self) -> DataFrame:
-        return marts.engagement_mart(self.snapshot)
-
-    @cached_property
-    def segments(self) -> DataFrame:
-        return marts.subscription_segment(self.snapshot)
-
-    @cached_property
-    def definitions(self) -> DataFrame:
-        return marts.metric_definition(self.spark)
-
-    def public(self, mart: DataFrame) -> DataFrame:
-        return marts.public(mart, self.settings.minimum_group)
-
-    @cached_property
-    def review(self) -> DataFrame:
-        return marts.review_population(self.snapshot, self.settings.review_subscribers)
-
-    @cached_property
-    def review_transactions(self) -> DataFrame:
-        return marts.review_transactions(self.review, features.sequenced(self.transactions), self.settings.review_events)
-
-    @cached_property
-    def review_listening(self) -> DataFrame:
-        return marts.review_listening(self.review, self.listening)
-
-    @property
-    def first(self) -> str:
-        return self.settings.windows[0].label_window
-
-    @property
-    def last(self) -> str:
-        return self.settings.windows[-1].label_window
-
-    @cached_property
-    def store(self) -> serve.PublicStore:
-        return serve.PublicStore(self.overview, self.public(self.cohorts), self.public(self.engagement), self.public(self.segments), self.definitions, {w.label_window: w.history_cutoff for w in self.settings.windows})
-
-    @cached_property
-    def private(self) -> serve.PrivateStore:
-        return serve.PrivateStore(self.overview, self.cohorts, self.engagement, self.segments, self.definitions, {w.label_window: w.history_cutoff for w in self.settings.windows}, self.review, self.review_transactions, self.review_listening)
-
-    @cached_property
-    def star(self) -> dict[str, DataFrame]:
-        return bi.star(self.overview, self.cohorts, self.engagement, self.segments, self.definitions)
-
-    @cached_property
-    def features(self) -> DataFrame:
-        return evaluation.features(self.snapshot, self.last, self.first)
-
-    @cached_property
-    def scored(self) -> DataFrame:
-        """The features with a deterministic stand-in for a model's score."""
-        part = F.conv(F.substring("tie_breaker", 1, 8), 16, 10).cast("long") % 1000
-        return self.features.withColumns({"p": 0.05 + 0.9 * (part / F.lit(1000.0)), "y": F.col("is_churn"), "receipts": F.col("latest_actual_amount_paid")})
-
-    @cached_property
-    def curve(self) -> DataFrame:
-        return curve.score_curve(self.scored.filter("is_repeat_subscriber = 1"), self.settings.group_size)
-
-    def released(self, table: str) -> DataFrame:
-        source = {"member": self.members, "subscription_transaction": self.transactions, "churn_label": self.labels, "listening_day": self.listening}
-        return release.released(table, source[table], self.settings.release_salt)
-
-    @cached_property
-    def token(self) -> str:
-        """The token of the review set's first subscriber, for the journey templates."""
-        row = self.private.subscribers(self.last, limit=1).select(F.lower(F.hex("subscriber_token"))).first()
-        return row[0] if row else "0" * 24
-
-
 _CASTS = {
     "i": lambda c: F.col(c).cast("bigint"), "f": lambda c: F.col(c).cast("double"), "r": lambda c: F.round(F.col(c).cast("double"), 6) + F.lit(0.0), "s": lambda c: F.col(c).cast("string"),
     "d": lambda c: F.date_format(c, "yyyy-MM-dd"), "b": lambda c: F.col(c).cast("boolean"), "t": lambda c: F.lower(F.hex(c)),
@@ -168,12 +30,16 @@ def shown(df: DataFrame, columns: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Query:
+    """A job over the warehouse of an input folder: over the built one where it only serves what a build holds."""
+
     build: Callable[[Warehouse], DataFrame]
     columns: str
     sql: str | None = None
+    stored: bool = False
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return shown(self.build(Warehouse(spark, sf_dir)), self.columns)
+        w = warehouse.opened(spark, sf_dir) if self.stored else Warehouse(spark, sf_dir)
+        return shown(self.build(w), self.columns)
 
 
 KEYS = "subscriber_token:t label_window:s"
@@ -211,18 +77,59 @@ def _unique(df: DataFrame, *keys: str) -> DataFrame:
     return checks.repeated_keys(df, list(keys))
 
 
-def _model_scores(w: Warehouse) -> DataFrame:
-    snapshot = w.stored_snapshot
-    train = written(evaluation.features(snapshot, w.first, w.first).filter("bucket < 4"))
-    held = written(evaluation.features(snapshot, w.first, w.first).filter("bucket BETWEEN 4 AND 6"))
-    test = written(evaluation.features(snapshot, w.last, w.first))
-    return evaluation.fitted(train, held, test).select("tie_breaker", F.col("is_churn").alias("y"), "p")
+#: Buckets of the earlier window that models are fitted and calibrated on; the later window is the test.
+FIT, CALIBRATE = (0, 1), (2,)
+
+
+def _models(w: Warehouse, *kinds: str) -> tuple[list[evaluation.ChurnModel], DataFrame]:
+    """Models of these kinds, and the rows of the test window."""
+    earlier = written(evaluation.features(w.snapshot, w.first, w.first).filter(F.col("bucket").isin(*FIT, *CALIBRATE)))
+    train, held = earlier.filter(F.col("bucket").isin(*FIT)), earlier.filter(F.col("bucket").isin(*CALIBRATE))
+    return [evaluation.fit(train, held, kind) for kind in kinds], written(evaluation.features(w.snapshot, w.last, w.first))
+
+
+def _scores(w: Warehouse, kind: str) -> DataFrame:
+    """Scores by a model that was saved and loaded again."""
+    (model,), test = _models(w, kind)
+    folder = f"{scratch(w.spark)}/models/{uuid.uuid4().hex}"
+    model.save(w.spark, folder)
+    return evaluation.ChurnModel.load(w.spark, folder).score(test).select("tie_breaker", F.col("is_churn").alias("y"), "p")
 
 
 def _bootstrap(w: Warehouse) -> DataFrame:
-    scored = _model_scores(w)
-    mean = scored.agg(F.avg("y").alias("base"))
-    return evaluation.bootstrap(written(scored).join(F.broadcast(mean)))
+    """The challenger against the logistic baseline."""
+    (base, challenger), test = _models(w, "logistic", "boosted")
+    both = challenger.score(base.score(test).withColumnRenamed("p", "base"))
+    return evaluation.bootstrap(written(both.select("tie_breaker", F.col("is_churn").alias("y"), "p", "base")))
+
+
+def _built(w: Warehouse) -> DataFrame:
+    """Rows of each table of the built warehouse."""
+    return checks.counted(*((folder, getattr(w, name)) for name, folder in warehouse.TABLES.items())).withColumnsRenamed({"check_id": "table_name", "violations": "rows"})
+
+
+def _cached_scenario(w: Warehouse) -> DataFrame:
+    """The scenario by the cached curve, without a job of its own."""
+    return w.spark.createDataFrame(w.cached_curve.outcomes(REQUEST.validated(10**9, w.settings.group_size)), CASE_SCHEMA)
+
+
+def _shuffled(w: Warehouse) -> DataFrame:
+    """Members in the order of a hash of their token, the same for each run."""
+    rows = w.members.select("subscriber_token", F.sha2(F.hex("subscriber_token"), 256).alias("order"))
+    return curve.prefix_sums(rows, [F.col("order").asc(), F.col("subscriber_token").asc()], {}, "place").select("subscriber_token", "place")
+
+
+def _timings(w: Warehouse) -> DataFrame:
+    """Median and nearest-rank 95th percentile of the values of each kind of event."""
+    events = w.spark.read.parquet(f"{w.sf_dir}/events.parquet")
+    by_rank = F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)")
+    return events.groupBy("event_type").agg(F.count("value").alias("events"), F.median("value").alias("median_value"), by_rank.alias("p95_value"))
+
+
+def _empty_branch(w: Warehouse) -> DataFrame:
+    """Members, and a branch that a constant condition switches off: it is pruned from the plan."""
+    rows = w.members.select("subscriber_token", "gender", F.lit("member").alias("origin"))
+    return rows.unionByName(w.labels.filter(F.lit(False)).select("subscriber_token", F.lit(None).cast("string").alias("gender"), F.lit("label").alias("origin")))
 
 
 def _subgroup_sql() -> str:
@@ -267,6 +174,20 @@ _DAY_KEYS = "subscriber_token:t activity_date:d"
 _STATS = "count(*) AS listening_rows, count(DISTINCT (subscriber_token, activity_date)) AS distinct_days, 0 AS invalid_rows, sum(CAST(total_secs_was_negative AS INTEGER)) AS negative_rows, sum(total_secs) AS total_secs, min(activity_date) AS first_date, max(activity_date) AS last_date"
 _STATS_COLUMNS = "listening_rows:i distinct_days:i invalid_rows:i negative_rows:i total_secs:f first_date:d last_date:d"
 
+#: Columns of a scenario's cases.
+_CASE = (
+    "case_name:s assumed_lift:r contacts:i minimum_score:r observed_churners:i simulated_retained_subscribers:r simulated_retained_gross_receipt_proxy:r "
+    "contact_spend:r offer_spend:r total_spend:r simulated_net_value:r simulated_roi:r "
+    "break_even_lift:r break_even_feasible:b observed_churn_rate:r modeled_risk_capture:r capacity_utilization:r eligible_subscribers:i"
+)
+_KINDS = {"s": "string", "i": "long", "r": "double", "b": "boolean"}
+CASE_SCHEMA = ", ".join(f"{n} {_KINDS[k]}" for n, k in (x.split(":") for x in _CASE.split()))
+_BUILT_VIEWS = {
+    "dim_member": "member", "fact_subscription_transaction": "tx", "fact_listening_day": "day", "fact_renewal_gap": "gaps", "subscriber_snapshot": "snap", "retention_overview": "overview",
+    "renewal_cohort": "cohort", "engagement_segment": "engagement", "subscription_segment": "segment", "metric_definition": "definition", "review_population": "review",
+    "review_transactions": "reviewtx", "review_listening": "reviewday",
+}
+
 QUERIES: dict[str, Query] = {
     "retention_overview": Query(lambda w: w.overview, OVERVIEW, "SELECT * FROM overview"),
     "member_canonical": Query(lambda w: w.members, "subscriber_token:t city_code:i age_reported:i gender:s registration_method_code:i registration_date:d", "SELECT * FROM member"),
@@ -374,13 +295,40 @@ QUERIES: dict[str, Query] = {
         JOIN (SELECT is_repeat_subscriber, count(*) AS top_decile_rows, avg(y) AS top_decile_churn_rate, avg(y) / max(base) AS top_decile_lift FROM (SELECT is_repeat_subscriber, y, avg(y) OVER (PARTITION BY is_repeat_subscriber) AS base, count(*) OVER (PARTITION BY is_repeat_subscriber) AS everyone, row_number() OVER (PARTITION BY is_repeat_subscriber ORDER BY p DESC, tie_breaker) AS place FROM scored) t WHERE place <= greatest(1, ceil(everyone * 0.1)) GROUP BY 1) USING (is_repeat_subscriber)"""),
     "metric_subgroups": Query(lambda w: evaluation.subgroups(w.scored, evaluation.DIAGNOSTICS, 100), "diagnostic:s group_code:i rows:i churn_rate:r log_loss:r average_probability:r expected_calibration_error:r", _subgroup_sql()),
     "score_curve": Query(lambda w: w.curve, "contacts:i minimum_score:r expected_churners:r observed_churners:i risk_weighted_payment_proxy:f selected_payment_proxy:f", "SELECT contacts, round(minimum_score, 8) AS minimum_score, round(expected_churners, 4) AS expected_churners, observed_churners, round(risk_weighted_payment_proxy, 2) AS risk_weighted_payment_proxy, selected_payment_proxy FROM points"),
-    "scenario_outcomes": Query(lambda w: curve.outcomes(w.curve, REQUEST.validated(10**9, w.settings.group_size)), "case_name:s assumed_lift:r contacts:i minimum_score:r observed_churners:i simulated_retained_subscribers:r simulated_retained_gross_receipt_proxy:r contact_spend:r offer_spend:r total_spend:r simulated_net_value:r simulated_roi:r break_even_lift:r break_even_feasible:b observed_churn_rate:r modeled_risk_capture:r capacity_utilization:r eligible_subscribers:i", _scenario_sql()),
-    "model_scores": Query(_model_scores, "tie_breaker:s y:i p:f"),
-    "bootstrap_intervals": Query(_bootstrap, "measure:s low:f high:f"),
+    "scenario_outcomes": Query(lambda w: curve.outcomes(w.curve, REQUEST.validated(10**9, w.settings.group_size)), _CASE, _scenario_sql(), True),
+    "scenario_cached": Query(_cached_scenario, _CASE, _scenario_sql(), True),
+    "warehouse_tables": Query(
+        _built, "table_name:s rows:i",
+        " UNION ALL ".join(f"SELECT '{folder}' AS table_name, count(*) AS rows FROM {view}" for folder, view in _BUILT_VIEWS.items()), True),
+    "deterministic_shuffle": Query(_shuffled, "subscriber_token:t place:i", "SELECT subscriber_token, row_number() OVER (ORDER BY sha256(hex(subscriber_token)), subscriber_token) AS place FROM member"),
+    "timing_percentiles": Query(
+        _timings, "event_type:s events:i median_value:r p95_value:r",
+        """SELECT event_type, max(everyone) AS events, median(value) AS median_value, min(CASE WHEN place >= 0.95 * everyone THEN value END) AS p95_value FROM (SELECT event_type, value,
+        row_number() OVER (PARTITION BY event_type ORDER BY value) AS place, count(*) OVER (PARTITION BY event_type) AS everyone FROM events WHERE value IS NOT NULL) t GROUP BY 1"""),
+    "constant_false_branch": Query(_empty_branch, "subscriber_token:t gender:s origin:s", "SELECT subscriber_token, gender, 'member' AS origin FROM member UNION ALL SELECT subscriber_token, NULL, 'label' FROM gaps WHERE 1 = 0"),
+    "model_scores": Query(lambda w: _scores(w, "logistic"), "tie_breaker:s y:i p:f", None, True),
+    "challenger_scores": Query(lambda w: _scores(w, "boosted"), "tie_breaker:s y:i p:f", None, True),
+    "bootstrap_intervals": Query(_bootstrap, "measure:s low:f high:f", None, True),
     "streaming_event_windows": Query(lambda w: event_windows.replayed(w.spark, w.sf_dir), "window_start:s event_type:s events:i", event_windows.SQL),
 }
 
 
+def _contract_sql() -> str:
+    each = []
+    for name, keys in bi.GRAIN.items():
+        view, null = f"({QUERIES[f'bi_{name}'].sql})", " OR ".join(f"{k} IS NULL" for k in keys)
+        wrong = "sum(CAST(eligible_subscribers <> observed_renewed_subscribers + observed_churned_subscribers AS INTEGER))" if name.startswith("fct_") else "0"
+        again = f"(SELECT count(*) FROM (SELECT 1 FROM {view} b GROUP BY {', '.join(keys)} HAVING count(*) > 1) c)"
+        each.append(f"SELECT '{name}' AS table_name, count(*) AS rows, {again} AS repeated_grain, sum(CAST({null} AS INTEGER)) AS null_grain, {wrong} AS unreconciled FROM {view} a")
+    return " UNION ALL ".join(each)
+
+
+QUERIES["bi_contract"] = Query(lambda w: bi.contract(w.star), "table_name:s rows:i repeated_grain:i null_grain:i unreconciled:i", _contract_sql())
+#: These serve what a build holds.
+SERVING = ("public_", "api_", "bi_", "movement_", "cohort_breaks", "segment_breaks", "dq_unique_combination", "dq_outcomes", "dq_group_minimum", "dq_cutoff_safety", "dq_orphans", "dq_accepted_values", "dq_null_cells")
+QUERIES = {name: replace(q, stored=True) if name.startswith(SERVING) else q for name, q in QUERIES.items()}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: q.run for name, q in QUERIES.items()}
 

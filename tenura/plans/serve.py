@@ -14,6 +14,8 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tenura.operators.promote import write_report
+
 DIMENSIONS = ("payment_method", "plan_duration", "registration_method", "auto_renew")
 TOKEN = re.compile(r"[0-9a-f]{24}")
 
@@ -55,8 +57,8 @@ class PublicStore:
     def segment_rows(self, label_window: str, dimension: str = "engagement", limit: int = 16) -> DataFrame:
         self.window(label_window)
         bounded("limit", limit, 1, 50)
-        if dimension == "engagement":
-            return self.engagement.filter(F.col("label_window") == label_window).orderBy(F.col("observed_churn_rate").desc_nulls_last(), "engagement_segment").limit(limit)
+        if dimension == "engagement":  # four segments at most, whatever the limit
+            return self.engagement.filter(F.col("label_window") == label_window).orderBy(F.col("observed_churn_rate").desc_nulls_last(), "engagement_segment")
         if dimension not in DIMENSIONS:
             raise ValueError(f"unknown dimension {dimension!r}")
         rows = self.segments.filter((F.col("label_window") == label_window) & (F.col("dimension") == dimension))
@@ -124,3 +126,20 @@ def envelope(rows: DataFrame, mode: str, release_id: str, **filters) -> dict:
 def write_csv(rows: DataFrame, path: str) -> None:
     """One headed CSV file of a bounded template."""
     rows.coalesce(1).write.option("header", True).mode("errorifexists").csv(path)
+
+
+def write_static(store: PublicStore, folder: str, release_id: str) -> list[str]:
+    """Every public template's rows below a new folder, for delivery without an engine: a JSON document each, and the downloads as CSV."""
+    spark = store.overview.sparkSession
+    documents = {"status": (store.status(), {}), "definitions": (store.definition_rows(), {})}
+    for w in store.cutoffs:
+        documents[f"{w}/overview"] = (store.overview_row(w), {"label_window": w})
+        documents[f"{w}/cohorts"] = (store.cohort_rows(w, 240), {"label_window": w})
+        for d in ("engagement", *DIMENSIONS):
+            documents[f"{w}/segments-{d}"] = (store.segment_rows(w, d, 50), {"label_window": w, "dimension": d})
+    for name, (rows, filters) in documents.items():
+        write_report(spark, envelope(rows, "public", release_id, **filters), f"{folder}/{name}.json")
+    exports = [(w, resource) for w in store.cutoffs for resource in ("overview", "cohorts", "segments")]
+    for w, resource in exports:
+        write_csv(store.export(resource, w), f"{folder}/{w}/{resource}.csv")
+    return [*(f"{name}.json" for name in documents), *(f"{w}/{resource}.csv" for w, resource in exports)]

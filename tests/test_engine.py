@@ -175,18 +175,23 @@ def test_prefix_sums_are_global(spark, rows):
 
 
 def test_release(spark, tmp_path, small):
-    salt = release.read_salt(str(tmp_path / "salt"))
-    assert salt == release.read_salt(str(tmp_path / "salt"))
-    (tmp_path / "bad").write_text("xyz")
-    with pytest.raises(ValueError):
-        release.read_salt(str(tmp_path / "bad"))
+    salt = release.new_salt()
+    assert release.publication_salt(spark, salt) == salt != release.new_salt()
+    for bad in ("xyz", "", "F" * 64, None):
+        with pytest.raises(ValueError):
+            release.publication_salt(spark, bad)
     w = Warehouse(spark, small)
     sources = {"member": w.members, "subscription_transaction": w.transactions, "churn_label": w.labels, "listening_day": w.listening}
     tables = {n: release.released(n, df, salt) for n, df in sources.items()}
     assert all(tuple(df.columns) == release.COLUMNS[n] for n, df in tables.items())
     for r in release.verification(tables, sources).collect():
         assert r["released_rows"] == r["fact_rows"] and r["null_keys"] == r["repeated_keys"] == 0
+    for n in ("member", "churn_label"):
+        assert release.wrong_pseudonyms(n, tables[n], sources[n], salt).isEmpty()
+        assert release.wrong_pseudonyms(n, tables[n], sources[n], release.new_salt()).count() > 0
     release.write_release(tables, str(tmp_path / "release"))
+    files = {r["table_name"]: r for r in release.verified_files(spark, str(tmp_path / "release")).collect()}
+    assert all(files[n]["rows"] == df.count() and files[n]["bytes"] > 0 for n, df in sources.items())
     assert sorted(p.name for p in (tmp_path / "release/subscription_transaction").glob("part=*")) == ["part=0", "part=1"]
     assert readers.read_partitioned(spark, str(tmp_path / "release/churn_label")).count() == w.labels.count()
     with pytest.raises(Exception):
@@ -285,3 +290,68 @@ def test_entry_and_names(spark):
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
     assert shown(spark.range(1), "id:i").columns == ["id"]
+
+
+@pytest.mark.parametrize("by", [(), ("g",)])
+def test_top_decile_with_all_scores_different(spark, by):
+    import numpy as np
+
+    n = 1_000_000 if not by else 50_000
+    h = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
+    df = spark.range(n).select((h / float(1 << 40)).alias("p"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)).cast("int").alias("y"), F.lpad(F.col("id").cast("string"), 8, "0").alias("tie_breaker"), (F.col("id") % 3).alias("g"))
+    df = df.withColumn("p", F.when(F.col("g") == 2, 0.5).otherwise(F.col("p")))  # a group whose scores are all the same
+    got = {r["g"] if by else 0: r for r in evaluation.top_decile(df, by).collect()}
+    rows = df.toPandas()
+    for g, part in rows.groupby("g") if by else [(0, rows)]:
+        part = part.sort_values(["p", "tie_breaker"], ascending=[False, True])
+        k = int(np.ceil(len(part) * 0.1))
+        assert got[g]["top_decile_rows"] == k and got[g]["top_decile_churn_rate"] == pytest.approx(part["y"][:k].mean())
+        assert got[g]["top_decile_lift"] == pytest.approx(part["y"][:k].mean() / part["y"].mean())
+
+
+def test_built_warehouse_is_read_back(spark, tmp_path, small):
+    from tenura.plans import warehouse
+
+    folder = str(tmp_path / "warehouse")
+    assert warehouse.build(spark, small, folder)["status"] == "built"
+    assert warehouse.build(spark, small, folder)["status"] == "unchanged"
+    assert warehouse.build(spark, small, folder, contracts.Settings(group_size=50))["status"] == "built"
+    warehouse.build(spark, small, folder)
+    stored, live = warehouse.StoredWarehouse(spark, folder), Warehouse(spark, small)
+    for name in ("overview", "segments", "review_transactions"):
+        a, b = getattr(stored, name), getattr(live, name)
+        assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert sorted(stored.curve.collect()) == sorted(tuple(r) for r in live.curve.collect())
+    assert any("retention_overview" in f for f in stored.store.overview.inputFiles())
+    plan = stored.store.overview._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" in plan and "Join" not in plan and "Exchange" not in plan
+    for request in (curve.Scenario(300, 0.3, 120.0, 900.0, 0.2, 0.1), curve.Scenario(0), curve.Scenario(100, 1.0), curve.Scenario(200, 0.0, 0.0, 0.0, 0.9, 0.5)):
+        want = {r["case_name"]: r.asDict() for r in curve.outcomes(stored.curve, request).collect()}
+        for case in stored.cached_curve.outcomes(request):
+            for name, value in case.items():
+                assert value == want[case["case_name"]][name] or value == pytest.approx(want[case["case_name"]][name], nan_ok=True), name
+    with pytest.raises(ValueError):
+        curve.CachedCurve.read(spark, f"{folder}/score_curve.json", 1)
+    files = serve.write_static(stored.store, str(tmp_path / "static"), "r1")
+    assert len(files) == 2 + 2 * 7 + 6 and all((tmp_path / "static" / f).exists() for f in files)
+    names = frozenset({"subscriber_token", "msno", "event_key"})
+    assert checks.leaks(spark, str(tmp_path / "static"), names).isEmpty()
+    serve.write_csv(stored.private.subscribers(stored.last).select(F.lower(F.hex("subscriber_token")).alias("t")), str(tmp_path / "static/private.csv"))
+    assert checks.leaks(spark, str(tmp_path / "static"), names).count() == 20
+
+
+def test_models_are_saved_and_loaded(spark, tmp_path, small):
+    w = Warehouse(spark, small)
+    rows = evaluation.features(w.stored_snapshot, w.last, w.first)
+    for kind in ("logistic", "boosted"):
+        model = evaluation.fit(rows.filter("bucket < 5"), rows.filter("bucket >= 5"), kind, iterations=3, least_rows=5)
+        model.save(spark, str(tmp_path / kind))
+        again = evaluation.ChurnModel.load(spark, str(tmp_path / kind))
+        a, b = ({r["tie_breaker"]: r["p"] for r in m.score(rows).select("tie_breaker", "p").collect()} for m in (model, again))
+        assert a == pytest.approx(b) and all(0 < p < 1 for p in a.values())
+        assert evaluation.invalid_scores(again.score(rows)).isEmpty()
+
+
+def test_constant_false_branch_is_pruned(spark, small):
+    plan = QUERIES["constant_false_branch"].run(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan
