@@ -70,13 +70,14 @@ FAMILIES = {
 SENSITIVITIES = ("restricted", "sensitive", "internal", "public")
 METADATA = ("sensitivity", "null_policy", "allowed")
 
+#: The six public metrics. Ids, grain and direction are fixed values of the published definitions; the sentences say what the snapshot computes.
 METRICS = (
-    ("active_subscribers", "Subscribers whose rebuilt membership is valid on the history cutoff.", "subscriber at cutoff", "higher", "Rebuilt from ordered transactions; the source does not report it."),
-    ("gross_receipts", "Sum of the amounts paid, in source currency.", "subscription transaction", "context", "Neither recognised revenue nor a recurring-revenue figure."),
-    ("observed_renewal_rate", "Eligible subscribers not seen to churn within the renewal window, over eligible subscribers.", "label window", "higher", "An observed outcome, not the effect of a campaign."),
-    ("observed_churn_rate", "Eligible subscribers seen to churn within the renewal window, over eligible subscribers.", "label window", "lower", "A renewal gap of 30 days or more counts as churn."),
-    ("cancellation_event_rate", "Transactions marked as cancellations over all transactions up to the cutoff.", "subscription transaction", "lower", "A rate of events, not of subscribers."),
-    ("listening_active_days", "Subscriber-days with recorded listening within the lookback.", "subscriber-day", "context", "A missing row is not proof of inactivity."),
+    ("active_subscribers", "How many have a latest payment whose membership end isn't before the cutoff.", "subscriber at cutoff", "higher", "Follows from payments alone: a payment that was never delivered looks like a lapse."),
+    ("gross_receipts", "What the payments up to the cutoff add up to, over all time or the last 30 or 90 days.", "subscription transaction", "context", "Refunds and taxes aren't told apart, and amounts aren't spread over the days they pay for."),
+    ("observed_renewal_rate", "One less the observed churn rate.", "label window", "higher", "Tells what happened in the window, whatever caused it."),
+    ("observed_churn_rate", "The share of a window's subscribers without a payment in the 30 days behind their membership's end.", "label window", "lower", "A payment on the thirtieth day or later counts as none."),
+    ("cancellation_event_rate", "The share of payments up to the cutoff that are cancellations.", "subscription transaction", "lower", "Who cancels twice counts twice, and may renew later."),
+    ("listening_active_days", "How many pairs of subscriber and day have activity in the last 30 or 90 days.", "subscriber-day", "context", "A day without a row may be one that wasn't recorded."),
 )
 
 

@@ -72,6 +72,21 @@ def invalid_scores(scored: DataFrame) -> DataFrame:
     return scored.filter(p.isNull() | F.isnan(p) | (p < 0) | (p > 1))
 
 
+def require_scores(scored: DataFrame, rows: DataFrame) -> DataFrame:
+    """scored, once each of rows has exactly one valid probability."""
+    n = scored.agg(F.count("*").alias("n"), F.count_distinct("tie_breaker").alias("kinds")).first()
+    wanted, bad = rows.count(), invalid_scores(scored).count()
+    if n["n"] != wanted or n["kinds"] != wanted or bad:
+        raise ValueError(f"{n['n']} scores of {n['kinds']} rows for {wanted}, {bad} invalid")
+    return scored
+
+
+def require_allowed(names: tuple[str, ...] = (*NUMERIC, *CATEGORICAL)) -> None:
+    """Raise where a feature is among the denied columns, or there twice."""
+    if DENIED & set(names) or len(set(names)) < len(names):
+        raise ValueError(f"features that a model may not see: {sorted(DENIED & set(names))}")
+
+
 def log_loss(y: Column, p: Column) -> Column:
     """The mean log loss, an aggregate."""
     safe = F.least(F.greatest(p, F.lit(EPSILON)), F.lit(1 - EPSILON))
@@ -176,6 +191,7 @@ def fit(train: DataFrame, calibrate: DataFrame, kind: str = "logistic", iteratio
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 
+    require_allowed()
     numeric, coded = [f"n_{c}" for c in NUMERIC], [f"c_{c}" for c in CATEGORICAL]
     filled, indexed, hot = [f"{c}_i" for c in numeric], [f"{c}_x" for c in coded], [f"{c}_h" for c in coded]
     stages = [Imputer(strategy="median", inputCols=numeric, outputCols=filled), StringIndexer(inputCols=coded, outputCols=indexed, handleInvalid="keep")]

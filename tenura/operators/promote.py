@@ -11,13 +11,17 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of a Parquet row group.
+ROW_GROUP = 100_000
+
+
 def counted_write(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> int:
-    """Zstandard Parquet in a new folder; the rows that its footers tell.
+    """Zstandard Parquet in a new folder, in row groups of ROW_GROUP rows at most; the rows that its footers tell.
 
     An Observation would count in the same job, but leaves the session with a manager
     that fitted models can't be serialized with.
     """
-    writer = df.write.option("compression", "zstd").mode("errorifexists")
+    writer = df.write.option("compression", "zstd").option("parquet.block.row.count.limit", ROW_GROUP).mode("errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).count()
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tenura.contracts import FAMILIES
@@ -44,6 +47,21 @@ def assert_schema(df: DataFrame, expected: T.StructType) -> DataFrame:
     return df
 
 
+def read_versions(spark: SparkSession, *roots: str) -> DataFrame:
+    """The deliveries of one family as one relation; each may lack columns of the others, which are null there."""
+    parts = [spark.read.parquet(root) for root in roots]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def read_controls(spark: SparkSession, path: str) -> DataFrame:
+    """Expected values by control_id of a headed CSV file, a row each; raises where an id is missing or there twice."""
+    rows = spark.read.schema("control_id string, measure_id string, expected_value double").options(header=True, mode="FAILFAST", enforceSchema=False).csv(path)
+    bad = rows.groupBy("control_id").agg(F.count("*").alias("n")).filter("n > 1 OR control_id IS NULL").limit(1).collect()
+    if bad:
+        raise ValueError(f"control {bad[0]['control_id']!r} is missing or repeated")
+    return rows
+
+
 def source_files(spark: SparkSession, pattern: str) -> DataFrame:
     """path and length of each matching file, without reading their content."""
     return spark.read.format("binaryFile").load(pattern).select("path", "length")

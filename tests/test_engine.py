@@ -355,3 +355,26 @@ def test_models_are_saved_and_loaded(spark, tmp_path, small):
 def test_constant_false_branch_is_pruned(spark, small):
     plan = QUERIES["constant_false_branch"].run(spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan
+
+
+def test_controls_versions_and_row_groups(spark, tmp_path, small):
+    import pyarrow.parquet as pq
+
+    (tmp_path / "controls.csv").write_text("control_id,measure_id,expected_value\na,x,1.5\nb,x,2\n")
+    assert {r["control_id"]: r["expected_value"] for r in readers.read_controls(spark, str(tmp_path / "controls.csv")).collect()} == {"a": 1.5, "b": 2.0}
+    (tmp_path / "twice.csv").write_text("control_id,measure_id,expected_value\na,x,1\na,x,2\n")
+    with pytest.raises(ValueError):
+        readers.read_controls(spark, str(tmp_path / "twice.csv"))
+    assert promote.counted_write(spark.range(250_000).coalesce(1), str(tmp_path / "v1")) == 250_000
+    meta = pq.ParquetFile(next((tmp_path / "v1").glob("*.parquet"))).metadata
+    assert max(meta.row_group(k).num_rows for k in range(meta.num_row_groups)) <= promote.ROW_GROUP
+    promote.counted_write(spark.range(3).withColumn("more", F.lit("x")), str(tmp_path / "v2"))
+    both = readers.read_versions(spark, str(tmp_path / "v1"), str(tmp_path / "v2"))
+    assert both.columns == ["id", "more"] and both.count() == 250_003 and both.filter("more = 'x'").count() == 3
+    scored = spark.createDataFrame([("a", 0.5), ("b", 1.0)], "tie_breaker string, p double")
+    assert evaluation.require_scores(scored, scored) is scored
+    for bad in (scored.limit(1), scored.unionByName(scored.limit(1)), scored.withColumn("p", F.lit(1.5))):
+        with pytest.raises(ValueError):
+            evaluation.require_scores(bad, scored)
+    with pytest.raises(ValueError):
+        evaluation.require_allowed(("tenure_days", "gender"))
