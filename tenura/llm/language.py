@@ -74,40 +74,52 @@ def gram_hashes(words: list[str], order: int) -> tuple[list[np.ndarray], np.ndar
 
 
 class Models:
-    """All languages' models: for each order, sorted hashes of n-grams and contexts with a column per language."""
+    """All languages' models: for each order, sorted hashes of n-grams with a column per language of what they add and of what they pass on as a context."""
 
     def __init__(self, langs: list[str], base: float, grams: list, contexts: list):
-        self.langs, self.base, self.grams, self.contexts = langs, base, grams, contexts
+        self.langs, self.base = langs, base
+        self.order, empty = len(grams), np.ones((1, len(langs)))
+        # the weight of the lowest order's base
+        self.first = contexts[0][1] if len(contexts[0][0]) else empty
+        self.tables = [self._joined(grams[n - 1], contexts[n] if n < self.order else (np.zeros(0, np.uint64), empty[:0])) for n in range(1, self.order + 1)]
         self.temperature, self.bound = 1.0, np.full(len(langs), np.inf)
 
+    def _joined(self, grams: tuple[np.ndarray, np.ndarray], contexts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted hashes, and for each its probabilities and its weights as a context; a last row for what isn't there."""
+        k = len(self.langs)
+        keys = np.union1d(grams[0], contexts[0]).astype(np.uint64)
+        values = np.concatenate([np.zeros((len(keys) + 1, k)), np.ones((len(keys) + 1, k))], axis=1)
+        values[np.searchsorted(keys, grams[0]), :k] = grams[1]
+        values[np.searchsorted(keys, contexts[0]), k:] = contexts[1]
+        return keys, values
+
     @staticmethod
-    def find(sorted_hashes: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: float) -> np.ndarray:
-        if not len(sorted_hashes):
-            return np.full((len(wanted), values.shape[1]), missing)
-        at = np.minimum(np.searchsorted(sorted_hashes, wanted), len(sorted_hashes) - 1)
-        hit = sorted_hashes[at] == wanted
-        return np.where(hit[:, None], values[at], missing)
+    def find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return values[np.zeros(len(wanted), np.int64)]
+        at = np.searchsorted(keys, wanted)
+        at[keys[np.minimum(at, len(keys) - 1)] != wanted] = len(keys)
+        return values[at]
 
     def log_probabilities(self, words: list[str], first: int = 1) -> tuple[np.ndarray, np.ndarray]:
         """Each cleaned word's summed log probability by language, and its number of predicted characters: those from first on."""
-        sums, n = np.zeros((len(words), len(self.langs)), dtype=np.float32), np.zeros(len(words), dtype=np.int32)
+        k = len(self.langs)
+        sums, n = np.zeros((len(words), k), dtype=np.float32), np.zeros(len(words), dtype=np.int32)
         if not any(words):
             return sums, n
-        hashes, owner, depth = gram_hashes(words, len(self.grams))
-        p = np.full((len(owner), len(self.langs)), self.base)
-        for order in range(1, len(self.grams) + 1):
-            use = np.flatnonzero(depth >= max(1, order - 1))
-            if order == 1:
-                context = np.full(len(use), _START)
-            else:
-                context = hashes[order - 1][use - 1]
-            alpha = self.find(*self.grams[order - 1], hashes[order][use], 0.0)
-            gamma = self.find(*self.contexts[order - 1], context, 1.0)
-            p[use] = alpha + gamma * p[use]
+        hashes, owner, depth = gram_hashes(words, self.order)
+        p = np.full((len(owner), k), self.base)
+        weight = np.broadcast_to(self.first, p.shape)
+        for order in range(1, self.order + 1):
+            # grams that reach over a word's start have hash 0, aren't found, and leave p and the weight as they are
+            found = self.find(*self.tables[order - 1], hashes[order])
+            p = found[:, :k] + weight * p
+            weight = np.ones_like(p)
+            weight[1:] = found[:-1, k:]
         told = depth >= first
         logs = np.log(p[told])
-        for k in range(len(self.langs)):
-            sums[:, k] = np.bincount(owner[told], weights=logs[:, k], minlength=len(words))
+        for lang in range(k):
+            sums[:, lang] = np.bincount(owner[told], weights=logs[:, lang], minlength=len(words))
         n[:] = np.bincount(owner[told], minlength=len(words))
         return sums, n
 
@@ -185,7 +197,7 @@ class Scorer:
 
     def scored_whole(self, word: str) -> tuple[np.ndarray, int]:
         """The summed log probabilities and characters of a long word, by parts."""
-        order = len(self.models.grams)
+        order = self.models.order
         head, tail = parts(cleaned(word), order)
         total, n = np.zeros(len(self.models.langs)), 0
         for words, first in ([head], 1), (tail, order - 1):
