@@ -196,7 +196,8 @@ QUERIES: dict[str, Query] = {
     "label_canonical": Query(lambda w: w.labels, f"{KEYS} is_churn:i", "SELECT * FROM gaps"),
     "transaction_dedup_lineage": Query(lambda w: w.transactions, f"event_key:t subscriber_token:t {EVENT} source_versions:s", "SELECT * FROM tx"),
     "dedup_control_totals": Query(
-        lambda w: facts.dedup_controls(w.raw_transactions), "source_rows:i accepted_rows:i removed_rows:i within_version_removed:i cross_version_events:i accepted_amount:i first_date:d last_date:d",
+        lambda w: facts.dedup_controls(w.raw_transactions),
+        "source_rows:i accepted_rows:i removed_rows:i within_version_removed:i cross_version_events:i accepted_amount:i first_date:d last_date:d",
         f"""SELECT (SELECT count(*) FROM rawtx) AS source_rows, count(*) AS accepted_rows, (SELECT count(*) FROM rawtx) - count(*) AS removed_rows,
         (SELECT sum(n - 1) FROM (SELECT count(*) AS n FROM rawtx GROUP BY {oracle.EVENT}, source_version)) AS within_version_removed, sum(CAST(source_versions = 'v1+v2' AS INTEGER)) AS cross_version_events,
         sum(actual_amount_paid) AS accepted_amount, min(transaction_date) AS first_date, max(transaction_date) AS last_date FROM tx"""),
@@ -219,7 +220,11 @@ QUERIES: dict[str, Query] = {
     "public_subscription_segment": Query(lambda w: w.store.segments, SEGMENT, "SELECT * FROM psegment"),
     "metric_definition": Query(lambda w: w.definitions, DEFINITION, "SELECT * FROM definition"),
     "review_population": Query(lambda w: w.review, SNAPSHOT, "SELECT * FROM review"),
-    "review_transactions": Query(lambda w: w.review_transactions, f"{KEYS} transaction_date:d membership_expire_date:d payment_method_id:i payment_plan_days:i actual_amount_paid:i is_auto_renew:i is_cancel:i same_day_sequence:i", "SELECT * FROM reviewtx"),
+    "review_transactions": Query(
+        lambda w: w.review_transactions,
+        (f"{KEYS} transaction_date:d membership_expire_date:d payment_method_id:i payment_plan_days:i actual_amount_paid:i is_auto_renew:i is_cancel:i "
+            f"same_day_sequence:i"),
+        "SELECT * FROM reviewtx"),
     "review_listening_monthly": Query(lambda w: w.review_listening, f"{KEYS} activity_month:d active_days:i listening_seconds:f unique_track_count:i", "SELECT * FROM reviewday"),
     "api_status": Query(lambda w: w.store.status(), "label_window:s history_cutoff:d eligible_subscribers:i", "SELECT * FROM overview"),
     "api_overview": Query(lambda w: w.store.overview_row(w.last), OVERVIEW, f"SELECT * FROM overview WHERE label_window = '{W2}'"),
@@ -231,81 +236,223 @@ QUERIES: dict[str, Query] = {
     "api_export_overview": Query(lambda w: w.store.export("overview", w.first), OVERVIEW, f"SELECT * FROM overview WHERE label_window = '{W1}'"),
     "api_export_cohorts": Query(lambda w: w.store.export("cohorts", w.first), COHORT, f"SELECT * FROM pcohort WHERE label_window = '{W1}'"),
     "api_export_segments": Query(lambda w: w.store.export("segments", w.first), SEGMENT, f"SELECT * FROM psegment WHERE label_window = '{W1}'"),
-    "api_subscribers": Query(lambda w: w.private.subscribers(w.last, "Dormant", "churned", 20), f"{KEYS} is_churn:i is_active_at_cutoff:b effective_expiration_date:d engagement_segment:s gross_receipts_90d:i listening_active_days_30d:i latest_payment_plan_days:i latest_is_auto_renew:i",
-        f"SELECT * FROM review WHERE label_window = '{W2}' AND engagement_segment = 'Dormant' AND is_churn = 1 ORDER BY gross_receipts_90d DESC, subscriber_token LIMIT 20"),
+    "api_subscribers": Query(
+        lambda w: w.private.subscribers(w.last, "Dormant", "churned", 20),
+        (f"{KEYS} is_churn:i is_active_at_cutoff:b effective_expiration_date:d engagement_segment:s gross_receipts_90d:i listening_active_days_30d:i "
+            f"latest_payment_plan_days:i latest_is_auto_renew:i"),
+        f"""SELECT *
+            FROM review
+            WHERE label_window = '{W2}' AND engagement_segment = 'Dormant' AND is_churn = 1
+            ORDER BY gross_receipts_90d DESC, subscriber_token LIMIT 20"""),
     "api_journey_profile": Query(lambda w: w.private.profile(w.token, w.last), SNAPSHOT, f"SELECT * FROM review WHERE label_window = '{W2}' AND subscriber_token = {TOKEN_1}"),
-    "api_journey_transactions": Query(lambda w: w.private.journey_transactions(w.token, w.last), f"{KEYS} transaction_date:d membership_expire_date:d payment_plan_days:i actual_amount_paid:i is_auto_renew:i is_cancel:i", f"SELECT * FROM reviewtx WHERE label_window = '{W2}' AND subscriber_token = {TOKEN_1}"),
-    "api_journey_listening": Query(lambda w: w.private.journey_listening(w.token, w.last), f"{KEYS} activity_month:d active_days:i listening_seconds:f unique_track_count:i", f"SELECT * FROM reviewday WHERE label_window = '{W2}' AND subscriber_token = {TOKEN_1}"),
+    "api_journey_transactions": Query(
+        lambda w: w.private.journey_transactions(w.token, w.last),
+        f"{KEYS} transaction_date:d membership_expire_date:d payment_plan_days:i actual_amount_paid:i is_auto_renew:i is_cancel:i",
+        f"SELECT * FROM reviewtx WHERE label_window = '{W2}' AND subscriber_token = {TOKEN_1}"),
+    "api_journey_listening": Query(
+        lambda w: w.private.journey_listening(w.token, w.last),
+        f"{KEYS} activity_month:d active_days:i listening_seconds:f unique_track_count:i",
+        f"SELECT * FROM reviewday WHERE label_window = '{W2}' AND subscriber_token = {TOKEN_1}"),
     "dq_null_cells": Query(lambda w: checks.null_cells(w.snapshot, ["subscriber_token", "is_churn", "registration_date", "gender", "latest_activity_date"]), "column_name:s violations:i",
         " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) - count({c}) AS violations FROM snap" for c in ("subscriber_token", "is_churn", "registration_date", "gender", "latest_activity_date"))),
-    "dq_unique": Query(lambda w: checks.counted(("member_token", _unique(w.members, "subscriber_token")), ("event_key", _unique(w.transactions, "event_key")), ("metric_id", _unique(w.definitions, "metric_id")), ("raw_event", _unique(w.raw_transactions, *facts.EVENT))), VIOLATIONS,
+    "dq_unique": Query(
+        lambda w: checks.counted(("member_token", _unique(w.members, "subscriber_token")), ("event_key", _unique(w.transactions, "event_key")), ("metric_id", _unique(w.definitions, "metric_id")), ("raw_event", _unique(w.raw_transactions, *facts.EVENT))),
+        VIOLATIONS,
         _violations(("member_token", "SELECT 1 FROM member GROUP BY subscriber_token HAVING count(*) > 1"), ("event_key", "SELECT 1 FROM tx GROUP BY event_key HAVING count(*) > 1"), ("metric_id", "SELECT 1 FROM definition GROUP BY metric_id HAVING count(*) > 1"), ("raw_event", f"SELECT 1 FROM rawtx GROUP BY {oracle.EVENT} HAVING count(*) > 1"))),
-    "dq_accepted_values": Query(lambda w: checks.counted(("window", checks.unaccepted(w.snapshot, "label_window", [w.first, w.last])), ("churn", checks.unaccepted(w.snapshot, "is_churn", [0, 1])), ("segment", checks.unaccepted(w.snapshot, "engagement_segment", list(w.settings.segments))), ("light_only", checks.unaccepted(w.snapshot, "engagement_segment", ["Light"]))), VIOLATIONS,
+    "dq_accepted_values": Query(
+        lambda w: checks.counted(("window", checks.unaccepted(w.snapshot, "label_window", [w.first, w.last])), ("churn", checks.unaccepted(w.snapshot, "is_churn", [0, 1])), ("segment", checks.unaccepted(w.snapshot, "engagement_segment", list(w.settings.segments))), ("light_only", checks.unaccepted(w.snapshot, "engagement_segment", ["Light"]))),
+        VIOLATIONS,
         _violations(("window", f"SELECT 1 FROM snap WHERE label_window NOT IN ('{W1}', '{W2}')"), ("churn", "SELECT 1 FROM snap WHERE is_churn NOT IN (0, 1)"), ("segment", "SELECT 1 FROM snap WHERE engagement_segment NOT IN ('Dormant', 'Light', 'Steady', 'High')"), ("light_only", "SELECT 1 FROM snap WHERE engagement_segment <> 'Light'"))),
-    "dq_unique_combination": Query(lambda w: checks.counted(("snapshot", _unique(w.snapshot, "subscriber_token", "label_window")), ("cohort", _unique(w.cohorts, "label_window", "registration_cohort_month")), ("segment", _unique(w.segments, "label_window", "dimension", "segment_key")), ("token_only", _unique(w.snapshot, "subscriber_token"))), VIOLATIONS,
+    "dq_unique_combination": Query(
+        lambda w: checks.counted(("snapshot", _unique(w.snapshot, "subscriber_token", "label_window")), ("cohort", _unique(w.cohorts, "label_window", "registration_cohort_month")), ("segment", _unique(w.segments, "label_window", "dimension", "segment_key")), ("token_only", _unique(w.snapshot, "subscriber_token"))),
+        VIOLATIONS,
         _violations(("snapshot", "SELECT 1 FROM snap GROUP BY subscriber_token, label_window HAVING count(*) > 1"), ("cohort", "SELECT 1 FROM cohort GROUP BY label_window, registration_cohort_month HAVING count(*) > 1"), ("segment", "SELECT 1 FROM segment GROUP BY label_window, dimension, segment_key HAVING count(*) > 1"), ("token_only", "SELECT 1 FROM snap GROUP BY subscriber_token HAVING count(*) > 1"))),
-    "dq_outcomes": Query(lambda w: checks.counted(("outcomes", checks.unreconciled(w.overview))), VIOLATIONS, _violations(("outcomes", "SELECT 1 FROM overview WHERE eligible_subscribers <> observed_renewed_subscribers + observed_churned_subscribers OR abs(observed_renewal_rate + observed_churn_rate - 1) > 1e-9"))),
-    "dq_group_minimum": Query(lambda w: checks.small_groups({"cohort": w.cohorts, "engagement": w.engagement, "segment": w.segments}, {"cohort": ["label_window", "registration_cohort_month"], "engagement": ["label_window", "engagement_segment"], "segment": ["label_window", "dimension", "segment_key"]}, w.settings.minimum_group), "relation:s group_key:s eligible_subscribers:i",
-        f"SELECT 'cohort' AS relation, label_window || ':' || registration_cohort_month AS group_key, eligible_subscribers FROM cohort WHERE eligible_subscribers < {DEFAULT.minimum_group} UNION ALL SELECT 'engagement', label_window || ':' || engagement_segment, eligible_subscribers FROM engagement WHERE eligible_subscribers < {DEFAULT.minimum_group} UNION ALL SELECT 'segment', label_window || ':' || dimension || ':' || segment_key, eligible_subscribers FROM segment WHERE eligible_subscribers < {DEFAULT.minimum_group}"),
-    "dq_cutoff_safety": Query(lambda w: checks.counted(("after_cutoff", checks.unsafe(w.snapshot))), VIOLATIONS, _violations(("after_cutoff", "SELECT 1 FROM snap WHERE latest_transaction_date > history_cutoff OR latest_activity_date > history_cutoff"))),
-    "dq_orphans": Query(lambda w: checks.counted(*((f"{f}.{k}", checks.orphans(w.star[f], w.star[d], [k])) for f, d, k in bi.RELATIONSHIPS), ("listening_without_payment", checks.orphans(w.listening, w.transactions, ["subscriber_token"]))), VIOLATIONS,
+    "dq_outcomes": Query(
+        lambda w: checks.counted(("outcomes", checks.unreconciled(w.overview))),
+        VIOLATIONS,
+        _violations(("outcomes", "SELECT 1 FROM overview WHERE eligible_subscribers <> observed_renewed_subscribers + observed_churned_subscribers OR abs(observed_renewal_rate + observed_churn_rate - 1) > 1e-9"))),
+    "dq_group_minimum": Query(
+        lambda w: checks.small_groups({"cohort": w.cohorts, "engagement": w.engagement, "segment": w.segments}, {"cohort": ["label_window", "registration_cohort_month"], "engagement": ["label_window", "engagement_segment"], "segment": ["label_window", "dimension", "segment_key"]}, w.settings.minimum_group),
+        "relation:s group_key:s eligible_subscribers:i",
+        f"""SELECT 'cohort' AS relation, label_window || ':' || registration_cohort_month AS group_key, eligible_subscribers
+            FROM cohort
+            WHERE eligible_subscribers < {DEFAULT.minimum_group}
+            UNION ALL SELECT 'engagement', label_window || ':' || engagement_segment, eligible_subscribers
+            FROM engagement
+            WHERE eligible_subscribers < {DEFAULT.minimum_group}
+            UNION ALL SELECT 'segment', label_window || ':' || dimension || ':' || segment_key, eligible_subscribers
+            FROM segment
+            WHERE eligible_subscribers < {DEFAULT.minimum_group}"""),
+    "dq_cutoff_safety": Query(
+        lambda w: checks.counted(("after_cutoff", checks.unsafe(w.snapshot))),
+        VIOLATIONS,
+        _violations(("after_cutoff", "SELECT 1 FROM snap WHERE latest_transaction_date > history_cutoff OR latest_activity_date > history_cutoff"))),
+    "dq_orphans": Query(
+        lambda w: checks.counted(*((f"{f}.{k}", checks.orphans(w.star[f], w.star[d], [k])) for f, d, k in bi.RELATIONSHIPS), ("listening_without_payment", checks.orphans(w.listening, w.transactions, ["subscriber_token"]))),
+        VIOLATIONS,
         " UNION ALL ".join([*(f"SELECT '{f}.{k}' AS check_id, 0 AS violations" for f, d, k in bi.RELATIONSHIPS), "SELECT 'listening_without_payment', count(*) FROM (SELECT DISTINCT subscriber_token FROM day WHERE subscriber_token NOT IN (SELECT subscriber_token FROM tx)) o"])),
-    "dq_member_controls": Query(lambda w: facts.member_controls(w.members), "member_rows:i distinct_tokens:i null_tokens:i invalid_rows:i null_genders:i null_registrations:i",
-        "SELECT count(*) AS member_rows, count(DISTINCT subscriber_token) AS distinct_tokens, count(*) - count(subscriber_token) AS null_tokens, sum(CASE WHEN city_code < 0 OR registration_method_code < 0 OR gender NOT IN ('female', 'male') THEN 1 ELSE 0 END) AS invalid_rows, count(*) - count(gender) AS null_genders, count(*) - count(registration_date) AS null_registrations FROM member"),
-    "dq_label_controls": Query(lambda w: facts.label_controls(w.labels), "label_window:s label_rows:i distinct_tokens:i invalid_rows:i churned:i", "SELECT label_window, count(*) AS label_rows, count(DISTINCT subscriber_token) AS distinct_tokens, 0 AS invalid_rows, sum(is_churn) AS churned FROM gaps GROUP BY 1"),
-    "dq_transaction_controls": Query(lambda w: facts.transaction_controls(w.transactions), "accepted_rows:i distinct_events:i invalid_rows:i", "SELECT count(*) AS accepted_rows, count(DISTINCT event_key) AS distinct_events, sum(CASE WHEN payment_method_id <= 0 OR payment_plan_days < 0 OR plan_list_price < 0 OR actual_amount_paid < 0 THEN 1 ELSE 0 END) AS invalid_rows FROM tx"),
-    "listening_controls_by_month": Query(lambda w: facts.listening_controls(w.listening), f"source_version:s activity_month:i {_STATS_COLUMNS}", f"SELECT source_version, activity_month, {_STATS} FROM day GROUP BY 1, 2"),
-    "listening_controls_by_version": Query(lambda w: facts.listening_controls(w.listening, ("source_version",)), f"source_version:s {_STATS_COLUMNS}", f"SELECT source_version, {_STATS} FROM day GROUP BY 1"),
+    "dq_member_controls": Query(
+        lambda w: facts.member_controls(w.members),
+        "member_rows:i distinct_tokens:i null_tokens:i invalid_rows:i null_genders:i null_registrations:i",
+        """SELECT count(*) AS member_rows, count(DISTINCT subscriber_token) AS distinct_tokens, count(*) - count(subscriber_token) AS null_tokens, sum(CASE WHEN city_code < 0 OR registration_method_code < 0 OR gender NOT IN ('female', 'male') THEN 1 ELSE 0 END) AS invalid_rows, count(*) - count(gender) AS null_genders, count(*) - count(registration_date) AS null_registrations
+            FROM member"""),
+    "dq_label_controls": Query(
+        lambda w: facts.label_controls(w.labels),
+        "label_window:s label_rows:i distinct_tokens:i invalid_rows:i churned:i",
+        """SELECT label_window, count(*) AS label_rows, count(DISTINCT subscriber_token) AS distinct_tokens, 0 AS invalid_rows, sum(is_churn) AS churned
+            FROM gaps
+            GROUP BY 1"""),
+    "dq_transaction_controls": Query(
+        lambda w: facts.transaction_controls(w.transactions),
+        "accepted_rows:i distinct_events:i invalid_rows:i",
+        """SELECT count(*) AS accepted_rows, count(DISTINCT event_key) AS distinct_events, sum(CASE WHEN payment_method_id <= 0 OR payment_plan_days < 0 OR plan_list_price < 0 OR actual_amount_paid < 0 THEN 1 ELSE 0 END) AS invalid_rows
+            FROM tx"""),
+    "listening_controls_by_month": Query(
+        lambda w: facts.listening_controls(w.listening),
+        f"source_version:s activity_month:i {_STATS_COLUMNS}",
+        f"SELECT source_version, activity_month, {_STATS} FROM day GROUP BY 1, 2"),
+    "listening_controls_by_version": Query(
+        lambda w: facts.listening_controls(w.listening, ("source_version",)),
+        f"source_version:s {_STATS_COLUMNS}",
+        f"SELECT source_version, {_STATS} FROM day GROUP BY 1"),
     "reconcile_overview": Query(lambda w: checks.reconciled(w.overview, w.labels, w.transactions, w.listening, w.windows), "label_window:s metric:s expected:f actual:f error:f",
         " UNION ALL ".join(f"SELECT label_window, '{m}' AS metric, {m} AS expected, {m} AS actual, 0 AS error FROM overview" for m in checks.RECONCILED)),
     "release_member": Query(lambda w: w.released("member"), "subscriber_key:s city_code:i age_band_start:s gender:s registration_method_code:i registration_month:d", "SELECT * FROM rel_member"),
     "release_transaction": Query(lambda w: w.released("subscription_transaction"), f"event_key:s subscriber_key:s {EVENT} source_versions:s", "SELECT * FROM rel_tx"),
     "release_label": Query(lambda w: w.released("churn_label"), "subscriber_key:s label_window:s is_churn:i", "SELECT * FROM rel_label"),
     "release_listening": Query(lambda w: w.released("listening_day"), f"subscriber_key:s activity_date:d {DAY}", "SELECT * FROM rel_day"),
-    "release_verification": Query(lambda w: release.verification({t: w.released(t) for t in release.COLUMNS}, {"member": w.members, "subscription_transaction": w.transactions, "churn_label": w.labels, "listening_day": w.listening}), "table_name:s released_rows:i fact_rows:i null_keys:i repeated_keys:i",
+    "release_verification": Query(
+        lambda w: release.verification({t: w.released(t) for t in release.COLUMNS}, {"member": w.members, "subscription_transaction": w.transactions, "churn_label": w.labels, "listening_day": w.listening}),
+        "table_name:s released_rows:i fact_rows:i null_keys:i repeated_keys:i",
         " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS released_rows, count(*) AS fact_rows, 0 AS null_keys, 0 AS repeated_keys FROM {r}" for n, r in (("member", "rel_member"), ("subscription_transaction", "rel_tx"), ("churn_label", "rel_label"), ("listening_day", "rel_day")))),
     "bi_dim_label_window": Query(lambda w: w.star["dim_label_window"], "label_window:s history_cutoff:d", "SELECT * FROM overview"),
-    "bi_dim_registration_cohort": Query(lambda w: w.star["dim_registration_cohort"], "registration_cohort_key:s registration_cohort_month:d registration_cohort_label:s registration_cohort_sort:i",
-        "SELECT DISTINCT strftime(registration_cohort_month, '%Y-%m-%d') AS registration_cohort_key, registration_cohort_month, strftime(registration_cohort_month, '%B %Y') AS registration_cohort_label, year(registration_cohort_month) * 100 + month(registration_cohort_month) AS registration_cohort_sort FROM cohort"),
-    "bi_dim_engagement_segment": Query(lambda w: w.star["dim_engagement_segment"], "engagement_segment:s engagement_segment_sort:i", "SELECT DISTINCT engagement_segment, list_position(['Dormant', 'Light', 'Steady', 'High'], engagement_segment) AS engagement_segment_sort FROM engagement"),
-    "bi_dim_subscription_segment": Query(lambda w: w.star["dim_subscription_segment"], "subscription_segment_key:s dimension:s segment_key:s segment_label:s", "SELECT DISTINCT concat(dimension, ':', segment_key) AS subscription_segment_key, dimension, segment_key, segment_label FROM segment"),
+    "bi_dim_registration_cohort": Query(
+        lambda w: w.star["dim_registration_cohort"],
+        "registration_cohort_key:s registration_cohort_month:d registration_cohort_label:s registration_cohort_sort:i",
+        """SELECT DISTINCT strftime(registration_cohort_month, '%Y-%m-%d') AS registration_cohort_key, registration_cohort_month, strftime(registration_cohort_month, '%B %Y') AS registration_cohort_label, year(registration_cohort_month) * 100 + month(registration_cohort_month) AS registration_cohort_sort
+            FROM cohort"""),
+    "bi_dim_engagement_segment": Query(
+        lambda w: w.star["dim_engagement_segment"],
+        "engagement_segment:s engagement_segment_sort:i",
+        "SELECT DISTINCT engagement_segment, list_position(['Dormant', 'Light', 'Steady', 'High'], engagement_segment) AS engagement_segment_sort FROM engagement"),
+    "bi_dim_subscription_segment": Query(
+        lambda w: w.star["dim_subscription_segment"],
+        "subscription_segment_key:s dimension:s segment_key:s segment_label:s",
+        "SELECT DISTINCT concat(dimension, ':', segment_key) AS subscription_segment_key, dimension, segment_key, segment_label FROM segment"),
     "bi_dim_metric_definition": Query(lambda w: w.star["dim_metric_definition"], DEFINITION, "SELECT * FROM definition"),
     "bi_fct_retention_overview": Query(lambda w: w.star["fct_retention_overview"], "label_window:s " + " ".join(f"{c}:i" for c in bi.OVERVIEW), "SELECT * FROM overview"),
-    "bi_fct_renewal_cohort": Query(lambda w: w.star["fct_renewal_cohort"], f"label_window:s registration_cohort_key:s {OUTCOME} gross_receipts_90d:i", "SELECT *, strftime(registration_cohort_month, '%Y-%m-%d') AS registration_cohort_key FROM cohort"),
-    "bi_fct_engagement_segment": Query(lambda w: w.star["fct_engagement_segment"], f"label_window:s engagement_segment:s {OUTCOME} average_listening_active_days_30d:f average_listening_seconds_30d:f full_completion_count_30d:i", "SELECT * FROM engagement"),
-    "bi_fct_subscription_segment": Query(lambda w: w.star["fct_subscription_segment"], f"label_window:s subscription_segment_key:s {OUTCOME} gross_receipts_90d:i", "SELECT *, concat(dimension, ':', segment_key) AS subscription_segment_key FROM segment"),
-    "bi_measures_overview": Query(lambda w: bi.overview_measures(w.star, ["label_window"]), "label_window:s " + " ".join(f"{c}:i" for c in bi.OVERVIEW) + f" {_MEASURE_COLUMNS} cancellation_event_rate:f", f"SELECT label_window, {', '.join(f'sum({c}) AS {c}' for c in bi.OVERVIEW)}, {_SUMS}, any_value(cancellation_event_rate) AS cancellation_event_rate FROM overview GROUP BY 1"),
-    "bi_measures_without_window": Query(lambda w: bi.overview_measures(w.star, ["context"]), f"context:s eligible_subscribers:s {_MEASURE_COLUMNS}", "SELECT 'all' AS context, NULL AS eligible_subscribers, NULL AS renewal_rate, NULL AS churn_rate"),
-    "bi_measures_cohort": Query(lambda w: bi.cohort_measures(w.star, ["label_window"]), f"label_window:s {OUTCOME} gross_receipts_90d:i {_MEASURE_COLUMNS}", f"SELECT label_window, {_GROUP}, sum(gross_receipts_90d) AS gross_receipts_90d, {_SUMS} FROM cohort GROUP BY 1"),
-    "bi_measures_engagement": Query(lambda w: bi.engagement_measures(w.star, ["label_window"]), f"label_window:s {OUTCOME} full_completion_count_30d:i {_MEASURE_COLUMNS} average_listening_active_days_30d:r average_listening_seconds_30d:r", f"SELECT label_window, {_GROUP}, sum(full_completion_count_30d) AS full_completion_count_30d, {_SUMS}, sum(average_listening_active_days_30d * eligible_subscribers) / sum(eligible_subscribers) AS average_listening_active_days_30d, sum(average_listening_seconds_30d * eligible_subscribers) / sum(eligible_subscribers) AS average_listening_seconds_30d FROM engagement GROUP BY 1"),
-    "bi_measures_subscription": Query(lambda w: bi.subscription_measures(w.star, ["label_window", "dimension"]), f"label_window:s dimension:s {OUTCOME} gross_receipts_90d:i {_MEASURE_COLUMNS}", f"SELECT label_window, dimension, {_GROUP}, sum(gross_receipts_90d) AS gross_receipts_90d, {_SUMS} FROM segment GROUP BY 1, 2"),
-    "bi_controls": Query(lambda w: bi.controls(w.star, [w.first, w.last]), "control_id:s measure_id:s actual_value:i", " UNION ALL ".join(f"SELECT label_window || ':{n}' AS control_id, 'overview_{n}' AS measure_id, {c} AS actual_value FROM overview" for n, c in (("eligible", "eligible_subscribers"), ("renewed", "observed_renewed_subscribers"), ("churned", "observed_churned_subscribers"), ("gross_receipts_lifetime", "gross_receipts_lifetime")))),
-    "movement_overview": Query(lambda w: movement.movements(w.overview, w.last, w.first), "metric:s kind:s direction:s comparison_value:f current_value:f delta:f shown_delta:r relative_percent:r tone:s", _movement_sql()),
-    "movement_basis": Query(lambda w: movement.basis(w.overview, w.last, w.first), "label_window:s metric:s numerator:i denominator:i", " UNION ALL ".join(f"SELECT label_window, '{m}' AS metric, {n} AS numerator, {d} AS denominator FROM overview" for m, (n, d) in movement.BASIS.items())),
-    "cohort_breaks": Query(lambda w: movement.cohort_breaks(w.cohorts, w.last, w.first), "registration_cohort_month:d current_eligible:i current_churn_rate:f comparison_eligible:i comparison_churn_rate:f change_pp:r", _breaks_sql("cohort", "registration_cohort_month", "registration_cohort_month DESC", False)),
-    "segment_breaks": Query(lambda w: movement.segment_breaks(w.segments, ["dimension", "segment_key"], w.last, w.first, w.settings.minimum_group), "dimension:s segment_key:s current_eligible:i current_churn_rate:f comparison_eligible:i comparison_churn_rate:f change_pp:r small_group:b", _breaks_sql("segment", "dimension, segment_key", "a.observed_churn_rate DESC, dimension, segment_key", True)),
+    "bi_fct_renewal_cohort": Query(
+        lambda w: w.star["fct_renewal_cohort"],
+        f"label_window:s registration_cohort_key:s {OUTCOME} gross_receipts_90d:i",
+        "SELECT *, strftime(registration_cohort_month, '%Y-%m-%d') AS registration_cohort_key FROM cohort"),
+    "bi_fct_engagement_segment": Query(
+        lambda w: w.star["fct_engagement_segment"],
+        f"label_window:s engagement_segment:s {OUTCOME} average_listening_active_days_30d:f average_listening_seconds_30d:f full_completion_count_30d:i",
+        "SELECT * FROM engagement"),
+    "bi_fct_subscription_segment": Query(
+        lambda w: w.star["fct_subscription_segment"],
+        f"label_window:s subscription_segment_key:s {OUTCOME} gross_receipts_90d:i",
+        "SELECT *, concat(dimension, ':', segment_key) AS subscription_segment_key FROM segment"),
+    "bi_measures_overview": Query(
+        lambda w: bi.overview_measures(w.star, ["label_window"]),
+        "label_window:s " + " ".join(f"{c}:i" for c in bi.OVERVIEW) + f" {_MEASURE_COLUMNS} cancellation_event_rate:f",
+        f"""SELECT label_window, {', '.join(f'sum({c}) AS {c}' for c in bi.OVERVIEW)}, {_SUMS}, any_value(cancellation_event_rate) AS cancellation_event_rate
+            FROM overview
+            GROUP BY 1"""),
+    "bi_measures_without_window": Query(
+        lambda w: bi.overview_measures(w.star, ["context"]),
+        f"context:s eligible_subscribers:s {_MEASURE_COLUMNS}",
+        "SELECT 'all' AS context, NULL AS eligible_subscribers, NULL AS renewal_rate, NULL AS churn_rate"),
+    "bi_measures_cohort": Query(
+        lambda w: bi.cohort_measures(w.star, ["label_window"]),
+        f"label_window:s {OUTCOME} gross_receipts_90d:i {_MEASURE_COLUMNS}",
+        f"SELECT label_window, {_GROUP}, sum(gross_receipts_90d) AS gross_receipts_90d, {_SUMS} FROM cohort GROUP BY 1"),
+    "bi_measures_engagement": Query(
+        lambda w: bi.engagement_measures(w.star, ["label_window"]),
+        f"label_window:s {OUTCOME} full_completion_count_30d:i {_MEASURE_COLUMNS} average_listening_active_days_30d:r average_listening_seconds_30d:r",
+        f"""SELECT label_window, {_GROUP}, sum(full_completion_count_30d) AS full_completion_count_30d, {_SUMS}, sum(average_listening_active_days_30d * eligible_subscribers) / sum(eligible_subscribers) AS average_listening_active_days_30d, sum(average_listening_seconds_30d * eligible_subscribers) / sum(eligible_subscribers) AS average_listening_seconds_30d
+            FROM engagement
+            GROUP BY 1"""),
+    "bi_measures_subscription": Query(
+        lambda w: bi.subscription_measures(w.star, ["label_window", "dimension"]),
+        f"label_window:s dimension:s {OUTCOME} gross_receipts_90d:i {_MEASURE_COLUMNS}",
+        f"SELECT label_window, dimension, {_GROUP}, sum(gross_receipts_90d) AS gross_receipts_90d, {_SUMS} FROM segment GROUP BY 1, 2"),
+    "bi_controls": Query(
+        lambda w: bi.controls(w.star, [w.first, w.last]),
+        "control_id:s measure_id:s actual_value:i",
+        " UNION ALL ".join(f"SELECT label_window || ':{n}' AS control_id, 'overview_{n}' AS measure_id, {c} AS actual_value FROM overview" for n, c in (("eligible", "eligible_subscribers"), ("renewed", "observed_renewed_subscribers"), ("churned", "observed_churned_subscribers"), ("gross_receipts_lifetime", "gross_receipts_lifetime")))),
+    "movement_overview": Query(
+        lambda w: movement.movements(w.overview, w.last, w.first),
+        "metric:s kind:s direction:s comparison_value:f current_value:f delta:f shown_delta:r relative_percent:r tone:s",
+        _movement_sql()),
+    "movement_basis": Query(
+        lambda w: movement.basis(w.overview, w.last, w.first),
+        "label_window:s metric:s numerator:i denominator:i",
+        " UNION ALL ".join(f"SELECT label_window, '{m}' AS metric, {n} AS numerator, {d} AS denominator FROM overview" for m, (n, d) in movement.BASIS.items())),
+    "cohort_breaks": Query(
+        lambda w: movement.cohort_breaks(w.cohorts, w.last, w.first),
+        "registration_cohort_month:d current_eligible:i current_churn_rate:f comparison_eligible:i comparison_churn_rate:f change_pp:r",
+        _breaks_sql("cohort", "registration_cohort_month", "registration_cohort_month DESC", False)),
+    "segment_breaks": Query(
+        lambda w: movement.segment_breaks(w.segments, ["dimension", "segment_key"], w.last, w.first, w.settings.minimum_group),
+        "dimension:s segment_key:s current_eligible:i current_churn_rate:f comparison_eligible:i comparison_churn_rate:f change_pp:r small_group:b",
+        _breaks_sql("segment", "dimension, segment_key", "a.observed_churn_rate DESC, dimension, segment_key", True)),
     "model_features": Query(lambda w: w.features, FEATURES, "SELECT * FROM feat"),
-    "model_split_counts": Query(lambda w: w.features.groupBy("bucket", "is_repeat_subscriber").agg(F.count("*").alias("rows"), F.sum("is_churn").alias("churned")), "bucket:i is_repeat_subscriber:i rows:i churned:i", "SELECT bucket, is_repeat_subscriber, count(*) AS rows, sum(is_churn) AS churned FROM feat GROUP BY 1, 2"),
-    "metric_log_loss": Query(lambda w: w.scored.agg(F.count("*").alias("rows"), evaluation.log_loss(F.col("y"), F.col("p")).alias("log_loss")), "rows:i log_loss:r", "SELECT count(*) AS rows, -avg(CASE y WHEN 1 THEN ln(p) ELSE ln(1 - p) END) AS log_loss FROM scored"),
-    "metric_ece": Query(lambda w: evaluation.calibration_error(w.scored), "expected_calibration_error:r", f"SELECT sum(abs(ys - ps)) / sum(n) AS expected_calibration_error FROM (SELECT {_BIN} AS bin, count(*) AS n, sum(y) AS ys, sum(p) AS ps FROM scored GROUP BY 1) b"),
-    "metric_top_decile_lift": Query(lambda w: evaluation.top_decile(w.scored), "top_decile_rows:i top_decile_churn_rate:r top_decile_lift:r", "SELECT count(*) AS top_decile_rows, avg(y) AS top_decile_churn_rate, avg(y) / (SELECT avg(y) FROM scored) AS top_decile_lift FROM topten WHERE place <= greatest(1, ceil(everyone * 0.1))"),
-    "metric_set_by_repeat": Query(lambda w: evaluation.metric_set(w.scored, ("is_repeat_subscriber",)), "is_repeat_subscriber:i rows:i churn_rate:r log_loss:r average_probability:r expected_calibration_error:r top_decile_rows:i top_decile_churn_rate:r top_decile_lift:r",
+    "model_split_counts": Query(
+        lambda w: w.features.groupBy("bucket", "is_repeat_subscriber").agg(F.count("*").alias("rows"), F.sum("is_churn").alias("churned")),
+        "bucket:i is_repeat_subscriber:i rows:i churned:i",
+        "SELECT bucket, is_repeat_subscriber, count(*) AS rows, sum(is_churn) AS churned FROM feat GROUP BY 1, 2"),
+    "metric_log_loss": Query(
+        lambda w: w.scored.agg(F.count("*").alias("rows"), evaluation.log_loss(F.col("y"), F.col("p")).alias("log_loss")),
+        "rows:i log_loss:r",
+        "SELECT count(*) AS rows, -avg(CASE y WHEN 1 THEN ln(p) ELSE ln(1 - p) END) AS log_loss FROM scored"),
+    "metric_ece": Query(
+        lambda w: evaluation.calibration_error(w.scored),
+        "expected_calibration_error:r",
+        f"""SELECT sum(abs(ys - ps)) / sum(n) AS expected_calibration_error
+            FROM (SELECT {_BIN} AS bin, count(*) AS n, sum(y) AS ys, sum(p) AS ps
+            FROM scored
+            GROUP BY 1) b"""),
+    "metric_top_decile_lift": Query(
+        lambda w: evaluation.top_decile(w.scored),
+        "top_decile_rows:i top_decile_churn_rate:r top_decile_lift:r",
+        """SELECT count(*) AS top_decile_rows, avg(y) AS top_decile_churn_rate, avg(y) / (SELECT avg(y)
+            FROM scored) AS top_decile_lift
+            FROM topten
+            WHERE place <= greatest(1, ceil(everyone * 0.1))"""),
+    "metric_set_by_repeat": Query(
+        lambda w: evaluation.metric_set(w.scored, ("is_repeat_subscriber",)),
+        ("is_repeat_subscriber:i rows:i churn_rate:r log_loss:r average_probability:r expected_calibration_error:r top_decile_rows:i top_decile_churn_rate:r "
+            "top_decile_lift:r"),
         f"""SELECT * FROM (SELECT is_repeat_subscriber, count(*) AS rows, avg(y) AS churn_rate, -avg(CASE y WHEN 1 THEN ln(p) ELSE ln(1 - p) END) AS log_loss, avg(p) AS average_probability FROM scored GROUP BY 1)
         JOIN (SELECT is_repeat_subscriber, sum(abs(ys - ps)) / sum(n) AS expected_calibration_error FROM (SELECT is_repeat_subscriber, {_BIN} AS bin, count(*) AS n, sum(y) AS ys, sum(p) AS ps FROM scored GROUP BY 1, 2) b GROUP BY 1) USING (is_repeat_subscriber)
         JOIN (SELECT is_repeat_subscriber, count(*) AS top_decile_rows, avg(y) AS top_decile_churn_rate, avg(y) / max(base) AS top_decile_lift FROM (SELECT is_repeat_subscriber, y, avg(y) OVER (PARTITION BY is_repeat_subscriber) AS base, count(*) OVER (PARTITION BY is_repeat_subscriber) AS everyone, row_number() OVER (PARTITION BY is_repeat_subscriber ORDER BY p DESC, tie_breaker) AS place FROM scored) t WHERE place <= greatest(1, ceil(everyone * 0.1)) GROUP BY 1) USING (is_repeat_subscriber)"""),
-    "metric_subgroups": Query(lambda w: evaluation.subgroups(w.scored, evaluation.DIAGNOSTICS, 100), "diagnostic:s group_code:i rows:i churn_rate:r log_loss:r average_probability:r expected_calibration_error:r", _subgroup_sql()),
-    "score_curve": Query(lambda w: w.curve, "contacts:i minimum_score:r expected_churners:r observed_churners:i risk_weighted_payment_proxy:f selected_payment_proxy:f", "SELECT contacts, round(minimum_score, 8) AS minimum_score, round(expected_churners, 4) AS expected_churners, observed_churners, round(risk_weighted_payment_proxy, 2) AS risk_weighted_payment_proxy, selected_payment_proxy FROM points"),
+    "metric_subgroups": Query(
+        lambda w: evaluation.subgroups(w.scored, evaluation.DIAGNOSTICS, 100),
+        "diagnostic:s group_code:i rows:i churn_rate:r log_loss:r average_probability:r expected_calibration_error:r",
+        _subgroup_sql()),
+    "score_curve": Query(
+        lambda w: w.curve,
+        "contacts:i minimum_score:r expected_churners:r observed_churners:i risk_weighted_payment_proxy:f selected_payment_proxy:f",
+        """SELECT contacts, round(minimum_score, 8) AS minimum_score, round(expected_churners, 4) AS expected_churners, observed_churners, round(risk_weighted_payment_proxy, 2) AS risk_weighted_payment_proxy, selected_payment_proxy
+            FROM points"""),
     "scenario_outcomes": Query(lambda w: curve.outcomes(w.curve, REQUEST.validated(10**9, w.settings.group_size)), _CASE, _scenario_sql(), True),
     "scenario_cached": Query(_cached_scenario, _CASE, _scenario_sql(), True),
     "warehouse_tables": Query(
         _built, "table_name:s rows:i",
         " UNION ALL ".join(f"SELECT '{folder}' AS table_name, count(*) AS rows FROM {view}" for folder, view in _BUILT_VIEWS.items()), True),
-    "deterministic_shuffle": Query(_shuffled, "subscriber_token:t place:i", "SELECT subscriber_token, row_number() OVER (ORDER BY sha256(hex(subscriber_token)), subscriber_token) AS place FROM member"),
+    "deterministic_shuffle": Query(
+        _shuffled,
+        "subscriber_token:t place:i",
+        "SELECT subscriber_token, row_number() OVER (ORDER BY sha256(hex(subscriber_token)), subscriber_token) AS place FROM member"),
     "timing_percentiles": Query(
         _timings, "event_type:s events:i median_value:r p95_value:r",
         """SELECT event_type, max(everyone) AS events, median(value) AS median_value, min(CASE WHEN place >= 0.95 * everyone THEN value END) AS p95_value FROM (SELECT event_type, value,
         row_number() OVER (PARTITION BY event_type ORDER BY value) AS place, count(*) OVER (PARTITION BY event_type) AS everyone FROM events WHERE value IS NOT NULL) t GROUP BY 1"""),
-    "constant_false_branch": Query(_empty_branch, "subscriber_token:t gender:s origin:s", "SELECT subscriber_token, gender, 'member' AS origin FROM member UNION ALL SELECT subscriber_token, NULL, 'label' FROM gaps WHERE 1 = 0"),
+    "constant_false_branch": Query(
+        _empty_branch,
+        "subscriber_token:t gender:s origin:s",
+        "SELECT subscriber_token, gender, 'member' AS origin FROM member UNION ALL SELECT subscriber_token, NULL, 'label' FROM gaps WHERE 1 = 0"),
     "model_scores": Query(lambda w: _scores(w, "logistic"), "tie_breaker:s y:i p:f", None, True),
     "challenger_scores": Query(lambda w: _scores(w, "boosted"), "tie_breaker:s y:i p:f", None, True),
     "bootstrap_intervals": Query(_bootstrap, "measure:s low:f high:f", None, True),
