@@ -472,7 +472,7 @@ def _contract_sql() -> str:
 
 QUERIES["bi_contract"] = Query(lambda w: bi.contract(w.star), "table_name:s rows:i repeated_grain:i null_grain:i unreconciled:i", _contract_sql())
 #: These serve what a build holds.
-SERVING = ("public_", "api_", "bi_", "movement_", "cohort_breaks", "segment_breaks", "dq_unique_combination", "dq_outcomes", "dq_group_minimum", "dq_cutoff_safety", "dq_orphans", "dq_accepted_values", "dq_null_cells")
+SERVING = ("public_", "api_", "bi_", "metric_", "model_split", "movement_", "cohort_breaks", "segment_breaks", "dq_unique_combination", "dq_outcomes", "dq_group_minimum", "dq_cutoff_safety", "dq_orphans", "dq_accepted_values", "dq_null_cells")
 QUERIES = {name: replace(q, stored=True) if name.startswith(SERVING) else q for name, q in QUERIES.items()}
 
 
