@@ -12,7 +12,8 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A worker's memo tables stop growing here; later words are computed each time.
@@ -86,6 +87,20 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.Record
     return df.mapInArrow(run, schema)
 
 
+def map_partitions(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+    """fn applied to the Arrow batches of each partition of df, for what is summed or searched over a whole task."""
+    ship(df.sparkSession)
+    return df.mapInArrow(lambda batches: iter(fn(b for b in batches if b.num_rows)), schema)
+
+
+def best_rows(df: DataFrame, by: str, order: list[Column], k: int, spread: Column, salts: int = 32) -> DataFrame:
+    """The first k rows of each group in this order, with their rank: first within salts of a group, so that no task gets all of one."""
+    salted = df.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
+    within = W.partitionBy(by, "salt").orderBy(*order)
+    some = salted.withColumn("rank", F.row_number().over(within)).filter(F.col("rank") <= k).drop("salt", "rank")
+    return some.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= k)
+
+
 _held: dict[str, object] = {}
 
 
