@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tenura.llm import decontaminate, exact_dedup, html_text, jaccard_join, language, line_dedup, packing, pii, quality, tokens
+from tenura.llm import decontaminate, exact_dedup, html_text, jaccard_join, language, lexical_search, line_dedup, nearest, packing, pii, quality, tokens, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_pii": pii.op9_pii,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+        "op11_whitening": whitening.op11_whitening,
+        "op12_lexical_search": lexical_search.op12_lexical_search,
+        "op13_nearest": nearest.op13_nearest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": exact_dedup.SQL}
+    return {"op10_exact_dedup": exact_dedup.SQL, "op12_lexical_search": lexical_search.SQL}
