@@ -212,6 +212,8 @@ FOUND = "query_id long, rank int, vec_id long, score double"
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, column: str = "embedding", bound_rows: int = BOUND_ROWS, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """query_id, rank, vec_id and distance of the k nearest rows found for each row of queries."""
     width = dimensions(vectors.filter(finite(column) & not_zero(column) & F.col("vec_id").isNotNull()), column)
+    if not width:
+        return vectors.sparkSession.createDataFrame([], FOUND)
     rows, asked = taking_part(vectors, column, width), bounded(taking_part(queries, column, width), taking_part(vectors, column, width), width, k, bound_rows)
     passes = -(-asked.count() * width * 8 // query_bytes)
     own, parts = F.pmod(F.xxhash64("vec_id", "vector"), F.lit(max(1, passes))), []
