@@ -39,6 +39,11 @@ class Settings:
     review_subscribers: int = 500
     review_events: int = 24
     group_size: int = 100
+    #: The model whose scores a build publishes: logistic, boosted or prevalence.
+    score_model: str = "logistic"
+    #: Split buckets of the first window that models are fitted and calibrated on; the last window is the test.
+    fit_buckets: tuple[int, ...] = (0, 1)
+    calibration_buckets: tuple[int, ...] = (2,)
     release_salt: str = "5f" * 32
     #: The activity table's days are this much later than the payment table's.
     activity_shift_days: int = 8604

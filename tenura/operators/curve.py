@@ -41,15 +41,19 @@ def places_within(df: DataFrame, by: list[str], order: list[Column], size: Colum
 
 
 def score_curve(scored: DataFrame, group: int = 100) -> DataFrame:
-    """Cumulative points at each group-th contact and at the last one, from (p, y, receipts, tie_breaker)."""
-    money = F.greatest(F.col("receipts"), F.lit(0))
-    sums = {"expected": F.col("p"), "observed": F.col("y").cast("long"), "risk": F.col("p") * money, "paid": money.cast("double")}
+    """Cumulative points at each group-th contact and at the last one, from (p, y, receipts, tie_breaker).
+
+    Sums are of decimals (a probability to 16 places, money to 2), which add up to the
+    same in any order: points don't depend on how rows are laid out.
+    """
+    money, chance = F.greatest(F.col("receipts"), F.lit(0)).cast("decimal(18,2)"), F.col("p").cast("decimal(17,16)")
+    sums = {"expected": chance, "observed": F.col("y").cast("long"), "risk": chance * money, "paid": money}
     rows = prefix_sums(scored.select("p", "y", "receipts", "tie_breaker"), [F.col("p").desc(), F.col("tie_breaker").asc()], sums)
     last = rows.agg(F.max("rank").alias("last"))
     picked = rows.join(F.broadcast(last)).filter((F.col("rank") % group == 0) | (F.col("rank") == F.col("last")))
     return picked.select(
-        F.col("rank").cast("long").alias("contacts"), F.round("p", 8).alias("minimum_score"), F.round("expected", 4).alias("expected_churners"),
-        F.col("observed").cast("long").alias("observed_churners"), F.round("risk", 2).alias("risk_weighted_payment_proxy"), F.round("paid", 2).alias("selected_payment_proxy"))
+        F.col("rank").cast("long").alias("contacts"), F.round("p", 8).alias("minimum_score"), F.round("expected", 4).cast("double").alias("expected_churners"),
+        F.col("observed").cast("long").alias("observed_churners"), F.round("risk", 2).cast("double").alias("risk_weighted_payment_proxy"), F.round("paid", 2).cast("double").alias("selected_payment_proxy"))
 
 
 @dataclass(frozen=True)
@@ -121,14 +125,18 @@ class CachedCurve:
         self.points = {name: values[order] for name, values in points.items()}
 
     @classmethod
-    def read(cls, spark: SparkSession, path: str, most: int = MOST_POINTS) -> CachedCurve:
-        """The curve below a folder that write_curve filled; refused where it has more than so many points."""
-        rows = spark.read.schema(CURVE_SCHEMA).json(path)
-        if rows.count() > most:
+    def of(cls, points: DataFrame, most: int = MOST_POINTS) -> CachedCurve:
+        """A curve's points; refused where there are more than so many."""
+        if points.limit(most + 1).count() > most:
             raise ValueError(f"a cached curve has {most} points at most")
-        found = rows.toPandas()
+        found = points.toPandas()
         return cls({name: found[name].to_numpy() for name in POINT})
 
+    @classmethod
+    def read(cls, spark: SparkSession, path: str, most: int = MOST_POINTS) -> CachedCurve:
+        """The curve below a folder that write_curve filled."""
+        return cls.of(spark.read.schema(CURVE_SCHEMA).json(path), most)
+
     def selected(self, request: Scenario) -> dict[str, float]:
         """The last point before the first one that breaks capacity or score; zeros where the first one does."""
         p = self.points

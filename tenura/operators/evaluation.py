@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 from functools import reduce
 from typing import TYPE_CHECKING
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tenura.functions.columns import token_bucket
+from tenura.operators.boosting import Boosted, Parameters
+from tenura.operators.boosting import fit as boosted
 from tenura.operators.curve import places_within
-from tenura.operators.promote import write_report
+from tenura.operators.promote import read_report, write_report
+from tenura.operators.quantiles import MEDIAN, exact_quantiles, values_at
+from tenura.operators.tasks import mapped
 
 if TYPE_CHECKING:
     from pyspark.ml import PipelineModel
@@ -146,68 +150,113 @@ def subgroups(scored: DataFrame, diagnostics: tuple[str, ...], minimum: int) ->
     return base.filter(F.col("rows") >= minimum).join(calibration_error(long, by), list(by))
 
 
+@dataclass(frozen=True)
+class Logistic:
+    """A pipeline over features in which missing numbers are the medians of the rows that it was fitted on."""
+
+    medians: dict[str, float]
+    pipeline: PipelineModel
+
+    def with_margin(self, rows: DataFrame) -> DataFrame:
+        from pyspark.ml.functions import vector_to_array
+
+        return self.pipeline.transform(typed(rows, self.medians)).withColumn("margin", vector_to_array("rawPrediction")[1]).select(*rows.columns, "margin")
+
+
+@dataclass(frozen=True)
+class Prevalence:
+    """The same margin for every row: the reference that a model has to beat, and what is left where the target has one value."""
+
+    margin: float
+
+    def with_margin(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("margin", F.lit(self.margin))
+
+
 @dataclass(frozen=True)
 class ChurnModel:
-    """A fitted pipeline and the sigmoid of its margin that calibrates it."""
+    """A fitted scorer and the sigmoid of its margin that calibrates it."""
 
     kind: str
-    pipeline: PipelineModel
+    scorer: Logistic | Boosted | Prevalence
     slope: float
     intercept: float
 
     def score(self, rows: DataFrame) -> DataFrame:
         """rows with their calibrated probability p."""
-        return margins(self.pipeline, rows).withColumn("p", 1 / (1 + F.exp(-(F.lit(self.slope) * F.col("margin") + F.lit(self.intercept))))).select(*rows.columns, "p")
+        p = 1 / (1 + F.exp(-(F.lit(self.slope) * F.col("margin") + F.lit(self.intercept))))
+        return self.scorer.with_margin(rows).withColumn("p", p).select(*rows.columns, "p")
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """The pipeline and its calibration below a new folder."""
-        self.pipeline.write().save(f"{path}/pipeline")
-        write_report(spark, {"kind": self.kind, "slope": self.slope, "intercept": self.intercept}, f"{path}/calibration.json")
+        """The model below a new folder: its numbers as JSON, a logistic one's pipeline beside them."""
+        own = {"kind": self.kind, "slope": self.slope, "intercept": self.intercept}
+        if isinstance(self.scorer, Logistic):
+            self.scorer.pipeline.write().save(f"{path}/pipeline")
+            own["medians"] = self.scorer.medians
+        else:
+            own["scorer"] = self.scorer.as_dict() if isinstance(self.scorer, Boosted) else {"margin": self.scorer.margin}
+        write_report(spark, own, f"{path}/model.json")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> ChurnModel:
         from pyspark.ml import PipelineModel
 
-        own = json.loads("".join(r[0] for r in spark.read.text(f"{path}/calibration.json").collect()))  # one small report
-        return cls(own["kind"], PipelineModel.load(f"{path}/pipeline"), own["slope"], own["intercept"])
+        own = read_report(spark, f"{path}/model.json")
+        if "medians" in own:
+            scorer = Logistic(own["medians"], PipelineModel.load(f"{path}/pipeline"))
+        else:
+            scorer = Boosted.from_dict(own["scorer"]) if "trees" in own["scorer"] else Prevalence(own["scorer"]["margin"])
+        return cls(own["kind"], scorer, own["slope"], own["intercept"])
 
 
-def typed(rows: DataFrame) -> DataFrame:
-    """rows with numeric and coded columns as the pipeline's stages take them."""
+def typed(rows: DataFrame, medians: dict[str, float]) -> DataFrame:
+    """rows with numbers, medians in place of missing ones, and codes, -1 where missing, as the pipeline's stages take them."""
+    number = lambda c: F.coalesce(F.nullif(F.col(c).cast("double"), F.lit(float("nan"))), F.lit(medians[c]))
     return rows.select(
-        "*", *(F.col(c).cast("double").alias(f"n_{c}") for c in NUMERIC), *(F.col(c).cast("string").alias(f"c_{c}") for c in CATEGORICAL),
+        "*", *(number(c).alias(f"n_{c}") for c in NUMERIC), *(F.coalesce(F.col(c).cast("int"), F.lit(-1)).cast("string").alias(f"c_{c}") for c in CATEGORICAL),
         F.col("is_churn").cast("double").alias("label"))
 
 
-def margins(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
+def medians_of(rows: DataFrame) -> dict[str, float]:
+    """The exact median of each numeric feature's values, missing ones aside; 0 where it has none."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in NUMERIC)))
+    found = exact_quantiles(rows.select(pairs.alias("x")).select("x.*"), ["feature"], "value", {"median": MEDIAN}, nan_counts=False)
+    return {c: 0.0 for c in NUMERIC} | {r["feature"]: r["median"] for r in found.collect() if r["median"] is not None}
 
-    return model.transform(typed(rows)).withColumn("margin", vector_to_array("rawPrediction")[1])
 
+def prevalence(train: DataFrame) -> ChurnModel:
+    """The reference: every row has the churn rate of the rows that models are fitted on, smoothed where that is 0 or 1."""
+    n = train.agg(F.count("*").alias("n"), F.sum("is_churn").alias("yes")).first()
+    yes, no = n["yes"] or 0, n["n"] - (n["yes"] or 0)
+    if not yes or not no:
+        yes, no = yes + 1, no + 1
+    return ChurnModel("prevalence", Prevalence(float(np.log(yes / no))), 1.0, 0.0)
 
-def fit(train: DataFrame, calibrate: DataFrame, kind: str = "logistic", iterations: int = 80, least_rows: int = 100) -> ChurnModel:
-    """A model fitted on train and calibrated on calibrate: L2 logistic regression, or boosted trees of up to 16 leaves."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier, LogisticRegression
-    from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 
+def fit(train: DataFrame, calibrate: DataFrame, kind: str = "logistic", boosting_parameters: Parameters = Parameters()) -> ChurnModel:
+    """A model fitted on train and calibrated on calibrate: L2 logistic regression or boosted trees; the prevalence where either has one class."""
     require_allowed()
+    classes = [df.agg(F.count_distinct("is_churn")).first()[0] for df in (train, calibrate)]
+    if kind == "prevalence" or min(classes) < 2:
+        return prevalence(train)
+    scorer = _logistic(train) if kind == "logistic" else boosted(train, NUMERIC, CATEGORICAL, "is_churn", boosting_parameters)
+    held = scorer.with_margin(calibrate).select("margin", F.col("is_churn").cast("double").alias("label"))
+    return ChurnModel(kind, scorer, *sigmoid(held))
+
+
+def _logistic(train: DataFrame) -> Logistic:
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+
     numeric, coded = [f"n_{c}" for c in NUMERIC], [f"c_{c}" for c in CATEGORICAL]
-    filled, indexed, hot = [f"{c}_i" for c in numeric], [f"{c}_x" for c in coded], [f"{c}_h" for c in coded]
-    stages = [Imputer(strategy="median", inputCols=numeric, outputCols=filled), StringIndexer(inputCols=coded, outputCols=indexed, handleInvalid="keep")]
-    if kind == "logistic":
-        stages += [
-            VectorAssembler(inputCols=filled, outputCol="raw"), StandardScaler(withMean=True, inputCol="raw", outputCol="scaled"), OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=True),
-            VectorAssembler(inputCols=["scaled", *hot], outputCol="features"),
-            LogisticRegression(maxIter=250, regParam=1.0 / max(1, train.count()), elasticNetParam=0.0, standardization=False),
-        ]
-    else:
-        stages += [
-            VectorAssembler(inputCols=[*filled, *indexed], outputCol="features"),
-            GBTClassifier(maxIter=iterations, stepSize=0.08, maxDepth=4, maxBins=64, minInstancesPerNode=least_rows, checkpointInterval=-1, seed=7),
-        ]
-    model = Pipeline(stages=stages).fit(typed(train))
-    return ChurnModel(kind, model, *sigmoid(margins(model, calibrate).select("margin", "label")))
+    indexed, hot, medians = [f"{c}_x" for c in coded], [f"{c}_h" for c in coded], medians_of(train)
+    stages = [
+        StringIndexer(inputCols=coded, outputCols=indexed, handleInvalid="keep"), OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=True),
+        VectorAssembler(inputCols=numeric, outputCol="raw"), StandardScaler(withMean=True, inputCol="raw", outputCol="scaled"), VectorAssembler(inputCols=["scaled", *hot], outputCol="features"),
+        LogisticRegression(maxIter=250, regParam=1.0 / max(1, train.count()), elasticNetParam=0.0, standardization=False),
+    ]
+    return Logistic(medians, Pipeline(stages=stages).fit(typed(train, medians)))
 
 
 def sigmoid(held: DataFrame) -> tuple[float, float]:
@@ -224,36 +273,73 @@ def sigmoid(held: DataFrame) -> tuple[float, float]:
     return float(found.coefficients[0]), float(found.intercept)
 
 
-def bootstrap(scored: DataFrame, replicates: int = 100, seed: int = 11) -> DataFrame:
-    """95% intervals of log-loss improvement, loss, calibration error and top-decile lift of p over base, by Poisson replicates.
+#: Rows of the sample that replicates draw from, and how many replicates (fixed values of the evaluation).
+SAMPLE_ROWS, REPLICATES, SEED = 250_000, 100, 731
+MEASURES = ("relative_log_loss_improvement", "baseline_log_loss", "challenger_log_loss", "challenger_ece", "challenger_top_decile_lift")
+
 
-    Each row's weights come from a hash of its tie-breaker and the replicate, so a
-    retried task draws the same; one aggregation serves all replicates.
+def stratified_sample(scored: DataFrame, size: int = SAMPLE_ROWS, seed: int = SEED) -> DataFrame:
+    """Exactly size rows, each class in its share of all rows: those with the smallest keyed hashes of their tie-breaker.
+
+    The hash that ends a class is found by rank; ties at it, which only repeated
+    tie-breakers or collisions give, are told apart by tie_breaker and p.
+    """
+    counts = {r["y"]: r["n"] for r in scored.groupBy("y").agg(F.count("*").alias("n")).collect()}  # a row for each class
+    total = sum(counts.values())
+    if size >= total:
+        return scored
+    wanted = {1: round(size * counts.get(1, 0) / total)}
+    wanted[0] = size - wanted[1]
+    keyed = scored.withColumn("value", F.xxhash64("tie_breaker", F.lit(seed)))
+    spark = scored.sparkSession
+    places = spark.createDataFrame([(y, wanted[y], n) for y, n in counts.items() if wanted[y]], "y int, rank long, n long")
+    last = values_at(keyed.select(F.col("y").cast("int").alias("y"), "value"), ["y"], places).select(F.col("y").alias("of_y"), F.col("rank").alias("wanted"), F.col("value").alias("last"))
+    near = keyed.join(F.broadcast(last), F.col("y") == F.col("of_y")).filter(F.col("value") <= F.col("last"))
+    below = near.filter(F.col("value") < F.col("last")).groupBy("y").agg(F.count("*").alias("below")).withColumnRenamed("y", "of")
+    at_end = near.filter(F.col("value") == F.col("last")).join(F.broadcast(below), F.col("y") == F.col("of"), "left")
+    place = F.row_number().over(W.partitionBy("y").orderBy("tie_breaker", "p"))  # over the rows of one hash
+    ends = at_end.withColumn("place", place).filter(F.col("place") <= F.col("wanted") - F.coalesce("below", F.lit(0)))
+    return near.filter(F.col("value") < F.col("last")).select(*scored.columns).unionByName(ends.select(*scored.columns))
+
+
+def replicate(rows: tuple[np.ndarray, np.ndarray, np.ndarray], number: int, seed: int = SEED) -> list[float]:
+    """MEASURES of one replicate of (y, base, p), rows in the order of the top decile: as many draws as rows, with replacement."""
+    y, base, p = rows
+    n = len(y)
+    weight = np.bincount(np.random.default_rng([seed, number]).integers(0, n, n), minlength=n)
+    loss = [-(weight * np.where(y == 1, np.log(q), np.log1p(-q))).sum() / n for q in (np.clip(x, EPSILON, 1 - EPSILON) for x in (base, p))]
+    place = np.digitize(p, np.linspace(0.0, 1.0, 11)[1:-1])
+    differences = np.bincount(place, weight * y, 10) - np.bincount(place, weight * p, 10)
+    count = max(1, int(np.ceil(n * 0.1)))
+    taken = np.clip(count - (np.cumsum(weight) - weight), 0, weight)
+    rate = (weight * y).sum() / n
+    lift = (taken * y).sum() / count / rate if rate else float("nan")
+    return [(loss[0] - loss[1]) / loss[0], loss[0], loss[1], np.abs(differences).sum() / n, lift]
+
+
+def bootstrap(scored: DataFrame, replicates: int = REPLICATES, size: int = SAMPLE_ROWS, seed: int = SEED) -> DataFrame:
+    """(measure, low, high): 95% intervals of p over base, from paired replicates of a fixed stratified sample.
+
+    The sample has size rows at most, whatever the table's size, so that it may be
+    broadcast; the replicates are spread over tasks. A replicate's draws come of its
+    number, so that a task that runs again draws the same. Without rows there are none.
     """
-    draw = (F.pmod(F.xxhash64("tie_breaker", "replicate", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    steps, mass, weight = 0.0, float(np.exp(-1)), F.lit(0)
-    for k in range(10):
-        steps += mass
-        weight = weight + (draw > steps).cast("int")
-        mass /= k + 1
-    rows = scored.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", weight).filter("w > 0")
-    clip = lambda c: F.least(F.greatest(F.col(c), F.lit(EPSILON)), F.lit(1 - EPSILON))
-    loss = lambda c: -F.when(F.col("y") == 1, F.log(clip(c))).otherwise(F.log(1 - clip(c)))
-    bins = rows.groupBy("replicate", calibration_bin(F.col("p")).alias("bin")).agg(F.sum("w").alias("n"), F.sum(F.col("w") * loss("base")).alias("base"), F.sum(F.col("w") * loss("p")).alias("own"), F.sum(F.col("w") * F.col("y")).alias("ys"), F.sum(F.col("w") * F.col("p")).alias("ps"))
-    each = bins.groupBy("replicate").agg(
-        (F.sum("base") / F.sum("n")).alias("baseline_log_loss"), (F.sum("own") / F.sum("n")).alias("challenger_log_loss"),
-        ((F.sum("base") - F.sum("own")) / F.sum("base")).alias("relative_log_loss_improvement"), (F.sum(F.abs(F.col("ys") - F.col("ps"))) / F.sum("n")).alias("challenger_ece"))
-    # the best tenth of each replicate, from counts by rounded score: 10,001 at most
-    counts = rows.groupBy("replicate", F.round("p", 4).alias("score")).agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("ys"))
-    order = W.partitionBy("replicate").orderBy(F.col("score").desc())
-    whole = W.partitionBy("replicate")
-    counts = counts.select("replicate", "n", "ys", (F.sum("n").over(order) - F.col("n")).alias("above"), (F.sum("n").over(whole) * 0.1).alias("room"))
-    share = F.least(F.greatest(F.col("room") - F.col("above"), F.lit(0.0)), F.col("n")) / F.col("n")
-    base_rate, own_rate = F.sum("ys") / F.sum("n"), F.sum(F.col("ys") * share) / F.max("room")
-    each = each.join(counts.groupBy("replicate").agg((own_rate / F.nullif(base_rate, F.lit(0.0))).alias("challenger_top_decile_lift")), "replicate")
-    names = ["relative_log_loss_improvement", "baseline_log_loss", "challenger_log_loss", "challenger_ece", "challenger_top_decile_lift"]
-    long = each.unpivot("replicate", names, "measure", "value")
-    return long.groupBy("measure").agg(F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.975).alias("high"))
+    spark = scored.sparkSession
+    sample = stratified_sample(scored.select("tie_breaker", "y", "p", "base"), size, seed).toPandas()  # size rows at most
+    if sample.empty:
+        return spark.createDataFrame([], "measure string, low double, high double")
+    sample = sample.sort_values(["p", "tie_breaker"], ascending=[False, True])
+    held = spark.sparkContext.broadcast(tuple(sample[c].to_numpy() for c in ("y", "base", "p")))
+
+    def run(batches):
+        for batch in batches:
+            found = np.array([replicate(held.value, k, seed) for k in batch.column("replicate").to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column("replicate"), *(pa.array(column, from_pandas=True) for column in found.T)], ["replicate", *MEASURES])
+
+    numbers = spark.range(replicates).select(F.col("id").alias("replicate"))
+    each = mapped(numbers, run, "replicate long, " + ", ".join(f"{m} double" for m in MEASURES))
+    long = each.unpivot("replicate", list(MEASURES), "measure", "value")
+    return long.groupBy("measure").agg(F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.975).alias("high"))  # of the replicates
 
 
 def ships(improvement: float, improvement_low: float, ece: float, lift: float, lift_low: float) -> bool:

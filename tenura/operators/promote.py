@@ -99,6 +99,16 @@ def write_report(spark: SparkSession, report: dict, path: str) -> None:
         out.close()
 
 
+def read_report(spark: SparkSession, path: str) -> dict:
+    """A JSON document that write_report wrote, through the file system of its path."""
+    fs, make = _fs(spark, path)
+    source = fs.open(make(path))
+    try:
+        return json.loads(bytes(source.readAllBytes()))
+    finally:
+        source.close()
+
+
 def build(spark: SparkSession, output: str, tables: dict[str, DataFrame], fingerprint_: str, partitions: dict[str, tuple[str, ...]] | None = None, gate: Callable[[dict[str, int]], None] | None = None, further: Callable[[str], None] | None = None) -> dict:
     """Write all tables below a stage, and what further writes there, check their counts, and promote; a known fingerprint is a no-op."""
     if replayed(spark, output, fingerprint_):

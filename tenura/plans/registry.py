@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tenura.contracts import DEFAULT
-from tenura.operators import checks, curve, evaluation, facts, features, movement, promote, release
+from tenura.operators import checks, curve, evaluation, facts, features, movement, quantiles, release
 from tenura.operators.scratch import scratch, written
 from tenura.plans import bi, oracle, serve, warehouse
 from tenura.plans.warehouse import Warehouse
@@ -77,30 +77,37 @@ def _unique(df: DataFrame, *keys: str) -> DataFrame:
     return checks.repeated_keys(df, list(keys))
 
 
-#: Buckets of the earlier window that models are fitted and calibrated on; the later window is the test.
-FIT, CALIBRATE = (0, 1), (2,)
+def _scores(w: Warehouse, kind: str) -> DataFrame:
+    """Scores by a model that was saved and loaded again."""
+    folder = f"{scratch(w.spark)}/models/{uuid.uuid4().hex}"
+    w.fitted(kind).save(w.spark, folder)
+    return evaluation.ChurnModel.load(w.spark, folder).score(w.features).select("tie_breaker", F.col("is_churn").alias("y"), "p")
 
 
-def _models(w: Warehouse, *kinds: str) -> tuple[list[evaluation.ChurnModel], DataFrame]:
-    """Models of these kinds, and the rows of the test window."""
-    earlier = written(evaluation.features(w.snapshot, w.first, w.first).filter(F.col("bucket").isin(*FIT, *CALIBRATE)))
-    train, held = earlier.filter(F.col("bucket").isin(*FIT)), earlier.filter(F.col("bucket").isin(*CALIBRATE))
-    return [evaluation.fit(train, held, kind) for kind in kinds], written(evaluation.features(w.snapshot, w.last, w.first))
+def _both(w: Warehouse) -> DataFrame:
+    """The test rows with the scores of the challenger (p) and of the logistic baseline (base)."""
+    base, challenger = w.fitted("logistic"), w.fitted("boosted")
+    return written(challenger.score(base.score(w.features).withColumnRenamed("p", "base")).withColumn("y", F.col("is_churn")))
 
 
-def _scores(w: Warehouse, kind: str) -> DataFrame:
-    """Scores by a model that was saved and loaded again."""
-    (model,), test = _models(w, kind)
-    folder = f"{scratch(w.spark)}/models/{uuid.uuid4().hex}"
-    model.save(w.spark, folder)
-    return evaluation.ChurnModel.load(w.spark, folder).score(test).select("tie_breaker", F.col("is_churn").alias("y"), "p")
+def _decision(w: Warehouse) -> DataFrame:
+    """Which model ships, and for whom: the challenger's gates on all and on repeat subscribers, and the newcomers' calibration."""
+    rows, found = _both(w), []
+    parts = {"all": rows, "repeat": rows.filter("is_repeat_subscriber = 1"), "new": rows.filter("is_repeat_subscriber = 0")}
+    for scope, part in parts.items():
+        own, base = evaluation.metric_set(part).first(), evaluation.metric_set(part.withColumn("p", F.col("base"))).first()
+        intervals = {r["measure"]: r["low"] for r in evaluation.bootstrap(part).collect()} if scope != "new" else {}
+        better = (base["log_loss"] - own["log_loss"]) / base["log_loss"] if own else 0.0
+        gate = bool(own and intervals) and evaluation.ships(better, intervals["relative_log_loss_improvement"], own["expected_calibration_error"], own["top_decile_lift"] or 0.0, intervals["challenger_top_decile_lift"])
+        found.append((scope, gate, better, own["expected_calibration_error"] if own else None))
+    decision = evaluation.decision(found[0][1], found[1][1], found[2][3] or 0.0)
+    return w.spark.createDataFrame([(*r, decision) for r in found], "scope string, gate_passed boolean, relative_log_loss_improvement double, challenger_ece double, decision string")
 
 
-def _bootstrap(w: Warehouse) -> DataFrame:
-    """The challenger against the logistic baseline."""
-    (base, challenger), test = _models(w, "logistic", "boosted")
-    both = challenger.score(base.score(test).withColumnRenamed("p", "base"))
-    return evaluation.bootstrap(written(both.select("tie_breaker", F.col("is_churn").alias("y"), "p", "base")))
+def _last_point(w: Warehouse) -> DataFrame:
+    """Totals of the published curve, which no score can move."""
+    points = ("contacts", "observed_churners", "selected_payment_proxy")
+    return w.curve.agg(*(F.max_by(c, "contacts").alias(c) for c in points))
 
 
 def _built(w: Warehouse) -> DataFrame:
@@ -108,9 +115,9 @@ def _built(w: Warehouse) -> DataFrame:
     return checks.counted(*((folder, getattr(w, name)) for name, folder in warehouse.TABLES.items())).withColumnsRenamed({"check_id": "table_name", "violations": "rows"})
 
 
-def _cached_scenario(w: Warehouse) -> DataFrame:
-    """The scenario by the cached curve, without a job of its own."""
-    return w.spark.createDataFrame(w.cached_curve.outcomes(REQUEST.validated(10**9, w.settings.group_size)), CASE_SCHEMA)
+def _cached_scenario(w: Warehouse, cached: curve.CachedCurve) -> DataFrame:
+    """The scenario by a curve in memory, without a job of its own."""
+    return w.spark.createDataFrame(cached.outcomes(REQUEST.validated(10**9, w.settings.group_size)), CASE_SCHEMA)
 
 
 def _shuffled(w: Warehouse) -> DataFrame:
@@ -120,10 +127,10 @@ def _shuffled(w: Warehouse) -> DataFrame:
 
 
 def _timings(w: Warehouse) -> DataFrame:
-    """Median and nearest-rank 95th percentile of the values of each kind of event."""
+    """Median and nearest-rank 95th percentile of the values of each kind of event, exact; no task holds a kind's values."""
     events = w.spark.read.parquet(f"{w.sf_dir}/events.parquet")
-    by_rank = F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)")
-    return events.groupBy("event_type").agg(F.count("value").alias("events"), F.median("value").alias("median_value"), by_rank.alias("p95_value"))
+    found = quantiles.exact_quantiles(events, ["event_type"], "value", {"median_value": quantiles.MEDIAN, "p95_value": quantiles.Quantile("0.95", True)})
+    return found.withColumnRenamed("values", "events")
 
 
 def _empty_branch(w: Warehouse) -> DataFrame:
@@ -142,6 +149,14 @@ def _subgroup_sql() -> str:
 _BIN = " + ".join(f"CAST(p >= {float(e)!r} AS INTEGER)" for e in evaluation.np.linspace(0.0, 1.0, 11)[1:-1])
 
 
+def _prevalence_sql() -> str:
+    fit = f"SELECT avg(is_churn) AS p FROM snap WHERE label_window = '{W1}' AND CAST('0x' || left(hex(subscriber_token), 8) AS BIGINT) % 10 IN ({', '.join(map(str, DEFAULT.fit_buckets))})"
+    return f"""SELECT rows, churn_rate, -(churn_rate * ln(p) + (1 - churn_rate) * ln(1 - p)) AS log_loss, p AS average_probability, abs(churn_rate - p) AS expected_calibration_error,
+        top_decile_rows, top_decile_churn_rate, top_decile_churn_rate / churn_rate AS top_decile_lift FROM ({fit}) f, (SELECT count(*) AS rows, avg(is_churn) AS churn_rate FROM feat) a,
+        (SELECT count(*) AS top_decile_rows, avg(is_churn) AS top_decile_churn_rate FROM (SELECT is_churn, row_number() OVER (ORDER BY tie_breaker) AS place, count(*) OVER () AS everyone FROM feat)
+        WHERE place <= greatest(1, ceil(everyone * 0.1))) t"""
+
+
 def _movement_sql() -> str:
     rows = " UNION ALL ".join(f"SELECT '{m}' AS metric, '{k}' AS kind, '{d}' AS direction, b.{m}::DOUBLE AS comparison_value, a.{m}::DOUBLE AS current_value FROM overview a, overview b WHERE a.label_window = '{W2}' AND b.label_window = '{W1}'" for m, k, d in movement.MOVEMENTS)
     shown_ = "CASE kind WHEN 'rate' THEN round((current_value - comparison_value) * 100, 1) ELSE current_value - comparison_value END"
@@ -174,6 +189,7 @@ _DAY_KEYS = "subscriber_token:t activity_date:d"
 _STATS = "count(*) AS listening_rows, count(DISTINCT (subscriber_token, activity_date)) AS distinct_days, 0 AS invalid_rows, sum(CAST(total_secs_was_negative AS INTEGER)) AS negative_rows, sum(total_secs) AS total_secs, min(activity_date) AS first_date, max(activity_date) AS last_date"
 _STATS_COLUMNS = "listening_rows:i distinct_days:i invalid_rows:i negative_rows:i total_secs:f first_date:d last_date:d"
 
+_POINT = "contacts:i minimum_score:r expected_churners:r observed_churners:i risk_weighted_payment_proxy:f selected_payment_proxy:f"
 #: Columns of a scenario's cases.
 _CASE = (
     "case_name:s assumed_lift:r contacts:i minimum_score:r observed_churners:i simulated_retained_subscribers:r simulated_retained_gross_receipt_proxy:r "
@@ -403,41 +419,51 @@ QUERIES: dict[str, Query] = {
         "bucket:i is_repeat_subscriber:i rows:i churned:i",
         "SELECT bucket, is_repeat_subscriber, count(*) AS rows, sum(is_churn) AS churned FROM feat GROUP BY 1, 2"),
     "metric_log_loss": Query(
-        lambda w: w.scored.agg(F.count("*").alias("rows"), evaluation.log_loss(F.col("y"), F.col("p")).alias("log_loss")),
+        lambda w: w.check_scored.agg(F.count("*").alias("rows"), evaluation.log_loss(F.col("y"), F.col("p")).alias("log_loss")),
         "rows:i log_loss:r",
         "SELECT count(*) AS rows, -avg(CASE y WHEN 1 THEN ln(p) ELSE ln(1 - p) END) AS log_loss FROM scored"),
     "metric_ece": Query(
-        lambda w: evaluation.calibration_error(w.scored),
+        lambda w: evaluation.calibration_error(w.check_scored),
         "expected_calibration_error:r",
         f"""SELECT sum(abs(ys - ps)) / sum(n) AS expected_calibration_error
             FROM (SELECT {_BIN} AS bin, count(*) AS n, sum(y) AS ys, sum(p) AS ps
             FROM scored
             GROUP BY 1) b"""),
     "metric_top_decile_lift": Query(
-        lambda w: evaluation.top_decile(w.scored),
+        lambda w: evaluation.top_decile(w.check_scored),
         "top_decile_rows:i top_decile_churn_rate:r top_decile_lift:r",
         """SELECT count(*) AS top_decile_rows, avg(y) AS top_decile_churn_rate, avg(y) / (SELECT avg(y)
             FROM scored) AS top_decile_lift
             FROM topten
             WHERE place <= greatest(1, ceil(everyone * 0.1))"""),
     "metric_set_by_repeat": Query(
-        lambda w: evaluation.metric_set(w.scored, ("is_repeat_subscriber",)),
+        lambda w: evaluation.metric_set(w.check_scored, ("is_repeat_subscriber",)),
         ("is_repeat_subscriber:i rows:i churn_rate:r log_loss:r average_probability:r expected_calibration_error:r top_decile_rows:i top_decile_churn_rate:r "
             "top_decile_lift:r"),
         f"""SELECT * FROM (SELECT is_repeat_subscriber, count(*) AS rows, avg(y) AS churn_rate, -avg(CASE y WHEN 1 THEN ln(p) ELSE ln(1 - p) END) AS log_loss, avg(p) AS average_probability FROM scored GROUP BY 1)
         JOIN (SELECT is_repeat_subscriber, sum(abs(ys - ps)) / sum(n) AS expected_calibration_error FROM (SELECT is_repeat_subscriber, {_BIN} AS bin, count(*) AS n, sum(y) AS ys, sum(p) AS ps FROM scored GROUP BY 1, 2) b GROUP BY 1) USING (is_repeat_subscriber)
         JOIN (SELECT is_repeat_subscriber, count(*) AS top_decile_rows, avg(y) AS top_decile_churn_rate, avg(y) / max(base) AS top_decile_lift FROM (SELECT is_repeat_subscriber, y, avg(y) OVER (PARTITION BY is_repeat_subscriber) AS base, count(*) OVER (PARTITION BY is_repeat_subscriber) AS everyone, row_number() OVER (PARTITION BY is_repeat_subscriber ORDER BY p DESC, tie_breaker) AS place FROM scored) t WHERE place <= greatest(1, ceil(everyone * 0.1)) GROUP BY 1) USING (is_repeat_subscriber)"""),
     "metric_subgroups": Query(
-        lambda w: evaluation.subgroups(w.scored, evaluation.DIAGNOSTICS, 100),
+        lambda w: evaluation.subgroups(w.check_scored, evaluation.DIAGNOSTICS, 100),
         "diagnostic:s group_code:i rows:i churn_rate:r log_loss:r average_probability:r expected_calibration_error:r",
         _subgroup_sql()),
     "score_curve": Query(
-        lambda w: w.curve,
-        "contacts:i minimum_score:r expected_churners:r observed_churners:i risk_weighted_payment_proxy:f selected_payment_proxy:f",
+        lambda w: w.check_curve,
+        _POINT,
         """SELECT contacts, round(minimum_score, 8) AS minimum_score, round(expected_churners, 4) AS expected_churners, observed_churners, round(risk_weighted_payment_proxy, 2) AS risk_weighted_payment_proxy, selected_payment_proxy
             FROM points"""),
-    "scenario_outcomes": Query(lambda w: curve.outcomes(w.curve, REQUEST.validated(10**9, w.settings.group_size)), _CASE, _scenario_sql(), True),
-    "scenario_cached": Query(_cached_scenario, _CASE, _scenario_sql(), True),
+    "scenario_outcomes": Query(lambda w: curve.outcomes(written(w.check_curve), REQUEST.validated(10**9, w.settings.group_size)), _CASE, _scenario_sql(), True),
+    "scenario_cached": Query(lambda w: _cached_scenario(w, curve.CachedCurve.of(w.check_curve)), _CASE, _scenario_sql(), True),
+    "model_score_curve": Query(lambda w: w.curve, _POINT, None, True),
+    "model_scenario": Query(lambda w: curve.outcomes(w.curve, REQUEST.validated(10**9, w.settings.group_size)), _CASE, None, True),
+    "model_scenario_cached": Query(lambda w: _cached_scenario(w, w.cached_curve), _CASE, None, True),
+    "model_curve_totals": Query(
+        _last_point, "contacts:i observed_churners:i selected_payment_proxy:f",
+        "SELECT count(*) AS contacts, sum(is_churn) AS observed_churners, sum(latest_actual_amount_paid) AS selected_payment_proxy FROM feat WHERE is_repeat_subscriber = 1", True),
+    "metric_prevalence_reference": Query(
+        lambda w: evaluation.metric_set(w.fitted("prevalence").score(w.features).withColumn("y", F.col("is_churn"))),
+        "rows:i churn_rate:r log_loss:r average_probability:r expected_calibration_error:r top_decile_rows:i top_decile_churn_rate:r top_decile_lift:r",
+        _prevalence_sql()),
     "warehouse_tables": Query(
         _built, "table_name:s rows:i",
         " UNION ALL ".join(f"SELECT '{folder}' AS table_name, count(*) AS rows FROM {view}" for folder, view in _BUILT_VIEWS.items()), True),
@@ -455,7 +481,8 @@ QUERIES: dict[str, Query] = {
         "SELECT subscriber_token, gender, 'member' AS origin FROM member UNION ALL SELECT subscriber_token, NULL, 'label' FROM gaps WHERE 1 = 0"),
     "model_scores": Query(lambda w: _scores(w, "logistic"), "tie_breaker:s y:i p:f", None, True),
     "challenger_scores": Query(lambda w: _scores(w, "boosted"), "tie_breaker:s y:i p:f", None, True),
-    "bootstrap_intervals": Query(_bootstrap, "measure:s low:f high:f", None, True),
+    "bootstrap_intervals": Query(lambda w: evaluation.bootstrap(_both(w)), "measure:s low:f high:f", None, True),
+    "model_decision": Query(_decision, "scope:s gate_passed:b relative_log_loss_improvement:f challenger_ece:f decision:s", None, True),
     "streaming_event_windows": Query(lambda w: event_windows.replayed(w.spark, w.sf_dir), "window_start:s event_type:s events:i", event_windows.SQL),
 }
 

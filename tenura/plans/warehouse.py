@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 from tenura.contracts import DEFAULT, Settings, windows_frame
 from tenura.operators import checks, curve, evaluation, facts, features, promote, release
+from tenura.operators.publish import Publication
 from tenura.operators.scratch import shared_folder, written
 from tenura.plans import bi, marts, serve
 from tenura.sources import driver_tables
 
 #: Part of the fingerprint of a built warehouse: another version is built anew.
-VERSION = "2"
+VERSION = "3"
+#: The same of its model and curve.
+MODEL_VERSION = "1"
 SOURCES = ("customer", "orders", "events")
 
 
@@ -138,14 +141,40 @@ class Warehouse:
         return evaluation.features(self.snapshot, self.last, self.first)
 
     @cached_property
-    def scored(self) -> DataFrame:
-        """The features with a deterministic stand-in for a model's score."""
+    def model_rows(self) -> tuple[DataFrame, DataFrame]:
+        """The first window's rows that models are fitted on, and those they are calibrated on."""
+        s = self.settings
+        rows = written(evaluation.features(self.snapshot, self.first, self.first).filter(F.col("bucket").isin(*s.fit_buckets, *s.calibration_buckets)))
+        return rows.filter(F.col("bucket").isin(*s.fit_buckets)), rows.filter(F.col("bucket").isin(*s.calibration_buckets))
+
+    def fitted(self, kind: str) -> evaluation.ChurnModel:
+        return evaluation.fit(*self.model_rows, kind)
+
+    @cached_property
+    def model(self) -> evaluation.ChurnModel:
+        """The model whose scores are published."""
+        return self.fitted(self.settings.score_model)
+
+    @cached_property
+    def scores(self) -> DataFrame:
+        """tie_breaker, y, p, receipts and is_repeat_subscriber of the last window's rows, by the model."""
+        rows = self.model.score(self.features).withColumns({"y": F.col("is_churn"), "receipts": F.col("latest_actual_amount_paid")})
+        return rows.select("tie_breaker", "y", "p", "receipts", "is_repeat_subscriber")
+
+    @cached_property
+    def curve(self) -> DataFrame:
+        """The curve of the model's scores."""
+        return curve.score_curve(self.scores.filter("is_repeat_subscriber = 1"), self.settings.group_size)
+
+    @cached_property
+    def check_scored(self) -> DataFrame:
+        """The features with a score that SQL can give too: only for checks of metrics and curve arithmetic, never published."""
         part = F.conv(F.substring("tie_breaker", 1, 8), 16, 10).cast("long") % 1000
         return self.features.withColumns({"p": 0.05 + 0.9 * (part / F.lit(1000.0)), "y": F.col("is_churn"), "receipts": F.col("latest_actual_amount_paid")})
 
     @cached_property
-    def curve(self) -> DataFrame:
-        return curve.score_curve(self.scored.filter("is_repeat_subscriber = 1"), self.settings.group_size)
+    def check_curve(self) -> DataFrame:
+        return curve.score_curve(self.check_scored.filter("is_repeat_subscriber = 1"), self.settings.group_size)
 
     def released(self, table: str) -> DataFrame:
         source = {"member": self.members, "subscription_transaction": self.transactions, "churn_label": self.labels, "listening_day": self.listening}
@@ -158,26 +187,6 @@ class Warehouse:
         return row[0] if row else "0" * 24
 
 
-class BuildWarehouse(Warehouse):
-    """Writes what several tables of a build are computed from once."""
-
-    @cached_property
-    def transactions(self) -> DataFrame:
-        return written(facts.dedup_transactions(self.raw_transactions))
-
-    @cached_property
-    def listening(self) -> DataFrame:
-        return written(driver_tables.raw_listening(self.spark, self.sf_dir, self.settings))
-
-    @cached_property
-    def snapshot(self) -> DataFrame:
-        return written(features.snapshot(self.cutoffs, self.members, self.subscription, self.activity))
-
-    @cached_property
-    def review(self) -> DataFrame:
-        return written(marts.review_population(self.snapshot, self.settings.review_subscribers))
-
-
 #: Relations of a built warehouse, and the names of their folders.
 TABLES = {
     "members": "dim_member", "transactions": "fact_subscription_transaction", "listening": "fact_listening_day", "gaps": "fact_renewal_gap", "snapshot": "subscriber_snapshot",
@@ -187,44 +196,91 @@ TABLES = {
 PARTITIONS = {"fact_listening_day": ("source_version", "activity_month")}
 
 
-def fingerprint(spark: SparkSession, sf_dir: str, settings: Settings) -> str:
-    """Of the source files and of all that decides on the result."""
+def fingerprints(spark: SparkSession, sf_dir: str, settings: Settings) -> dict[str, str]:
+    """tables: of the source files and all that decides on the tables; scores: of those, the model and the curve."""
     files = [f for name in SOURCES for f in promote.source_files(spark, f"{sf_dir}/{name}.parquet") + promote.source_files(spark, f"{sf_dir}/{name}.parquet/*")]
-    return promote.fingerprint(f"{VERSION}\n{settings}\n{sf_dir}", files)
+    own = {"score_model", "fit_buckets", "calibration_buckets", "group_size"}
+    plain = {f.name: getattr(settings, f.name) for f in fields(settings) if f.name not in own}
+    tables = promote.fingerprint(f"{VERSION}\n{sorted(plain.items(), key=str)}\n{sf_dir}", files)
+    model = [MODEL_VERSION, *(getattr(settings, n) for n in sorted(own)), evaluation.Parameters()]
+    return {"tables": tables, "scores": promote.fingerprint(f"{tables}\n{model}", [])}
 
 
 def build(spark: SparkSession, sf_dir: str, output: str, settings: Settings = DEFAULT) -> dict:
-    """Facts, snapshot, marts, review sets and score curve below output, promoted together; unchanged sources are a no-op."""
-    mark = fingerprint(spark, sf_dir, settings)
-    if promote.replayed(spark, output, mark):
-        return {"status": "unchanged", "fingerprint": mark}
-    w = BuildWarehouse(spark, sf_dir, settings)
-    tables = {folder: getattr(w, name) for name, folder in TABLES.items()}
-
-    def gate(rows: dict[str, int]) -> None:
-        """A built warehouse has its windows, and outcomes that add up."""
-        checks.gate(checks.counted(("outcomes", checks.unreconciled(w.overview)), ("cutoff_safety", checks.unsafe(w.snapshot))))
-        if rows["metric_definition"] == 0:
-            raise ValueError("no metric is defined")
-
-    return promote.build(spark, output, tables, mark, PARTITIONS, gate, lambda stage: curve.write_curve(w.curve, f"{stage}/score_curve.json"))
+    """A version with facts, snapshot, marts, review sets, model, scores and score curve, behind gates; unchanged sources are a no-op.
+
+    Each table is written once and read back for those that follow from it. Where only
+    the model or the curve changed, the new version uses the tables of the one before.
+    """
+    publication, marks = Publication(spark, output), fingerprints(spark, sf_dir, settings)
+    before = publication.current()
+    old = publication.manifest(before) if before else {"marks": {}}
+    if old["marks"] == marks:
+        return {"status": "unchanged"} | old
+    with publication.writing(marks["scores"]) as version:
+        w, stage = Warehouse(spark, sf_dir, settings), publication.folder(version)
+        same = old["marks"].get("tables") == marks["tables"]
+        if same:
+            rows, places, uses = old["tables"], old["places"], sorted({p.split("/")[1] for p in old["places"].values()})
+        else:
+            rows, places, uses = {}, {folder: f"versions/{version}/{folder}" for folder in TABLES.values()}, []
+        for name, folder in TABLES.items():
+            if not same:
+                rows[folder] = promote.counted_write(getattr(w, name), f"{stage}/{folder}", PARTITIONS.get(folder, ()))
+            w.__dict__[name] = spark.read.parquet(f"{output}/{places[folder]}")
+        require_sound(w, rows)
+        model = write_scores(w, stage)
+        manifest = {"marks": marks, "tables": rows, "places": places, "uses": uses, "model": model, "rebuilt": ["scores"] if same else ["tables", "scores"]}
+        publication.commit(version, manifest)
+    publication.clean()
+    return {"status": "built"} | manifest
+
+
+def require_sound(w: Warehouse, rows: dict[str, int]) -> None:
+    """A built warehouse has outcomes that add up, nothing from after a cutoff, and definitions."""
+    checks.gate(checks.counted(("outcomes", checks.unreconciled(w.overview)), ("cutoff_safety", checks.unsafe(w.snapshot))))
+    if rows["metric_definition"] == 0:
+        raise ValueError("no metric is defined")
+
+
+def write_scores(w: Warehouse, stage: str) -> dict:
+    """Fit and save the model, score by what was saved, and write scores and curve; what the manifest says of the model."""
+    w.model.save(w.spark, f"{stage}/churn_model")
+    w.__dict__["model"] = evaluation.ChurnModel.load(w.spark, f"{stage}/churn_model")
+    w.__dict__["features"] = written(w.features)
+    rows = promote.counted_write(w.scores, f"{stage}/subscriber_score")
+    w.__dict__["scores"] = w.spark.read.parquet(f"{stage}/subscriber_score")
+    evaluation.require_scores(w.scores, w.features)
+    curve.write_curve(w.curve, f"{stage}/score_curve.json")
+    return {"kind": w.model.kind, "asked": w.settings.score_model, "scored_rows": rows, "window": w.last}
 
 
 class StoredWarehouse(Warehouse):
-    """Reads a built warehouse; what no folder holds is computed from what one does."""
+    """Reads the current version of a built warehouse; what no folder holds is computed from what one does."""
 
-    def __init__(self, spark: SparkSession, folder: str, settings: Settings = DEFAULT):
-        super().__init__(spark, folder, settings)
+    def __init__(self, spark: SparkSession, output: str, settings: Settings = DEFAULT, version: str | None = None):
+        super().__init__(spark, output, settings)
+        publication = Publication(spark, output)
+        self.version = version or publication.current()
+        self.folder, self.manifest = publication.folder(self.version), publication.manifest(self.version)
         for name, table in TABLES.items():
-            self.__dict__[name] = spark.read.parquet(f"{folder}/{table}")
+            self.__dict__[name] = spark.read.parquet(f"{output}/{self.manifest['places'][table]}")
+
+    @cached_property
+    def model(self) -> evaluation.ChurnModel:
+        return evaluation.ChurnModel.load(self.spark, f"{self.folder}/churn_model")
+
+    @cached_property
+    def scores(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/subscriber_score")
 
     @cached_property
     def curve(self) -> DataFrame:
-        return self.spark.read.schema(curve.CURVE_SCHEMA).json(f"{self.sf_dir}/score_curve.json")
+        return self.spark.read.schema(curve.CURVE_SCHEMA).json(f"{self.folder}/score_curve.json")
 
     @cached_property
     def cached_curve(self) -> curve.CachedCurve:
-        return curve.CachedCurve.read(self.spark, f"{self.sf_dir}/score_curve.json")
+        return curve.CachedCurve.of(self.curve)
 
 
 def home(spark: SparkSession, sf_dir: str) -> str:

@@ -264,7 +264,7 @@ def test_movement_tone(spark):
     assert got["observed_renewal_rate"]["tone"] == "adverse" and got["active_subscribers"]["tone"] == "context"
 
 
-@pytest.mark.parametrize("name", ["retention_overview", "subscription_segment", "score_curve", "movement_overview", "dedup_control_totals"])
+@pytest.mark.parametrize("name", ["retention_overview", "subscription_segment", "score_curve", "movement_overview", "dedup_control_totals", "timing_percentiles", "model_curve_totals", "metric_prevalence_reference", "scenario_cached"])
 def test_against_other_engine(spark, small, name):
     import os
 
@@ -313,25 +313,25 @@ def test_built_warehouse_is_read_back(spark, tmp_path, small):
     from tenura.plans import warehouse
 
     folder = str(tmp_path / "warehouse")
-    assert warehouse.build(spark, small, folder)["status"] == "built"
+    first = warehouse.build(spark, small, folder)
+    assert first["status"] == "built" and first["rebuilt"] == ["tables", "scores"]
     assert warehouse.build(spark, small, folder)["status"] == "unchanged"
-    assert warehouse.build(spark, small, folder, contracts.Settings(group_size=50))["status"] == "built"
-    warehouse.build(spark, small, folder)
     stored, live = warehouse.StoredWarehouse(spark, folder), Warehouse(spark, small)
     for name in ("overview", "segments", "review_transactions"):
         a, b = getattr(stored, name), getattr(live, name)
         assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
-    assert sorted(stored.curve.collect()) == sorted(tuple(r) for r in live.curve.collect())
     assert any("retention_overview" in f for f in stored.store.overview.inputFiles())
     plan = stored.store.overview._jdf.queryExecution().executedPlan().toString()
     assert "FileScan" in plan and "Join" not in plan and "Exchange" not in plan
-    for request in (curve.Scenario(300, 0.3, 120.0, 900.0, 0.2, 0.1), curve.Scenario(0), curve.Scenario(100, 1.0), curve.Scenario(200, 0.0, 0.0, 0.0, 0.9, 0.5)):
+    points = stored.curve.orderBy("contacts").collect()
+    limits = [r["minimum_score"] for r in points]
+    for request in (curve.Scenario(300, limits[0] - 0.01, 120.0, 900.0, 0.2, 0.1), curve.Scenario(0), curve.Scenario(100, 1.0), curve.Scenario(200, 0.0, 0.0, 0.0, 0.9, 0.5)):
         want = {r["case_name"]: r.asDict() for r in curve.outcomes(stored.curve, request).collect()}
         for case in stored.cached_curve.outcomes(request):
             for name, value in case.items():
                 assert value == want[case["case_name"]][name] or value == pytest.approx(want[case["case_name"]][name], nan_ok=True), name
     with pytest.raises(ValueError):
-        curve.CachedCurve.read(spark, f"{folder}/score_curve.json", 1)
+        curve.CachedCurve.read(spark, f"{stored.folder}/score_curve.json", 0)
     files = serve.write_static(stored.store, str(tmp_path / "static"), "r1")
     assert len(files) == 2 + 2 * 7 + 6 and all((tmp_path / "static" / f).exists() for f in files)
     names = frozenset({"subscriber_token", "msno", "event_key"})
@@ -340,16 +340,97 @@ def test_built_warehouse_is_read_back(spark, tmp_path, small):
     assert checks.leaks(spark, str(tmp_path / "static"), names).count() == 20
 
 
+def test_the_built_curve_is_the_saved_models(spark, tmp_path):
+    """Every point is a prefix sum of the scores that the saved model gives; a changed model rebuilds only what follows from it."""
+    from tenura.plans import warehouse
+
+    folder, tables = str(tmp_path / "warehouse"), "/root/testdata/sf0.01"
+    first = warehouse.build(spark, tables, folder)
+    stored = warehouse.StoredWarehouse(spark, folder)
+    assert first["model"]["kind"] == "logistic"
+    rows = stored.model.score(stored.features).toPandas()
+    rows = rows[rows["is_repeat_subscriber"] == 1].sort_values(["p", "tie_breaker"], ascending=[False, True])
+    points = stored.curve.orderBy("contacts").collect()
+    assert [r["contacts"] for r in points] == [*range(100, len(rows) + 1, 100), *([len(rows)] if len(rows) % 100 else [])]
+    assert rows["p"].nunique() > 100
+    for r in points:
+        top = rows[: r["contacts"]]
+        money = top["latest_actual_amount_paid"].clip(lower=0).astype(float)
+        assert r["minimum_score"] == pytest.approx(top["p"].iloc[-1], abs=1e-8) and r["expected_churners"] == pytest.approx(top["p"].sum(), abs=1e-3)
+        assert r["observed_churners"] == top["is_churn"].sum() and r["selected_payment_proxy"] == money.sum()
+        assert r["risk_weighted_payment_proxy"] == pytest.approx((top["p"] * money).sum(), rel=1e-9)
+    again = warehouse.build(spark, tables, folder, contracts.Settings(score_model="prevalence"))
+    assert again["rebuilt"] == ["scores"] and again["places"] == first["places"] and again["model"]["kind"] == "prevalence"
+    other = warehouse.StoredWarehouse(spark, folder, contracts.Settings(score_model="prevalence"))
+    assert other.version != stored.version and other.scores.select("p").distinct().count() == 1
+    assert other.snapshot.inputFiles() == stored.snapshot.inputFiles() and stored.curve.count() == len(points)
+    finer = warehouse.build(spark, tables, folder, contracts.Settings(group_size=50))
+    assert finer["rebuilt"] == ["scores"] and warehouse.StoredWarehouse(spark, folder).curve.count() > len(points)
+    assert warehouse.build(spark, tables, folder, contracts.Settings(minimum_group=50))["rebuilt"] == ["tables", "scores"]
+
+
+def test_a_curve_is_the_same_of_any_layout(spark):
+    rows = spark.range(3000).select((F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40)).alias("p"), (F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 977 * 13 - 50).alias("receipts"), F.sha2(F.col("id").cast("string"), 256).alias("tie_breaker"))
+    found, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    for n in (1, 7, 200):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found.append(sorted(map(tuple, curve.score_curve(rows.repartition(n)).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found[0] == found[1] == found[2] and len(found[0]) == 30
+
+
 def test_models_are_saved_and_loaded(spark, tmp_path, small):
     w = Warehouse(spark, small)
     rows = evaluation.features(w.stored_snapshot, w.last, w.first)
-    for kind in ("logistic", "boosted"):
-        model = evaluation.fit(rows.filter("bucket < 5"), rows.filter("bucket >= 5"), kind, iterations=3, least_rows=5)
+    for kind in ("logistic", "boosted", "prevalence"):
+        model = evaluation.fit(rows.filter("bucket < 5"), rows.filter("bucket >= 5"), kind, evaluation.Parameters(iterations=3, least_rows=5))
+        assert model.kind == kind
         model.save(spark, str(tmp_path / kind))
         again = evaluation.ChurnModel.load(spark, str(tmp_path / kind))
         a, b = ({r["tie_breaker"]: r["p"] for r in m.score(rows).select("tie_breaker", "p").collect()} for m in (model, again))
-        assert a == pytest.approx(b) and all(0 < p < 1 for p in a.values())
+        assert a == pytest.approx(b) and all(0 < p < 1 for p in a.values()) and (len(set(a.values())) == 1) == (kind == "prevalence")
         assert evaluation.invalid_scores(again.score(rows)).isEmpty()
+    one = evaluation.fit(rows.filter("is_churn = 1"), rows, "logistic")
+    assert one.kind == "prevalence" and evaluation.invalid_scores(one.score(rows)).isEmpty()
+    missing = rows.withColumn("tenure_days", F.when(F.col("bucket") > 2, F.col("tenure_days"))).withColumn("latest_is_cancel", F.lit(None).cast("int"))
+    medians = evaluation.medians_of(missing)
+    table = missing.toPandas()
+    assert medians == pytest.approx({c: float(table[c].astype(float).median()) for c in evaluation.NUMERIC})
+    coded = evaluation.typed(missing, medians)
+    assert coded.filter("n_tenure_days IS NULL OR c_latest_is_cancel <> '-1'").isEmpty()
+
+
+@pytest.mark.parametrize("size", [250_000, 400])
+def test_bootstrap_against_a_plain_one(spark, size):
+    import numpy as np
+
+    n = 1500
+    rng = np.random.default_rng(5)
+    y, base, p = (rng.random(n) < 0.3).astype(int), rng.uniform(0.01, 0.99, n), np.round(rng.uniform(0, 0.98, n), 2) + 0.013
+    scored = spark.createDataFrame([(f"{k:05d}", int(y[k]), float(p[k]), float(base[k])) for k in range(n)], "tie_breaker string, y int, p double, base double").repartition(6)
+    sample = evaluation.stratified_sample(scored, size, 7).toPandas()
+    hashes = {r["tie_breaker"]: r["h"] for r in scored.select("tie_breaker", F.xxhash64("tie_breaker", F.lit(7)).alias("h")).collect()}
+    yes = round(size * y.sum() / n)
+    want = set()
+    for value, k in ((1, yes), (0, size - yes)):
+        own = sorted((i for i in range(n) if y[i] == value), key=lambda i: hashes[f"{i:05d}"])
+        want |= {f"{i:05d}" for i in (own if size >= n else own[:k])}
+    assert set(sample["tie_breaker"]) == want and len(sample) == min(size, n)
+    sample = sample.sort_values(["p", "tie_breaker"], ascending=[False, True]).reset_index(drop=True)
+    values = []
+    for k in range(12):
+        drawn = sample.iloc[np.random.default_rng([7, k]).integers(0, len(sample), len(sample))]
+        loss = lambda q: -np.where(drawn["y"] == 1, np.log(q.clip(evaluation.EPSILON, 1 - evaluation.EPSILON)), np.log(1 - q.clip(evaluation.EPSILON, 1 - evaluation.EPSILON))).mean()  # noqa: E731, B023
+        bins = (drawn["p"] * 10).astype(int)
+        ece = sum((bins == b).mean() * abs(drawn["y"][bins == b].mean() - drawn["p"][bins == b].mean()) for b in set(bins))
+        top = drawn.sort_values(["p", "tie_breaker"], ascending=[False, True])[: int(np.ceil(len(drawn) * 0.1))]
+        values.append([(loss(drawn["base"]) - loss(drawn["p"])) / loss(drawn["base"]), loss(drawn["base"]), loss(drawn["p"]), ece, top["y"].mean() / drawn["y"].mean()])
+    got = {r["measure"]: (r["low"], r["high"]) for r in evaluation.bootstrap(scored, 12, size, 7).collect()}
+    for name, column in zip(evaluation.MEASURES, np.array(values).T, strict=True):
+        assert got[name] == pytest.approx((np.quantile(column, 0.025), np.quantile(column, 0.975)), rel=1e-9), name
+    assert evaluation.bootstrap(scored.limit(0), 5).count() == 0
 
 
 def test_constant_false_branch_is_pruned(spark, small):
