@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from functools import reduce
-from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +16,9 @@ from tenura.operators.boosting import Boosted, Parameters
 from tenura.operators.boosting import fit as boosted
 from tenura.operators.curve import places_within
 from tenura.operators.promote import read_report, write_report
-from tenura.operators.quantiles import MEDIAN, exact_quantiles, values_at
+from tenura.operators.quantiles import MEDIAN, SMALL, exact_quantiles, values_at
 from tenura.operators.tasks import mapped
 
-if TYPE_CHECKING:
-    from pyspark.ml import PipelineModel
-
 _LOGGED = {
     "subscription_events_lifetime": "subscription_event_count_lifetime", "subscription_events_30d": "subscription_event_count_30d", "subscription_events_90d": "subscription_event_count_90d",
     **{f"gross_receipts_{s}": f"gross_receipts_{s}" for s in ("lifetime", "30d", "90d")},
@@ -130,8 +126,8 @@ def top_decile(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     at = scored.select(*by, "p", "y", "tie_breaker").join(border if keys else F.broadcast(border), same).select(*by, "y", "tie_breaker", "room")
     partial = places_within(at, keys, [F.col("tie_breaker").asc()], F.lit(1)).filter("above < room").groupBy(*by).agg(F.coalesce(F.sum("y"), F.lit(0)).alias("ys"), F.count("*").alias("n"))
     taken = full.unionByName(partial).groupBy(*by).agg(F.sum("ys").alias("hits"), F.sum("n").alias("top_decile_rows"))
-    rate = F.col("hits") / F.col("top_decile_rows")
-    return with_totals(taken).select(*by, "top_decile_rows", rate.alias("top_decile_churn_rate"), (rate / (F.col("churned") / F.col("rows"))).alias("top_decile_lift"))
+    rate = F.col("hits") / F.nullif(F.col("top_decile_rows"), F.lit(0))
+    return with_totals(taken).select(*by, "top_decile_rows", rate.alias("top_decile_churn_rate"), (rate / F.nullif(F.col("churned") / F.col("rows"), F.lit(0.0))).alias("top_decile_lift"))
 
 
 def metric_set(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -152,15 +148,20 @@ def subgroups(scored: DataFrame, diagnostics: tuple[str, ...], minimum: int) ->
 
 @dataclass(frozen=True)
 class Logistic:
-    """A pipeline over features in which missing numbers are the medians of the rows that it was fitted on."""
+    """A linear margin as plain numbers: (median, mean, weight by standard deviation) of each numeric feature, and the weights of the codes that were seen."""
 
-    medians: dict[str, float]
-    pipeline: PipelineModel
+    intercept: float
+    numbers: dict[str, tuple[float, float, float]]
+    codes: dict[str, dict[str, float]]
 
     def with_margin(self, rows: DataFrame) -> DataFrame:
-        from pyspark.ml.functions import vector_to_array
-
-        return self.pipeline.transform(typed(rows, self.medians)).withColumn("margin", vector_to_array("rawPrediction")[1]).select(*rows.columns, "margin")
+        """rows with the column margin, in built-in functions; an unknown code has no weight."""
+        terms = [(number(c, median) - F.lit(mean)) * F.lit(weight) for c, (median, mean, weight) in self.numbers.items()]
+        for c, weights in self.codes.items():
+            if weights:
+                known = F.create_map(*(F.lit(x) for pair in sorted(weights.items()) for x in pair))
+                terms.append(F.coalesce(F.try_element_at(known, code(c)), F.lit(0.0)))
+        return rows.withColumn("margin", reduce(lambda a, b: a + b, terms, F.lit(self.intercept)))
 
 
 @dataclass(frozen=True)
@@ -188,37 +189,41 @@ class ChurnModel:
         return self.scorer.with_margin(rows).withColumn("p", p).select(*rows.columns, "p")
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """The model below a new folder: its numbers as JSON, a logistic one's pipeline beside them."""
-        own = {"kind": self.kind, "slope": self.slope, "intercept": self.intercept}
-        if isinstance(self.scorer, Logistic):
-            self.scorer.pipeline.write().save(f"{path}/pipeline")
-            own["medians"] = self.scorer.medians
-        else:
-            own["scorer"] = self.scorer.as_dict() if isinstance(self.scorer, Boosted) else {"margin": self.scorer.margin}
-        write_report(spark, own, f"{path}/model.json")
+        """The model's numbers as JSON below a new folder."""
+        own = self.scorer.as_dict() if isinstance(self.scorer, Boosted) else asdict(self.scorer)
+        write_report(spark, {"kind": self.kind, "slope": self.slope, "intercept": self.intercept, "scorer": own}, f"{path}/model.json")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> ChurnModel:
-        from pyspark.ml import PipelineModel
-
         own = read_report(spark, f"{path}/model.json")
-        if "medians" in own:
-            scorer = Logistic(own["medians"], PipelineModel.load(f"{path}/pipeline"))
-        else:
-            scorer = Boosted.from_dict(own["scorer"]) if "trees" in own["scorer"] else Prevalence(own["scorer"]["margin"])
-        return cls(own["kind"], scorer, own["slope"], own["intercept"])
+        kinds = {"logistic": lambda x: Logistic(**x), "boosted": Boosted.from_dict, "prevalence": lambda x: Prevalence(**x)}
+        return cls(own["kind"], kinds[own["kind"]](own["scorer"]), own["slope"], own["intercept"])
+
+
+def number(column: str, median: float) -> Column:
+    """A numeric feature, the median where it is missing."""
+    return F.coalesce(F.nullif(F.col(column).cast("double"), F.lit(float("nan"))), F.lit(median))
+
+
+def code(column: str) -> Column:
+    """A coded feature as text, -1 where it is missing."""
+    return F.coalesce(F.col(column).cast("int"), F.lit(-1)).cast("string")
 
 
 def typed(rows: DataFrame, medians: dict[str, float]) -> DataFrame:
-    """rows with numbers, medians in place of missing ones, and codes, -1 where missing, as the pipeline's stages take them."""
-    number = lambda c: F.coalesce(F.nullif(F.col(c).cast("double"), F.lit(float("nan"))), F.lit(medians[c]))
-    return rows.select(
-        "*", *(number(c).alias(f"n_{c}") for c in NUMERIC), *(F.coalesce(F.col(c).cast("int"), F.lit(-1)).cast("string").alias(f"c_{c}") for c in CATEGORICAL),
-        F.col("is_churn").cast("double").alias("label"))
+    """rows with features as the stages of a fit take them."""
+    return rows.select(*(number(c, medians[c]).alias(f"n_{c}") for c in NUMERIC), *(code(c).alias(f"c_{c}") for c in CATEGORICAL), F.col("is_churn").cast("double").alias("label"))
 
 
 def medians_of(rows: DataFrame) -> dict[str, float]:
-    """The exact median of each numeric feature's values, missing ones aside; 0 where it has none."""
+    """The exact median of each numeric feature's values, missing ones aside; 0 where it has none.
+
+    Few rows are sorted in one aggregation, more by brackets; the result is the same.
+    """
+    if rows.limit(SMALL + 1).count() <= SMALL:
+        values = (F.nullif(F.col(c).cast("double"), F.lit(float("nan"))) for c in NUMERIC)
+        found = rows.agg(*(F.median(v).alias(c) for c, v in zip(NUMERIC, values, strict=True))).first()
+        return {c: found[c] if found[c] is not None else 0.0 for c in NUMERIC}
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in NUMERIC)))
     found = exact_quantiles(rows.select(pairs.alias("x")).select("x.*"), ["feature"], "value", {"median": MEDIAN}, nan_counts=False)
     return {c: 0.0 for c in NUMERIC} | {r["feature"]: r["median"] for r in found.collect() if r["median"] is not None}
@@ -244,19 +249,31 @@ def fit(train: DataFrame, calibrate: DataFrame, kind: str = "logistic", boosting
     return ChurnModel(kind, scorer, *sigmoid(held))
 
 
+#: Rows of a partition while a logistic model is fitted, which takes a job for each of its steps.
+FIT_ROWS = 100_000
+
+
 def _logistic(train: DataFrame) -> Logistic:
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 
     numeric, coded = [f"n_{c}" for c in NUMERIC], [f"c_{c}" for c in CATEGORICAL]
-    indexed, hot, medians = [f"{c}_x" for c in coded], [f"{c}_h" for c in coded], medians_of(train)
+    indexed, hot, medians, n = [f"{c}_x" for c in coded], [f"{c}_h" for c in coded], medians_of(train), max(1, train.count())
     stages = [
         StringIndexer(inputCols=coded, outputCols=indexed, handleInvalid="keep"), OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=True),
         VectorAssembler(inputCols=numeric, outputCol="raw"), StandardScaler(withMean=True, inputCol="raw", outputCol="scaled"), VectorAssembler(inputCols=["scaled", *hot], outputCol="features"),
-        LogisticRegression(maxIter=250, regParam=1.0 / max(1, train.count()), elasticNetParam=0.0, standardization=False),
+        LogisticRegression(maxIter=250, regParam=1.0 / n, elasticNetParam=0.0, standardization=False),
     ]
-    return Logistic(medians, Pipeline(stages=stages).fit(typed(train, medians)))
+    fitted = Pipeline(stages=stages).fit(typed(train, medians).coalesce(-(-n // FIT_ROWS))).stages
+    labels, scaler, model = fitted[0].labelsArray, fitted[3], fitted[5]
+    weights = [float(w) for w in model.coefficients]
+    numbers = {c: (medians[c], float(m), weights[k] / float(d) if d else 0.0) for k, (c, m, d) in enumerate(zip(NUMERIC, scaler.mean, scaler.std, strict=True))}
+    codes, at = {}, len(NUMERIC)
+    for c, own in zip(CATEGORICAL, labels, strict=True):
+        codes[c] = dict(zip(own, weights[at : at + len(own)], strict=True))
+        at += len(own)
+    return Logistic(float(model.intercept), numbers, codes)
 
 
 def sigmoid(held: DataFrame) -> tuple[float, float]:

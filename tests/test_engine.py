@@ -381,7 +381,7 @@ def test_a_curve_is_the_same_of_any_layout(spark):
     assert found[0] == found[1] == found[2] and len(found[0]) == 30
 
 
-def test_models_are_saved_and_loaded(spark, tmp_path, small):
+def test_models_are_saved_and_loaded(spark, tmp_path, small, monkeypatch):
     w = Warehouse(spark, small)
     rows = evaluation.features(w.stored_snapshot, w.last, w.first)
     for kind in ("logistic", "boosted", "prevalence"):
@@ -397,11 +397,34 @@ def test_models_are_saved_and_loaded(spark, tmp_path, small):
     missing = rows.withColumn("tenure_days", F.when(F.col("bucket") > 2, F.col("tenure_days"))).withColumn("latest_is_cancel", F.lit(None).cast("int"))
     medians = evaluation.medians_of(missing)
     table = missing.toPandas()
+    monkeypatch.setattr(evaluation, "SMALL", 10)
+    assert evaluation.medians_of(missing) == medians
     assert medians == pytest.approx({c: float(table[c].astype(float).median()) for c in evaluation.NUMERIC})
     coded = evaluation.typed(missing, medians)
     assert coded.filter("n_tenure_days IS NULL OR c_latest_is_cancel <> '-1'").isEmpty()
 
 
+def test_logistic_margin_is_the_pipelines(spark, small):
+    """The expression of a fitted model gives what Spark's own transformers give."""
+    import numpy as np
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.functions import vector_to_array
+
+    w, kept = Warehouse(spark, small), []
+    rows = evaluation.features(w.stored_snapshot, w.last, w.first)
+    plain = Pipeline.fit
+    Pipeline.fit = lambda self, *a: kept.append(plain(self, *a)) or kept[-1]
+    try:
+        model = evaluation.fit(rows.filter("bucket < 5"), rows, "logistic").scorer
+    finally:
+        Pipeline.fit = plain
+    assert isinstance(kept[0], PipelineModel)
+    medians = {c: n[0] for c, n in model.numbers.items()}
+    want = kept[0].transform(evaluation.typed(rows, medians)).select(vector_to_array("rawPrediction")[1].alias("m")).collect()
+    assert sorted(r["margin"] for r in model.with_margin(rows).collect()) == pytest.approx(sorted(r["m"] for r in want))
+    assert np.isfinite([r["margin"] for r in model.with_margin(rows.withColumn("latest_payment_method_id", F.lit(999))).collect()]).all()
+
+
 @pytest.mark.parametrize("size", [250_000, 400])
 def test_bootstrap_against_a_plain_one(spark, size):
     import numpy as np
