@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -67,9 +68,27 @@ def orphans(fact: DataFrame, dimension: DataFrame, keys: list[str]) -> DataFrame
 
 
 def compared_controls(expected: DataFrame, actual: DataFrame, tolerance: float = 1e-9) -> DataFrame:
-    """Controls (control_id, value) that are missing on a side or differ."""
-    both = expected.select("control_id", F.col("value").alias("expected")).join(actual.select("control_id", F.col("value").alias("actual")), "control_id", "full_outer")
-    return both.filter(F.col("expected").isNull() | F.col("actual").isNull() | (F.abs(F.col("expected") - F.col("actual")) > tolerance))
+    """(control_id, expected_value, actual_value, problem) of each control on either side; problem is null where both agree."""
+    both = expected.select("control_id", "expected_value").join(actual.select("control_id", "actual_value"), "control_id", "full_outer")
+    missing = F.when(F.col("expected_value").isNull(), "not expected").when(F.col("actual_value").isNull(), "missing")
+    differs = F.when(F.abs(F.col("expected_value") - F.col("actual_value")) > tolerance, "differs")
+    return both.withColumn("problem", F.coalesce(missing, differs))
+
+
+def require_controls(compared: DataFrame) -> None:
+    """Raise where a compared control has a problem; a report has a row for each control."""
+    bad = compared.filter("problem IS NOT NULL").orderBy("control_id").collect()
+    if bad:
+        raise ValueError("; ".join(f"{r['control_id']}: {r['problem']}" for r in bad))
+
+
+def placed(expected: DataFrame, actual: DataFrame, order: str, columns: list[str]) -> DataFrame:
+    """(position, column_name, expected, actual) of two relations of a few rows, zipped by their place in this order; a row that a side lacks is null."""
+    def rows(df: DataFrame, name: str) -> DataFrame:
+        numbered = df.withColumn("position", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(order)))
+        return numbered.select("position", *(F.col(c).cast("string").alias(c) for c in columns)).unpivot("position", columns, "column_name", name)
+
+    return rows(expected, "expected").join(rows(actual, "actual"), ["position", "column_name"], "full_outer")
 
 
 def forbidden_keys(payload, denied: frozenset[str], at: str = "$") -> list[str]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -166,6 +166,30 @@ class CachedCurve:
         return out
 
 
+def boundary_checks(cached: CachedCurve, group: int, base: Scenario) -> dict[str, bool]:
+    """The named checks that a curve passes before it is served; an amount may be off by 1e-6 at most."""
+    everyone = int(cached.points["contacts"][-1]) if len(cached.points["contacts"]) else 0
+    ask = lambda **changed: {c["case_name"]: c for c in cached.outcomes(replace(base, **changed).validated(everyone, group))}
+    usual, at, found = ask(), cached.selected(base), {}
+    for name, case in usual.items():
+        value, spend = at["risk_weighted_payment_proxy"] * case["assumed_lift"], at["contacts"] * (base.contact_cost + base.offer_cost)
+        pairs = [("simulated_retained_subscribers", at["expected_churners"] * case["assumed_lift"]), ("simulated_retained_gross_receipt_proxy", value), ("total_spend", spend), ("simulated_net_value", value - spend)]
+        found[f"formula_{name}"] = all(abs(case[k] - v) <= 1e-6 for k, v in pairs)
+    none, free = ask(capacity=0)["expected"], ask(assumed_lift=0.0, lift_uncertainty=0.0)["expected"]
+    found["zero_capacity"] = none["contacts"] == 0 and none["simulated_net_value"] == 0
+    found["zero_lift"] = free["simulated_net_value"] == -free["total_spend"]
+    found["threshold_one"] = ask(minimum_score=1.0)["expected"]["contacts"] in (0, int((cached.points["minimum_score"] >= 1).sum() * group))
+    found["full_capacity"] = ask(capacity=everyone, minimum_score=0.0)["expected"]["contacts"] == everyone
+    dear = ask(contact_cost=10_000.0, offer_cost=10_000.0)["expected"]
+    found["high_cost_negative"] = dear["simulated_net_value"] < 0 or dear["contacts"] == 0 or dear["simulated_retained_gross_receipt_proxy"] >= dear["total_spend"]
+    worthless = CachedCurve({n: np.array([{"contacts": 100, "expected_churners": 50.0}.get(n, 0.0)]) for n in POINT}).outcomes(Scenario(100, 0.0, 1.0, 1.0, 0.5))[1]
+    found["zero_value"] = worthless["simulated_retained_gross_receipt_proxy"] == 0 and worthless["simulated_net_value"] == -200
+    retained = [usual[n]["simulated_retained_subscribers"] for n in ("low", "expected", "high")]
+    found["ordered_uncertainty"] = retained == sorted(retained)
+    found["whole_prefixes"] = bool((np.diff(cached.points["contacts"]) > 0).all() and (np.diff(cached.points["minimum_score"]) <= 0).all())
+    return found
+
+
 CURVE_SCHEMA = "contacts long, minimum_score double, expected_churners double, observed_churners long, risk_weighted_payment_proxy double, selected_payment_proxy double"
 
 

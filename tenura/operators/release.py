@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenura.functions.columns import age_band_start, month_of, public_key
+from tenura.operators.promote import read_report, write_report
 
 #: The release's columns (fixed values of the published format).
 COLUMNS = {
@@ -60,7 +61,7 @@ def verification(tables: dict[str, DataFrame], facts: dict[str, DataFrame]) -> D
 
 
 def write_release(tables: dict[str, DataFrame], path: str) -> None:
-    """All tables below a new folder: events in two parts by the key's parity, labels by window, activity by delivery and month."""
+    """All tables below a new folder: events in two parts by the key's parity, labels by window, activity by month."""
     for name, df in tables.items():
         if name == "subscription_transaction":
             df = df.withColumn("part", F.col("event_key") % 2)
@@ -94,3 +95,35 @@ def verified_files(spark: SparkSession, path: str) -> DataFrame:
         row = files.join(F.broadcast(rows.agg(F.count("*").alias("rows")))).select(F.lit(name).alias("table_name"), "files", "bytes", "rows")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def manifest(spark: SparkSession, path: str) -> dict:
+    """What a written release holds: path, rows and bytes of each file, and the totals. Rows come from footers; a row for each file reaches the driver."""
+    files, names = [], list(COLUMNS)
+    for name in names:
+        rows = spark.read.parquet(f"{path}/{name}").groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("rows"))
+        sizes = _files(spark, f"{path}/{name}").withColumnRenamed("path", "at")
+        found = sizes.join(rows, F.col("at") == F.col("path"), "left").collect()
+        files += [{"path": f"{name}/" + r["at"].split(f"/{name}/", 1)[1], "rows": r["rows"] or 0, "bytes": r["length"]} for r in found]
+    files.sort(key=lambda f: f["path"])
+    return {"files": files, "rows": sum(f["rows"] for f in files), "bytes": sum(f["bytes"] for f in files)}
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path", "length")
+
+
+def write_manifest(spark: SparkSession, path: str) -> dict:
+    """The manifest, written beside the tables."""
+    found = manifest(spark, path)
+    write_report(spark, found, f"{path}/manifest.json")
+    return found
+
+
+def manifest_problems(spark: SparkSession, path: str) -> list[str]:
+    """Where a release isn't what its manifest says: totals that don't add up, files that are missing, new or of another size or count."""
+    said, found = read_report(spark, f"{path}/manifest.json"), manifest(spark, path)
+    out = [f"{k} don't add up" for k in ("rows", "bytes") if said[k] != sum(f[k] for f in said["files"])]
+    a, b = ({f["path"]: f for f in m["files"]} for m in (said, found))
+    out += [f"{p} is missing" for p in sorted(a.keys() - b.keys())] + [f"{p} isn't listed" for p in sorted(b.keys() - a.keys())]
+    return out + [f"{p} has {b[p][k]} {k}, not {a[p][k]}" for p in sorted(a.keys() & b.keys()) for k in ("rows", "bytes") if a[p][k] != b[p][k]]

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenura.functions.columns import ratio
+from tenura.operators.checks import compared_controls
+from tenura.sources.readers import read_controls
 
 SEGMENT_ORDER = {"dormant": 1, "light": 2, "steady": 3, "high": 4}
 OVERVIEW = ("eligible_subscribers", "active_subscribers", "observed_renewed_subscribers", "observed_churned_subscribers", "gross_receipts_lifetime", "gross_receipts_30d", "gross_receipts_90d", "subscription_event_count_lifetime", "cancellation_event_count_lifetime", "listening_active_days_30d", "listening_active_days_90d", "full_completion_count_30d", "negative_duration_rows_90d")
@@ -100,8 +102,39 @@ GRAIN = {
 }
 
 
+#: Columns and types of each table, in their order (fixed values of the published model).
+_SUMS = ", ".join(f"{c} bigint" for c in GROUP)
+SCHEMAS = {
+    "dim_label_window": "label_window string, history_cutoff date",
+    "dim_registration_cohort": "registration_cohort_key string, registration_cohort_month date, registration_cohort_label string, registration_cohort_sort int",
+    "dim_engagement_segment": "engagement_segment string, engagement_segment_sort int",
+    "dim_subscription_segment": "subscription_segment_key string, dimension string, segment_key string, segment_label string",
+    "dim_metric_definition": "metric_id string, definition string, grain string, direction string, limitation string",
+    "fct_retention_overview": "label_window string, " + ", ".join(f"{c} bigint" for c in OVERVIEW),
+    "fct_renewal_cohort": f"label_window string, registration_cohort_key string, {_SUMS}, gross_receipts_90d bigint",
+    "fct_engagement_segment": f"label_window string, engagement_segment string, {_SUMS}, average_listening_active_days_30d double, average_listening_seconds_30d double, full_completion_count_30d bigint",
+    "fct_subscription_segment": f"label_window string, subscription_segment_key string, {_SUMS}, gross_receipts_90d bigint",
+}
+
+
+def schema_problems(tables: dict[str, DataFrame]) -> list[str]:
+    """What differs from the published columns, their order or types; metadata alone, no job."""
+    found = {name: ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) for name, df in tables.items()}
+    missing = [f"{name} is missing" for name in SCHEMAS if name not in found] + [f"{name} isn't published" for name in found if name not in SCHEMAS]
+    return missing + [f"{name}: {found[name]} instead of {want}" for name, want in SCHEMAS.items() if name in found and found[name] != want]
+
+
+def exchanged_controls(tables: dict[str, DataFrame], windows: list[str], folder: str) -> DataFrame:
+    """The controls, written as an engine's export, read in again and compared with those of the star."""
+    expected = controls(tables, windows).withColumn("expected_value", F.col("actual_value").cast("double")).drop("actual_value")
+    controls(tables, windows).coalesce(1).write.option("header", True).csv(folder)
+    return compared_controls(expected, read_controls(tables["fct_retention_overview"].sparkSession, folder, "actual_value"))
+
+
 def contract(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table_name, rows, repeated_grain, null_grain, unreconciled): what a model over the star relies on, a row each."""
+    """(table_name, rows, repeated_grain, null_grain, unreconciled): what a model over the star relies on, a row each; raises where a schema drifted."""
+    if problems := schema_problems(tables):
+        raise ValueError("; ".join(problems))
     out = None
     for name, keys in GRAIN.items():
         df, null = tables[name], reduce(lambda a, b: a | b, (F.col(k).isNull() for k in keys))

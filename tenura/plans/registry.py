@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tenura.contracts import DEFAULT
-from tenura.operators import checks, curve, evaluation, facts, features, movement, quantiles, release
+from tenura.operators import bytescan, checks, curve, evaluation, facts, features, movement, quantiles, release
 from tenura.operators.scratch import scratch, written
 from tenura.plans import bi, oracle, serve, warehouse
 from tenura.plans.warehouse import Warehouse
@@ -133,6 +133,15 @@ def _timings(w: Warehouse) -> DataFrame:
     return found.withColumnRenamed("values", "events")
 
 
+def _scanned_release(w: Warehouse) -> DataFrame:
+    """Members' tokens and private names in the bytes of a release, written for the scan without compression."""
+    folder = f"{scratch(w.spark)}/releases/{uuid.uuid4().hex}"
+    for table in release.COLUMNS:
+        w.released(table).write.option("compression", "none").parquet(f"{folder}/{table}")
+    found = bytescan.scanned(w.spark, folder, frozenset({"subscriber_token", "msno", "age_reported"}), w.members.select("subscriber_token"))
+    return checks.counted(("real_tokens", found.filter("kind = 'token'")), ("private_names", found.filter("kind = 'name'")))
+
+
 def _empty_branch(w: Warehouse) -> DataFrame:
     """Members, and a branch that a constant condition switches off: it is pruned from the plan."""
     rows = w.members.select("subscriber_token", "gender", F.lit("member").alias("origin"))
@@ -266,9 +275,9 @@ QUERIES: dict[str, Query] = {
         f"{KEYS} transaction_date:d membership_expire_date:d payment_plan_days:i actual_amount_paid:i is_auto_renew:i is_cancel:i",
         f"SELECT * FROM reviewtx WHERE label_window = '{W2}' AND subscriber_token = {TOKEN_1}"),
     "api_journey_listening": Query(
-        lambda w: w.private.journey_listening(w.token, w.last),
+        lambda w: w.private.journey_listening(w.listener, w.last),
         f"{KEYS} activity_month:d active_days:i listening_seconds:f unique_track_count:i",
-        f"SELECT * FROM reviewday WHERE label_window = '{W2}' AND subscriber_token = {TOKEN_1}"),
+        f"SELECT * FROM reviewday WHERE label_window = '{W2}' AND subscriber_token = (SELECT min(subscriber_token) FROM reviewday WHERE label_window = '{W2}')"),
     "dq_null_cells": Query(lambda w: checks.null_cells(w.snapshot, ["subscriber_token", "is_churn", "registration_date", "gender", "latest_activity_date"]), "column_name:s violations:i",
         " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) - count({c}) AS violations FROM snap" for c in ("subscriber_token", "is_churn", "registration_date", "gender", "latest_activity_date"))),
     "dq_unique": Query(
@@ -341,6 +350,8 @@ QUERIES: dict[str, Query] = {
         lambda w: release.verification({t: w.released(t) for t in release.COLUMNS}, {"member": w.members, "subscription_transaction": w.transactions, "churn_label": w.labels, "listening_day": w.listening}),
         "table_name:s released_rows:i fact_rows:i null_keys:i repeated_keys:i",
         " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS released_rows, count(*) AS fact_rows, 0 AS null_keys, 0 AS repeated_keys FROM {r}" for n, r in (("member", "rel_member"), ("subscription_transaction", "rel_tx"), ("churn_label", "rel_label"), ("listening_day", "rel_day")))),
+    "release_byte_scan": Query(
+        _scanned_release, VIOLATIONS, " UNION ALL ".join(f"SELECT '{n}' AS check_id, 0 AS violations" for n in ("real_tokens", "private_names"))),
     "bi_dim_label_window": Query(lambda w: w.star["dim_label_window"], "label_window:s history_cutoff:d", "SELECT * FROM overview"),
     "bi_dim_registration_cohort": Query(
         lambda w: w.star["dim_registration_cohort"],
@@ -397,6 +408,18 @@ QUERIES: dict[str, Query] = {
         lambda w: bi.controls(w.star, [w.first, w.last]),
         "control_id:s measure_id:s actual_value:i",
         " UNION ALL ".join(f"SELECT label_window || ':{n}' AS control_id, 'overview_{n}' AS measure_id, {c} AS actual_value FROM overview" for n, c in (("eligible", "eligible_subscribers"), ("renewed", "observed_renewed_subscribers"), ("churned", "observed_churned_subscribers"), ("gross_receipts_lifetime", "gross_receipts_lifetime")))),
+    "bi_control_exchange": Query(
+        lambda w: bi.exchanged_controls(w.star, [w.first, w.last], f"{scratch(w.spark)}/controls/{uuid.uuid4().hex}"),
+        "control_id:s expected_value:f actual_value:f problem:s",
+        " UNION ALL ".join(f"SELECT label_window || ':{n}' AS control_id, {c} AS expected_value, {c} AS actual_value, NULL AS problem FROM overview" for n, c in (("eligible", "eligible_subscribers"), ("renewed", "observed_renewed_subscribers"), ("churned", "observed_churned_subscribers"), ("gross_receipts_lifetime", "gross_receipts_lifetime")))),
+    "reconcile_window_order": Query(
+        lambda w: checks.placed(w.windows, w.overview, "history_cutoff", ["label_window", "history_cutoff"]),
+        "position:i column_name:s expected:s actual:s",
+        " UNION ALL ".join(f"SELECT row_number() OVER (ORDER BY o.history_cutoff) AS position, '{c}' AS column_name, CAST(win.{c} AS VARCHAR) AS expected, CAST(o.{c} AS VARCHAR) AS actual FROM overview o JOIN win USING (label_window)" for c in ("label_window", "history_cutoff"))),
+    "curve_boundary_checks": Query(
+        lambda w: w.spark.createDataFrame(sorted(curve.boundary_checks(curve.CachedCurve.of(w.check_curve), w.settings.group_size, REQUEST).items()), "check_name string, passed boolean"),
+        "check_name:s passed:b",
+        " UNION ALL ".join(f"SELECT '{n}' AS check_name, count(*) > 0 AS passed FROM points" for n in ("formula_low", "formula_expected", "formula_high", "zero_capacity", "zero_lift", "threshold_one", "full_capacity", "high_cost_negative", "zero_value", "ordered_uncertainty", "whole_prefixes")), True),
     "movement_overview": Query(
         lambda w: movement.movements(w.overview, w.last, w.first),
         "metric:s kind:s direction:s comparison_value:f current_value:f delta:f shown_delta:r relative_percent:r tone:s",

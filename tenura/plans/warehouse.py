@@ -180,6 +180,12 @@ class Warehouse:
         source = {"member": self.members, "subscription_transaction": self.transactions, "churn_label": self.labels, "listening_day": self.listening}
         return release.released(table, source[table], release.publication_salt(self.spark, self.settings.release_salt))
 
+    @cached_property
+    def listener(self) -> str:
+        """The first token of the review set that has activity in the last window."""
+        rows = self.review_listening.filter(F.col("label_window") == self.last).agg(F.min(F.lower(F.hex("subscriber_token"))).alias("token")).first()
+        return rows["token"] or "0" * 24
+
     @cached_property
     def token(self) -> str:
         """The token of the review set's first subscriber, for the journey templates."""
@@ -252,6 +258,12 @@ def write_scores(w: Warehouse, stage: str) -> dict:
     w.__dict__["scores"] = w.spark.read.parquet(f"{stage}/subscriber_score")
     evaluation.require_scores(w.scores, w.features)
     curve.write_curve(w.curve, f"{stage}/score_curve.json")
+    written_curve = curve.CachedCurve.read(w.spark, f"{stage}/score_curve.json")
+    everyone = w.scores.filter("is_repeat_subscriber = 1").count()
+    base = curve.Scenario(min(everyone, 50_000) if everyone >= w.settings.group_size else 0, 0.1, 0.5, 2.0, 0.12, 0.04)
+    failed = [name for name, passed in curve.boundary_checks(written_curve, w.settings.group_size, base).items() if not passed]
+    if failed or everyone != (written_curve.points["contacts"].max() if everyone else 0):
+        raise ValueError(f"a curve of {everyone} subscribers fails {failed}")
     return {"kind": w.model.kind, "asked": w.settings.score_model, "scored_rows": rows, "window": w.last}
 
 

@@ -53,9 +53,9 @@ def read_versions(spark: SparkSession, *roots: str) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def read_controls(spark: SparkSession, path: str) -> DataFrame:
-    """Expected values by control_id of a headed CSV file, a row each; raises where an id is missing or there twice."""
-    rows = spark.read.schema("control_id string, measure_id string, expected_value double").options(header=True, mode="FAILFAST", enforceSchema=False).csv(path)
+def read_controls(spark: SparkSession, path: str, value: str = "expected_value") -> DataFrame:
+    """Values by control_id of a headed CSV file, expected ones or (actual_value) those of another engine; raises where an id is missing or there twice."""
+    rows = spark.read.schema(f"control_id string, measure_id string, {value} double").options(header=True, mode="FAILFAST", enforceSchema=False).csv(path)
     bad = rows.groupBy("control_id").agg(F.count("*").alias("n")).filter("n > 1 OR control_id IS NULL").limit(1).collect()
     if bad:
         raise ValueError(f"control {bad[0]['control_id']!r} is missing or repeated")

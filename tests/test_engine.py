@@ -190,6 +190,10 @@ def test_release(spark, tmp_path, small):
         assert release.wrong_pseudonyms(n, tables[n], sources[n], salt).isEmpty()
         assert release.wrong_pseudonyms(n, tables[n], sources[n], release.new_salt()).count() > 0
     release.write_release(tables, str(tmp_path / "release"))
+    said = release.write_manifest(spark, str(tmp_path / "release"))
+    assert said["rows"] == sum(df.count() for df in sources.values()) and release.manifest_problems(spark, str(tmp_path / "release")) == []
+    promote.write_report(spark, said | {"rows": said["rows"] + 1, "files": said["files"][1:] + [{"path": "member/none.parquet", "rows": 1, "bytes": 1}]}, str(tmp_path / "release/manifest.json"))
+    assert {p.split(" ", 1)[1] for p in release.manifest_problems(spark, str(tmp_path / "release"))} == {"don't add up", "is missing", "isn't listed"}
     files = {r["table_name"]: r for r in release.verified_files(spark, str(tmp_path / "release")).collect()}
     assert all(files[n]["rows"] == df.count() and files[n]["bytes"] > 0 for n, df in sources.items())
     assert sorted(p.name for p in (tmp_path / "release/subscription_transaction").glob("part=*")) == ["part=0", "part=1"]
@@ -232,14 +236,36 @@ def test_promotion_and_replay(spark, tmp_path):
 
 
 def test_controls_and_forbidden_keys(spark):
-    a = spark.createDataFrame([("x", 1.0), ("y", 2.0)], "control_id string, value double")
-    b = spark.createDataFrame([("x", 2.0), ("z", 1.0)], "control_id string, value double")
-    assert checks.compared_controls(a, a).isEmpty() and checks.compared_controls(a, b).count() == 3
+    a = spark.createDataFrame([("x", 1.0), ("y", 2.0), ("w", 5.0)], "control_id string, expected_value double")
+    b = spark.createDataFrame([("x", 2.0), ("z", 1.0), ("w", 5.0)], "control_id string, actual_value double")
+    checks.require_controls(checks.compared_controls(a, a.withColumnRenamed("expected_value", "actual_value")))
+    assert {r["control_id"]: r["problem"] for r in checks.compared_controls(a, b).collect()} == {"x": "differs", "y": "missing", "z": "not expected", "w": None}
+    with pytest.raises(ValueError, match="x: differs; y: missing; z: not expected"):
+        checks.require_controls(checks.compared_controls(a, b))
+    zipped = checks.placed(a.drop("expected_value"), b.select("control_id").limit(2), "control_id", ["control_id"])
+    assert {r["position"]: (r["expected"], r["actual"]) for r in zipped.collect()} == {1: ("w", "x"), 2: ("x", "z"), 3: ("y", None)}
     assert checks.forbidden_keys({"a": [{"msno": 1}], "b": {"gender": 2}}, frozenset({"msno", "gender"})) == ["$.a[0].msno", "$.b.gender"]
     got = spark.createDataFrame([(0.0, 0.0), (1.0, 0.0), (3.0, 2.0)], "a double, e double").select(checks.relative_error(F.col("a"), F.col("e"))).collect()
     assert [r[0] for r in got] == [0.0, 1.0, 0.5]
 
 
+def test_star_schema_and_boundaries(spark, small):
+    from tenura.plans import bi
+
+    w = Warehouse(spark, small)
+    assert bi.schema_problems(w.star) == []
+    broken = w.star | {"dim_label_window": w.star["dim_label_window"].select("history_cutoff", "label_window"), "more": spark.range(1)}
+    del broken["fct_renewal_cohort"]
+    assert len(bi.schema_problems(broken)) == 3
+    with pytest.raises(ValueError, match="instead of"):
+        bi.contract(w.star | {"dim_label_window": spark.range(1)})
+    cached = curve.CachedCurve.of(spark.createDataFrame(CURVE, CURVE_SCHEMA))
+    checked = curve.boundary_checks(cached, 100, curve.Scenario(200, 0.1, 0.5, 2.0, 0.12, 0.04))
+    assert len(checked) == 11 and all(checked.values())
+    cached.points["minimum_score"][2] = 0.9
+    assert not curve.boundary_checks(cached, 100, curve.Scenario(200, 0.1, 0.5, 2.0, 0.12, 0.04))["whole_prefixes"]
+
+
 def test_serving_refuses_and_bounds(spark, small):
     w = Warehouse(spark, small)
     with pytest.raises(ValueError):
