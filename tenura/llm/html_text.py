@@ -9,8 +9,14 @@
    BOILER_WORDS words within an article, mostly not links, on LONG_PAGES.
 3. Templates are deleted. Then rules for what recurs too little to be told by its
    count delete elements that by tag, role or class are menus, headers, footers,
-   sidebars, notices, adverts, forms, scripts, styles or reader comments. Within an
-   article a class name counts only if all its words say so.
+   sidebars, notices, adverts, forms, scripts, styles or reader comments. A class name
+   of which only some words say so counts where the element is mostly links. A form
+   around the article stays, its controls go. What is in a container of reader comments
+   is never the article, by whatever tag.
+4. On a page without an article, containers that each hold more than half of the
+   unlinked words of the one above stay whatever they are called.
+
+Parsing takes time in proportion to the page, whatever its markup.
 
 The text of what is left has character references decoded, white space within a
 block turned into one space, and blocks joined in page order by a line feed.
@@ -41,13 +47,14 @@ BROADCAST_ROWS = 2_000_000
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style title textarea noscript iframe xmp noembed noframes template".split())
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split())
-CHROME_TAGS = set("nav aside footer form head script style noscript template iframe svg math button select textarea input dialog menu object canvas audio video map title".split())
+CHROME_TAGS = set("nav aside footer head script style noscript template iframe svg math button select textarea input dialog menu object canvas audio video map title".split())
 CHROME_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 CHROME_WORDS = set(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer masthead banner ad ads adv advert adverts advertisement adsense sponsor sponsored "
     "promo promotion promoted cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup share sharing social comment comments reply replies "
     "disqus respond related recommended recommendations widget widgets toolbar pagination pager login search skip copyright toast".split()
 )
+COMMENT_WORDS = set("comment comments reply replies respond disqus".split())
 #: Further words of class names that say nothing of what an element holds.
 PLAIN_WORDS = set("user site page main box block list item area section wrapper wrap container inner outer content left right top bottom inline link links button buttons bar global local primary secondary the my js col row".split())
 #: What may be a template within an article.
@@ -58,39 +65,86 @@ CLOSES |= {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"},
 #: An open element of these tags keeps what is outside it open.
 FENCE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "option": {"select"}}
 
+#: Elements that a start tag may close, or that keep it from closing others.
+PLACED = BLOCK.union(*CLOSES.values(), *FENCE.values())
+
 #: A quoted value ends before white space, / or >; a tag with another quote, which isn't closed, ends at the next >.
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)"
     r"(?P<rest>(?:\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>])|[^>\"'])*(?=>)|[^>]*)>", re.S)
+#: What a page without any further > may still hold.
+_OPEN_END = re.compile(r"<!--.*\Z|<!\[CDATA\[.*\Z", re.S)
+#: A reference to a character number of ten digits or more, of which leading zeros count for nothing.
+_LONG_NUMBER = re.compile(r"&#0*([0-9]*);?")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+def decoded(text: str) -> str:
+    """text with its character references decoded; numbers beyond all characters are U+FFFD."""
+    if "&" not in text:
+        return text
+    if "&#" in text:
+        text = _LONG_NUMBER.sub(lambda m: "\ufffd" if len(m[1]) > 9 else m[0] if len(m[0]) < 100 else f"&#{m[1] or 0};", text)
+    return html.unescape(text)
+
+
+class Stack:
+    """The open elements, with the places of each tag's, of blocks' and of PLACED ones."""
+
+    def __init__(self, page: Page):
+        self.page, self.nodes, self.tags = page, [0], [""]
+        self.of_tag: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.placed: list[int] = []
+
+    def push(self, node: int, tag: str) -> None:
+        at = len(self.nodes)
+        self.nodes.append(node)
+        self.tags.append(tag)
+        self.of_tag.setdefault(tag, []).append(at)
+        if tag in BLOCK:
+            self.blocks.append(at)
+        if tag in PLACED:
+            self.placed.append(at)
+
+    def cut(self, at: int) -> None:
+        """Close all from this place on."""
+        while len(self.nodes) > at:
+            self.page.events.append((-self.nodes.pop() - 1, None))
+            self.of_tag[self.tags.pop()].pop()
+        for places in (self.blocks, self.placed):
+            while places and places[-1] >= at:
+                places.pop()
+
+
 class Page:
     """An element tree as parallel lists in page order, and the events open, text and close."""
 
     def __init__(self, source: str):
         self.tags, self.parents, self.chrome, self.main = [""], [-1], [False], [False]
-        self.named: dict[int, bool] = {}  # elements with a word of CHROME_WORDS in a class or id, and whether all its words say so
+        #: Elements with a word of CHROME_WORDS in a class or id, and whether all its words say so.
+        self.named: dict[int, bool | None] = {}
+        self.comments: set[int] = set()
         self.events: list[tuple[int, object]] = []  # (node, text), (node, None) opens, (-node - 1, None) closes
         self._parse(source)
         self._measure()
 
     def _parse(self, source: str) -> None:
-        stack, at, end = [0], 0, len(source)
+        stack, at, end, last = Stack(self), 0, len(source), source.rfind(">")
         while at < end:
-            found = _TAG.search(source, at)
+            found = (_TAG if at <= last else _OPEN_END).search(source, at)
             begin = found.start() if found else end
             if begin > at:
-                self.events.append((stack[-1], source[at:begin]))
+                self.events.append((stack.nodes[-1], source[at:begin]))
             if not found:
                 break
             at = found.end()
-            tag = found["tag"]
+            tag = found["tag"] if found.re is _TAG else None
             if not tag:
                 if found[0].startswith("<![CDATA["):
-                    self.events.append((stack[-1], html.escape(found[0][9:].removesuffix("]]>"))))
+                    self.events.append((stack.nodes[-1], html.escape(found[0][9:].removesuffix("]]>"))))
                 continue
             tag = tag.lower()
             if found["end"]:
@@ -99,7 +153,7 @@ class Page:
             self._make_room(stack, tag)
             node = len(self.tags)
             self.tags.append(tag)
-            self.parents.append(stack[-1])
+            self.parents.append(stack.nodes[-1])
             chrome, self.named[node], main = self._kind(tag, found["rest"])
             self.chrome.append(chrome)
             self.main.append(main)
@@ -111,37 +165,31 @@ class Page:
                 self.events.append((-node - 1, None))
                 at = stop.end() if stop else end
             else:
-                stack.append(node)
-        for node in reversed(stack[1:]):
-            self.events.append((-node - 1, None))
-
-    def _close(self, stack: list[int], tag: str) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if self.tags[stack[k]] == tag:
-                for node in reversed(stack[k:]):
-                    self.events.append((-node - 1, None))
-                del stack[k:]
-                return
-            if tag not in ("body", "html") and tag not in BLOCK and self.tags[stack[k]] in BLOCK:
-                return  # an inline end tag doesn't end blocks
+                stack.push(node, tag)
+        stack.cut(1)
+
+    @staticmethod
+    def _close(stack: Stack, tag: str) -> None:
+        places = stack.of_tag.get(tag)
+        # an inline end tag doesn't end blocks
+        if places and (tag in BLOCK or not stack.blocks or stack.blocks[-1] < places[-1]):
+            stack.cut(places[-1])
 
-    def _make_room(self, stack: list[int], tag: str) -> None:
+    @staticmethod
+    def _make_room(stack: Stack, tag: str) -> None:
         closes, fence = CLOSES.get(tag), FENCE.get(tag, ())
         while closes:
-            for k in range(len(stack) - 1, 0, -1):
-                open_tag = self.tags[stack[k]]
+            for k in reversed(stack.placed):
+                open_tag = stack.tags[k]
                 if open_tag in closes:
-                    for node in reversed(stack[k:]):
-                        self.events.append((-node - 1, None))
-                    del stack[k:]
+                    stack.cut(k)
                     break
                 if open_tag in fence or open_tag in BLOCK and open_tag != "p" and not (tag in FENCE and open_tag not in FENCE[tag] and open_tag in ("p", "tr", "td", "th")):
                     return
             else:
                 return
 
-    @staticmethod
-    def _kind(tag: str, attributes: str) -> tuple[bool, bool | None, bool]:
+    def _kind(self, tag: str, attributes: str) -> tuple[bool, bool | None, bool]:
         """Whether an element goes by tag or role, and by its names (by a part of one: False), and whether it is the main one."""
         chrome, named, main = tag in CHROME_TAGS, None, tag in ("article", "main")
         if attributes and not attributes.isspace():
@@ -161,6 +209,8 @@ class Page:
                         words = {w.lower() for w in _WORD.findall(name)}
                         if words & CHROME_WORDS:
                             named = named or words <= CHROME_WORDS | PLAIN_WORDS
+                            if words & COMMENT_WORDS and words <= COMMENT_WORDS | PLAIN_WORDS:
+                                self.comments.add(len(self.tags) - 1)
         return chrome, named, main
 
     def _measure(self) -> None:
@@ -174,7 +224,7 @@ class Page:
             in_link[node] = in_link[self.parents[node]] or self.tags[node] == "a"
         for k, (node, text) in enumerate(self.events):
             if isinstance(text, str):
-                plain = html.unescape(text) if "&" in text else text
+                plain = decoded(text)
                 self.texts[k] = plain
                 words = plain.split()
                 self.words[node] += len(words)
@@ -187,22 +237,32 @@ class Page:
                 parts[own] = [digest]
                 parts[self.parents[own]].append(digest)
         self.hashes = [int.from_bytes(p[0], "little", signed=True) if len(p[0]) == 8 and len(p) == 1 else 0 for p in parts]
+        in_comments = [False] * n
+        for node in range(1, n):
+            in_comments[node] = in_comments[self.parents[node]] or node in self.comments
+            self.main[node] = self.main[node] and not in_comments[node]
+        unlinked = [w - k for w, k in zip(self.words, linked, strict=True)]
         for node in range(n - 1, 0, -1):
             up = self.parents[node]
             self.words[up] += self.words[node]
             linked[up] += linked[node]
+            if self.tags[node] not in CHROME_TAGS and node not in self.comments:
+                unlinked[up] += unlinked[node]
             holds_main[up] = holds_main[up] or holds_main[node] or self.main[node]
         self.linked = linked
         self.holds_main = holds_main
-        marked = any(self.main)
+        bulk = set() if any(self.main) else self._bulk(unlinked)
         within = [False] * n
         for node in range(1, n):
             up = self.parents[node]
             within[node] = self.main[node] or within[up]
-            if self.named.get(node) is not None and self.tags[node] not in CHROME_TAGS:
-                # outside an article a part of a name is enough, but a wrapper of the article or of most of the page stays
-                wrapper = holds_main[node] or self.main[node] or not marked and self.words[node] > 0.6 * self.words[0]
-                self.chrome[node] |= not wrapper and (self.named[node] or not within[node] or 2 * linked[node] > self.words[node] > 0)
+            spared = holds_main[node] or self.main[node] or node in bulk
+            if self.tags[node] == "form":
+                self.chrome[node] |= not spared
+            if node in self.comments:
+                self.chrome[node] |= not holds_main[node]
+            elif self.named.get(node) is not None and self.tags[node] not in CHROME_TAGS:
+                self.chrome[node] |= not spared and (self.named[node] or 2 * linked[node] > self.words[node] > 0)
         gone = [False] * n
         for node in range(1, n):
             up = self.parents[node]
@@ -213,6 +273,19 @@ class Page:
         self.has_main = bool(content)
         self.content = content[0] if content else hash64("".join(self.texts.values()))
 
+    def _bulk(self, unlinked: list[int]) -> set[int]:
+        """The elements from the top down that each hold more than half of the unlinked words of the one above."""
+        largest = [0] * len(self.tags)
+        for node in range(1, len(self.tags)):
+            up = self.parents[node]
+            if self.tags[node] not in CHROME_TAGS and node not in self.comments and (not largest[up] or unlinked[node] > unlinked[largest[up]]):
+                largest[up] = node
+        found, at = set(), 0
+        while largest[at] and 2 * unlinked[largest[at]] > unlinked[at]:
+            at = largest[at]
+            found.add(at)
+        return found
+
     def may_be_template(self, node: int) -> bool:
         """Whether this block may be deleted as a template."""
         tag = self.tags[node]

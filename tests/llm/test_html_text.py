@@ -35,6 +35,38 @@ def test_names_and_quotes():
     assert text('<a title="q>r</a> <a href="/y">z</a>') == "r z" and text('<a href="/x>y" b>k</a>') == "k"
 
 
+def test_the_article_stays_whatever_is_around_it():
+    text = lambda h: Page(h).text()
+    words = lambda n, w: " ".join(f"{w}{k}" for k in range(n))
+    for n in (55, 61, 90):
+        body = words(n, "a")
+        assert text(f"<div class='content-with-sidebar'><p>{body}</p></div><div class=footer>{words(100 - n, 'f')}</div>") == body
+        assert text(f"<div id=sidebar-content><p>{body}</p></div><div class=footer>{words(45, 'f')}</div>") == body
+    assert text("<form id=aspnet><input type=hidden value=x><article>The text</article><button>Go</button></form>") == "The text"
+    assert text(f"<form><div><p>{words(30, 'a')}</p><select><option>x</select></div></form><form>search</form>") == words(30, "a")
+    assert text("<article>Main<form>subscribe</form></article>") == "Main"
+    assert text("<article><p>Text</p><div class='comments'><article>reader comment</article></div></article>") == "Text"
+    assert text("<article>Text</article><article class='comment'>reader</article><section id=comments><article>more</article></section>") == "Text"
+    assert text("<div><p>Text of some length here</p></div><article class=comment>reader</article>") == "Text of some length here"
+    assert text(f"<div><p>Text</p></div><div class=comments>{words(90, 'c')}</div>") == "Text"
+
+
+def test_hostile_markup_takes_time_in_proportion():
+    import time
+
+    began = time.perf_counter()
+    n = 60_000
+    many = [
+        '<a "' * n, '<a "' * n + ">", "<b>" * n + "</i>" * n, "<i><div>" + "<b>" * n + "</i>" * n, "<b>" * n + "<hr>" * n, "<p><b>" * n, "<!--" * n, "<![CDATA[" * n, "<" * n, "&#" * n,
+        "<td><p>" * n, "</x>" * n, "<script>" * n, "<a class='" * n, "<li><b>" * n, "&#" + "9" * n + ";", "&#" + "0" * n + "65;x", "<table><tr><td>" * n, "<select><option>" * n,
+    ]
+    texts = [Page(h).text() for h in many]
+    assert time.perf_counter() - began < 60 and texts[-4] == "\ufffd" and texts[-3] == "Ax"
+    began = time.perf_counter()
+    Page('<a "' * 1_250_000).text()
+    assert time.perf_counter() - began < 5
+
+
 def wild_pages():
     """Two hosts with menus, notices and in-article boxes that recur, and paragraphs that do too."""
     menu = "<div><ul><li><a href=/1>one</a></li><li><a href=/2>two</a></li></ul></div>"
