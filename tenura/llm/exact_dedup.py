@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tenura.llm.common import stored, table, whole_text
+from tenura.llm.common import shared_dir, stored, table, whole_text
 
 #: A digest with more than this share of a batch is joined by broadcast: there are at most 200 of those.
 HOT_SHARE = 1 / 200
@@ -48,21 +48,63 @@ def digest_of(column: str = "text") -> Column:
 
 
 class DigestIndex:
-    """A persistent table (digest, keep_id, first_batch), bucketed and sorted by digest."""
+    """A persistent table (digest, keep_id, first_batch), bucketed and sorted by digest.
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.name = spark, name
+    It lies below root, by default in the shared folder, in a folder whose name tells its
+    generation and buckets; a session whose catalog doesn't know the table registers it
+    from there. compact() writes the next generation, a sorted file a bucket, which a
+    merge join reads without sorting it (with OUTPUT_ORDER on).
+    """
+
+    COLUMNS = "digest binary, keep_id long, first_batch string"
+    OUTPUT_ORDER = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+    def __init__(self, spark: SparkSession, name: str, root: str | None = None):
+        self.spark, self.name, self.root = spark, name, root or f"{shared_dir(spark)}/digest_index"
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _generations(self) -> list[tuple[int, int, str]]:
+        """(generation, buckets, folder) of what is written whole, the oldest first."""
+        found = []
+        for s in self._fs.globStatus(self._path(f"{self.root}/{self.name}.g*")) or []:
+            generation, buckets = s.getPath().getName().removeprefix(f"{self.name}.g").split("b")
+            if self._fs.exists(self._path(s.getPath(), "_SUCCESS")):
+                found.append((int(generation), int(buckets), f"{self.root}/{s.getPath().getName()}"))
+        return sorted(found)
+
+    def _register(self) -> None:
+        _, buckets, folder = self._generations()[-1]
+        self.spark.sql(f"CREATE TABLE {self.name} ({self.COLUMNS}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{folder}'")
+
+    def _save(self, rows: DataFrame, buckets: int, folder: str, name: str) -> None:
+        rows.write.bucketBy(buckets, "digest").sortBy("digest").format("parquet").option("path", folder).saveAsTable(name)
 
     def create(self, rows: int) -> None:
-        """An empty index with buckets for about this many rows, unless there is one."""
-        if not self.spark.catalog.tableExists(self.name):
-            empty = self.spark.createDataFrame([], "digest binary, keep_id long, first_batch string")
+        """An empty index with buckets for about this many rows, unless there is one, here or from another session."""
+        if self.spark.catalog.tableExists(self.name):
+            return
+        if not self._generations():
             buckets = max(8, min(8192, -(-rows // BUCKET_ROWS)))
-            empty.write.bucketBy(buckets, "digest").sortBy("digest").format("parquet").saveAsTable(self.name)
+            self._save(self.spark.createDataFrame([], self.COLUMNS), buckets, f"{self.root}/{self.name}.g1b{buckets}", self.name)
+        else:
+            self._register()
 
     def buckets(self) -> int:
-        rows = self.spark.sql(f"DESCRIBE EXTENDED {self.name}").filter("col_name = 'Num Buckets'").collect()
-        return int(rows[0]["data_type"])
+        return self._generations()[-1][1]
+
+    def compact(self) -> None:
+        """One sorted file for each bucket, as a new generation that the table then reads; what a crash leaves of one isn't read."""
+        generation, buckets, folder = self._generations()[-1]
+        after = f"{self.root}/{self.name}.g{generation + 1}b{buckets}"
+        self._fs.delete(self._path(after), True)
+        passing = f"{self.name}_{uuid.uuid4().hex}"
+        # by the bucket's number: a repartition by digest would be taken for what the table's layout gives
+        self._save(self.read().repartition(buckets, F.pmod(F.hash("digest"), F.lit(buckets))), buckets, after, passing)
+        self.spark.sql(f"DROP TABLE {passing}")
+        self.spark.sql(f"DROP TABLE {self.name}")
+        self._register()
+        self._fs.delete(self._path(folder), True)
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -77,7 +119,9 @@ class DigestIndex:
          .write.bucketBy(n, "digest").sortBy("digest").format("parquet").mode("append").saveAsTable(self.name))
 
     def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name} PURGE")
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        for _, _, folder in self._generations():
+            self._fs.delete(self._path(folder), True)
 
     def ingest(self, docs: DataFrame, batch: str | None = None, runs: int = RUNS) -> tuple[DataFrame, DataFrame]:
         """Decide on a batch and append what is new.

@@ -50,6 +50,8 @@ _NOT_LETTER = re.compile(r"[\W\d_]+")
 def cleaned(token: str) -> str:
     """The letters of a token in lower case, one space where others stood, and a space at either end; empty without letters."""
     inner = _NOT_LETTER.sub(" ", token.lower()).strip()
+    if not inner.isascii() and not inner.replace(" ", "").isalpha():  # fractions, raised digits and number letters are no letters
+        inner = " ".join("".join(c if c.isalpha() else " " for c in inner).split())
     return f" {inner} " if inner else ""
 
 
@@ -235,11 +237,11 @@ def held_out() -> F.Column:
 
 
 def sampled(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> DataFrame:
-    """About per_language labelled documents of each language, by a hash of the id; part 0 of 5 is for calibration."""
+    """About per_language labelled documents of each language, by a hash of id and text; part 0 of 5 is for calibration."""
     learn = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     n = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     share = F.create_map(*[x for lang, k in n.items() for x in (F.lit(lang), F.lit(min(1.0, per_language / k)))]) if n else F.create_map(F.lit(""), F.lit(0.0))
-    h = F.xxhash64("doc_id")
+    h = F.xxhash64("doc_id", "text")
     return learn.filter(F.pmod(h, F.lit(1_000_003)) < F.element_at(share, F.col("lang")) * 1_000_003).select("text", "lang", F.pmod(F.shiftright(h, 24), F.lit(5)).alias("part"))
 
 

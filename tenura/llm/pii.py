@@ -68,13 +68,17 @@ INTRODUCTIONS = (
     "mit freundlichen grüßen", "je m'appelle", "cordialement,", "me llamo", "mi nombre es", "atentamente,",
 )
 SPEECH = "said says wrote writes told tells asked asks called calls phoned emailed replied replies met".split()
-_CAP = r"[A-ZÀ-ÖØ-ÞΆ-ΏΑ-ΫА-ЯЁ][a-zß-öø-ÿά-ώа-яё'’-]+"
+_UPPER, _LOWER = "A-ZÀ-ÖØ-ÞΆ-ΏΑ-ΫА-ЯЁ", "a-zß-öø-ÿά-ώа-яё"
+#: A word of a name: O'Neil, McDonald and Jean-Luc, too.
+_CAP = rf"[{_UPPER}](?:['’][{_UPPER}])?[{_LOWER}]+(?:(?:[-'’][{_UPPER}]?|[{_UPPER}])[{_LOWER}]+)*"
 
 _MAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9][A-Za-z0-9\-]*(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
 _V4 = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
 _V6 = r"(?<![\w:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])"
 #: Before a number of four parts: it is a version or a section.
 _VERSION = re.compile(r"(?i:\b(?:v|version|ver|release|rev|revision|build|firmware|kernel|section|chapter|no)|§)[ .:]*$")
+#: Four single digits at the start of a line number a section.
+_SECTION = re.compile(r"\s*(?:\d\.){3}\d\Z")
 _MAC = r"(?<![\w:])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![\w:])"
 _SECRET = r"(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth)\b[\"']?\s*[=:]\s*[\"']?)(?P<secret_value>[A-Za-z0-9+/_\-]{8,}=*)"
 _KEYS = r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_\-]{16,}|xox[abpr]-[A-Za-z0-9\-]{10,})\b"
@@ -82,7 +86,7 @@ _HEX = r"(?<!\w)(?=[0-9a-f]*[a-f])(?=[0-9a-f]*\d)[0-9a-f]{32,}(?!\w)"
 _IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b"
 _CARD = r"(?<![\w.])\d(?:[ -]?\d){12,18}(?![\w]|\.\d)"
 _SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
-_PHONE = r"(?<![\w.+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?)\d{2,4}(?:[ .\-]?\d{2,4}){1,3}(?!\w)|(?<![\w.+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?!\w)|(?<![\w.\-])\d{3}[ .\-]\d{3}[ .\-]\d{4}(?![\w\-])|(?<![\w.+\-/])0\d(?:[ .]\d{2}){4}(?![\w.\-/])|(?<![\w.+\-/])0\d{2,4}[ /]\d{6,8}(?![\w.\-/])"
+_PHONE = r"(?<![\w.+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?)\d{2,4}(?:[ .\-]?\d{2,4}){1,3}(?!\w)|(?<![\w.+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?!\w)|(?<![\w.\-])\d{3}[ .\-]\d{3}[ .\-]\d{4}(?![\w\-])|(?<![\w.+\-/])0\d(?:[ .]\d{2}){4}(?![\w.\-/])|(?<![\w.+\-/])0\d{2,4}[ /]\d{6,8}(?![\w.\-/])|(?<![\w.+\-/])0\d{2,4} \d{3,4} \d{3,4}(?![\w.\-/])"
 _NAME = rf"\b(?:{HONORIFIC})\b\.?\s+(?P<titled>{_CAP}(?:[ ]{_CAP})?)|\b(?P<full>(?:{'|'.join(n for v in GIVEN.values() for n in v)})[ ]{_CAP})(?!\w)"
 _PAIR = rf"{_CAP}[ ]{_CAP}(?!\w)"
 _VERBS = "|".join(SPEECH)
@@ -192,6 +196,12 @@ def widened(kind: str, entity: str, more: int) -> str:
     return entity + "0" * more if kind in ("secret", "key", "hex") else entity
 
 
+@functools.lru_cache(100)
+def given_order(kind: str, key: bytes, tweak: str) -> list[str]:
+    """The given names of a kind in a keyed order."""
+    return sorted(GIVEN[kind], key=lambda name: _stream(key, f"{tweak}|{kind}|{name}".encode(), 1))
+
+
 def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
     """The surrogate of a canonical entity."""
     tweak = f"{kind}{attempt}"
@@ -232,10 +242,10 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
         head = re.match(r"AKIA|gh[pousr]_|sk-|xox[abpr]-|", entity)[0]
         return head + placed(entity[len(head) :], key, tweak, _PLAIN)
     if kind == "given":
-        names = GIVEN[_GIVEN_LIST[entity.lower()]]
-        at = [n.lower() for n in names].index(entity.lower())
-        shift = _stream(key, f"{tweak}|{_GIVEN_LIST[entity.lower()]}".encode(), 1)[0] % (len(names) - 1) + 1
-        return names[(at + shift) % len(names)]
+        # each name's is the next one in a keyed order of its list: one pair tells nothing of another
+        names = given_order(_GIVEN_LIST[entity.lower()], key, tweak)
+        at = next(k for k, n in enumerate(names) if n.lower() == entity.lower())
+        return names[(at + 1) % len(names)]
     return placed(entity, key, tweak)
 
 
@@ -298,7 +308,7 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
             out.append((begin, end, kind, text[begin:end]))
         elif kind == "name":
             out += named(text, *(m.span("titled") if m["titled"] else m.span("full")))
-        elif kind == "ip4" and (_VERSION.search(text[max(0, m.start() - 16) : m.start()]) or max(map(int, m[0].split("."))) > 255 or len(m[0]) == 7):
+        elif kind == "ip4" and (_VERSION.search(text[max(0, m.start() - 16) : m.start()]) or max(map(int, m[0].split("."))) > 255 or _SECTION.match(text, max(0, text.rfind("\n", 0, m.start()) + 1), m.end())):
             continue
         elif kind == "ip6":
             try:

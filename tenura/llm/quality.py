@@ -49,7 +49,7 @@ def votes(text: str) -> tuple[int, ...]:
     if not n:
         return (BAD,) * len(LABELLERS)
     chars = sum(map(len, tokens))
-    letters = max(1, sum(map(str.isalpha, text)) if len(text) < 200 else len(re.findall(r"[^\W\d_]", text)))
+    letters = max(1, len(re.findall(r"[^\W\d_]", text)))
     lines = [x for x in text.split("\n") if x.strip()]
     kinds = len(set(tokens))
     longest = max(map(len, tokens))

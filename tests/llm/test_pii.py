@@ -152,3 +152,24 @@ def test_distinct_and_the_same_everywhere(spark):
 def test_surrogates_keep_the_form():
     for kind, entity in (("mail", "a.b7@x1.de"), ("ip4", "70.23.22.57"), ("card", "4111111111111111"), ("iban", "DE89370400440532013000"), ("phone", "+4930123456"), ("phone", "0301234567"), ("ssn", "123456789"), ("key", "sk-Ab12Cd34Ef56Gh78"), ("hex", "24be64439e3e49cf46b2d7c90f3602a3"), ("mac", "00:1b:44:11:3a:b7")):
         assert all(pii.form(kind, pii.surrogate(kind, entity, b"k", a)) == pii.form(kind, entity) for a in range(pii.ROUNDS))
+
+
+def test_short_addresses_inner_capitals_and_national_numbers():
+    from tenura.llm.pii import mentions
+
+    found = lambda text: [text[a:b] for a, b, _, _ in mentions(text)]
+    assert found("Logged in from 8.8.8.8 and 1.1.1.1 by root") == ["8.8.8.8", "1.1.1.1"] and found("version 1.2.3.4") == []
+    assert found("Mr O'Neil and Mrs McDonald saw Dr Jean-Luc Picard") == ["O'Neil", "McDonald", "Jean-Luc", "Picard"]
+    assert found("Call 020 7946 0958 now") == ["020 7946 0958"]
+    assert mentions("Mr A" + "a" * 50_000 + "1 b") is not None
+
+
+def test_one_pair_of_given_names_tells_no_other():
+    from tenura.llm.pii import GIVEN, surrogate
+
+    for names in GIVEN.values():
+        to = {n: surrogate("given", n, b"k" * 32) for n in names}
+        assert sorted(to.values()) == sorted(names) and all(a != b for a, b in to.items())
+        shifts = {(names.index(b) - names.index(a)) % len(names) for a, b in to.items()}
+        assert len(shifts) > len(names) // 3
+        assert to != {n: surrogate("given", n, b"j" * 32) for n in names}

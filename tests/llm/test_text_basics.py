@@ -32,8 +32,8 @@ def test_exact_dedup(spark):
     assert kept.columns == docs.columns and kept.count() == len({h for _, h in rows})
 
 
-def test_digest_index_appends(spark):
-    index = exact_dedup.DigestIndex(spark, "digests_test")
+def test_digest_index_appends(spark, tmp_path):
+    index = exact_dedup.DigestIndex(spark, "digests_test", str(tmp_path))
     index.ingest(frame(spark, ["one", "two", "Two"]))
     rows, _ = index.ingest(frame(spark, ["TWO", "three", "three"], [10, 11, 12]))
     got = {r["doc_id"]: (r["keep_id"], r["kept"], r["group_size"]) for r in rows.collect()}
@@ -42,12 +42,36 @@ def test_digest_index_appends(spark):
     assert exact_dedup.exact_dedup(frame(spark, [])).count() == 0
 
 
-def test_a_batch_may_come_again_after_a_failure(spark, monkeypatch):
+def test_the_index_outlives_its_session(spark, tmp_path):
+    root = str(tmp_path / "index")
+    first = exact_dedup.DigestIndex(spark, "digests_lasting", root)
+    first.ingest(frame(spark, ["one", "two"], [1, 2]), "a")
+    first.ingest(frame(spark, ["TWO", "three"], [3, 4]), "b")
+    spark.sql("DROP TABLE digests_lasting")  # as a catalog that knows nothing of it; its files stay
+    second = exact_dedup.DigestIndex(spark, "digests_lasting", root)
+    got = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in second.ingest(frame(spark, ["ONE", "four"], [5, 6]), "c")[0].collect()}
+    assert got == {5: (1, False), 6: (6, True)} and second.read().count() == 4
+    rows = sorted(map(tuple, second.read().collect()))
+    second.compact()
+    assert sorted(map(tuple, second.read().collect())) == rows and len(second._generations()) == 1 and second.buckets() == 8
+    files = [f for f in second.read().inputFiles()]
+    assert len(files) == len({f.rsplit("_", 1)[1] for f in files})
+    spark.conf.set(exact_dedup.DigestIndex.OUTPUT_ORDER, "true")
+    groups = exact_dedup.stored(frame(spark, ["one", "nine"], [8, 9]).select(exact_dedup.digest_of().alias("digest"), "doc_id"))
+    plan = second.unseen(groups)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset(exact_dedup.DigestIndex.OUTPUT_ORDER)
+    assert plan.count("Sort [") == 1 and plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" in plan
+    assert second.ingest(frame(spark, ["nine", "Four"], [9, 10]), "d")[0].filter("kept").count() == 1
+    second.drop()
+    assert second._generations() == []
+
+
+def test_a_batch_may_come_again_after_a_failure(spark, monkeypatch, tmp_path):
     first, second = frame(spark, ["old", "two"], [1, 2]), frame(spark, ["OLD", "new", "New", None, "x", "x"], [3, 4, 5, None, 7, 7])
-    want = exact_dedup.DigestIndex(spark, "digests_whole")
+    want = exact_dedup.DigestIndex(spark, "digests_whole", str(tmp_path))
     want.ingest(first, "a")
     want_rows = sorted(want.ingest(second, "b")[0].collect(), key=str)
-    index = exact_dedup.DigestIndex(spark, "digests_broken")
+    index = exact_dedup.DigestIndex(spark, "digests_broken", str(tmp_path))
     index.ingest(first, "a")
     append, calls = exact_dedup.DigestIndex.append, []
 
@@ -179,6 +203,9 @@ def test_language_edges(spark):
     got = {r["doc_id"]: r for r in language.identify(docs, models).collect()}
     assert got[30]["lang_pred"] == got[31]["lang_pred"] == "und" and got[0]["lang_pred"] == "en"
     assert got[31]["rejected"] and got[31]["score"] == 0
+    numbers = language.identify(frame(spark, ["½ ② Ⅷ ²", "12 ¾ _", "٣"]), models).collect()
+    assert all(r["lang_pred"] == "und" and r["score"] == 0 for r in numbers)
+    assert language.cleaned("½a²b") == " a b " and language.cleaned("É2") == " é " and language.cleaned("一二") == " 一二 "
     foreign = frame(spark, ["ψηφίδα κόσμου ξένη γλώσσα " * 20])
     assert language.identify(foreign, models).collect()[0]["rejected"]
     assert language.fit(frame(spark, [])) is None
