@@ -15,7 +15,7 @@ from tenura.operators import bytescan, checks, curve, evaluation, facts, feature
 from tenura.operators.scratch import scratch, written
 from tenura.plans import bi, oracle, serve, warehouse
 from tenura.plans.warehouse import Warehouse
-from tenura.streaming import event_windows
+from tenura.streaming import deliveries, event_windows
 
 _CASTS = {
     "i": lambda c: F.col(c).cast("bigint"), "f": lambda c: F.col(c).cast("double"), "r": lambda c: F.round(F.col(c).cast("double"), 6) + F.lit(0.0), "s": lambda c: F.col(c).cast("string"),
@@ -220,6 +220,9 @@ QUERIES: dict[str, Query] = {
     "listening_canonical": Query(lambda w: w.listening, f"{_DAY_KEYS} {DAY} activity_month:i", "SELECT * FROM day"),
     "label_canonical": Query(lambda w: w.labels, f"{KEYS} is_churn:i", "SELECT * FROM gaps"),
     "transaction_dedup_lineage": Query(lambda w: w.transactions, f"event_key:t subscriber_token:t {EVENT} source_versions:s", "SELECT * FROM tx"),
+    "streamed_deliveries": Query(
+        lambda w: deliveries.replayed(w.raw_transactions, f"{scratch(w.spark)}/deliveries/{uuid.uuid4().hex}").events(),
+        f"event_key:t subscriber_token:t {EVENT} source_versions:s", "SELECT * FROM tx"),
     "dedup_control_totals": Query(
         lambda w: facts.dedup_controls(w.raw_transactions),
         "source_rows:i accepted_rows:i removed_rows:i within_version_removed:i cross_version_events:i accepted_amount:i first_date:d last_date:d",
