@@ -95,11 +95,14 @@ def _decision(w: Warehouse) -> DataFrame:
     rows, found = _both(w), []
     parts = {"all": rows, "repeat": rows.filter("is_repeat_subscriber = 1"), "new": rows.filter("is_repeat_subscriber = 0")}
     for scope, part in parts.items():
+        if part.isEmpty():
+            found.append((scope, False, None, None))
+            continue
         own, base = evaluation.metric_set(part).first(), evaluation.metric_set(part.withColumn("p", F.col("base"))).first()
         intervals = {r["measure"]: r["low"] for r in evaluation.bootstrap(part).collect()} if scope != "new" else {}
-        better = (base["log_loss"] - own["log_loss"]) / base["log_loss"] if own else 0.0
-        gate = bool(own and intervals) and evaluation.ships(better, intervals["relative_log_loss_improvement"], own["expected_calibration_error"], own["top_decile_lift"] or 0.0, intervals["challenger_top_decile_lift"])
-        found.append((scope, gate, better, own["expected_calibration_error"] if own else None))
+        better = (base["log_loss"] - own["log_loss"]) / base["log_loss"]
+        limits = (intervals.get("relative_log_loss_improvement"), own["expected_calibration_error"], own["top_decile_lift"], intervals.get("challenger_top_decile_lift"))
+        found.append((scope, None not in limits and evaluation.ships(better, *limits), better, own["expected_calibration_error"]))
     decision = evaluation.decision(found[0][1], found[1][1], found[2][3] or 0.0)
     return w.spark.createDataFrame([(*r, decision) for r in found], "scope string, gate_passed boolean, relative_log_loss_improvement double, challenger_ece double, decision string")
 
