@@ -267,6 +267,9 @@ def write_scores(w: Warehouse, stage: str) -> dict:
     return {"kind": w.model.kind, "asked": w.settings.score_model, "scored_rows": rows, "window": w.last}
 
 
+_fitted: dict[tuple[str, str, str], evaluation.ChurnModel] = {}
+
+
 class StoredWarehouse(Warehouse):
     """Reads the current version of a built warehouse; what no folder holds is computed from what one does."""
 
@@ -282,6 +285,13 @@ class StoredWarehouse(Warehouse):
     def model(self) -> evaluation.ChurnModel:
         return evaluation.ChurnModel.load(self.spark, f"{self.folder}/churn_model")
 
+    def fitted(self, kind: str) -> evaluation.ChurnModel:
+        """A model of this version's rows, fitted once in an application."""
+        key = (self.spark.sparkContext.applicationId, self.folder, kind)
+        if key not in _fitted:
+            _fitted[key] = super().fitted(kind)
+        return _fitted[key]
+
     @cached_property
     def scores(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/subscriber_score")
