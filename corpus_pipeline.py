@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it
 kept; run() writes what each returns as Parquet in the shared folder and hands
 the reread table to the next. All but the last return the columns of documents.
+
+Defined results: null, empty and letterless texts go in the first stage, which knows
+no language of theirs, and so does everything where no document is labelled; of
+repeated rows of one doc_id and text one stays; a null doc_id ranks lowest among copies;
+further columns of documents are dropped in the first stage; an empty table gives no rows.
 """
 
 from __future__ import annotations
