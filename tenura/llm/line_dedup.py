@@ -4,11 +4,16 @@ Documents that overlap are found through shared line hashes: a rare line (in 2 t
 RARE documents) links each holder to the first holder and to the one before it; a
 window of lines of MIN_WORDS words or more links each holder to the first holder,
 however many hold it. So every common block of that many words is found, with a
-number of pairs in proportion to the lines. Each pair is aligned by patience diff;
-lines of aligned common blocks of MIN_WORDS words or more go from the later
-document (the larger doc_id). Lines are compared without white space at their
-ends; repeated or moved blocks, which patience diff leaves out, are found in the
-gaps by their window hashes.
+number of pairs in proportion to the lines. The lines of windows that a pair
+shares are aligned by patience diff; aligned common blocks of MIN_WORDS words or
+more go from the later document (the larger doc_id). Lines are compared without
+white space at their ends; repeated or moved blocks, which patience diff leaves
+out, go by their windows.
+
+A pair is worked on where the larger of its documents is, which is read and
+indexed once for all its pairs (once for each part, where it has very many): what
+moves for a pair is the smaller document, so one document of a hundred thousand
+sources, or the source of as many, costs in proportion to their lines.
 
 Defined results: null texts have one empty line and lose nothing; of repeated rows
 the later loses its blocks; rows with a null doc_id come first; lines are split at
@@ -21,6 +26,7 @@ from __future__ import annotations
 
 import uuid
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tenura.llm.common import lists_of, map_batches, mix, stored, table, whole_text
+from tenura.llm.common import lists_of, map_batches, map_partitions, mix, stored, table, whole_text
 
 MIN_WORDS, RARE = 20, 16
 #: Rows and lines of the removed that may be broadcast (under 20 MB); more are joined by a shuffle.
@@ -112,34 +118,50 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_lines(early: tuple[np.ndarray, np.ndarray], late: tuple[np.ndarray, np.ndarray], least: int = MIN_WORDS) -> np.ndarray:
-    """Positions of the late document's lines in common blocks of at least so many words."""
-    (ha, wa), (hb, wb) = early, late
-    gone = np.zeros(len(hb), dtype=bool)
-    run: list[int] = []
-    last = (-2, -2)
-    # only lines of both sides can match
-    at_a, at_b = np.flatnonzero(np.isin(ha, hb)).tolist(), np.flatnonzero(np.isin(hb, ha)).tolist()
-    matched = [(at_a[p], at_b[q]) for p, q in patience(ha[at_a].tolist(), hb[at_b].tolist())]
-    for p, q in [*matched, (-9, -9)]:
-        if (p - 1, q - 1) != last:
-            if run and wb[run].sum() >= least:
-                gone[run] = True
-            run = []
-        run.append(q)
-        last = (p, q)
-    begin, end, keys = windows(hb, wb, least)
-    for k in np.flatnonzero(np.isin(keys, windows(ha, wa, least)[2])):
-        gone[begin[k] : end[k]] = True
-    return np.flatnonzero(gone)
+def spread(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers from each begin up to its end."""
+    n = end - begin
+    return np.repeat(end - np.cumsum(n), n) + np.arange(n.sum())
+
+
+class Lines:
+    """A document's lines, and its windows in the order of their hashes."""
+
+    def __init__(self, hashes: np.ndarray, words: np.ndarray, least: int = MIN_WORDS):
+        begin, end, keys = windows(hashes, words, least)
+        order = np.argsort(keys, kind="stable")
+        self.hashes, self.words, self.least = hashes, words, least
+        self.begin, self.end, self.keys = begin[order], end[order], keys[order]
+
+    def inside(self, keys: np.ndarray) -> np.ndarray:
+        """Positions of the lines in windows with one of these distinct hashes."""
+        at = spread(np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, side="right"))
+        return np.unique(spread(self.begin[at], self.end[at]))
+
+
+def common_lines(early: Lines, late: Lines) -> np.ndarray:
+    """Positions of the late document's lines in common blocks of MIN_WORDS words or more.
+
+    The one with more windows is only searched, never read through.
+    """
+    few, many = sorted((early, late), key=lambda x: len(x.keys))
+    keys = np.unique(few.keys)
+    keys = keys[np.searchsorted(many.keys, keys) < np.searchsorted(many.keys, keys, side="right")]
+    at_a, at_b = early.inside(keys), late.inside(keys)
+    matched = np.array(patience(early.hashes[at_a].tolist(), late.hashes[at_b].tolist()), dtype=np.int64).reshape(-1, 2)
+    p, q = at_a[matched[:, 0]], at_b[matched[:, 1]]
+    block = np.cumsum(np.concatenate([[0], (np.diff(p) != 1) | (np.diff(q) != 1)]))[: len(q)]
+    aligned = q[np.bincount(block, weights=late.words[q])[block] >= late.least]
+    moved = np.setdiff1d(at_b, aligned, assume_unique=True)  # in windows of both, but elsewhere or once more
+    return np.union1d(aligned, moved)
 
 
 def sequences(numbered: DataFrame) -> DataFrame:
-    """line_row, doc_id, hashes and words (of each line)."""
+    """line_row, doc_id, hashes, words (of each line) and line_count."""
     lines = F.transform(F.split(whole_text(), "\n", -1), lambda x: F.trim(x, F.lit(" \t\r")))
     words = F.transform("lines", lambda x: F.when(x == "", 0).otherwise(line_words(x)))
     rows = numbered.select("line_row", "doc_id", lines.alias("lines"))
-    return rows.select("line_row", "doc_id", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), words.alias("words"))
+    return rows.select("line_row", "doc_id", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), words.alias("words"), F.size("lines").alias("line_count"))
 
 
 def line_words(line: Column) -> Column:
@@ -189,27 +211,68 @@ def pairs_of(keys: DataFrame, rare: int = RARE) -> DataFrame:
     return to_first.unionByName(chain).filter("early != late").distinct()
 
 
-def removed_lines(rows: DataFrame, pairs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """(line_row, removed): the lines that go from each later document."""
+def dealt(pairs: DataFrame, key: str, most: int, name: str) -> DataFrame:
+    """pairs with a part: those of a key with more than most of them are dealt to several tasks."""
+    many = pairs.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > most)
+    many = F.broadcast(many.select(key, F.ceil(F.col("n") / most).cast("int").alias("parts")))  # fewer than 1 / HOT_SHARE
+    part = F.pmod(F.xxhash64("early", "late"), F.coalesce("parts", F.lit(1))).cast("int")
+    return pairs.join(many, key, "left").withColumn(name, part).drop("parts")
+
+
+def beside(pairs: DataFrame, key: str, rows: DataFrame, most: int) -> DataFrame:
+    """pairs with the columns of a document (rows by line_row) beside each."""
+    parted = dealt(pairs, key, most, "deal")
+    copies = parted.select(key, "deal").distinct().join(rows.withColumnRenamed("line_row", key), key)
+    return parted.join(copies, [key, "deal"]).drop("deal")
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        columns = [[x.values.to_numpy() for x in batch.column(c)] for c in ("ha", "wa", "hb", "wb")]
-        found = [common_lines((ha, wa), (hb, wb), least) for ha, wa, hb, wb in zip(*columns, strict=True)]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.concatenate(found).astype(np.int32) if len(found) else np.zeros(0, np.int32)
-        return pa.RecordBatch.from_arrays([batch.column("late"), lists_of(flat, counts, pa.int32())], ["line_row", "lines"])
 
-    side = lambda name, tail: rows.select(F.col("line_row").alias(name), F.col("hashes").alias("h" + tail), F.col("words").alias("w" + tail))
+def gathered(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """anchor, part, guest, at_late, hashes and words: a row for each anchor and part (guest null), before one for each of its guests.
+
+    Of a pair the earlier document is the anchor, or the later one where it has twice as many lines (at_late).
+    """
     pairs = stored(pairs)
-    # the pairs of an early document with many are dealt to several tasks, each with a copy of it
-    each = pairs.groupBy("early").agg(F.count("*").alias("n"))
     most = max(1, int(pairs.count() * HOT_SHARE))
-    hot = F.broadcast(stored(each.filter(F.col("n") > most).select("early", F.ceil(F.col("n") / most).cast("long").alias("parts"))))
-    parts = F.coalesce("parts", F.lit(1).cast("long"))
-    dealt = pairs.join(hot, "early", "left").withColumn("part", F.pmod(F.xxhash64("late"), parts)).drop("parts")
-    copies = side("early", "a").join(hot, "early", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
-    both = dealt.join(copies, ["early", "part"]).join(side("late", "b"), "late").select("late", "ha", "wa", "hb", "wb")
-    gone = map_batches(both, run, "line_row long, lines array<int>").select("line_row", F.explode("lines").alias("line"))
+    count = lambda name: rows.select("line_row", F.col("line_count").alias(name))
+    sized = beside(beside(pairs, "early", count("of_early"), most), "late", count("of_late"), most)
+    sized = sized.withColumn("at_late", F.col("of_late") > 2 * F.col("of_early"))
+    anchor, guest = (F.when(F.col("at_late"), F.col(x)).otherwise(F.col(y)) for x, y in (("late", "early"), ("early", "late")))
+    placed = stored(sized.select("early", "late", "at_late", anchor.alias("anchor"), guest.alias("guest")))
+    placed = stored(dealt(placed, "anchor", most, "part"))
+    lines = rows.select("line_row", "hashes", "words")
+    columns = ["anchor", "part", "guest", "at_late", "hashes", "words"]
+    hosts = placed.select("anchor", "part").distinct().join(lines.withColumnRenamed("line_row", "anchor"), "anchor")
+    hosts = hosts.withColumn("guest", F.lit(None).cast("long")).withColumn("at_late", F.lit(False)).select(*columns)
+    both = hosts.unionByName(beside(placed, "guest", lines, most).select(*columns))
+    return both.repartition("anchor", "part").sortWithinPartitions("anchor", "part", F.col("guest").isNotNull())
+
+
+def removed_lines(rows: DataFrame, pairs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+    """(line_row, removed): the lines that go from each later document."""
+
+    def made(found: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        counts = np.fromiter((len(x) for _, x in found), np.int64, len(found))
+        flat = np.concatenate([x for _, x in found]).astype(np.int32) if found else np.zeros(0, np.int32)
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), lists_of(flat, counts, pa.int32())], ["line_row", "lines"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchor, document, gone = -1, None, np.zeros(0, dtype=bool)
+        for batch in batches:
+            found = []
+            anchors, guests, at_late = (batch.column(c).to_pylist() for c in ("anchor", "guest", "at_late"))
+            for k, (h, w) in enumerate(zip(batch.column("hashes"), batch.column("words"), strict=True)):
+                lines = Lines(h.values.to_numpy(), w.values.to_numpy(), least)
+                if guests[k] is None:
+                    found.append((anchor, np.flatnonzero(gone)))
+                    anchor, document, gone = anchors[k], lines, np.zeros(len(h), dtype=bool)
+                elif at_late[k]:
+                    gone[common_lines(lines, document)] = True
+                else:
+                    found.append((guests[k], common_lines(document, lines)))
+            yield made([x for x in found if len(x[1])])
+        yield made([(anchor, np.flatnonzero(gone))] if gone.any() else [])
+
+    gone = map_partitions(gathered(rows, pairs), run, "line_row long, lines array<int>").select("line_row", F.explode("lines").alias("line"))
     return stored(gone.groupBy("line_row").agg(F.array_sort(F.collect_set("line")).alias("removed")))
 
 

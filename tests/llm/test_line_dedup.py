@@ -40,7 +40,7 @@ def test_patience_matches_in_order():
 
 
 def test_common_lines_of_a_pair():
-    make = lambda x: (np.array(x, dtype=np.int64), np.full(len(x), 10, dtype=np.int32))
+    make = lambda x: ld.Lines(np.array(x, dtype=np.int64), np.full(len(x), 10, dtype=np.int32))
     assert ld.common_lines(make([1, 2, 3]), make([9, 2, 3, 8])).tolist() == [1, 2]
     assert ld.common_lines(make([1, 2, 3]), make([9, 2, 8, 3])).tolist() == []
     assert ld.common_lines(make([1, 2, 3, 4]), make([3, 4, 1, 2])).tolist() == [0, 1, 2, 3]
@@ -93,3 +93,20 @@ def test_a_document_of_very_many_lines_and_a_window_that_all_hold(spark):
     got = {r["doc_id"]: r["removed_lines"] for r in ld.dedup_lines(frame(spark, texts)).collect()}
     assert got[0] == [] and all(got[k] == [1] for k in range(1, 401))
     assert got[401] == list(range(1, 8_001))
+
+
+def test_one_document_of_very_many_sources_and_one_source_of_very_many(spark):
+    quote = lambda k: "\n\n".join(f"source {k} says in its line {j} what others quote" for j in range(4))
+    texts = [f"own {k}\n{quote(k)}" for k in range(600)]
+    texts += ["\n".join(f"between\n{quote(k)}" for k in range(600))]
+    texts += [f"{quote(k)}\n\nother words {k}" for k in range(0, 600, 2)] + [f"{quote(k)}\n{quote(k + 1)}" for k in range(0, 600, 3)]
+    docs = frame(spark, texts)
+    got = {r["doc_id"]: r["removed_lines"] for r in ld.dedup_lines(docs).collect()}
+    want = {k: [] for k in range(600)} | {600: [x for x in range(4_800) if x % 8]}
+    assert got == want | {k: list(range(7)) for k in range(601, 901)} | {k: list(range(14)) for k in range(901, 1_101)}
+    # what moves to the tasks is in proportion to the lines, though one document has 600 pairs as the later and 500 as the earlier one
+    rows = ld.stored(ld.sequences(docs.select(ld.F.monotonically_increasing_id().alias("line_row"), "doc_id", "text")))
+    moved = ld.gathered(rows, ld.pairs_of(ld.keys_of(rows))).select(ld.F.sum(ld.F.size("hashes"))).first()[0]
+    parts = 1 / ld.HOT_SHARE
+    longest = texts[600].count("\n") + 1
+    assert moved < 3 * sum(x.count("\n") + 1 for x in texts) + parts * longest
