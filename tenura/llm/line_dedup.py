@@ -174,7 +174,7 @@ def line_words(line: Column) -> Column:
 
 
 def keys_of(rows: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """(key, window, doc_id, line_row): the distinct lines and windows of each document."""
+    """(key, window, doc_id, line_row, line_count): the distinct lines and windows of each document."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found, kinds, counts = [], [], []
@@ -186,44 +186,43 @@ def keys_of(rows: DataFrame, least: int = MIN_WORDS) -> DataFrame:
             kinds += [np.zeros(len(single), bool), np.ones(len(several), bool)]
             counts.append(len(single) + len(several))
         of = pa.array(np.repeat(np.arange(batch.num_rows), counts))
-        columns = [pa.array(np.concatenate(found)), pa.array(np.concatenate(kinds)), batch.column("doc_id").take(of), batch.column("line_row").take(of)]
-        return pa.RecordBatch.from_arrays(columns, ["key", "window", "doc_id", "line_row"])
+        names = ["doc_id", "line_row", "line_count"]
+        columns = [pa.array(np.concatenate(found)), pa.array(np.concatenate(kinds)), *(batch.column(c).take(of) for c in names)]
+        return pa.RecordBatch.from_arrays(columns, ["key", "window", *names])
 
-    return map_batches(rows, run, "key long, window boolean, doc_id long, line_row long")
+    return map_batches(rows, run, "key long, window boolean, doc_id long, line_row long, line_count int")
 
 
 def pairs_of(keys: DataFrame, rare: int = RARE) -> DataFrame:
-    """(early, late) rows of documents that share a rare line or a window of lines."""
-    order = F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "line_row")
-    seen = keys.withColumn("place", order)
+    """(early, of_early, late, of_late): rows of documents that share a rare line or a window of lines, with their numbers of lines."""
+    order = F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "line_row", "line_count")
+    seen = stored(keys).withColumn("place", order)
     shared = seen.groupBy("key", "window").agg(F.count("*").alias("n"), F.min("place").alias("first")).filter("n > 1")
-    shared = stored(shared.filter(F.col("window") | (F.col("n") <= rare)))
+    first = F.struct("first.line_row", "first.line_count").alias("first")
+    shared = stored(shared.filter(F.col("window") | (F.col("n") <= rare)).select("key", "window", "n", first))
     # the rows of a key with a large share of them are dealt to several tasks
     most = max(1, int((shared.agg(F.sum("n")).first()[0] or 0) * HOT_SHARE))
     hot = F.broadcast(shared.filter(F.col("n") > most).select("key", "window", F.ceil(F.col("n") / most).cast("int").alias("parts")))
     dealt = seen.join(hot, ["key", "window"], "left").withColumn("part", F.pmod(F.xxhash64("line_row"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     parts = F.when(F.col("n") > most, F.ceil(F.col("n") / most).cast("int")).otherwise(1)
     copies = shared.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    held = stored(dealt.join(copies, ["key", "window", "part"]).select("key", "window", "n", "place", F.col("first.line_row").alias("first"), "line_row"))
-    to_first = held.select(F.col("first").alias("early"), F.col("line_row").alias("late"))
+    held = stored(dealt.join(copies.hint("merge"), ["key", "window", "part"]).select("key", "window", "n", "place", "first"))
+    pair = lambda a, b: f"struct({a}.line_row AS early, {a}.line_count AS of_early, {b}.line_row AS late, {b}.line_count AS of_late)"
+    to_first = held.select(F.expr(pair("first", "place")).alias("x")).select("x.*")
     few = held.filter(~F.col("window")).groupBy("key").agg(F.array_sort(F.collect_list("place")).alias("places"))  # at most rare places
-    chain = few.select(F.explode(F.expr("transform(sequence(1, size(places) - 1), k -> struct(places[k - 1].line_row AS early, places[k].line_row AS late))")).alias("x")).select("x.*")
+    chain = few.select(F.explode(F.expr(f"transform(sequence(1, size(places) - 1), k -> {pair('places[k - 1]', 'places[k]')})")).alias("x")).select("x.*")
     return to_first.unionByName(chain).filter("early != late").distinct()
 
 
-def dealt(pairs: DataFrame, key: str, most: int, name: str) -> DataFrame:
-    """pairs with a part: those of a key with more than most of them are dealt to several tasks."""
-    many = pairs.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > most)
-    many = F.broadcast(many.select(key, F.ceil(F.col("n") / most).cast("int").alias("parts")))  # fewer than 1 / HOT_SHARE
-    part = F.pmod(F.xxhash64("early", "late"), F.coalesce("parts", F.lit(1))).cast("int")
-    return pairs.join(many, key, "left").withColumn(name, part).drop("parts")
+def many_of(pairs: DataFrame, key: str, most: int) -> DataFrame:
+    """(key, parts) of those with more than most pairs: fewer than 1 / HOT_SHARE."""
+    return F.broadcast(pairs.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > most).select(key, F.ceil(F.col("n") / most).cast("int").alias("parts")))
 
 
-def beside(pairs: DataFrame, key: str, rows: DataFrame, most: int) -> DataFrame:
-    """pairs with the columns of a document (rows by line_row) beside each."""
-    parted = dealt(pairs, key, most, "deal")
-    copies = parted.select(key, "deal").distinct().join(rows.withColumnRenamed("line_row", key), key)
-    return parted.join(copies, [key, "deal"]).drop("deal")
+def dealt(pairs: DataFrame, key: str, many: DataFrame, name: str, by: tuple[str, ...]) -> DataFrame:
+    """pairs with a part: those of a key with many are dealt to several tasks."""
+    part = F.pmod(F.xxhash64(*by), F.coalesce("parts", F.lit(1))).cast("int")
+    return pairs.join(many, key, "left").withColumn(name, part).drop("parts")
 
 
 def gathered(rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -231,19 +230,18 @@ def gathered(rows: DataFrame, pairs: DataFrame) -> DataFrame:
 
     Of a pair the earlier document is the anchor, or the later one where it has twice as many lines (at_late).
     """
-    pairs = stored(pairs)
+    at_late = F.col("of_late") > 2 * F.col("of_early")
+    anchor, guest = F.when(at_late, F.col("late")).otherwise(F.col("early")), F.when(at_late, F.col("early")).otherwise(F.col("late"))
+    pairs = stored(pairs.select(at_late.alias("at_late"), anchor.alias("anchor"), guest.alias("guest")))
     most = max(1, int(pairs.count() * HOT_SHARE))
-    count = lambda name: rows.select("line_row", F.col("line_count").alias(name))
-    sized = beside(beside(pairs, "early", count("of_early"), most), "late", count("of_late"), most)
-    sized = sized.withColumn("at_late", F.col("of_late") > 2 * F.col("of_early"))
-    anchor, guest = (F.when(F.col("at_late"), F.col(x)).otherwise(F.col(y)) for x, y in (("late", "early"), ("early", "late")))
-    placed = stored(sized.select("early", "late", "at_late", anchor.alias("anchor"), guest.alias("guest")))
-    placed = stored(dealt(placed, "anchor", most, "part"))
-    lines = rows.select("line_row", "hashes", "words")
-    columns = ["anchor", "part", "guest", "at_late", "hashes", "words"]
-    hosts = placed.select("anchor", "part").distinct().join(lines.withColumnRenamed("line_row", "anchor"), "anchor")
-    hosts = hosts.withColumn("guest", F.lit(None).cast("long")).withColumn("at_late", F.lit(False)).select(*columns)
-    both = hosts.unionByName(beside(placed, "guest", lines, most).select(*columns))
+    placed = stored(dealt(pairs, "anchor", many_of(pairs, "anchor", most), "part", ("guest",)))
+    hosts = placed.select(F.col("anchor").alias("line_row"), "anchor", "part", F.lit(None).cast("long").alias("guest"), F.lit(False).alias("at_late")).distinct()
+    wanted = hosts.unionByName(placed.select(F.col("guest").alias("line_row"), "anchor", "part", "guest", "at_late"))
+    many = many_of(wanted, "line_row", most)
+    copies = rows.select("line_row", "hashes", "words").join(many, "line_row", "left")
+    copies = copies.withColumn("deal", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    wanted = dealt(wanted, "line_row", many, "deal", ("anchor", "part", "guest"))
+    both = wanted.join(copies.hint("merge"), ["line_row", "deal"]).drop("line_row", "deal")
     return both.repartition("anchor", "part").sortWithinPartitions("anchor", "part", F.col("guest").isNotNull())
 
 
