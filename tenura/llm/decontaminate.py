@@ -3,10 +3,11 @@
 1. Document frequencies of the benchmark's terms over all documents give IDF
    weights; a word that no item holds weighs as much as the rarest.
 2. Items are cut into passages of PASSAGE words, STEP apart (shorter ones stay
-   whole). The TF-IDF rows of these passages and of windows of a bounded sample of
-   documents (SAMPLE_DOCS) are factored by a distributed randomised SVD, both with
-   the same total weight: tasks return A'(A Q) as partial sums by term, the driver
-   orthonormalises a matrix of at most TERMS rows.
+   whole). The TF-IDF rows of these passages and of windows of all documents are
+   factored by a randomised SVD, both with the same total weight. Up to GRAM_TERMS
+   terms, tasks add up A'A by pairs of terms in one pass; with more they return
+   A'(A Q) as partial sums by term in each round. The driver orthonormalises a matrix
+   of at most TERMS rows.
 3. Windows of documents, as long as passages and STEP apart too, are compared with
    all passages by their cosine in the latent space; pairs of CANDIDATE or more go
    on. Only windows are projected that lie in a stretch with HELD of the weight of the
@@ -40,6 +41,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,8 +50,8 @@ from tenura.llm.common import hash64, held, map_batches, stored, table, whole_te
 
 #: Terms are hashed to so many rows at most; latent dimensions, and further ones for the range finder; power iterations.
 TERMS, LATENT, SPARE, ROUNDS = 65_536, 128, 16, 2
-#: Documents (about) whose windows join the items in the fit, the documented bound of its sample.
-SAMPLE_DOCS = 2_000
+#: Terms up to which A'A is summed once, as a dense square in each task; its rows that are added up together, tasks whose sums one group holds, and documents cut into windows together.
+GRAM_TERMS, GRAM_ROWS, GRAM_TASKS, CUT_DOCS = 4_096, 32, 64, 512
 #: Words of a passage and of a window, and between the beginnings of two.
 PASSAGE, STEP = 16, 4
 #: Cosine in the latent space of a window and a passage.
@@ -147,32 +149,108 @@ def beginnings(n: int, length: int = PASSAGE, step: int = STEP) -> list[int]:
     return sorted({*range(0, max(1, n - length + 1), step), max(0, n - length)})
 
 
+def list_array(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    """Lists of so many of the values each, one after the other."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
+
+
+def window_rows(texts: list[np.ndarray], length: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """tfidf() of the windows of so many words, end to end, of texts given as terms: rows and weights of all that hold a term, and how many each has."""
+    counts = np.array([-(-len(x) // length) for x in texts], np.int64)
+    first = np.cumsum(counts) - counts
+    lengths = np.array([len(x) for x in texts], np.int64)
+    terms = np.concatenate([np.zeros(0, np.int64), *texts]).astype(np.int64)
+    window = np.repeat(first, lengths) + ranges(lengths) // length
+    inside = terms >= 0
+    cells, tf = np.unique(window[inside] * len(idf) + terms[inside], return_counts=True)
+    of, rows = np.divmod(cells, len(idf))
+    weights, n = tf * idf[rows], int(counts.sum())
+    outside = np.bincount(window[~inside], minlength=n) * idf.max(initial=0.0) ** 2
+    norms = np.sqrt(np.bincount(of, weights**2, n) + outside)
+    sizes = np.bincount(of, minlength=n)
+    return rows.astype(np.int32), weights / np.where(norms > 0, norms, 1.0)[of], sizes[sizes > 0]
+
+
 def passages(items: DataFrame, docs: DataFrame, vocabulary, idf) -> DataFrame:
-    """The matrix to factor, a row (rows, weights) a passage: those of all items, and windows of a sample of documents, each side with half of the weight."""
-    n = docs.count()
-    place = F.pmod(F.xxhash64("doc_id", "text", F.lit(8)), F.lit(1_000_003))
-    some = docs.filter(place < F.lit(int(1_000_003 * min(1.0, SAMPLE_DOCS / max(1, n))) + 1))
-    texts = items.select(whole_text().alias("text"), F.lit(True).alias("own")).unionByName(some.select(whole_text().alias("text"), F.lit(False).alias("own")))
+    """The matrix to factor, a row (rows, weights) a passage: those of all items, and windows of all documents, each side with half of the weight."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, weights, owns = [], [], []
-        for text, own in zip(batch.column("text").to_pylist(), batch.column("own").to_pylist(), strict=True):
+    def of_items(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = []
+        for text in batch.column("text").to_pylist():
             terms = vocabulary.value.terms(text)
-            for at in beginnings(len(terms)) if own else range(0, max(1, len(terms)), 4 * PASSAGE):
-                r, w = tfidf(terms[at : at + (PASSAGE if own else 4 * PASSAGE)], idf.value)
-                if len(r):
-                    rows.append(r)
-                    weights.append(w)
-                    owns.append(own)
-        return pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float64())), pa.array(owns, pa.bool_())], ["rows", "weights", "own"])
-
-    matrix = stored(map_batches(texts, run, "rows array<int>, weights array<double>, own boolean"))
+            found += [tfidf(terms[at : at + PASSAGE], idf.value) for at in beginnings(len(terms))]
+        found = [(r, w) for r, w in found if len(r)]
+        return pa.RecordBatch.from_arrays([pa.array([r for r, _ in found], pa.list_(pa.int32())), pa.array([w for _, w in found], pa.list_(pa.float64())), pa.array([True] * len(found), pa.bool_())], ["rows", "weights", "own"])
+
+    def of_documents(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for at in range(0, batch.num_rows, CUT_DOCS):
+            texts = [vocabulary.value.terms(t) for t in batch.column("text").slice(at, CUT_DOCS).to_pylist()]
+            rows, weights, sizes = window_rows(texts, 4 * PASSAGE, idf.value)
+            yield pa.RecordBatch.from_arrays([list_array(rows, sizes), list_array(weights, sizes), pa.array(np.zeros(len(sizes), bool))], ["rows", "weights", "own"])
+
+    schema, texts = "rows array<int>, weights array<double>, own boolean", whole_text().alias("text")
+    matrix = stored(map_batches(items.select(texts), of_items, schema).unionByName(map_batches(docs.select(texts), of_documents, schema)))
     counts = {r["own"]: r["n"] for r in matrix.groupBy("own").agg(F.count("*").alias("n")).collect()}
     scale = (max(1, counts.get(False, 0)) / max(1, counts.get(True, 0))) ** 0.5
     weighted = F.transform("weights", lambda w: F.when(F.col("own"), w * scale).otherwise(w))
     return matrix.select("rows", weighted.alias("weights"))
 
 
+def gram(matrix: DataFrame, terms: int) -> np.ndarray:
+    """A'A: tasks add up each pair of a row's terms once, Spark adds the non-zero cells of the tasks by blocks of GRAM_ROWS rows.
+
+    Beyond GRAM_TASKS tasks, those of so many are added up first, so that no group grows with all of them.
+    """
+    schema = "block int, part int, cells binary, sums binary"
+
+    def partial(block: int, part: int, values: np.ndarray) -> dict:
+        cells = np.flatnonzero(values)
+        return {"block": block, "part": part, "cells": cells.astype(np.int32).tobytes(), "sums": values[cells].tobytes()}
+
+    def run(batches):
+        total = np.zeros(terms * terms)
+        for batch in batches:
+            rows, weights = (batch.column(k).flatten().to_numpy() for k in (0, 1))
+            ends = np.cumsum(np.diff(batch.column(0).offsets.to_numpy()).astype(np.int64))
+            ends = np.repeat(ends, np.diff(ends, prepend=0))
+            # each term with itself and those behind it in its row
+            counts = ends - np.arange(len(rows))
+            upto = np.cumsum(counts)
+            at = 0
+            while at < len(rows):
+                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, side="right")))
+                i = np.repeat(np.arange(at, end), counts[at:end])
+                j = i + ranges(counts[at:end])
+                np.add.at(total, rows[i].astype(np.int64) * terms + rows[j], weights[i] * weights[j])
+                at = end
+        width, part = GRAM_ROWS * terms, TaskContext.get().partitionId() // GRAM_TASKS
+        for block in range(-(-terms // GRAM_ROWS)):
+            own = total[block * width : (block + 1) * width]
+            if own.any():
+                yield pa.RecordBatch.from_pylist([partial(block, part, own)], _CELLS)
+
+    def add(group: pa.Table) -> pa.Table:
+        total = np.zeros(GRAM_ROWS * terms)
+        for cells, sums in zip(group.column("cells"), group.column("sums"), strict=True):
+            total[np.frombuffer(cells.as_buffer(), np.int32)] += np.frombuffer(sums.as_buffer())
+        return pa.Table.from_pylist([partial(group.column("block")[0].as_py(), group.column("part")[0].as_py(), total)], _CELLS)
+
+    out = np.zeros(-(-terms // GRAM_ROWS) * GRAM_ROWS * terms)
+    parts = matrix.mapInArrow(run, schema)
+    if matrix.rdd.getNumPartitions() > GRAM_TASKS:
+        parts = parts.groupBy("block", "part").applyInArrow(add, schema)
+    for row in parts.groupBy("block").applyInArrow(add, schema).toLocalIterator():  # terms squared, bounded by GRAM_TERMS
+        out[row["block"] * GRAM_ROWS * terms + np.frombuffer(row["cells"], np.int32)] = np.frombuffer(row["sums"])
+    half = out[: terms * terms].reshape(terms, terms)
+    diagonal = half.diagonal().copy()
+    whole = half + half.T
+    np.fill_diagonal(whole, diagonal)
+    return whole
+
+
+_CELLS = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("cells", pa.binary()), ("sums", pa.binary())])
+
+
 def gathered(matrix: DataFrame, q: np.ndarray, square: bool) -> np.ndarray:
     """A'(A Q), or (A Q)'(A Q) if square: partial sums of tasks, added up by blocks of 256 rows in Spark."""
     shared = matrix.sparkSession.sparkContext.broadcast(q)
@@ -206,11 +284,12 @@ def gathered(matrix: DataFrame, q: np.ndarray, square: bool) -> np.ndarray:
 
 def latent_space(matrix: DataFrame, terms: int, k: int = LATENT, spare: int = SPARE, rounds: int = ROUNDS) -> np.ndarray:
     """The leading right singular vectors of the matrix, by randomised subspace iteration."""
-    width = min(terms, k + spare)
+    width, whole = min(terms, k + spare), gram(matrix, terms) if terms <= GRAM_TERMS else None
+    product = lambda q: gathered(matrix, q, False) if whole is None else whole @ q
     q, _ = np.linalg.qr(np.random.default_rng(20).standard_normal((terms, width)))
     for _ in range(rounds + 1):
-        q, _ = np.linalg.qr(gathered(matrix, q, False))
-    values, vectors = np.linalg.eigh(gathered(matrix, q, True))
+        q, _ = np.linalg.qr(product(q))
+    values, vectors = np.linalg.eigh(gathered(matrix, q, True) if whole is None else q.T @ (whole @ q))
     best = np.argsort(values)[::-1][: min(k, width)]
     return (q @ vectors[:, best]).astype(np.float32)
 

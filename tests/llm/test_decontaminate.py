@@ -32,6 +32,34 @@ def test_latent_space_is_that_of_numpy(spark):
     assert np.allclose(v @ v.T, want @ want.T, atol=1e-3)
 
 
+def test_sums_of_pairs_are_those_of_numpy(spark):
+    rng = np.random.default_rng(3)
+    rows = [sorted(rng.choice(70, rng.integers(1, 20), replace=False).tolist()) for _ in range(300)]
+    weights = [rng.standard_normal(len(r)).tolist() for r in rows]
+    dense = np.zeros((300, 70))
+    for k, (r, w) in enumerate(zip(rows, weights, strict=True)):
+        dense[k, r] = w
+    matrix = spark.createDataFrame(list(zip(rows, weights, strict=True)), "rows array<int>, weights array<double>").repartition(5)
+    assert np.allclose(dc.gram(matrix, 70), dense.T @ dense)
+    assert np.allclose(dc.gram(matrix.repartition(2 * dc.GRAM_TASKS + 3), 70), dense.T @ dense)
+    assert np.allclose(dc.gathered(matrix, dense[:9].T.copy(), False), dense.T @ dense @ dense[:9].T)
+
+
+def test_every_document_is_factored(spark):
+    """The matrix has the windows of every document, however many there are, with the weights that tfidf gives."""
+    rng = random.Random(14)
+    texts = [" ".join(f"w{rng.randrange(60)}" for _ in range(rng.randrange(200))) for _ in range(5000)] + [None, "", "strange"]
+    items = [" ".join(f"w{k}" for k in range(at, at + 20)) for at in (0, 20)]
+    vocabulary, idf = dc.Vocabulary({w for t in items for w in dc.item_words(t)}), np.random.default_rng(1).random(40) + 0.1
+    share = spark.sparkContext.broadcast
+    got = dc.passages(spark.createDataFrame([(t,) for t in items], "text string"), frame(spark, texts), share(vocabulary), share(idf))
+    plain = [dc.tfidf(vocabulary.terms(t or "")[at : at + 64], idf) for t in texts for at in range(0, len((t or "").split()), 64)]
+    plain, own = [x for x in plain if len(x[0])], [dc.tfidf(vocabulary.terms(t)[at : at + 16], idf) for t in items for at in dc.beginnings(20)]
+    scale = (len(plain) / len(own)) ** 0.5
+    want = sorted((r.tolist(), np.round(w, 9).tolist()) for r, w in [*plain, *((r, w * scale) for r, w in own)])
+    assert sorted((r["rows"], np.round(r["weights"], 9).tolist()) for r in got.collect()) == want
+
+
 def test_table_against_verbatim_search(spark):
     sf = "/root/testdata/sf0.01"
     items = {r["item_id"]: " ".join(w.decode() for w in dc.item_words(r["text"])) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
