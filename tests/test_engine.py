@@ -366,6 +366,35 @@ def test_built_warehouse_is_read_back(spark, tmp_path, small):
     assert checks.leaks(spark, str(tmp_path / "static"), names).count() == 20
 
 
+def test_tables_are_built_without_a_model(spark, tmp_path, small):
+    """A build for what reads tables alone fits no model; the next whole build adds model and curve to the same tables, and then both stay."""
+    from tenura.plans import registry, warehouse
+
+    folder, fitted = str(tmp_path / "warehouse"), warehouse.evaluation.fit
+    try:
+        warehouse.evaluation.fit = None
+        tables = warehouse.build(spark, small, folder, scored=False)
+        assert tables["rebuilt"] == ["tables"] and "model" not in tables
+        assert warehouse.build(spark, small, folder, scored=False)["status"] == "unchanged"
+    finally:
+        warehouse.evaluation.fit = fitted
+    whole = warehouse.build(spark, small, folder)
+    assert whole["rebuilt"] == ["scores"] and whole["places"] == tables["places"] and whole["tables"] == tables["tables"]
+    assert warehouse.build(spark, small, folder, scored=False)["status"] == warehouse.build(spark, small, folder)["status"] == "unchanged"
+    assert warehouse.StoredWarehouse(spark, folder).curve.count() > 0
+    reads = {n for n, q in registry.QUERIES.items() if {"curve", "cached_curve", "scores", "model"} & set(q.build.__code__.co_names) and "w" in q.build.__code__.co_varnames and n.startswith("model_")}
+    assert reads <= {n for n, q in registry.QUERIES.items() if q.scored}
+
+
+def test_review_events_are_sequenced_for_reviewed_subscribers_only(spark, small):
+    live = Warehouse(spark, small, contracts.Settings(review_subscribers=20))
+    whole = marts.review_transactions(live.review, features.sequenced(live.transactions), live.settings.review_events)
+    got = sorted(map(str, live.review_transactions.collect()))
+    assert got == sorted(map(str, whole.collect())) and got
+    plan = live.review_transactions._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan[plan.index("RepartitionByExpression") :]
+
+
 def test_the_built_curve_is_the_saved_models(spark, tmp_path):
     """Every point is a prefix sum of the scores that the saved model gives; a changed model rebuilds only what follows from it."""
     from tenura.plans import warehouse
