@@ -35,7 +35,7 @@ from __future__ import annotations
 import math
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import repeat
 
@@ -196,8 +196,8 @@ def passages(items: DataFrame, docs: DataFrame, vocabulary, idf) -> DataFrame:
     return matrix.select("rows", weighted.alias("weights"))
 
 
-def gram(matrix: DataFrame, terms: int) -> np.ndarray:
-    """A'A: tasks add up each pair of a row's terms once, Spark adds the non-zero cells of the tasks by blocks of GRAM_ROWS rows.
+def gram_blocks(matrix: DataFrame, terms: int) -> DataFrame:
+    """A'A without what lies below its diagonal, stored as blocks of GRAM_ROWS rows: tasks add up each pair of a row's terms once, Spark adds the non-zero cells of the tasks.
 
     Beyond GRAM_TASKS tasks, those of so many are added up first, so that no group grows with all of them.
     """
@@ -235,29 +235,71 @@ def gram(matrix: DataFrame, terms: int) -> np.ndarray:
             total[np.frombuffer(cells.as_buffer(), np.int32)] += np.frombuffer(sums.as_buffer())
         return pa.Table.from_pylist([partial(group.column("block")[0].as_py(), group.column("part")[0].as_py(), total)], _CELLS)
 
-    out = np.zeros(-(-terms // GRAM_ROWS) * GRAM_ROWS * terms)
     parts = matrix.mapInArrow(run, schema)
     if matrix.rdd.getNumPartitions() > GRAM_TASKS:
         parts = parts.groupBy("block", "part").applyInArrow(add, schema)
-    for row in parts.groupBy("block").applyInArrow(add, schema).toLocalIterator():  # terms squared, bounded by GRAM_TERMS
-        out[row["block"] * GRAM_ROWS * terms + np.frombuffer(row["cells"], np.int32)] = np.frombuffer(row["sums"])
-    half = out[: terms * terms].reshape(terms, terms)
-    diagonal = half.diagonal().copy()
-    whole = half + half.T
-    np.fill_diagonal(whole, diagonal)
-    return whole
+    return stored(parts.groupBy("block").applyInArrow(add, schema))
 
 
 _CELLS = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("cells", pa.binary()), ("sums", pa.binary())])
 
 
-def gathered(matrix: DataFrame, q: np.ndarray, square: bool) -> np.ndarray:
-    """A'(A Q), or (A Q)'(A Q) if square: partial sums of tasks, added up by blocks of 256 rows in Spark."""
-    shared = matrix.sparkSession.sparkContext.broadcast(q)
+def summed(rows: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], np.ndarray], shape: tuple[int, int]) -> np.ndarray:
+    """The sum of partial() of all tasks, an array of this shape each, added up by blocks of 256 rows in Spark."""
 
     def run(batches):
+        total = partial(batches)
+        blocks = range(0, len(total), 256)
+        yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array([total[k : k + 256].ravel() for k in blocks], pa.list_(pa.float64()))], ["block", "sums"])
+
+    def add(group: pa.Table) -> pa.Table:
+        total = np.sum([x.values.to_numpy() for x in group.column("sums")], axis=0)
+        return pa.table([group.column("block").slice(0, 1), pa.array([total], pa.list_(pa.float64()))], names=["block", "sums"])
+
+    parts = rows.mapInArrow(run, "block long, sums array<double>").groupBy("block").applyInArrow(add, "block long, sums array<double>")
+    out = np.zeros(shape)
+    for row in parts.toLocalIterator():
+        part = np.array(row["sums"]).reshape(-1, shape[1])
+        out[row["block"] : row["block"] + len(part)] = part
+    return out
+
+
+def product(blocks: DataFrame, q: np.ndarray) -> np.ndarray:
+    """A'A Q from the blocks of gram_blocks(): the driver holds matrices of Q's shape alone."""
+    shared = blocks.sparkSession.sparkContext.broadcast(q)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         base = shared.value
-        total = np.zeros((base.shape[1] if square else len(base), base.shape[1]))
+        total, terms = np.zeros_like(base), len(base)
+        for batch in batches:
+            for block, cells, sums in zip(*(batch.column(c) for c in ("block", "cells", "sums")), strict=True):
+                own = np.zeros(GRAM_ROWS * terms)
+                own[np.frombuffer(cells.as_buffer(), np.int32)] = np.frombuffer(sums.as_buffer())
+                first = block.as_py() * GRAM_ROWS
+                own = own.reshape(GRAM_ROWS, terms)[: terms - first, first:]
+                total[first : first + len(own)] += own @ base[first:]
+                # the cells across the diagonal, which itself counts once
+                np.fill_diagonal(own, 0.0)
+                total[first:] += own.T @ base[first : first + len(own)]
+        return total
+
+    out = summed(blocks.select("block", "cells", "sums"), partial, q.shape)
+    shared.unpersist()
+    return out
+
+
+def gram(matrix: DataFrame, terms: int) -> np.ndarray:
+    """A'A as a whole, for few terms."""
+    return product(gram_blocks(matrix, terms), np.eye(terms))
+
+
+def gathered(matrix: DataFrame, q: np.ndarray, square: bool) -> np.ndarray:
+    """A'(A Q), or (A Q)'(A Q) if square."""
+    shared = matrix.sparkSession.sparkContext.broadcast(q)
+    shape = (q.shape[1] if square else len(q), q.shape[1])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        base, total = shared.value, np.zeros(shape)
         for batch in batches:
             for r, w in zip(batch.column("rows"), batch.column("weights"), strict=True):
                 rows, weights = r.values.to_numpy(), w.values.to_numpy()
@@ -266,30 +308,21 @@ def gathered(matrix: DataFrame, q: np.ndarray, square: bool) -> np.ndarray:
                     total += np.outer(y, y)
                 else:
                     total[rows] += weights[:, None] * y
-        blocks = range(0, len(total), 256)
-        yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array([total[k : k + 256].ravel() for k in blocks], pa.list_(pa.float64()))], ["block", "sums"])
-
-    def add(group: pa.Table) -> pa.Table:
-        total = np.sum([x.values.to_numpy() for x in group.column("sums")], axis=0)
-        return pa.table([group.column("block").slice(0, 1), pa.array([total], pa.list_(pa.float64()))], names=["block", "sums"])
+        return total
 
-    summed = matrix.mapInArrow(run, "block long, sums array<double>").groupBy("block").applyInArrow(add, "block long, sums array<double>")
-    out = np.zeros((q.shape[1] if square else len(q), q.shape[1]))
-    for row in summed.toLocalIterator():
-        part = np.array(row["sums"]).reshape(-1, q.shape[1])
-        out[row["block"] : row["block"] + len(part)] = part
+    out = summed(matrix, partial, shape)
     shared.unpersist()
     return out
 
 
 def latent_space(matrix: DataFrame, terms: int, k: int = LATENT, spare: int = SPARE, rounds: int = ROUNDS) -> np.ndarray:
-    """The leading right singular vectors of the matrix, by randomised subspace iteration."""
-    width, whole = min(terms, k + spare), gram(matrix, terms) if terms <= GRAM_TERMS else None
-    product = lambda q: gathered(matrix, q, False) if whole is None else whole @ q
+    """The leading right singular vectors of the matrix, all of its rows, by randomised subspace iteration."""
+    width, blocks = min(terms, k + spare), gram_blocks(matrix, terms) if terms <= GRAM_TERMS else None
+    times = lambda q: gathered(matrix, q, False) if blocks is None else product(blocks, q)
     q, _ = np.linalg.qr(np.random.default_rng(20).standard_normal((terms, width)))
     for _ in range(rounds + 1):
-        q, _ = np.linalg.qr(product(q))
-    values, vectors = np.linalg.eigh(gathered(matrix, q, True) if whole is None else q.T @ (whole @ q))
+        q, _ = np.linalg.qr(times(q))
+    values, vectors = np.linalg.eigh(gathered(matrix, q, True) if blocks is None else q.T @ times(q))
     best = np.argsort(values)[::-1][: min(k, width)]
     return (q @ vectors[:, best]).astype(np.float32)
 

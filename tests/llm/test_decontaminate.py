@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 
@@ -45,6 +46,23 @@ def test_sums_of_pairs_are_those_of_numpy(spark):
     assert np.allclose(dc.gathered(matrix, dense[:9].T.copy(), False), dense.T @ dense @ dense[:9].T)
 
 
+def test_the_driver_holds_no_square_of_the_terms(spark):
+    rng = np.random.default_rng(5)
+    terms, q = 1500, rng.normal(size=(1500, 3))
+    rows = [(sorted(rng.choice(terms, 40, replace=False).tolist()), rng.random(40).tolist()) for _ in range(80)]
+    matrix = spark.createDataFrame(rows, "rows array<int>, weights array<double>").repartition(3)
+    dense = np.zeros((len(rows), terms))
+    for k, (r, w) in enumerate(rows):
+        dense[k, r] = w
+    blocks = dc.gram_blocks(matrix, terms)
+    tracemalloc.start()
+    got = dc.product(blocks, q)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got, dense.T @ (dense @ q))
+    assert peak < terms * terms * 8 / 4  # of one such square
+
+
 def test_every_document_is_factored(spark):
     """The matrix has the windows of every document, however many there are, with the weights that tfidf gives."""
     rng = random.Random(14)
