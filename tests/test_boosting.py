@@ -104,3 +104,17 @@ def test_unknown_codes_and_one_class(spark):
     assert one.trees == [] and one.with_margin(df).filter("margin > 0").count() == df.count()
     empty = boosting.fit(df.limit(0), ("a",), ("kind",), "y", SMALL)
     assert empty.trees == [] and empty.start == 0.0
+
+
+def test_a_fit_has_few_tasks_however_the_rows_come(spark, monkeypatch):
+    df, _ = rows_of(spark)
+    seen = []
+    plain = boosting.added_blocks
+    monkeypatch.setattr(boosting, "added_blocks", lambda blocks, *more: seen.append(blocks.getNumPartitions()) or plain(blocks, *more))
+    want = boosting.fit(df.repartition(60), ("a", "b", "c"), ("kind",), "y", SMALL).as_dict()
+    assert set(seen) == {1}
+    monkeypatch.setattr(boosting, "ROWS", 20)
+    monkeypatch.setattr(tasks, "FEW", 2)
+    seen.clear()
+    assert boosting.fit(df.repartition(3), ("a", "b", "c"), ("kind",), "y", SMALL).as_dict() == want
+    assert min(seen) > 2
