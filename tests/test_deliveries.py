@@ -56,3 +56,13 @@ def test_nothing_delivered(spark, small, tmp_path):
     assert merged.events() is None and merged.late() is None
     merged.merge(Warehouse(spark, small).raw_transactions.limit(0), 0)
     assert merged.events() is None and merged.manifest()["delivered_rows"] == 0
+
+
+def test_no_delivered_file_has_a_share_of_all_rows(spark, small, tmp_path, monkeypatch):
+    monkeypatch.setattr(deliveries, "FILE_ROWS", 100)
+    raw = Warehouse(spark, small).raw_transactions.limit(1000).localCheckpoint()
+    merged = deliveries.replayed(raw, str(tmp_path / "a"), 2)
+    sizes = [r["count"] for r in spark.read.parquet(str(tmp_path / "a" / "delivered")).groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 1000 and max(sizes) < 200
+    assert merged.manifest()["batch"] + 1 == 2
+    assert shown(merged.events()) == shown(facts.dedup_transactions(raw))
