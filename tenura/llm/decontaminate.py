@@ -1,7 +1,8 @@
 """Benchmark decontamination (operator 8) by latent semantic retrieval.
 
 1. Document frequencies of the benchmark's terms over all documents give IDF
-   weights; a word that no item holds weighs as much as the rarest.
+   weights; a word that no item holds weighs as much as the rarest. The same pass
+   writes how often the terms occur in each window.
 2. Items are cut into passages of PASSAGE words, STEP apart (shorter ones stay
    whole). The TF-IDF rows of these passages and of windows of all documents are
    factored by a randomised SVD, both with the same total weight. Up to GRAM_TERMS
@@ -37,7 +38,7 @@ import re
 import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,14 +47,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tenura.llm.common import hash64, held, map_batches, stored, table, whole_text
+from tenura.llm.common import hash64, held, map_batches, map_partitions, stored, table, whole_text
 
 #: Terms are hashed to so many rows at most; latent dimensions, and further ones for the range finder; power iterations.
 TERMS, LATENT, SPARE, ROUNDS = 65_536, 128, 16, 2
-#: Terms up to which A'A is summed once, as a dense square in each task; its rows that are added up together, tasks whose sums one group holds, and documents cut into windows together.
-GRAM_TERMS, GRAM_ROWS, GRAM_TASKS, CUT_DOCS = 4_096, 32, 64, 512
+#: Terms up to which A'A is summed once, as a dense square in each task; its rows that are added up together, and tasks whose sums one group holds.
+GRAM_TERMS, GRAM_ROWS, GRAM_TASKS = 4_096, 32, 64
+#: Documents that are cut into windows together, and windows that are written as one row.
+CUT_DOCS, CUT_WINDOWS = 512, 8_192
 #: Words of a passage and of a window, and between the beginnings of two.
 PASSAGE, STEP = 16, 4
+#: Words of the windows of documents that are factored; a count of them fits a byte.
+DOC_WINDOW = 4 * PASSAGE
 #: Cosine in the latent space of a window and a passage.
 CANDIDATE = 0.55
 #: What a stretch must hold to be projected: this share of the weight of the rarer half of a passage, within so many times its length.
@@ -112,27 +117,13 @@ class Vocabulary:
         return self.rows[self.numbered(text)]
 
 
-def document_frequencies(docs: DataFrame, vocabulary) -> tuple[np.ndarray, int]:
-    """In how many documents each row occurs, and the number of documents."""
-
-    def run(batches):
-        total, n = np.zeros(vocabulary.value.size, dtype=np.int64), 0
-        for batch in batches:
-            n += batch.num_rows
-            for text in batch.column("text"):
-                found = vocabulary.value.terms(text.as_py())
-                total[np.unique(found[found >= 0])] += 1
-        rows = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(rows, -1)), pa.array(np.append(total[rows], n))], ["term", "n"])
-
-    counted = docs.select(whole_text().alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    df, n = np.zeros(vocabulary.value.size), 0
-    for row in counted.toLocalIterator():  # one row a term, bounded by TERMS
-        if row["term"] < 0:
-            n = row["n"]
-        else:
-            df[row["term"]] = row["n"]
-    return df, n
+def document_frequencies(counts: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """In how many documents each row occurs, and the number of documents, from the sums that the tasks of counted() left."""
+    summed_up = counts.filter("documents IS NOT NULL").select(F.posexplode("documents").alias("term", "n")).groupBy("term").agg(F.sum("n").alias("n"))
+    df = np.zeros(size + 1, np.int64)
+    for row in summed_up.toLocalIterator():  # one row a term, bounded by TERMS
+        df[row["term"]] = row["n"]
+    return df[:size], int(df[size])
 
 
 def tfidf(terms: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,49 +145,98 @@ def list_array(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
 
 
-def window_rows(texts: list[np.ndarray], length: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """tfidf() of the windows of so many words, end to end, of texts given as terms: rows and weights of all that hold a term, and how many each has."""
-    counts = np.array([-(-len(x) // length) for x in texts], np.int64)
-    first = np.cumsum(counts) - counts
+def window_counts(texts: list[np.ndarray], length: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the windows of so many words, end to end, of texts given as terms: terms and how often each occurs there; then of all windows that hold a term the number of terms, of words outside, and the text."""
     lengths = np.array([len(x) for x in texts], np.int64)
+    counts = -(-lengths // length)
+    first = np.cumsum(counts) - counts
     terms = np.concatenate([np.zeros(0, np.int64), *texts]).astype(np.int64)
     window = np.repeat(first, lengths) + ranges(lengths) // length
-    inside = terms >= 0
-    cells, tf = np.unique(window[inside] * len(idf) + terms[inside], return_counts=True)
-    of, rows = np.divmod(cells, len(idf))
-    weights, n = tf * idf[rows], int(counts.sum())
-    outside = np.bincount(window[~inside], minlength=n) * idf.max(initial=0.0) ** 2
-    norms = np.sqrt(np.bincount(of, weights**2, n) + outside)
-    sizes = np.bincount(of, minlength=n)
-    return rows.astype(np.int32), weights / np.where(norms > 0, norms, 1.0)[of], sizes[sizes > 0]
+    inside, n = terms >= 0, int(counts.sum())
+    cells, tf = np.unique(window[inside] * size + terms[inside], return_counts=True)
+    of, rows = np.divmod(cells, size)
+    sizes, outside = np.bincount(of, minlength=n), np.bincount(window[~inside], minlength=n)
+    some = sizes > 0
+    return rows, tf, sizes[some], outside[some], np.repeat(np.arange(len(texts)), counts)[some]
+
+
+def counted(items: DataFrame, docs: DataFrame, vocabulary) -> DataFrame:
+    """The terms of the passages of all items and of windows of all documents, stored once in rows of up to CUT_WINDOWS windows; and for each task
+    over documents a row with the number of those that hold each term, the last being that of all documents.
+
+    Weights are put in where rows are read (weighing()), so that documents are cut into words once for both.
+    """
+
+    def packed(own: bool, rows: np.ndarray, tf: np.ndarray, sizes: np.ndarray, outside: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        for at in range(0, len(sizes), CUT_WINDOWS):
+            windows = slice(at, at + CUT_WINDOWS)
+            cells = slice(ends[at], ends[min(at + CUT_WINDOWS, len(sizes))])
+            lists = {"rows": rows[cells].astype(np.int32), "tf": tf[cells].astype(np.uint8), "sizes": sizes[windows].astype(np.uint8), "outside": outside[windows].astype(np.uint8)}
+            yield pa.RecordBatch.from_pylist([{"own": own, "windows": len(sizes[windows])} | {k: v.tobytes() for k, v in lists.items()}], _COUNTS)
+
+    def of_items(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts = map(vocabulary.value.terms, batch.column("text").to_pylist())
+        cut = [terms[at : at + PASSAGE] for terms in texts for at in beginnings(len(terms))]
+        return packed(True, *window_counts(cut, PASSAGE, vocabulary.value.size)[:4])
+
+    def of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = vocabulary.value.size
+        total = np.zeros(size + 1, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, CUT_DOCS):
+                texts = [vocabulary.value.terms(t) for t in batch.column("text").slice(at, CUT_DOCS).to_pylist()]
+                rows, tf, sizes, outside, text = window_counts(texts, DOC_WINDOW, size)
+                held_by = np.unique(np.repeat(text, sizes) * size + rows) % size
+                total[:size] += np.bincount(held_by, minlength=size)
+                total[size] += len(texts)
+                yield from packed(False, rows, tf, sizes, outside)
+        yield pa.RecordBatch.from_pylist([{"own": False, "windows": 0, "documents": total}], _COUNTS)
+
+    schema, texts = "own boolean, windows int, rows binary, tf binary, sizes binary, outside binary, documents array<long>", whole_text().alias("text")
+    return stored(map_batches(items.select(texts), of_items, schema).unionByName(map_partitions(docs.select(texts), of_documents, schema)))
+
+
+_COUNTS = pa.schema([("own", pa.bool_()), ("windows", pa.int32()), *((k, pa.binary()) for k in ("rows", "tf", "sizes", "outside")), ("documents", pa.list_(pa.int64()))])
+
+#: What a batch of a matrix has, some windows at a time: their terms and weights, one after the other, and how many of them each has.
+Cells = Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]
+
+
+def listed(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The cells of a matrix with a row of lists (rows, weights) a window."""
+    rows, weights = (batch.column(k).flatten().to_numpy() for k in ("rows", "weights"))
+    yield rows, weights, np.diff(batch.column("rows").offsets.to_numpy()).astype(np.int64)
+
+
+def weighing(counts: DataFrame, idf) -> tuple[DataFrame, Cells]:
+    """The matrix to factor, from counted(), and its cells: tfidf() of each passage and window, each side (items, documents) with half of the weight."""
+    n = {r["own"]: r["n"] for r in counts.groupBy("own").agg(F.sum("windows").alias("n")).collect()}
+    scale = (max(1, n.get(False, 0)) / max(1, n.get(True, 0))) ** 0.5
+
+    def cells(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for own, *lists in zip(*(batch.column(k) for k in ("own", "rows", "tf", "sizes", "outside")), strict=True):
+            rows, tf, sizes, outside = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(lists, (np.int32, np.uint8, np.uint8, np.uint8), strict=True))
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            weights = tf * idf.value[rows]
+            norms = np.sqrt(np.bincount(of, weights**2, len(sizes)) + outside * idf.value.max(initial=0.0) ** 2)
+            yield rows, weights * ((scale if own.as_py() else 1.0) / np.where(norms > 0, norms, 1.0))[of], sizes.astype(np.int64)
+
+    return counts.filter("rows IS NOT NULL").drop("documents"), cells
 
 
 def passages(items: DataFrame, docs: DataFrame, vocabulary, idf) -> DataFrame:
-    """The matrix to factor, a row (rows, weights) a passage: those of all items, and windows of all documents, each side with half of the weight."""
-
-    def of_items(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = []
-        for text in batch.column("text").to_pylist():
-            terms = vocabulary.value.terms(text)
-            found += [tfidf(terms[at : at + PASSAGE], idf.value) for at in beginnings(len(terms))]
-        found = [(r, w) for r, w in found if len(r)]
-        return pa.RecordBatch.from_arrays([pa.array([r for r, _ in found], pa.list_(pa.int32())), pa.array([w for _, w in found], pa.list_(pa.float64())), pa.array([True] * len(found), pa.bool_())], ["rows", "weights", "own"])
-
-    def of_documents(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for at in range(0, batch.num_rows, CUT_DOCS):
-            texts = [vocabulary.value.terms(t) for t in batch.column("text").slice(at, CUT_DOCS).to_pylist()]
-            rows, weights, sizes = window_rows(texts, 4 * PASSAGE, idf.value)
-            yield pa.RecordBatch.from_arrays([list_array(rows, sizes), list_array(weights, sizes), pa.array(np.zeros(len(sizes), bool))], ["rows", "weights", "own"])
-
-    schema, texts = "rows array<int>, weights array<double>, own boolean", whole_text().alias("text")
-    matrix = stored(map_batches(items.select(texts), of_items, schema).unionByName(map_batches(docs.select(texts), of_documents, schema)))
-    counts = {r["own"]: r["n"] for r in matrix.groupBy("own").agg(F.count("*").alias("n")).collect()}
-    scale = (max(1, counts.get(False, 0)) / max(1, counts.get(True, 0))) ** 0.5
-    weighted = F.transform("weights", lambda w: F.when(F.col("own"), w * scale).otherwise(w))
-    return matrix.select("rows", weighted.alias("weights"))
-
-
-def gram_blocks(matrix: DataFrame, terms: int) -> DataFrame:
+    """The matrix to factor as a whole, a row (rows, weights) a passage or window."""
+    matrix, cells = weighing(counted(items, docs, vocabulary), idf)
+
+    def lists(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for rows, weights, sizes in cells(batch):
+            yield pa.RecordBatch.from_arrays([list_array(rows, sizes), list_array(weights, sizes)], ["rows", "weights"])
+
+    return map_batches(matrix, lists, "rows array<int>, weights array<double>")
+
+
+def gram_blocks(matrix: DataFrame, terms: int, cells_of: Cells = listed) -> DataFrame:
     """A'A without what lies below its diagonal, stored as blocks of GRAM_ROWS rows: tasks add up each pair of a row's terms once, Spark adds the non-zero cells of the tasks.
 
     Beyond GRAM_TASKS tasks, those of so many are added up first, so that no group grows with all of them.
@@ -209,10 +249,8 @@ def gram_blocks(matrix: DataFrame, terms: int) -> DataFrame:
 
     def run(batches):
         total = np.zeros(terms * terms)
-        for batch in batches:
-            rows, weights = (batch.column(k).flatten().to_numpy() for k in (0, 1))
-            ends = np.cumsum(np.diff(batch.column(0).offsets.to_numpy()).astype(np.int64))
-            ends = np.repeat(ends, np.diff(ends, prepend=0))
+        for rows, weights, sizes in chain.from_iterable(map(cells_of, batches)):
+            ends = np.repeat(np.cumsum(sizes), sizes)
             # each term with itself and those behind it in its row
             counts = ends - np.arange(len(rows))
             upto = np.cumsum(counts)
@@ -293,21 +331,22 @@ def gram(matrix: DataFrame, terms: int) -> np.ndarray:
     return product(gram_blocks(matrix, terms), np.eye(terms))
 
 
-def gathered(matrix: DataFrame, q: np.ndarray, square: bool) -> np.ndarray:
+def gathered(matrix: DataFrame, q: np.ndarray, square: bool, cells_of: Cells = listed) -> np.ndarray:
     """A'(A Q), or (A Q)'(A Q) if square."""
     shared = matrix.sparkSession.sparkContext.broadcast(q)
     shape = (q.shape[1] if square else len(q), q.shape[1])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         base, total = shared.value, np.zeros(shape)
-        for batch in batches:
-            for r, w in zip(batch.column("rows"), batch.column("weights"), strict=True):
-                rows, weights = r.values.to_numpy(), w.values.to_numpy()
-                y = weights @ base[rows]
+        for rows, weights, sizes in chain.from_iterable(map(cells_of, batches)):
+            ends = np.cumsum(sizes)
+            for begin, end in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+                own, w = rows[begin:end], weights[begin:end]
+                y = w @ base[own]
                 if square:
                     total += np.outer(y, y)
                 else:
-                    total[rows] += weights[:, None] * y
+                    total[own] += w[:, None] * y
         return total
 
     out = summed(matrix, partial, shape)
@@ -315,14 +354,14 @@ def gathered(matrix: DataFrame, q: np.ndarray, square: bool) -> np.ndarray:
     return out
 
 
-def latent_space(matrix: DataFrame, terms: int, k: int = LATENT, spare: int = SPARE, rounds: int = ROUNDS) -> np.ndarray:
+def latent_space(matrix: DataFrame, terms: int, k: int = LATENT, spare: int = SPARE, rounds: int = ROUNDS, cells_of: Cells = listed) -> np.ndarray:
     """The leading right singular vectors of the matrix, all of its rows, by randomised subspace iteration."""
-    width, blocks = min(terms, k + spare), gram_blocks(matrix, terms) if terms <= GRAM_TERMS else None
-    times = lambda q: gathered(matrix, q, False) if blocks is None else product(blocks, q)
+    width, blocks = min(terms, k + spare), gram_blocks(matrix, terms, cells_of) if terms <= GRAM_TERMS else None
+    times = lambda q: gathered(matrix, q, False, cells_of) if blocks is None else product(blocks, q)
     q, _ = np.linalg.qr(np.random.default_rng(20).standard_normal((terms, width)))
     for _ in range(rounds + 1):
         q, _ = np.linalg.qr(times(q))
-    values, vectors = np.linalg.eigh(gathered(matrix, q, True) if blocks is None else q.T @ times(q))
+    values, vectors = np.linalg.eigh(gathered(matrix, q, True, cells_of) if blocks is None else q.T @ times(q))
     best = np.argsort(values)[::-1][: min(k, width)]
     return (q @ vectors[:, best]).astype(np.float32)
 
@@ -545,10 +584,11 @@ class Searcher:
         item, answer, triples = self.words[i], self.answers[i], self.triples[i]
         if len(triples & set(zip(region, region[1:], region[2:], strict=False))) >= TRIPLES * len(triples):
             return 1.0 if item == region else max(TRIPLES, common_subsequence(item, region) / len(item))
-        share = common_subsequence(item, region) / len(item)
-        run = longest_run(item, region)
-        if run >= min(RUN, max(SHORT_RUN, RUN_SHARE * len(item))):
-            return max(share, run / len(item))
+        held_words, least = common_subsequence(item, region), min(RUN, max(SHORT_RUN, RUN_SHARE * len(item)))
+        share = held_words / len(item)
+        # words in a row are in order, so fewer in order than needed leave no such run
+        if held_words >= least and longest_run(item, region) >= least:
+            return share
         held_too = share >= VERBATIM or share >= SHARE and common_subsequence(answer, region) >= ANSWER * len(answer)
         return share if held_too else 0.0
 
@@ -574,10 +614,11 @@ def fit(docs: DataFrame, items: DataFrame) -> tuple[Vocabulary, np.ndarray, np.n
     if not found:
         return None
     vocabulary = spark.sparkContext.broadcast(Vocabulary(found))
-    df, n = document_frequencies(docs, vocabulary)
+    counts = counted(items, docs, vocabulary)
+    df, n = document_frequencies(counts, vocabulary.value.size)
     idf = np.log((n + 1.0) / (df + 1.0)) + 1e-3
-    matrix = passages(items, docs, vocabulary, spark.sparkContext.broadcast(idf))
-    return Vocabulary(found), idf, latent_space(matrix, len(idf))
+    matrix, cells = weighing(counts, spark.sparkContext.broadcast(idf))
+    return Vocabulary(found), idf, latent_space(matrix, len(idf), cells_of=cells)
 
 
 def item_blocks(items: DataFrame, size: int = ITEM_BLOCK):

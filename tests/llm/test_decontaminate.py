@@ -256,3 +256,42 @@ def test_verbatim_items_of_a_larger_table(spark):
     for r in spark.read.parquet(f"{sf}/documents.parquet").toLocalIterator():
         text = f" {' '.join(w.decode() for w in dc.item_words(r['text']))} "
         assert {i for i, t in items.items() if f" {t} " in text} <= got.get(r["doc_id"], set())
+
+
+def test_documents_are_cut_into_words_once_for_the_fit(spark):
+    """One pass counts terms by document and by window, and what it stores gives the document frequencies; beyond it only the search reads texts."""
+    rng = random.Random(15)
+    texts = [" ".join(f"w{rng.randrange(90)}" for _ in range(rng.randrange(200))) for _ in range(1500)] + [None, "", "strange"]
+    items = [" ".join(f"w{k}" for k in range(at, at + 20)) for at in (0, 20)]
+    marks = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            marks.add(batch.num_rows)
+            yield batch
+
+    docs = frame(spark, texts).select("text").mapInArrow(seen, "text string")
+    vocabulary, idf, space = dc.fit(docs, spark.createDataFrame([(t,) for t in items], "text string"))
+    assert marks.value == len(texts)
+    held = [{*vocabulary.terms(t or "").tolist()} - {-1} for t in texts]
+    want = [sum(k in x for x in held) for k in range(vocabulary.size)]
+    assert np.allclose(idf, np.log((len(texts) + 1.0) / (np.array(want) + 1.0)) + 1e-3)
+    assert np.allclose(space.T @ space, np.eye(space.shape[1]), atol=1e-4)
+
+
+def test_sums_of_stored_counts_are_those_of_their_weights(spark):
+    """Beyond GRAM_TERMS and below: the sums over counts that are weighed where they are read, and over the weights as a whole, are the same."""
+    rng = random.Random(16)
+    texts = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(300))) for _ in range(200)]
+    items = spark.createDataFrame([(" ".join(f"w{k}" for k in range(at, at + 20)),) for at in (0, 20)], "text string")
+    share, docs = spark.sparkContext.broadcast, frame(spark, texts)
+    vocabulary = share(dc.Vocabulary({f"w{k}".encode() for k in range(40)}))
+    idf = share(np.random.default_rng(4).random(40) + 0.1)
+    matrix, cells = dc.weighing(dc.counted(items, docs, vocabulary), idf)
+    dense = np.zeros((40, 40))
+    for r in dc.passages(items, docs, vocabulary, idf).collect():
+        dense[np.ix_(r["rows"], r["rows"])] += np.outer(r["weights"], r["weights"])
+    q = np.random.default_rng(5).normal(size=(40, 3))
+    assert np.allclose(dc.product(dc.gram_blocks(matrix, 40, cells), q), dense @ q)
+    assert np.allclose(dc.gathered(matrix, q, False, cells), dense @ q)
+    assert np.allclose(dc.gathered(matrix, q, True, cells), q.T @ dense @ q)
