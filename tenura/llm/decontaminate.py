@@ -53,11 +53,11 @@ from tenura.llm.common import hash64, held, map_batches, map_partitions, stored,
 TERMS, LATENT, SPARE, ROUNDS = 65_536, 128, 16, 2
 #: Terms up to which A'A is summed once, as a dense square in each task; its rows that are added up together, and tasks whose sums one group holds.
 GRAM_TERMS, GRAM_ROWS, GRAM_TASKS = 4_096, 32, 64
-#: Documents that are cut into windows together, and windows that are written as one row.
+#: Documents that are cut into windows together, and windows of them that are handed on together.
 CUT_DOCS, CUT_WINDOWS = 512, 8_192
 #: Words of a passage and of a window, and between the beginnings of two.
 PASSAGE, STEP = 16, 4
-#: Words of the windows of documents that are factored; a count of them fits a byte.
+#: Words of the windows of documents that are factored; how often a term occurs there fits a byte.
 DOC_WINDOW = 4 * PASSAGE
 #: Cosine in the latent space of a window and a passage.
 CANDIDATE = 0.55
@@ -145,6 +145,19 @@ def list_array(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
 
 
+def bytes_array(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Binary cells with so many of the values each, one after the other."""
+    offsets = (np.concatenate([[0], np.cumsum(counts)]) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def bytes_of(cells: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The values in binary cells, one after the other, and how many each has."""
+    offsets = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1].astype(np.int64)
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(cells.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind), np.diff(offsets) // width
+
+
 def window_counts(texts: list[np.ndarray], length: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the windows of so many words, end to end, of texts given as terms: terms and how often each occurs there; then of all windows that hold a term the number of terms, of words outside, and the text."""
     lengths = np.array([len(x) for x in texts], np.int64)
@@ -161,7 +174,7 @@ def window_counts(texts: list[np.ndarray], length: int, size: int) -> tuple[np.n
 
 
 def counted(items: DataFrame, docs: DataFrame, vocabulary) -> DataFrame:
-    """The terms of the passages of all items and of windows of all documents, stored once in rows of up to CUT_WINDOWS windows; and for each task
+    """The terms of the passages of all items and of windows of all documents, stored once in a row a window; and for each task
     over documents a row with the number of those that hold each term, the last being that of all documents.
 
     Weights are put in where rows are read (weighing()), so that documents are cut into words once for both.
@@ -171,9 +184,9 @@ def counted(items: DataFrame, docs: DataFrame, vocabulary) -> DataFrame:
         ends = np.concatenate([[0], np.cumsum(sizes)])
         for at in range(0, len(sizes), CUT_WINDOWS):
             windows = slice(at, at + CUT_WINDOWS)
-            cells = slice(ends[at], ends[min(at + CUT_WINDOWS, len(sizes))])
-            lists = {"rows": rows[cells].astype(np.int32), "tf": tf[cells].astype(np.uint8), "sizes": sizes[windows].astype(np.uint8), "outside": outside[windows].astype(np.uint8)}
-            yield pa.RecordBatch.from_pylist([{"own": own, "windows": len(sizes[windows])} | {k: v.tobytes() for k, v in lists.items()}], _COUNTS)
+            n, cells = len(sizes[windows]), slice(ends[at], ends[min(at + CUT_WINDOWS, len(sizes))])
+            lists = [bytes_array(rows[cells].astype(np.int32), sizes[windows]), bytes_array(tf[cells].astype(np.uint8), sizes[windows])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, own)), *lists, pa.array(outside[windows].astype(np.int32)), pa.nulls(n, pa.list_(pa.int64()))], schema=_COUNTS)
 
     def of_items(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = map(vocabulary.value.terms, batch.column("text").to_pylist())
@@ -181,6 +194,7 @@ def counted(items: DataFrame, docs: DataFrame, vocabulary) -> DataFrame:
         return packed(True, *window_counts(cut, PASSAGE, vocabulary.value.size)[:4])
 
     def of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(("decontaminate", "fit"), lambda: None)  # what the worker keeps of other operators goes
         size = vocabulary.value.size
         total = np.zeros(size + 1, np.int64)
         for batch in batches:
@@ -191,13 +205,13 @@ def counted(items: DataFrame, docs: DataFrame, vocabulary) -> DataFrame:
                 total[:size] += np.bincount(held_by, minlength=size)
                 total[size] += len(texts)
                 yield from packed(False, rows, tf, sizes, outside)
-        yield pa.RecordBatch.from_pylist([{"own": False, "windows": 0, "documents": total}], _COUNTS)
+        yield pa.RecordBatch.from_pylist([{"own": False, "documents": total}], _COUNTS)
 
-    schema, texts = "own boolean, windows int, rows binary, tf binary, sizes binary, outside binary, documents array<long>", whole_text().alias("text")
+    schema, texts = "own boolean, rows binary, tf binary, outside int, documents array<long>", whole_text().alias("text")
     return stored(map_batches(items.select(texts), of_items, schema).unionByName(map_partitions(docs.select(texts), of_documents, schema)))
 
 
-_COUNTS = pa.schema([("own", pa.bool_()), ("windows", pa.int32()), *((k, pa.binary()) for k in ("rows", "tf", "sizes", "outside")), ("documents", pa.list_(pa.int64()))])
+_COUNTS = pa.schema([("own", pa.bool_()), ("rows", pa.binary()), ("tf", pa.binary()), ("outside", pa.int32()), ("documents", pa.list_(pa.int64()))])
 
 #: What a batch of a matrix has, some windows at a time: their terms and weights, one after the other, and how many of them each has.
 Cells = Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]
@@ -211,16 +225,17 @@ def listed(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
 
 def weighing(counts: DataFrame, idf) -> tuple[DataFrame, Cells]:
     """The matrix to factor, from counted(), and its cells: tfidf() of each passage and window, each side (items, documents) with half of the weight."""
-    n = {r["own"]: r["n"] for r in counts.groupBy("own").agg(F.sum("windows").alias("n")).collect()}
+    n = {r["own"]: r["n"] for r in counts.groupBy("own").agg(F.count("rows").alias("n")).collect()}
     scale = (max(1, n.get(False, 0)) / max(1, n.get(True, 0))) ** 0.5
 
     def cells(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        for own, *lists in zip(*(batch.column(k) for k in ("own", "rows", "tf", "sizes", "outside")), strict=True):
-            rows, tf, sizes, outside = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(lists, (np.int32, np.uint8, np.uint8, np.uint8), strict=True))
-            of = np.repeat(np.arange(len(sizes)), sizes)
-            weights = tf * idf.value[rows]
-            norms = np.sqrt(np.bincount(of, weights**2, len(sizes)) + outside * idf.value.max(initial=0.0) ** 2)
-            yield rows, weights * ((scale if own.as_py() else 1.0) / np.where(norms > 0, norms, 1.0))[of], sizes.astype(np.int64)
+        rows, sizes = bytes_of(batch.column("rows"), np.int32)
+        tf, _ = bytes_of(batch.column("tf"), np.uint8)
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        weights = tf * idf.value[rows]
+        norms = np.sqrt(np.bincount(of, weights**2, len(sizes)) + batch.column("outside").to_numpy() * idf.value.max(initial=0.0) ** 2)
+        scales = np.where(batch.column("own").to_numpy(zero_copy_only=False), scale, 1.0)
+        yield rows, weights * (scales / np.where(norms > 0, norms, 1.0))[of], sizes
 
     return counts.filter("rows IS NOT NULL").drop("documents"), cells
 
@@ -248,6 +263,7 @@ def gram_blocks(matrix: DataFrame, terms: int, cells_of: Cells = listed) -> Data
         return {"block": block, "part": part, "cells": cells.astype(np.int32).tobytes(), "sums": values[cells].tobytes()}
 
     def run(batches):
+        held(("decontaminate", "fit"), lambda: None)
         total = np.zeros(terms * terms)
         for rows, weights, sizes in chain.from_iterable(map(cells_of, batches)):
             ends = np.repeat(np.cumsum(sizes), sizes)
