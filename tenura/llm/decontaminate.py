@@ -51,7 +51,7 @@ from tenura.llm.common import hash64, held, map_batches, map_partitions, stored,
 
 #: Terms are hashed to so many rows at most; latent dimensions, and further ones for the range finder; power iterations.
 TERMS, LATENT, SPARE, ROUNDS = 65_536, 128, 16, 2
-#: Terms up to which A'A is summed once, as a dense square in each task; its rows that are added up together, and tasks whose sums one group holds.
+#: Terms up to which A'A is summed once, as a dense half square in each task; its rows that are added up together, and tasks whose sums one group holds.
 GRAM_TERMS, GRAM_ROWS, GRAM_TASKS = 4_096, 32, 64
 #: Documents that are cut into windows together, and windows of them that are handed on together.
 CUT_DOCS, CUT_WINDOWS = 512, 8_192
@@ -73,8 +73,8 @@ RUN, SHORT_RUN, RUN_SHARE = 10, 7, 0.45
 PLACED, DRIFT = 0.4, 2
 #: Items of fewer words must be held word by word.
 SHORT = 8
-#: Pairs of word and item, and windows, that are looked at together.
-PAIRS, WINDOWS = 1_000_000, 1024
+#: Pairs of word and item, and windows, that are looked at together; pairs of terms that are added up together.
+PAIRS, WINDOWS, GRAM_PAIRS = 1_000_000, 1024, 100_000
 ITEM_BLOCK = 20_000
 #: Hits that may be broadcast when several blocks of items are searched; more are joined by a shuffle.
 BROADCAST_HITS = 100_000
@@ -251,6 +251,40 @@ def passages(items: DataFrame, docs: DataFrame, vocabulary, idf) -> DataFrame:
     return map_batches(matrix, lists, "rows array<int>, weights array<double>")
 
 
+class PairSums:
+    """A'A of some windows without what lies below its diagonal: row by row from the diagonal on, half a square of the terms."""
+
+    def __init__(self, terms: int):
+        self.terms = terms
+        lengths = np.arange(terms, -1, -1)
+        self.begins = np.cumsum(lengths) - lengths
+        self.ahead = self.begins - np.arange(terms + 1)  # where column 0 of a row would lie
+        self.total = np.zeros(self.begins[terms])
+
+    def add(self, rows: np.ndarray, weights: np.ndarray, sizes: np.ndarray) -> None:
+        """Add each pair of a window's terms once, GRAM_PAIRS of them at a time."""
+        ends = np.repeat(np.cumsum(sizes), sizes)
+        # each term with itself and those behind it in its row
+        counts = ends - np.arange(len(rows))
+        upto = np.cumsum(counts)
+        at = 0
+        while at < len(rows):
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + GRAM_PAIRS, side="right")))
+            i = np.repeat(np.arange(at, end), counts[at:end])
+            j = i + ranges(counts[at:end])
+            np.add.at(self.total, self.ahead[rows[i]] + rows[j], weights[i] * weights[j])
+            at = end
+
+    def blocks(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Of each GRAM_ROWS rows the number, and the non-zero cells with their sums, counted as in whole rows."""
+        for first in range(0, self.terms, GRAM_ROWS):
+            begin, end = self.begins[[first, min(first + GRAM_ROWS, self.terms)]]
+            found = begin + np.flatnonzero(self.total[begin:end])
+            if len(found):
+                row = np.searchsorted(self.begins, found, side="right") - 1
+                yield first // GRAM_ROWS, (row - first) * self.terms + found - self.ahead[row], self.total[found]
+
+
 def gram_blocks(matrix: DataFrame, terms: int, cells_of: Cells = listed) -> DataFrame:
     """A'A without what lies below its diagonal, stored as blocks of GRAM_ROWS rows: tasks add up each pair of a row's terms once, Spark adds the non-zero cells of the tasks.
 
@@ -258,38 +292,25 @@ def gram_blocks(matrix: DataFrame, terms: int, cells_of: Cells = listed) -> Data
     """
     schema = "block int, part int, cells binary, sums binary"
 
-    def partial(block: int, part: int, values: np.ndarray) -> dict:
-        cells = np.flatnonzero(values)
-        return {"block": block, "part": part, "cells": cells.astype(np.int32).tobytes(), "sums": values[cells].tobytes()}
+    def partial(block: int, part: int, cells: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{"block": block, "part": part, "cells": cells.astype(np.int32).tobytes(), "sums": sums.tobytes()}], _CELLS)
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held(("decontaminate", "fit"), lambda: None)
-        total = np.zeros(terms * terms)
-        for rows, weights, sizes in chain.from_iterable(map(cells_of, batches)):
-            ends = np.repeat(np.cumsum(sizes), sizes)
-            # each term with itself and those behind it in its row
-            counts = ends - np.arange(len(rows))
-            upto = np.cumsum(counts)
-            at = 0
-            while at < len(rows):
-                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, side="right")))
-                i = np.repeat(np.arange(at, end), counts[at:end])
-                j = i + ranges(counts[at:end])
-                np.add.at(total, rows[i].astype(np.int64) * terms + rows[j], weights[i] * weights[j])
-                at = end
-        width, part = GRAM_ROWS * terms, TaskContext.get().partitionId() // GRAM_TASKS
-        for block in range(-(-terms // GRAM_ROWS)):
-            own = total[block * width : (block + 1) * width]
-            if own.any():
-                yield pa.RecordBatch.from_pylist([partial(block, part, own)], _CELLS)
+        total, part = PairSums(terms), TaskContext.get().partitionId() // GRAM_TASKS
+        for cells in chain.from_iterable(map(cells_of, batches)):
+            total.add(*cells)
+        for block, found, sums in total.blocks():
+            yield partial(block, part, found, sums)
 
     def add(group: pa.Table) -> pa.Table:
         total = np.zeros(GRAM_ROWS * terms)
         for cells, sums in zip(group.column("cells"), group.column("sums"), strict=True):
             total[np.frombuffer(cells.as_buffer(), np.int32)] += np.frombuffer(sums.as_buffer())
-        return pa.Table.from_pylist([partial(group.column("block")[0].as_py(), group.column("part")[0].as_py(), total)], _CELLS)
+        found = np.flatnonzero(total)
+        return pa.Table.from_batches([partial(group.column("block")[0].as_py(), group.column("part")[0].as_py(), found, total[found])])
 
-    parts = matrix.mapInArrow(run, schema)
+    parts = map_partitions(matrix, run, schema)
     if matrix.rdd.getNumPartitions() > GRAM_TASKS:
         parts = parts.groupBy("block", "part").applyInArrow(add, schema)
     return stored(parts.groupBy("block").applyInArrow(add, schema))
@@ -310,7 +331,7 @@ def summed(rows: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], np.nda
         total = np.sum([x.values.to_numpy() for x in group.column("sums")], axis=0)
         return pa.table([group.column("block").slice(0, 1), pa.array([total], pa.list_(pa.float64()))], names=["block", "sums"])
 
-    parts = rows.mapInArrow(run, "block long, sums array<double>").groupBy("block").applyInArrow(add, "block long, sums array<double>")
+    parts = map_partitions(rows, run, "block long, sums array<double>").groupBy("block").applyInArrow(add, "block long, sums array<double>")
     out = np.zeros(shape)
     for row in parts.toLocalIterator():
         part = np.array(row["sums"]).reshape(-1, shape[1])

@@ -295,3 +295,23 @@ def test_sums_of_stored_counts_are_those_of_their_weights(spark):
     assert np.allclose(dc.product(dc.gram_blocks(matrix, 40, cells), q), dense @ q)
     assert np.allclose(dc.gathered(matrix, q, False, cells), dense @ q)
     assert np.allclose(dc.gathered(matrix, q, True, cells), q.T @ dense @ q)
+
+
+def test_a_task_holds_half_a_square_of_the_terms():
+    """The whole square, and a million pairs at a time, took the pipeline over an executor's memory."""
+    rng = np.random.default_rng(6)
+    terms = 1500
+    rows = [np.sort(rng.choice(terms, 60, replace=False)).astype(np.int32) for _ in range(1000)]
+    weights = rng.random((1000, 60))
+    dense = np.zeros((1000, terms))
+    np.put_along_axis(dense, np.array(rows, np.int64), weights, axis=1)
+    tracemalloc.start()
+    sums = dc.PairSums(terms)
+    sums.add(np.concatenate(rows), weights.ravel(), np.full(1000, 60))
+    got = np.zeros((-(-terms // dc.GRAM_ROWS), dc.GRAM_ROWS * terms))
+    peak = tracemalloc.get_traced_memory()[1] - got.nbytes
+    tracemalloc.stop()
+    for block, cells, values in sums.blocks():
+        got[block, cells] = values
+    assert np.allclose(got.reshape(-1, terms)[:terms], np.triu(dense.T @ dense))
+    assert peak < terms * terms * 8
