@@ -5,7 +5,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 
-from tenura.llm.common import map_batches
+from tenura.llm.common import held, map_batches
 
 
 def resident() -> int:
@@ -29,7 +29,7 @@ def test_workers_give_memory_back(spark):
             before = resident()
             if fill:
                 small = [np.ones(5000) for _ in range(4000)]  # 160 MB in pieces that malloc keeps
-                kept = small[::400]
+                kept = held(("memory", os.getpid()), lambda: small[399::400])  # the last of them too
                 del small
                 return pa.RecordBatch.from_pylist([{"pid": os.getpid(), "mb": before, "n": len(kept)}])
             return pa.RecordBatch.from_pylist([{"pid": os.getpid(), "mb": before, "n": 0}])
