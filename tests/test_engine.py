@@ -511,6 +511,62 @@ def test_bootstrap_against_a_plain_one(spark, size):
     assert evaluation.bootstrap(scored.limit(0), 5).count() == 0
 
 
+def test_block_draws_are_a_multinomial():
+    import numpy as np
+
+    n, size = 2_300, 500
+    each = np.array([[evaluation.block_draws(n, b, k, 7, size) for b in range(5)] for k in range(2_000)])
+    before, draws = each[..., 0], each[..., 1]
+    assert (draws.sum(axis=1) == n).all() and (before[:, 0] == 0).all() and (before[:, 1:] == draws.cumsum(axis=1)[:, :-1]).all()
+    share = np.array([500, 500, 500, 500, 300]) / n
+    assert draws.mean(axis=0) == pytest.approx(n * share, rel=0.01)
+    assert np.cov(draws.T) == pytest.approx(n * (np.diag(share) - np.outer(share, share)), abs=40)
+
+
+def test_bootstrap_draws_from_every_row(spark):
+    """More rows than a block: replicates are those of a plain bootstrap of the whole table, not of a sample of it."""
+    import numpy as np
+
+    n, first = 260_000, 250_000
+    chance = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
+    scored = spark.range(n).select(
+        F.sha2(F.col("id").cast("string"), 256).alias("tie_breaker"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 30)) / float(1 << 30) < chance / 3).cast("int").alias("y"),
+        (F.round(chance, 3) * 0.9 + 0.0123).alias("p"), (0.1 + 0.1 * chance).alias("base"))
+    table = scored.toPandas().sort_values(["p", "tie_breaker"], ascending=[False, True])
+    y, p, base = (table[c].to_numpy() for c in ("y", "p", "base"))
+    values = []
+    for k in range(5):
+        inside = np.random.default_rng([7, k, 0, 2]).binomial(n, first / n)
+        drawn = np.sort(np.concatenate([np.random.default_rng([7, k]).integers(0, first, inside), first + np.random.default_rng([7, k, 1]).integers(0, n - first, n - inside)]))
+        yes, q = y[drawn], p[drawn]
+        base_loss, loss = (-np.where(yes == 1, np.log(x), np.log(1 - x)).mean() for x in (base[drawn], q))
+        bins = (q * 10).astype(int)
+        ece = sum((bins == b).mean() * abs(yes[bins == b].mean() - q[bins == b].mean()) for b in set(bins))
+        values.append([(base_loss - loss) / base_loss, base_loss, loss, ece, yes[: n // 10].mean() / yes.mean()])
+    found = [{r["measure"]: (r["low"], r["high"]) for r in evaluation.bootstrap(df, 5, seed=7).collect()} for df in (scored.repartition(7), scored.orderBy("base"))]
+    for name, column in zip(evaluation.MEASURES, np.array(values).T, strict=True):
+        assert found[0][name] == pytest.approx((np.quantile(column, 0.025), np.quantile(column, 0.975)), rel=1e-9), name
+    assert found[0] == found[1]
+
+
+def test_bootstrap_blocks_cut_the_top_decile_anywhere(spark):
+    """Where every row has a score of its own, the best tenth of the draws is the same whatever blocks they are added up in."""
+    import numpy as np
+
+    n, size = 1_000, 90
+    rng = np.random.default_rng(3)
+    y, p = (rng.random(n) < 0.3).astype(int), np.sort(rng.random(n))[::-1]
+    for k in range(20):
+        weight = np.zeros(n, int)
+        for b in range(12):
+            own = min(size, n - b * size)
+            drawn = np.random.default_rng([7, k, b]).integers(0, own, evaluation.block_draws(n, b, k, 7, size)[1])
+            weight[b * size : b * size + own] = np.bincount(drawn, minlength=own)
+        best = np.repeat(y, weight)[: n // 10]
+        parts = [evaluation.block_sums((y[b * size : (b + 1) * size], p[b * size : (b + 1) * size], p[b * size : (b + 1) * size]), n, b, 20, 7, size)[k] for b in range(12)]
+        assert weight.sum() == n and sum(parts)[3] == best.sum() and sum(parts)[2] == (weight * y).sum()
+
+
 def test_constant_false_branch_is_pruned(spark, small):
     plan = QUERIES["constant_false_branch"].run(spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan
