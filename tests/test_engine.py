@@ -567,6 +567,23 @@ def test_bootstrap_blocks_cut_the_top_decile_anywhere(spark):
         assert weight.sum() == n and sum(parts)[3] == best.sum() and sum(parts)[2] == (weight * y).sum()
 
 
+def test_model_decision_weighs_every_row(spark, tmp_path, monkeypatch):
+    """A challenger that is better on all rows passes, though it is worse on the 250,000 with the smallest hashes."""
+    from types import SimpleNamespace
+
+    from tenura.plans import registry
+
+    churned = F.col("id") % 25 == 0
+    rows = spark.range(260_000).select(F.sha2(F.col("id").cast("string"), 256).alias("tie_breaker"), churned.cast("int").alias("y"), F.when(churned, 0.9).otherwise(0.01).alias("p"), F.lit(1).alias("is_repeat_subscriber"))
+    first = evaluation.stratified_sample(rows, 250_000).select("tie_breaker", F.lit(True).alias("first"))
+    close = F.when(F.col("y") == 1, 0.91).otherwise(0.009)
+    rows.join(first, "tie_breaker", "left").withColumn("base", F.when(F.col("first"), close).otherwise(0.5)).write.parquet(str(tmp_path / "scored"))
+    monkeypatch.setattr(registry, "_both", lambda w: spark.read.parquet(str(tmp_path / "scored")))
+    found = {r["scope"]: r for r in QUERIES["model_decision"].build(SimpleNamespace(spark=spark)).collect()}
+    assert found["all"]["gate_passed"] and found["repeat"]["gate_passed"] and found["new"]["challenger_ece"] is None
+    assert {r["decision"] for r in found.values()} == {"ship_challenger"}
+
+
 def test_constant_false_branch_is_pruned(spark, small):
     plan = QUERIES["constant_false_branch"].run(spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan
